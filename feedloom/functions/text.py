@@ -13,8 +13,9 @@ PAYWALL_TERMS = (
 FEED_MARKERS = ("<?xml", "<rss", "<feed", "<opml")
 FEED_SNIFF_CHARS = 1000
 
-_WS = r"[\s\u0085   -     　]"
+_WS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+VISIBLE = f"[^{_WS[1:-1]}]"
 
 def trim_ws(s: Column) -> Column:
     """Strip any Unicode white space and line breaks from both ends."""
@@ -23,7 +24,7 @@ def trim_ws(s: Column) -> Column:
 
 def word_count(s: Column) -> Column:
     """AGG-12: white-space separated tokens."""
-    return F.regexp_count(s, F.lit(f"[^{_WS[1:-1]}]+"))
+    return F.regexp_count(s, F.lit(f"{VISIBLE}+"))
 
 
 def reading_minutes(words: Column) -> Column:

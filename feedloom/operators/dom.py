@@ -20,8 +20,10 @@ NODE_COLUMNS = ["page_id", "pre", "last", "parent", "path", "tag", "attrs", "tex
 TAG = F.col("tag")
 IS_TEXT = TAG == "#text"
 IS_ELEMENT = TAG != "#text"
-# ``[^\s]`` alone would count a no-break space as text.
-NON_BLANK = IS_TEXT & (T.trim_ws(F.col("text")) != "")
+# A search for one visible character stops early; trimming would scan the whole text.
+NON_BLANK = IS_TEXT & F.col("text").rlike(T.VISIBLE)
+# Interface phrases are short; longer texts need no trimming to be told apart from them.
+PHRASE_CHARS = 64
 
 
 def attr(name: str, default: str = "") -> Column:
@@ -100,14 +102,20 @@ def unwrap(nodes: DataFrame, cond: Column) -> DataFrame:
     )
 
 
-def fold_up(nodes: DataFrame, inputs: dict[str, Column], aggs: dict[str, Column], levels: int | None = None) -> DataFrame:
+def fold_up(
+    nodes: DataFrame, inputs: dict[str, Column], aggs: dict[str, Column],
+    levels: int | None = None, where: Column | None = None,
+) -> DataFrame:
     """Add aggregates over each node's descendants, or over those within ``levels`` below it.
 
     ``inputs`` are computed per node; ``aggs`` may use them and ``level`` (0 is the node
-    itself). Nodes are already hashed by page, so the grouping on (page, node) adds no shuffle.
+    itself). Only nodes that satisfy ``where`` report to their ancestors. Nodes are already
+    hashed by page, so the grouping on (page, node) adds no shuffle.
     """
     own = nodes.columns
     up = F.reverse("path") if levels is None else F.slice(F.reverse("path"), 1, levels)
+    if where is not None:
+        up = F.when(where, up).otherwise(F.array().cast("array<int>"))
     ev = nodes.select("*", *[c.alias(n) for n, c in inputs.items()]).select(
         "*", F.posexplode(F.concat(F.array("pre"), up)).alias("level", "_key")
     )
@@ -120,25 +128,26 @@ def fold_up(nodes: DataFrame, inputs: dict[str, Column], aggs: dict[str, Column]
 
 
 def child_stats(nodes: DataFrame, allowed: dict[str, Column] | None = None) -> DataFrame:
-    """Per element: child elements, child images, non-blank child texts and the longest one.
+    """Per element: child elements, child images, non-blank child texts and the greatest short one.
 
-    ``allowed`` adds counts of child elements that satisfy further conditions.
+    ``allowed`` adds counts of child elements that satisfy further conditions. The counts are
+    taken among siblings; the first child, which is the next row of the page, hands them up.
     """
-    child = F.col("level") == 1
-    inputs = {
-        "_el": IS_ELEMENT, "_img": TAG == "img", "_txt": NON_BLANK,
-        "_val": F.when(NON_BLANK, T.trim_ws(F.col("text"))),
+    siblings = Window.partitionBy("page_id", "parent")
+    stats = {
+        "n_el": F.count_if(IS_ELEMENT), "n_img": F.count_if(TAG == "img"), "n_txt": F.count_if(NON_BLANK),
+        "own_text": F.max(F.when(NON_BLANK & (F.length("text") <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
+        **{name: F.count_if(IS_ELEMENT & cond) for name, cond in (allowed or {}).items()},
     }
-    aggs = {
-        "n_el": F.count_if(child & F.col("_el")),
-        "n_img": F.count_if(child & F.col("_img")),
-        "n_txt": F.count_if(child & F.col("_txt")),
-        "own_text": F.max(F.when(child, F.col("_val"))),
+    d = nodes.withColumn("_up", F.struct("parent", *[c.over(siblings).alias(n) for n, c in stats.items()]))
+    d = d.withColumn("_down", F.lead("_up").over(PAGE))
+    mine = F.col("_down.parent") == F.col("pre")
+    out = {
+        n: F.when(mine, F.col(f"_down.{n}")) if n == "own_text"
+        else F.coalesce(F.when(mine, F.col(f"_down.{n}")), F.lit(0))
+        for n in stats
     }
-    for name, cond in (allowed or {}).items():
-        inputs[f"_{name}"] = cond
-        aggs[name] = F.count_if(child & F.col("_el") & F.col(f"_{name}"))
-    return fold_up(nodes, inputs, aggs, levels=1)
+    return d.select(*nodes.columns, *[c.alias(n) for n, c in out.items()])
 
 
 def with_parent(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:

@@ -201,7 +201,7 @@ def strip_thumbnail_cards(nodes: DataFrame, page_path: Column) -> DataFrame:
     d = d.withColumn("_head_link", (TAG == "a") & has_attr("href") & dom.inside(TAG.isin("h2", "h3", "h4", "h5", "h6")))
     d = dom.fold_up(
         d, {"_len": F.when(NON_BLANK, F.length(T.trim_ws(F.col("text")))).otherwise(0)},
-        {"_chars": F.sum("_len")},
+        {"_chars": F.sum("_len")}, where=NON_BLANK,
     )
     d = d.withColumn(
         "_card",
@@ -215,12 +215,11 @@ def strip_thumbnail_cards(nodes: DataFrame, page_path: Column) -> DataFrame:
 def strip_promo_links(nodes: DataFrame, page_url: Column) -> DataFrame:
     """EXT-22: links that hold only images and lead to another page."""
     href = attr("href")
-    d = dom.child_stats(nodes)
+    d = dom.child_stats(nodes.withColumn("_page", page_url))
     only_images = (
         (TAG == "a") & (href != "") & (href != "#") & (F.col("n_txt") == 0)
         & (F.col("n_el") > 0) & (F.col("n_el") == F.col("n_img"))
     )
-    d = d.withColumn("_page", page_url)
     d = d.withColumn("_link", F.when(only_images, urls.resolve_url(F.col("_page"), href, upgrade=False)))
     trim = lambda p: F.regexp_replace(F.lower(p), "^/+|/+$", "")
     d = d.withColumn("_here", trim(urls.path(F.col("_page")))).withColumn("_there", trim(urls.path(F.col("_link"))))

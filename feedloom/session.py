@@ -52,3 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def materialize(df):
+    """Cut the lineage with a reliable checkpoint, which survives lost executors.
+
+    Inferring constraints over a long chain of windows takes the planner longer than the job
+    itself and finds nothing there to push down, so it is off while this plan is made.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
