@@ -174,3 +174,100 @@ def user_action(spark: SparkSession, sf_dir: str) -> DataFrame:
                   WHEN 'purchase' THEN 'toggle_save' WHEN 'error' THEN 'fetch_failed'
                   ELSE 'subscribe' END""").alias("action"),
     )
+
+
+# ---- feed documents, outlines and the directory --------------------------------------
+
+CHUNK = 320
+
+
+def _xml_text(c: str):
+    """Text that is legal in XML: no control characters, no early end of a CDATA section."""
+    clean = F.regexp_replace(F.col(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "")
+    return F.replace(clean, F.lit("]]>"), F.lit(""))
+
+
+def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS documents made of all documents: one per source and run of 320 ids, so that a
+    document stays small however large its source is."""
+    from feedloom.functions.text import escape_html
+
+    d = documents(spark, sf_dir).withColumn("_t", _title()).withColumn("_u", _url()).withColumn("_p", _published())
+    link = F.expr("CASE WHEN doc_id % 6 = 5 THEN '' ELSE concat('<link>', _u, '</link>') END")
+    guid = F.expr("concat('<guid isPermaLink=\"true\">', _u, '</guid>')")
+    date = F.expr("CASE WHEN _p IS NULL THEN '' ELSE concat('<pubDate>', date_format(_p, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT</pubDate>') END")
+    media = F.expr("CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('<media:content url=\"/img/', doc_id, '.jpg\"/>') ELSE concat('<enclosure type=\"image/png\" url=\"https://img.example.com/', doc_id, '.png\"/>') END")
+    body = F.concat(F.lit("<description><![CDATA["), _xml_text("text"), F.lit("]]></description>"))
+    item = F.concat(F.lit("<item><title>"), escape_html(_xml_text("_t")), F.lit("</title>"), link, guid, date, media, body, F.lit("</item>"))
+    grouped = d.select("source", F.expr(f"doc_id div {CHUNK}").alias("chunk"), F.struct("doc_id", item.alias("xml")).alias("it")).groupBy("source", "chunk").agg(
+        F.array_sort(F.collect_list("it")).alias("items"))
+    head = F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0" xmlns:media="http://search.yahoo.com/mrss/"><channel><title>Feed '),
+        F.col("source"), F.lit(" &amp; more</title><link>http://www."), F.col("source"), F.lit(".example.com/</link>"))
+    return grouped.select(
+        F.expr("concat('https://', source, '.example.com/feed/', chunk, '.xml')").alias("feed_url"),
+        F.concat(head, F.array_join(F.transform("items", lambda i: i["xml"]), ""), F.lit("</channel></rss>")).alias("xml"),
+    )
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").withColumnRenamed("url", "page_url")
+
+
+def _host(u: str = "page_url") -> str:
+    return f"regexp_extract({u}, '^https?://([^/?#]+)', 1)"
+
+
+def directory_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One directory entry per page; entries of one host and language share an address."""
+    p = pages(spark, sf_dir).withColumn("_h", F.expr(_host())).withColumn(
+        "_l", F.expr("regexp_extract(page_url, '^https?://[^/?#]+/([a-z]{2})/', 1)"))
+    return p.select(
+        F.expr("concat('d', page_id)").alias("id"),
+        F.expr("regexp_extract(html, '<title>([^<]*)</title>', 1)").alias("name"),
+        F.expr("concat(CASE WHEN page_id % 4 = 0 THEN 'http' ELSE 'https' END, '://', _h, '/', _l, '/feed', CASE WHEN page_id % 5 = 0 THEN '/' ELSE '' END)").alias("feed_url"),
+        F.expr("CASE WHEN page_id % 9 <> 0 THEN concat('http://', _h, '/') END").alias("site_url"),
+        F.expr("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)").alias("description"),
+        F.expr("CASE _l WHEN 'en' THEN 'Tech' WHEN 'fr' THEN 'Science' WHEN 'de' THEN 'Germany' ELSE 'Spain' END").alias("category"),
+        F.expr("CASE _l WHEN 'de' THEN 'Germany' WHEN 'es' THEN 'Spain' END").alias("country"),
+        F.expr("array(_l, regexp_extract(_h, '([^.]+)[.]example[.]', 1))").alias("tags"),
+        F.expr("CASE WHEN page_id % 6 <> 0 THEN date_add(date'2024-01-01', cast((page_id * 13) % 180 AS int)) END").alias("last_verified"),
+        F.col("page_id").alias("pos"),
+    )
+
+
+def feed_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch attempts per directory address: a first one, and a second where the first failed."""
+    d = directory_feed(spark, sf_dir).groupBy(F.col("feed_url").alias("url")).agg(F.min("pos").alias("k"))
+    item = "concat('<item><link>', url, '/a', i, '</link><pubDate>', date_format(timestamp'2024-06-01' - make_dt_interval(cast(k % 10 AS int) * 40 + i), 'dd MMM yyyy HH:mm:ss'), ' GMT</pubDate></item>')"
+    rss = f"concat('<?xml version=\"1.0\"?><rss><channel><title>T</title><link>', url, '/home</link>', array_join(transform(sequence(0, 11), i -> {item}), ''), '</channel></rss>')"
+    first = d.select(
+        "url", F.lit(1).alias("attempt"),
+        F.expr("CASE WHEN k % 5 = 0 THEN 503 ELSE 200 END").alias("status"),
+        F.expr("CASE WHEN k % 7 = 0 THEN concat('http://', regexp_extract(url, '://(.*)$', 1)) ELSE concat('https://', regexp_extract(url, '://(.*)$', 1)) END").alias("final_url"),
+        F.expr(f"CASE WHEN k % 11 = 0 THEN '<html><body>gone</body></html>' WHEN k % 13 = 0 THEN replace({rss}, '</channel>', '') ELSE {rss} END").alias("body"),
+        "k",
+    )
+    again = first.filter("status = 503").withColumn("attempt", F.lit(2)).withColumn(
+        "status", F.expr("CASE WHEN k % 2 = 0 THEN 200 ELSE 503 END"))
+    return first.unionByName(again)
+
+
+def opml_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline documents over all directory entries, one per run of 64 entries and mode."""
+    from feedloom.functions.text import escape_html
+
+    d = directory_feed(spark, sf_dir)
+    # The ampersand stays bare, as it often is in such files.
+    label = F.replace(escape_html(F.col("name")), F.lit("&amp;"), F.lit("&"))
+    cell = F.concat(
+        F.expr("CASE WHEN pos % 8 = 0 THEN concat('<outline text=\"Group ', pos, '\"/>') ELSE '' END"),
+        F.lit('<outline text="'), label, F.lit('" xmlUrl="'), F.col("feed_url"), F.lit('" description=" d" />'))
+    rows = d.select(F.expr("pos div 64").alias("n"), F.struct("pos", cell.alias("x")).alias("c")).groupBy("n").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["x"]), "").alias("_o"))
+    xml = F.concat(F.lit("<opml><head/><body><outline text=\"All\">"), F.col("_o"), F.lit("</outline></body></opml>"))
+    by_topic = rows.select(F.expr("concat('topic-', n)").alias("file"), xml.alias("xml"),
+                           F.lit("Start").alias("category"), F.lit(None).cast("string").alias("country"))
+    by_country = rows.select(F.expr("concat('country-', n)").alias("file"), xml.alias("xml"),
+                             F.lit(None).cast("string").alias("category"), F.expr("concat('Land ', n)").alias("country"))
+    return by_topic.unionByName(by_country)

@@ -94,5 +94,30 @@ t_action AS (
     CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'toggle_read' WHEN 'purchase' THEN 'toggle_save'
          WHEN 'error' THEN 'fetch_failed' ELSE 'subscribe' END AS action
   FROM events
+),
+t_dir0 AS (
+  SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h, regexp_extract(url, '^https?://[^/?#]+/([a-z]{{2}})/', 1) AS l FROM pages
+),
+t_dir AS (
+  SELECT 'd' || page_id AS id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS name,
+    CASE WHEN page_id % 4 = 0 THEN 'http' ELSE 'https' END || '://' || h || '/' || l || '/feed' || CASE WHEN page_id % 5 = 0 THEN '/' ELSE '' END AS feed_url,
+    CASE WHEN page_id % 9 <> 0 THEN 'http://' || h || '/' END AS site_url,
+    regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS description,
+    CASE l WHEN 'en' THEN 'Tech' WHEN 'fr' THEN 'Science' WHEN 'de' THEN 'Germany' ELSE 'Spain' END AS category,
+    CASE l WHEN 'de' THEN 'Germany' WHEN 'es' THEN 'Spain' END AS country,
+    l AS tag1, regexp_extract(h, '([^.]+)[.]example[.]', 1) AS tag2, h, l,
+    CASE WHEN page_id % 6 <> 0 THEN DATE '2024-01-01' + CAST((page_id * 13) % 180 AS INTEGER) END AS last_verified, page_id AS pos
+  FROM t_dir0
+),
+t_fetch0 AS (SELECT feed_url AS url, min(pos) AS k FROM t_dir GROUP BY feed_url),
+t_fetch1 AS (
+  SELECT url, k, 1 AS attempt, CASE WHEN k % 5 = 0 THEN 503 ELSE 200 END AS status FROM t_fetch0
+),
+t_fetch AS (
+  SELECT *, CASE WHEN status <> 200 THEN 'unreachable' WHEN k % 7 = 0 THEN 'redirectsToHTTP' WHEN k % 11 = 0 THEN 'notAFeed'
+              WHEN k % 13 = 0 THEN 'malformedXML' END AS issue,
+    CAST(TIMESTAMP '2024-06-01' - to_days(CAST(k % 10 AS INTEGER) * 40) AS TIMESTAMP) AS newest
+  FROM (SELECT * FROM t_fetch1 UNION ALL
+        SELECT url, k, 2, CASE WHEN k % 2 = 0 THEN 200 ELSE 503 END FROM t_fetch1 WHERE status = 503)
 )
 """
