@@ -196,11 +196,6 @@ def stamp_verified(spark, sf):
     return audited(spark, sf)["stamped"].select("id", F.date_format("last_verified", "yyyy-MM-dd").alias("last_verified"))
 
 
-_FOUND = f""", cand AS (
-  SELECT d.id, p.n, 'https://' || h || p.path AS url FROM t_dir d, (VALUES (1, '/feed'), (2, '/rss'), (3, '/en/feed'), (4, '/fr/feed')) p(n, path)),
-good AS (SELECT DISTINCT url FROM t_fetch WHERE issue IS NULL)"""
-
-
 @query("join_15_probe_feeds", """
 , good AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '/[a-z][a-z]/feed/?$', '/rss.xml'), '^http:', 'https:') AS url FROM t_fetch WHERE issue IS NULL),
 cand AS (SELECT id, 0 AS n, feed_url AS url FROM t_dir WHERE pos % 3 = 0 UNION ALL SELECT id, 3, 'https://' || h || '/rss.xml' FROM t_dir)

@@ -16,7 +16,6 @@ _CLEAN = r"replace(regexp_replace({c}, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'),
 _TRIM = r"regexp_replace({c}, '^[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 _BODY = _TRIM.format(c=_CLEAN.format(c="text"))
 _RAW_TITLE = _TRIM.format(c=_CLEAN.format(c="d_title"))
-_TITLE = f"CASE WHEN contains({_RAW_TITLE}, '&') THEN {_TRIM.format(c=f'html_unescape({_RAW_TITLE})')} ELSE {_RAW_TITLE} END".replace("html_unescape", "")
 _ITEMS = f"""
 , x AS (
   SELECT doc_id, source, doc_id // 320 AS chunk, 'https://' || source || '.example.com/feed/' || doc_id // 320 || '.xml' AS feed_url,
@@ -93,8 +92,8 @@ def read_opml(spark, sf):
 
 
 @query("src_05_fix_bare_ampersands", r"""
-SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'),
-  '&amp;amp;', '&amp;'), '&amp;lt;', '&lt;'), '&amp;gt;', '&gt;'), '&amp;quot;', '&quot;'), '&amp;apos;', '&apos;'), '&amp;#', '&#'), 'x', 'x') AS html
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'),
+  '&amp;amp;', '&amp;'), '&amp;lt;', '&lt;'), '&amp;gt;', '&gt;'), '&amp;quot;', '&quot;'), '&amp;apos;', '&apos;'), '&amp;#', '&#') AS html
 FROM pages""")
 def fix_bare_ampersands(spark, sf):
     return D.pages(spark, sf).select("page_id", T.fix_bare_ampersands(F.col("html")).alias("html"))
@@ -110,7 +109,7 @@ SELECT id, name, feed_url, site_url, category, country, tag1 || ' ' || tag2 AS t
 def read_directory(spark, sf):
     path = _fresh(spark, "directory")
     tables.write_directory(D.directory_feed(spark, sf), path)
-    return tables.read_directory(spark, f"{path}/*").select(
+    return tables.read_directory(spark, f"{path}/*", arrays=False).select(
         "id", "name", "feed_url", "site_url", "category", "country", F.array_join("tags", " ").alias("tags"),
         F.date_format("last_verified", "yyyy-MM-dd").alias("last_verified"))
 

@@ -28,10 +28,15 @@ def _words(s: Column) -> Column:
     return F.filter(F.split(s, " "), lambda w: w != "")
 
 
-def _run_match(cleaned: Column, labels: list[Column], stop_len: Column) -> Column:
+def _reach(cleaned: Column, stop_len: Column) -> Column:
+    """Words a run may span: each adds a letter, except those that were all punctuation."""
+    return stop_len + F.size(F.filter(cleaned, lambda w: w == ""))
+
+
+def _run_match(cleaned: Column, labels: list[Column], stop_len: Column, reach: Column) -> Column:
     """First run of adjacent words that joins to a label, as struct(start, n); else null.
 
-    Title lengths are bounded, so the scan over starts stays inside the row.
+    A run ends once it is as long as the label, so each start looks at ``reach`` words only.
     """
     empty = F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.lit(0).alias("state"))
 
@@ -45,7 +50,7 @@ def _run_match(cleaned: Column, labels: list[Column], stop_len: Column) -> Colum
         return F.when(acc["state"] == 0, nxt).otherwise(acc)
 
     def at(i: Column) -> Column:
-        end = F.aggregate(F.slice(cleaned, i, F.size(cleaned)), empty, step)
+        end = F.aggregate(F.slice(cleaned, i, reach), empty, step)
         return F.struct(i.alias("start"), end["n"].alias("n"), (end["state"] == 1).alias("hit"))
 
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(cleaned), F.lit(1))), at)
@@ -81,6 +86,7 @@ def with_simple_name(df: DataFrame, name: str, feed_url: str, out: str = "simple
         F.when(has_sep, F.filter(F.slice("_bare", F.col("_sep") + 2, F.size("_w")), lambda w: w != ""))
         .otherwise(none).alias("_after"),
     )
+    d = d.select("*", _reach(F.col("_clean"), F.length("_d")).alias("_span"))
     d = d.select(
         "*",
         F.array_join("_before", " ").alias("_bj"), F.array_join("_after", " ").alias("_aj"),
@@ -91,7 +97,7 @@ def with_simple_name(df: DataFrame, name: str, feed_url: str, out: str = "simple
         ).alias("_hit"),
         F.when(
             (F.size("_w") > 5) & (F.col("_d") != ""),
-            _run_match(F.col("_clean"), [F.col("_d"), F.col("_dh")], F.length("_d")),
+            _run_match(F.col("_clean"), [F.col("_d"), F.col("_dh")], F.length("_d"), F.col("_span")),
         ).alias("_run"),
         F.filter(
             F.transform(F.filter("_w", lambda w: ~w.isin(*SEPARATORS)), lambda w: _strip_punct(w)),
@@ -127,13 +133,14 @@ def with_short_title(df: DataFrame, title: str, url: str, out: str = "short_titl
     d = d.select("*", _words(F.col("_raw")).alias("_w"))
     d = d.select("*", F.transform("_w", lambda w: _strip_punct(w)).alias("_bare"))
     d = d.select("*", F.transform("_bare", lambda w: F.lower(w)).alias("_clean"))
+    d = d.select("*", _reach(F.col("_clean"), F.length("_d")).alias("_span"))
     strip = "^[–—|>:·•]+|[–—|>:·•]+$"
     d = d.select(
         "*",
         F.array_position("_clean", F.col("_d")).alias("_hit"),
         F.when(
             (F.size("_w") > 5) & (F.col("_d") != ""),
-            _run_match(F.col("_clean"), [F.col("_d")], F.length("_d")),
+            _run_match(F.col("_clean"), [F.col("_d")], F.length("_d"), F.col("_span")),
         ).alias("_run"),
         F.filter(
             F.transform(

@@ -17,6 +17,15 @@ _WS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 VISIBLE = f"[^{_WS[1:-1]}]"
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda that mentions an outer expression evaluates it again for every element; bound to
+    a lambda variable it is evaluated once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(s: Column) -> Column:
     """Strip any Unicode white space and line breaks from both ends."""
     return F.regexp_replace(s, f"^{_WS}+|{_WS}+$", "")
@@ -173,27 +182,24 @@ def add_paragraphs(s: Column) -> Column:
     def chunks(sep: str) -> Column:
         return F.filter(F.transform(F.split(s, sep), trim_ws), lambda x: x != "")
 
-    blank, lines = chunks(r"\n\n"), chunks(r"\n")
-    sentences = F.transform(F.split(s, r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.trim(x))
-    groups = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.size(sentences), F.lit(3)),
-            lambda i: F.array_join(F.slice(sentences, i, 3), " "),
-        ),
-        lambda g: g != "",
-    )
-
     def wrap(parts: Column) -> Column:
         return F.array_join(
             F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n"
         )
 
-    return (
-        F.when(F.size(blank) > 1, wrap(blank))
-        .when(F.size(lines) > 1, wrap(lines))
-        .when(F.size(sentences) > 1, wrap(groups))
-        .otherwise(F.concat(F.lit("<p>"), s, F.lit("</p>")))
-    )
+    def by_sentence(sentences: Column) -> Column:
+        groups = F.transform(
+            F.sequence(F.lit(1), F.size(sentences), F.lit(3)),
+            lambda i: F.array_join(F.slice(sentences, i, 3), " "),
+        )
+        return F.when(F.size(sentences) > 1, wrap(F.filter(groups, lambda g: g != ""))).otherwise(
+            wrap(F.array(s))
+        )
+
+    sentences = F.transform(F.split(s, r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.trim(x))
+    return let(chunks(r"\n\n"), lambda blank: F.when(F.size(blank) > 1, wrap(blank)).otherwise(
+        let(chunks(r"\n"), lambda lines: F.when(F.size(lines) > 1, wrap(lines)).otherwise(
+            let(sentences, by_sentence)))))
 
 
 def paywall_score(html: Column) -> Column:

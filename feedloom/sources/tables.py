@@ -8,10 +8,14 @@ from feedloom import schema as S
 from feedloom.functions import text as T, urls
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: every ``.json`` file of a folder, tagged with its file stem."""
+def read_directory(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
+    """SRC-06: every ``.json`` file of a folder, tagged with its file stem.
+
+    Hand-kept files hold one JSON array each. Files written by ``write_directory`` hold one
+    object per line, which splits across tasks; read those with ``arrays=False``.
+    """
     rows = (
-        spark.read.schema(S.DIRECTORY_FEED).option("multiLine", True)
+        spark.read.schema(S.DIRECTORY_FEED).option("multiLine", arrays)
         .option("pathGlobFilter", "*.json").json(path)
     )
     stem = F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
