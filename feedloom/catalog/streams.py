@@ -1 +1,172 @@
+"""Queries over the streaming jobs: given rows are replayed in several micro-batches, and the
+final tables are compared with the same result computed at once."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from feedloom import schema as S
+from feedloom.catalog import derive as D
+from feedloom.catalog.registry import big, query, ts
+from feedloom.session import shared_dir
+from feedloom.streaming import jobs
+from feedloom.streaming.tables import Snapshot, run
+
+HIDDEN = S.SAVED_PAGES_ID
+R = "fetch_status IN ('cached', 'partial')"
+M = "coalesce(published_at, added_at)"
+PARTS, BUCKETS = 3, 4
+
+
+def replay(spark: SparkSession, df: DataFrame, part, root: str) -> DataFrame:
+    """A stream over files written one after another, so that they arrive in order."""
+    staged = df.withColumn("_part", part)
+    for i in range(PARTS):
+        staged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{root}/input")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
+
+
+def root_dir(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
+
+
+def drain(stream: DataFrame, step, root: str) -> None:
+    q = run(stream, step, f"{root}/checkpoint")
+    q.awaitTermination()
+
+
+def _thirds(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
+
+
+def _live(spark, sf) -> jobs.LiveLibrary:
+    root = root_dir(spark, "live")
+    # Each article arrives unread first and in its final state later.
+    final = D.article(spark, sf).withColumn("change_at", F.lit(2)).withColumn("change_seq", F.lit(0))
+    early = final.withColumn("is_read", F.lit(False)).withColumn("reading_minutes", F.lit(0)).withColumn("change_at", F.lit(1))
+    changes = early.unionByName(final)
+    live = jobs.LiveLibrary(root, buckets=BUCKETS)
+    drain(replay(spark, changes, F.expr("CASE change_at WHEN 1 THEN 0 ELSE cast(1 + pmod(xxhash64(id), 2) AS int) END"), root), live.step, root)
+    return live
+
+
+@query("str_01_live_summary", f"""
+SELECT source_id, least(count(*), 25) AS article_count, least(count(*) FILTER (WHERE NOT is_read), 25) AS unread_count,
+  CAST(coalesce(sum(reading_minutes), 0) AS BIGINT) AS reading_minutes_total FROM t_article WHERE {R} GROUP BY source_id""")
+def live_summary(spark, sf):
+    return _live(spark, sf).summary.read(spark).select(
+        "source_id", big("article_count"), big("unread_count"), big("reading_minutes_total"))
+
+
+@query("str_01_live_list", f"""
+SELECT id, source_id, rn FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {M} DESC, id) AS rn
+  FROM t_article WHERE {R}) WHERE rn <= 5""")
+def live_list(spark, sf):
+    return _live(spark, sf).latest.read(spark).select("id", "source_id", big("rn"))
+
+
+@query("str_02_live_carousels", f"""
+SELECT 'balanced' AS list, id FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {M} DESC, id) AS turn,
+    max({M}) OVER (PARTITION BY source_id) AS newest FROM t_article WHERE {R} AND source_id <> '{HIDDEN}' AND thumbnail_url IS NOT NULL
+  ORDER BY turn, newest DESC, source_id LIMIT 30)
+UNION ALL SELECT 'saved', id FROM (SELECT id FROM t_article WHERE is_saved AND fetch_status <> 'failed' AND thumbnail_url IS NOT NULL
+  ORDER BY saved_at DESC, added_at DESC, id LIMIT 10)""")
+@query("str_08_snapshots", f"""
+SELECT 'balanced' AS list, id FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {M} DESC, id) AS turn,
+    max({M}) OVER (PARTITION BY source_id) AS newest FROM t_article WHERE {R} AND source_id <> '{HIDDEN}' AND thumbnail_url IS NOT NULL
+  ORDER BY turn, newest DESC, source_id LIMIT 30)
+UNION ALL SELECT 'saved', id FROM (SELECT id FROM t_article WHERE is_saved AND fetch_status <> 'failed' AND thumbnail_url IS NOT NULL
+  ORDER BY saved_at DESC, added_at DESC, id LIMIT 10)""")
+def live_carousels(spark, sf):
+    live = _live(spark, sf)
+    return live.balanced.read(spark).select(F.lit("balanced").alias("list"), "id").unionByName(
+        live.saved.read(spark).select(F.lit("saved").alias("list"), "id"))
+
+
+@query("str_03_refresh_stream", r"""
+, x AS (SELECT doc_id, source AS source_id, d_url AS url, d_published AS published_at,
+    trim(CASE WHEN contains(d_title, '&') THEN replace(d_title, '&amp;', '&') ELSE d_title END) AS title, doc_id // 320 AS chunk FROM t_doc),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_id, title ORDER BY published_at DESC NULLS LAST, chunk, doc_id) AS rt FROM x)
+SELECT source_id, count(*) AS pending FROM k WHERE rt = 1 GROUP BY source_id""")
+def refresh_stream(spark, sf):
+    root = root_dir(spark, "refresh")
+    docs = D.feed_xml(spark, sf).select(
+        F.regexp_extract("feed_url", "https://([^.]+)", 1).alias("source_id"), "feed_url", "xml",
+        F.expr("timestamp'2024-02-01'").alias("fetched_at"))
+    job = jobs.RefreshStream(root, limit=1_000_000, buckets=BUCKETS)
+    drain(replay(spark, docs, _thirds("feed_url"), root), job.step, root)
+    return job.article.read(spark).groupBy("source_id").agg(F.count("*").alias("pending"))
+
+
+@query("str_03_refresh_pruned")
+def refresh_pruned(spark, sf):
+    root = root_dir(spark, "refresh")
+    docs = D.feed_xml(spark, sf).select(
+        F.regexp_extract("feed_url", "https://([^.]+)", 1).alias("source_id"), "feed_url", "xml",
+        F.expr("timestamp'2024-02-01'").alias("fetched_at"))
+    job = jobs.RefreshStream(root, buckets=BUCKETS)
+    drain(replay(spark, docs, _thirds("feed_url"), root), job.step, root)
+    return job.article.read(spark).select("id", "source_id", "title", "article_url", ts("published_at"))
+
+
+def _by_day(c: str):
+    return F.least(F.floor((F.dayofmonth(c) - 1) / 10), F.lit(PARTS - 1)).cast("int")
+
+
+@query("str_04_user_actions", """
+, m AS (SELECT article_id, max((ts, seq)) AS mark FROM t_action WHERE action = 'read' GROUP BY 1),
+n AS (SELECT x.article_id, count(*) AS n FROM t_action x LEFT JOIN m USING (article_id)
+      WHERE x.action = 'toggle_read' AND (m.mark IS NULL OR (x.ts, x.seq) > m.mark) GROUP BY 1),
+o AS (SELECT article_id, count(*) FILTER (WHERE action = 'toggle_save') % 2 = 1 AS is_saved, bool_or(action = 'fetch_failed') AS deleted FROM t_action GROUP BY 1)
+SELECT o.article_id, (m.mark IS NOT NULL) <> (coalesce(n.n, 0) % 2 = 1) AS is_read, o.is_saved, o.deleted
+FROM o LEFT JOIN m USING (article_id) LEFT JOIN n USING (article_id)""")
+def user_actions(spark, sf):
+    root = root_dir(spark, "actions")
+    acts = D.user_action(spark, sf).withColumn("action", F.expr("CASE action WHEN 'fetch_failed' THEN 'delete' ELSE action END"))
+    job = jobs.UserActions(root, BUCKETS)
+    drain(replay(spark, acts, _by_day("ts"), root), job.step, root)
+    return job.state.read(spark).select("article_id", "is_read", "is_saved", "deleted")
+
+
+@query("str_05_retry_state", """
+, e AS (SELECT *, CASE action WHEN 'fetch_failed' THEN 'failed' WHEN 'subscribe' THEN 'refetch' WHEN 'toggle_save' THEN 'ok' END AS outcome FROM t_action),
+r AS (SELECT article_id, max((ts, seq)) AS reset FROM e WHERE outcome IN ('ok', 'refetch') GROUP BY 1),
+f AS (SELECT e.article_id, count(*) AS n FROM e LEFT JOIN r USING (article_id) WHERE outcome = 'failed' AND (r.reset IS NULL OR (e.ts, e.seq) > r.reset) GROUP BY 1)
+SELECT a.article_id, coalesce(f.n, 0) AS retry_count FROM (SELECT DISTINCT article_id FROM e WHERE outcome IS NOT NULL) a LEFT JOIN f USING (article_id)""")
+def retry_state(spark, sf):
+    root = root_dir(spark, "retry")
+    tries = D.user_action(spark, sf).withColumn("outcome", F.expr(
+        "CASE action WHEN 'fetch_failed' THEN 'failed' WHEN 'subscribe' THEN 'refetch' WHEN 'toggle_save' THEN 'ok' END")).filter(
+        "outcome IS NOT NULL").select("article_id", "ts", "seq", "outcome")
+    job = jobs.RetryCounter(root, BUCKETS)
+    drain(replay(spark, tries, _by_day("ts"), root), job.step, root)
+    return job.state.read(spark).select("article_id", big("retry_count"))
+
+
+@query("str_06_stale_sources", f"""
+, l AS (SELECT 'src' || user_id % 40 AS id, max(ts) AS at_ts FROM events GROUP BY 1)
+SELECT s.id, CASE WHEN s.id = 'src2' THEN 'now' ELSE 'deferred' END AS priority FROM t_source s LEFT JOIN l USING (id)
+WHERE s.id <> '{HIDDEN}' AND (l.at_ts IS NULL OR l.at_ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""")
+def stale_sources(spark, sf):
+    root = root_dir(spark, "stale")
+    done = D.user_action(spark, sf).select(F.expr("concat('src', user_id % 40)").alias("source_id"), "ts")
+    job = jobs.StaleSources(root, D.source(spark, sf), "src2", BUCKETS)
+    drain(replay(spark, done, _by_day("ts"), root), job.step, root)
+    return job.plan.read(spark).select("id", "priority")
+
+
+@query("str_07_suppress_deleted", f"""
+SELECT source_id, count(*) AS kept FROM t_article WHERE source_id NOT IN (SELECT id FROM t_source WHERE fetch_status = 'failed') GROUP BY 1""")
+def suppress_deleted(spark, sf):
+    root = root_dir(spark, "deleted")
+    gone = D.source(spark, sf).filter("fetch_status = 'failed'").select(F.col("id").alias("source_id"))
+    out = Snapshot(f"{root}/out")
+
+    def step(batch, batch_id):
+        kept = jobs.without_deleted(batch, gone)
+        kept.groupBy("source_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out.path}/batch={batch_id}")
+
+    drain(replay(spark, D.article(spark, sf).select("id", "source_id"), _thirds("id"), root), step, root)
+    return spark.read.parquet(out.path).groupBy("source_id").agg(F.sum("n").alias("kept"))

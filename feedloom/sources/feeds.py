@@ -82,13 +82,15 @@ def raw_items(parsed: DataFrame) -> DataFrame:
     )
     rss = F.transform(F.coalesce("doc.channel.item", "doc.item"), lambda e: as_item(e["link"], e))
     atom = F.transform(F.col("doc.entry"), lambda e: as_item(F.transform(_alternate(e["link"]), lambda x: F.coalesce(x["_href"], F.lit(""))), e))
-    d = ok.select(
-        "feed_url", "is_atom", F.split("xml", r"(?i)<(?:item|entry)[\s>]").alias("_raw"),
-        F.when(F.col("is_atom"), atom).otherwise(rss).alias("_items"),
+    d = ok.select("feed_url", "xml", "is_atom", F.when(F.col("is_atom"), atom).otherwise(rss).alias("_items"))
+    # Each item gets its own piece of the source text before the items part ways.
+    with_text = T.let(
+        F.split("xml", r"(?i)<(?:item|entry)[\s>]"),
+        lambda raw: F.transform("_items", lambda e, k: F.struct(e.alias("i"), F.try_element_at(raw, k + 2).alias("seg"))),
     )
-    d = d.select("feed_url", "is_atom", "_raw", F.posexplode("_items").alias("pos", "i"))
-    seg = F.try_element_at("_raw", F.col("pos") + 2)
-    d = d.withColumn("_seg", seg).withColumn("_link", _last(F.col("i.links")))
+    d = d.select("feed_url", "is_atom", F.posexplode(with_text).alias("pos", "x"))
+    d = d.select("feed_url", "is_atom", "pos", F.col("x.i").alias("i"), F.col("x.seg").alias("_seg"))
+    d = d.withColumn("_link", _last(F.col("i.links")))
     # A guid fills in only while the link is empty; an empty link after it wins.
     last_link = F.length("_seg") - F.locate("knil<", F.reverse("_seg"))
     guid_late = F.coalesce(F.size("i.links") > 0, F.lit(False)) & (F.locate("<guid", F.col("_seg")) < last_link)
