@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedloom import schema as S
+from feedloom.session import spread
 
 HIDDEN = S.SAVED_PAGES_ID
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _title():
@@ -211,7 +212,7 @@ def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").withColumnRenamed("url", "page_url")
+    return spread(table(spark, sf_dir, "pages")).withColumnRenamed("url", "page_url")
 
 
 def _host(u: str = "page_url") -> str:

@@ -13,7 +13,7 @@ from feedloom.catalog import derive as D
 from feedloom.catalog.registry import big, query
 from feedloom.functions import text as T, urls
 from feedloom.operators import dom, embedded, extract as E, page_rules as R
-from feedloom.operators.dom import TAG, attr
+from feedloom.operators.dom import node_tag, attr
 from feedloom.plans import extract_job as J
 from feedloom.sources.html import parse_nodes
 
@@ -41,13 +41,13 @@ def expected(*answers: str) -> str:
     return f"SELECT CAST(page_id AS VARCHAR) AS page_id, replace({body}, '{{p}}', CAST(page_id AS VARCHAR)) AS marks FROM pages"
 
 
-def rule(name: str, fragments: list[str], answers: list[str], apply, value: Column | None = None):
+def rule(name: str, fragments: list[str], answers: list[str], apply, value=None):
     """Register one cleaning rule with its fragments and what must remain of them."""
 
     @query(name, expected(*answers))
     def run(spark, sf):
         pages = illustrated(spark, sf, fragments)
-        return marks(apply(parse_nodes(pages), pages), value)
+        return marks(apply(parse_nodes(pages), pages), value() if value else None)
 
     return run
 
@@ -57,7 +57,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, len(regexp_extract_all(html, '<p>'))
   len(regexp_extract_all(html, '<li>')) AS n_li, len(regexp_extract_all(html, '<b>')) AS n_b, len(regexp_extract_all(html, '<br>')) AS n_br FROM pages""")
 def parse_elements(spark, sf):
     n = parse_nodes(D.pages(spark, sf))
-    return n.groupBy("page_id").agg(*[F.count_if(TAG == t).alias(f"n_{t}") for t in ("p", "a", "li", "b", "br")])
+    return n.groupBy("page_id").agg(*[F.count_if(node_tag() == t).alias(f"n_{t}") for t in ("p", "a", "li", "b", "br")])
 
 
 rule("ext_02_remove_tags",
@@ -82,7 +82,7 @@ rule("ext_04_strip_non_content_images",
      ["x2", "x4"], lambda n, p: R.strip_non_content_images(n))
 rule("ext_05_constrain_avatars",
      ['<img id="x1" alt="User Avatar" width="400" height="380" src="a"><img id="x2" alt="avatar" width="400" height="200" src="b"><img id="x3" alt="photo" width="50" height="50" src="c">'],
-     ["x1=100 x2=400 x3=50"], lambda n, p: R.constrain_avatars(n), attr("width"))
+     ["x1=100 x2=400 x3=50"], lambda n, p: R.constrain_avatars(n), lambda: attr("width"))
 rule("ext_06_strip_byline_images",
      ['<img id="x1" alt="Ann\'s avatar" src="/a.jpg"><img id="x2" alt="Avatar the movie" src="/b.jpg">',
       '<img id="x1" alt="Headshot of B" width="90" height="100" src="/c.jpg"><img id="x2" alt="photo of lake" width="900" height="600" src="/d.jpg"><img id="x3" src="https://cdn-avatars.example.com/u{p}.jpg">'],
@@ -130,25 +130,25 @@ rule("ext_11_strip_empty",
      ["x5 x6", "x1 x2 x3 x5 x6 x7"], lambda n, p: R.strip_empty(n))
 rule("ext_12_strip_sticky",
      ['<div id="x1" style="position: sticky; top:0">a</div><div id="x2" style="position:relative">b</div><div id="x3" style="position:fixed">c</div>'],
-     ["x1=position:static; top:0 x2=position:relative x3=position:static"], lambda n, p: R.strip_sticky(n), attr("style"))
+     ["x1=position:static; top:0 x2=position:relative x3=position:static"], lambda n, p: R.strip_sticky(n), lambda: attr("style"))
 rule("ext_13_strip_image_styles",
      ['<img id="x1" style="width:100%" class="c" loading="lazy" data-nimg="1" src="/a{p}.jpg" alt="t">'],
-     ["x1=alt,id,src"], lambda n, p: R.strip_image_styles(n), F.array_join(F.array_sort(F.map_keys("attrs")), ","))
+     ["x1=alt,id,src"], lambda n, p: R.strip_image_styles(n), lambda: F.array_join(F.array_sort(F.map_keys("attrs")), ","))
 rule("ext_14_promote_noscript_images",
      ['<noscript id="x1"><img id="x2" src="/real{p}.jpg"></noscript><img id="x3" src="data:x">',
       '<img id="x1"><noscript id="x2"><img id="x3" src="/real{p}.jpg"></noscript><p id="x4" src="-">t</p>',
       '<p id="x1" src="-">t</p><noscript id="x2"><a id="x3"><img id="x4" src="/real{p}.jpg"></a></noscript>'],
-     ["x3=/real{p}.jpg", "x1=/real{p}.jpg x4=-", "x1=- x4=/real{p}.jpg"], lambda n, p: R.promote_noscript_images(n), attr("src"))
+     ["x3=/real{p}.jpg", "x1=/real{p}.jpg x4=-", "x1=- x4=/real{p}.jpg"], lambda n, p: R.promote_noscript_images(n), lambda: attr("src"))
 rule("ext_15_recover_placeholder_images",
      ['<img id="x1" src="data:a" data-src="/low.jpg" data-lazy-src="/hi{p}.jpg"><img id="x2" src="/ok.jpg" data-src="/no.jpg">',
       '<img id="x1" data-runner-src="https://e.example.com/{p}.jpg"><img id="x2" data-srcs=\'{"https://j.example.com/{p}.jpg":{"contentType":"image/jpeg"}}\'>',
       '<a href="/zoom/{p}.png"><img id="x1" src="data:a"></a><a href="/page"><img id="x2" src="data:b"></a><img id="x3" src="/spacer.gif" data-original="/o{p}.jpg">'],
      ["x1=/hi{p}.jpg x2=/ok.jpg", "x1=https://e.example.com/{p}.jpg x2=https://j.example.com/{p}.jpg", "x1=/zoom/{p}.png x2=data:b x3=/o{p}.jpg"],
-     lambda n, p: R.recover_placeholder_images(n), attr("src"))
+     lambda n, p: R.recover_placeholder_images(n), lambda: attr("src"))
 rule("ext_16_unwrap_picture",
      ['<picture id="x1"><source id="x2" srcset="/s{p}.jpg 1x, /t.jpg 2x"><img id="x3" src="data:z"></picture>',
       '<picture id="x1"><source id="x2" srcset="/s.jpg"><img id="x3" src="/own{p}.jpg"></picture>'],
-     ["x3=/s{p}.jpg", "x3=/own{p}.jpg"], lambda n, p: R.unwrap_picture(n), attr("src"))
+     ["x3=/s{p}.jpg", "x3=/own{p}.jpg"], lambda n, p: R.unwrap_picture(n), lambda: attr("src"))
 rule("ext_17_strip_caption_toggles",
      ['<b id="x1">Hide caption</b><b id="x2">bold</b><i id="x3">toggle caption</i>'],
      ["x2 x3"], lambda n, p: R.strip_caption_toggles(n))
@@ -160,7 +160,7 @@ rule("ext_19_flatten_single_child_divs",
      ["x3 x4 x5 x6 x7"], lambda n, p: R.flatten_single_child_divs(n))
 rule("ext_20_wrap_standalone_images",
      ['<hr><img id="x1" src="a"><p id="x2"><img id="x3" src="b"></p><div id="x4"><img id="x5" src="c"></div>'],
-     ["x1=true x2=false x3=false x4=false x5=true"], lambda n, p: R.wrap_standalone_images(n), F.col("wrap").cast("string"))
+     ["x1=true x2=false x3=false x4=false x5=true"], lambda n, p: R.wrap_standalone_images(n), lambda: F.col("wrap").cast("string"))
 rule("ext_21_strip_banner_images",
      ['<img id="x1" width="900" height="100" src="a"><img id="x2" width="400" height="100" src="b"><img id="x3" width="160" height="20" src="c">'],
      ["x2 x3"], lambda n, p: R.strip_banner_images(n))
@@ -298,7 +298,7 @@ def inject_hero(spark, sf):
     nodes, page = parse_nodes(pages), J._page(pages)
     hero = E.pick_hero(E.hero_candidates(nodes, page), page, E.og_image(nodes, page))
     # The content keeps only the images that have a declared size.
-    content = dom.render(nodes.filter((TAG != "img") | dom.has_attr("width")).filter(TAG != "meta"))
+    content = dom.render(nodes.filter((node_tag() != "img") | dom.has_attr("width")).filter(node_tag() != "meta"))
     return E.inject_hero(hero, content).select("page_id", "hero_image_url", F.try_element_at("hero_attrs", F.lit("src")).alias("injected"))
 
 
@@ -336,7 +336,7 @@ def dedup_sibling_images(spark, sf):
 SELECT CAST(page_id AS VARCHAR) AS page_id, lvl AS level, cls AS class FROM pages, (VALUES (1, 'inner'), (2, 'outer')) v(lvl, cls)""")
 def ancestors(spark, sf):
     pages = illustrated(spark, sf, ['<div class="far"><div class="outer"><span class="inner"><img src="a"></span></div></div>'])
-    return dom.ancestors(parse_nodes(pages), TAG == "img", 2, {"class": attr("class")}).select("page_id", big("level"), "class")
+    return dom.ancestors(parse_nodes(pages), node_tag() == "img", 2, {"class": attr("class")}).select("page_id", big("level"), "class")
 
 
 @query("join_17_recover_dropped_images", """
@@ -346,7 +346,7 @@ def recover_dropped_images(spark, sf):
         '<p><a><img src="/lost{p}.jpg"></a></p><p>short</p><p>A paragraph that number {p} can be found by.</p><p><img src="/kept.jpg"></p>'])
     nodes = parse_nodes(pages)
     # The content lost the image-only paragraph but kept everything else.
-    content = nodes.filter(~((TAG == "img") & attr("src").startswith("/lost")))
+    content = nodes.filter(~((node_tag() == "img") & attr("src").startswith("/lost")))
     return E.recover_dropped_images(nodes, content).select("page_id", "src")
 
 

@@ -13,9 +13,11 @@ PAYWALL_TERMS = (
 FEED_MARKERS = ("<?xml", "<rss", "<feed", "<opml")
 FEED_SNIFF_CHARS = 1000
 
-_WS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Unicode white space, by the class flag: several times faster than a spelled-out class.
+VISIBLE = r"(?U)\S"
+SPACES = r"(?U)\s+"
+
 
-VISIBLE = f"[^{_WS[1:-1]}]"
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once.
@@ -28,7 +30,7 @@ def let(value: Column, body) -> Column:
 
 def trim_ws(s: Column) -> Column:
     """Strip any Unicode white space and line breaks from both ends."""
-    return F.regexp_replace(s, f"^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(s, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def word_count(s: Column) -> Column:
@@ -260,7 +262,7 @@ def _tidy_description(raw: Column, junk) -> Column:
     out = trim_ws(raw)
     for phrase in junk:
         out = trim_ws(F.replace(out, F.lit(phrase), F.lit("")))
-    out = F.trim(F.regexp_replace(out, f"{_WS}+", " "))
+    out = F.trim(F.regexp_replace(out, SPACES, " "))
     cut = F.substring(out, 1, 120)
     last_space = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
     cut = F.when(last_space > 60, F.substring(cut, F.lit(1), last_space)).otherwise(cut)

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from feedloom import schema as S
 from feedloom.functions import media, urls
 from feedloom.operators import dom
-from feedloom.operators.dom import TAG, attr
-from feedloom.operators.page_rules import IMG, SRC
+from feedloom.operators.dom import node_tag, attr
+from feedloom.operators.page_rules import is_img, img_src
 
 LOCAL = "./assets/"
 
@@ -19,11 +19,11 @@ def _usable(u: Column) -> Column:
 
 def with_image_urls(nodes: DataFrame, page: DataFrame) -> DataFrame:
     """Image rows with their candidate addresses: best srcset entry, src, lazy attributes."""
-    img = nodes.filter(IMG).join(page.select("page_id", "page_url"), "page_id")
+    img = nodes.filter(is_img()).join(page.select("page_id", "page_url"), "page_id")
     base = F.col("page_url")
     img = img.withColumn("_set", media.pick_srcset(attr("srcset")))
     img = img.withColumn("srcset_url", urls.resolve_url(base, F.col("_set"), upgrade=False))
-    img = img.withColumn("src_url", F.when(~SRC.startswith("data:"), urls.resolve_url(base, SRC, upgrade=False)))
+    img = img.withColumn("src_url", F.when(~img_src().startswith("data:"), urls.resolve_url(base, img_src(), upgrade=False)))
     lazy = F.coalesce(*[
         F.when((attr(a) != "") & ~attr(a).startswith("data:"), attr(a))
         for a in ("data-src", "data-lazy-src", "data-original")
@@ -39,10 +39,10 @@ def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> Da
     img = with_image_urls(nodes, page).select(
         "page_id", "pre", F.coalesce("srcset_url", "src_url", "lazy_url").alias("url"), F.lit("image").alias("kind")
     )
-    n = nodes.withColumn("_pic", dom.nearest(TAG == "picture", F.col("pre")))
+    n = nodes.withColumn("_pic", dom.nearest(node_tag() == "picture", F.col("pre")))
     base = F.col("page_url")
     if level == "standard":
-        more = n.filter((TAG == "source") & (F.col("_pic") == F.col("parent")) & (attr("srcset") != "")).join(
+        more = n.filter((node_tag() == "source") & (F.col("_pic") == F.col("parent")) & (attr("srcset") != "")).join(
             page.select("page_id", "page_url"), "page_id"
         ).select(
             "page_id", "pre",
@@ -50,7 +50,7 @@ def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> Da
             F.lit("image").alias("kind"),
         )
     else:
-        more = n.filter((TAG == "link") & (attr("rel") == "stylesheet") & (attr("href") != "")).join(
+        more = n.filter((node_tag() == "link") & (attr("rel") == "stylesheet") & (attr("href") != "")).join(
             page.select("page_id", "page_url"), "page_id"
         ).select(
             "page_id", "pre", urls.resolve_url(base, attr("href"), upgrade=False).alias("url"),
@@ -95,7 +95,7 @@ def asset_fallbacks(nodes: DataFrame, page: DataFrame, fetch: DataFrame) -> Data
 
     ``fetch`` has one row per address: ``url`` and ``ok``.
     """
-    n = nodes.withColumn("_a", dom.nearest(TAG == "a", F.struct(F.col("pre").alias("pre"), attr("href").alias("href"))))
+    n = nodes.withColumn("_a", dom.nearest(node_tag() == "a", F.struct(F.col("pre").alias("pre"), attr("href").alias("href"))))
     img = with_image_urls(n, page).withColumn("first_url", F.coalesce("srcset_url", "src_url", "lazy_url"))
     img = img.withColumn("_link", F.when(
         F.col("_a.pre") == F.col("parent"), urls.resolve_url(F.col("page_url"), F.col("_a.href"), upgrade=False)))
@@ -120,12 +120,12 @@ def rewrite_assets(nodes: DataFrame, page: DataFrame, stored: DataFrame) -> Data
     ``stored`` has page_id, url and filename. An image matches by src, lazy src or any srcset
     entry, in that order.
     """
-    img = nodes.filter(IMG | (TAG == "link")).join(page.select("page_id", "page_url"), "page_id")
+    img = nodes.filter(is_img() | (node_tag() == "link")).join(page.select("page_id", "page_url"), "page_id")
     base = F.col("page_url")
     plain = F.array(
-        F.when(IMG, SRC).otherwise(attr("href")), F.when(IMG, attr("data-src")),
+        F.when(is_img(), img_src()).otherwise(attr("href")), F.when(is_img(), attr("data-src")),
     )
-    entries = F.transform(media.srcset_candidates(F.when(IMG, attr("srcset"))), lambda c: c["url"])
+    entries = F.transform(media.srcset_candidates(F.when(is_img(), attr("srcset"))), lambda c: c["url"])
     refs = F.concat(plain, F.coalesce(entries, F.array().cast("array<string>")))
     tries = img.select("page_id", "pre", base, F.posexplode(refs).alias("_t", "_ref")).filter("_ref <> ''")
     tries = tries.withColumn("url", urls.resolve_url(base, F.col("_ref"), upgrade=False))
@@ -136,15 +136,15 @@ def rewrite_assets(nodes: DataFrame, page: DataFrame, stored: DataFrame) -> Data
     local = F.concat(F.lit(LOCAL), "_file")
     bare = dom.drop_attrs(["srcset", "sizes", "loading", "decoding", "data-src"])
     attrs = (
-        F.when(IMG & F.col("_file").isNotNull(), dom.set_attrs({"src": local}, bare))
-        .when((TAG == "link") & F.col("_file").isNotNull(), dom.set_attrs({"href": local}))
-        .when(IMG, dom.drop_attrs(["srcset", "sizes"]))
+        F.when(is_img() & F.col("_file").isNotNull(), dom.set_attrs({"src": local}, bare))
+        .when((node_tag() == "link") & F.col("_file").isNotNull(), dom.set_attrs({"href": local}))
+        .when(is_img(), dom.drop_attrs(["srcset", "sizes"]))
         .otherwise(F.col("attrs"))
     )
-    d = d.withColumn("_gone", (IMG & F.col("_file").isNull() & ~SRC.startswith("data:"))
-                     | ((TAG == "link") & (attr("rel") == "stylesheet") & F.col("_file").isNull()))
+    d = d.withColumn("_gone", (is_img() & F.col("_file").isNull() & ~img_src().startswith("data:"))
+                     | ((node_tag() == "link") & (attr("rel") == "stylesheet") & F.col("_file").isNull()))
     d = d.withColumn("attrs", attrs).filter(~F.col("_gone"))
-    return dom.prune(d, TAG == "source").select(*nodes.columns)
+    return dom.prune(d, node_tag() == "source").select(*nodes.columns)
 
 
 def asset_totals(asset: DataFrame) -> DataFrame:

@@ -60,7 +60,11 @@ def feed_issue(log: DataFrame) -> DataFrame:
 
 def validate_feeds(log: DataFrame) -> DataFrame:
     """Validation result per fetched feed: validity, issue, newest date, addresses, site."""
-    checked = feed_issue(log)
+    return validated_facts(feed_issue(log))
+
+
+def validated_facts(checked: DataFrame) -> DataFrame:
+    """The facts of feeds that ``feed_issue`` has looked at."""
     good = checked.filter("is_valid")
     facts = read_feed_check_items(good).join(site_url(good).withColumnRenamed("site_url", "found_site_url"), "feed_url")
     return checked.select("feed_url", "is_valid", "issue").join(facts, "feed_url", "left")

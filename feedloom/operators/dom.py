@@ -7,21 +7,50 @@ window expressions on one order, which Spark evaluates with a single sort per pa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from feedloom.functions import text as T
 
-PAGE = Window.partitionBy("page_id").orderBy("pre")
-BEFORE = PAGE.rowsBetween(Window.unboundedPreceding, -1)
-UP_TO = PAGE.rowsBetween(Window.unboundedPreceding, 0)
-AFTER = PAGE.rowsBetween(1, Window.unboundedFollowing)
+
+
+def page_order() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("pre")
+
+
+def before_node() -> WindowSpec:
+    return page_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def up_to_node() -> WindowSpec:
+    return page_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def after_node() -> WindowSpec:
+    return page_order().rowsBetween(1, Window.unboundedFollowing)
+
+
+
 NODE_COLUMNS = ["page_id", "pre", "last", "parent", "path", "tag", "attrs", "text"]
 
-TAG = F.col("tag")
-IS_TEXT = TAG == "#text"
-IS_ELEMENT = TAG != "#text"
-# A search for one visible character stops early; trimming would scan the whole text.
-NON_BLANK = IS_TEXT & F.col("text").rlike(T.VISIBLE)
+# Columns are made on demand: they belong to the session that is active when they are used.
+def node_tag() -> Column:
+    return F.col("tag")
+
+
+def is_text() -> Column:
+    return node_tag() == "#text"
+
+
+def is_element() -> Column:
+    return node_tag() != "#text"
+
+
+def non_blank() -> Column:
+    """Text nodes with something to see. The search stops at the first visible character."""
+    return is_text() & F.col("text").rlike(T.VISIBLE)
+
+
+
 # Interface phrases are short; longer texts need no trimming to be told apart from them.
 PHRASE_CHARS = 64
 
@@ -49,12 +78,12 @@ def drop_attrs(names, attrs: Column | None = None) -> Column:
 
 def inside(cond: Column) -> Column:
     """True for nodes with a proper ancestor that satisfies ``cond``."""
-    return F.coalesce(F.max(F.when(cond, F.col("last"))).over(BEFORE) >= F.col("pre"), F.lit(False))
+    return F.coalesce(F.max(F.when(cond, F.col("last"))).over(before_node()) >= F.col("pre"), F.lit(False))
 
 
 def contains(cond: Column) -> Column:
     """True for nodes with a descendant that satisfies ``cond``."""
-    return F.coalesce(F.min(F.when(cond, F.col("pre"))).over(AFTER) <= F.col("last"), F.lit(False))
+    return F.coalesce(F.min(F.when(cond, F.col("pre"))).over(after_node()) <= F.col("last"), F.lit(False))
 
 
 def nearest(cond: Column, value: Column) -> Column:
@@ -64,7 +93,7 @@ def nearest(cond: Column, value: Column) -> Column:
     """
     latest = F.last(
         F.when(cond, F.struct(F.col("last").alias("last"), value.alias("v"))), ignorenulls=True
-    ).over(BEFORE)
+    ).over(before_node())
     return F.when(latest["last"] >= F.col("pre"), latest["v"])
 
 
@@ -72,13 +101,13 @@ def first_within(cond: Column, value: Column) -> Column:
     """``value`` of the first descendant that satisfies ``cond``."""
     ahead = F.first(
         F.when(cond, F.struct(F.col("pre").alias("pre"), value.alias("v"))), ignorenulls=True
-    ).over(AFTER)
+    ).over(after_node())
     return F.when(ahead["pre"] <= F.col("last"), ahead["v"])
 
 
 def prune(nodes: DataFrame, cond: Column) -> DataFrame:
     """Remove the nodes that satisfy ``cond``, with all they contain."""
-    end = F.max(F.when(F.coalesce(cond, F.lit(False)), F.col("last"))).over(UP_TO)
+    end = F.max(F.when(F.coalesce(cond, F.lit(False)), F.col("last"))).over(up_to_node())
     return (
         nodes.withColumn("_end", end)
         .filter(F.col("_end").isNull() | (F.col("_end") < F.col("pre")))
@@ -135,12 +164,12 @@ def child_stats(nodes: DataFrame, allowed: dict[str, Column] | None = None) -> D
     """
     siblings = Window.partitionBy("page_id", "parent")
     stats = {
-        "n_el": F.count_if(IS_ELEMENT), "n_img": F.count_if(TAG == "img"), "n_txt": F.count_if(NON_BLANK),
-        "own_text": F.max(F.when(NON_BLANK & (F.length("text") <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
-        **{name: F.count_if(IS_ELEMENT & cond) for name, cond in (allowed or {}).items()},
+        "n_el": F.count_if(is_element()), "n_img": F.count_if(node_tag() == "img"), "n_txt": F.count_if(non_blank()),
+        "own_text": F.max(F.when(non_blank() & (F.length("text") <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
+        **{name: F.count_if(is_element() & cond) for name, cond in (allowed or {}).items()},
     }
     d = nodes.withColumn("_up", F.struct("parent", *[c.over(siblings).alias(n) for n, c in stats.items()]))
-    d = d.withColumn("_down", F.lead("_up").over(PAGE))
+    d = d.withColumn("_down", F.lead("_up").over(page_order()))
     mine = F.col("_down.parent") == F.col("pre")
     out = {
         n: F.when(mine, F.col(f"_down.{n}")) if n == "own_text"
@@ -152,7 +181,7 @@ def child_stats(nodes: DataFrame, allowed: dict[str, Column] | None = None) -> D
 
 def with_parent(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
     """JOIN-16 for one level: values of the parent element."""
-    up = nodes.filter(IS_ELEMENT).select(
+    up = nodes.filter(is_element()).select(
         "page_id", F.col("pre").alias("parent"), *[c.alias(n) for n, c in values.items()]
     )
     return nodes.join(up, ["page_id", "parent"], "left")
@@ -163,7 +192,7 @@ def ancestors(nodes: DataFrame, which: Column, k: int, values: dict[str, Column]
     chosen = nodes.filter(which).select(
         "page_id", "pre", F.posexplode(F.slice(F.reverse("path"), 1, k)).alias("level", "_anc")
     )
-    up = nodes.filter(IS_ELEMENT).select(
+    up = nodes.filter(is_element()).select(
         "page_id", F.col("pre").alias("_anc"), *[c.alias(n) for n, c in values.items()]
     )
     return chosen.join(up, ["page_id", "_anc"]).withColumn("level", F.col("level") + 1).drop("_anc")
@@ -195,21 +224,21 @@ def render(nodes: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     has_wrap = "wrap" in nodes.columns
     wrap = F.coalesce(F.col("wrap"), F.lit(False)) if has_wrap else F.lit(False)
-    space = F.when(TAG.isin(*BLOCK_TAGS), F.lit(" ")).otherwise(F.lit(""))
+    space = F.when(node_tag().isin(*BLOCK_TAGS), F.lit(" ")).otherwise(F.lit(""))
     escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")),
                                   F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    opening = F.concat(F.when(wrap, F.lit("<p>")).otherwise(F.lit("")), open_tag(TAG, F.col("attrs")),
+    opening = F.concat(F.when(wrap, F.lit("<p>")).otherwise(F.lit("")), open_tag(node_tag(), F.col("attrs")),
                        F.when(wrap, F.lit("</p>")).otherwise(F.lit("")))
     start = F.struct(
         F.col("pre").alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("rev"),
-        F.when(IS_TEXT, escaped).otherwise(opening).alias("html"),
-        F.when(IS_TEXT, F.col("text")).otherwise(space).alias("plain"),
+        F.when(is_text(), escaped).otherwise(opening).alias("html"),
+        F.when(is_text(), F.col("text")).otherwise(space).alias("plain"),
     )
     end = F.struct(
         F.col("last").alias("at"), F.lit(1).alias("kind"), (-F.col("pre")).alias("rev"),
-        F.concat(F.lit("</"), TAG, F.lit(">")).alias("html"), space.alias("plain"),
+        F.concat(F.lit("</"), node_tag(), F.lit(">")).alias("html"), space.alias("plain"),
     )
-    pieces = F.when(IS_TEXT | TAG.isin(*VOID_TAGS), F.array(start)).otherwise(F.array(start, end))
+    pieces = F.when(is_text() | node_tag().isin(*VOID_TAGS), F.array(start)).otherwise(F.array(start, end))
     keys = keep or ["page_id"]
     rows = nodes.select(*keys, F.explode(pieces).alias("piece"))
     done = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("piece")).alias("_p"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions import text as T
 from feedloom.operators import dom
-from feedloom.operators.dom import IS_ELEMENT, TAG, attr
+from feedloom.operators.dom import is_element, node_tag, attr
 
 MIN_EMBEDDED_CHARS = 200
 
@@ -115,10 +115,10 @@ def apollo_images(pages: DataFrame) -> DataFrame:
 
 def fill_placeholders(nodes: DataFrame, image: DataFrame) -> DataFrame:
     """EXT-24: the n-th empty aspect-ratio box becomes the n-th image."""
-    long_text = dom.IS_TEXT & (F.length(T.trim_ws(F.col("text"))) >= 10)
+    long_text = dom.is_text() & (F.length(T.trim_ws(F.col("text"))) >= 10)
     empty = (
-        IS_ELEMENT & attr("style").rlike(r"padding-top\s*:\s*[\d.]+%")
-        & ~dom.contains(IS_ELEMENT) & ~dom.contains(long_text)
+        is_element() & attr("style").rlike(r"padding-top\s*:\s*[\d.]+%")
+        & ~dom.contains(is_element()) & ~dom.contains(long_text)
     )
     w = Window.partitionBy("page_id").orderBy("pre")
     d = nodes.withColumn("_box", empty)
@@ -127,7 +127,7 @@ def fill_placeholders(nodes: DataFrame, image: DataFrame) -> DataFrame:
     hit = F.col("url").isNotNull() & F.col("_box")
     d = d.withColumn("_hit", hit).withColumn("_in_hit", dom.inside(F.col("_hit"))).filter(~F.col("_in_hit"))
     return (
-        d.withColumn("tag", F.when(F.col("_hit"), "img").otherwise(TAG))
+        d.withColumn("tag", F.when(F.col("_hit"), "img").otherwise(node_tag()))
         .withColumn("attrs", F.when(F.col("_hit"), F.create_map(F.lit("src"), F.col("url"), F.lit("loading"), F.lit("lazy"))).otherwise(F.col("attrs")))
         .select(*nodes.columns)
     )

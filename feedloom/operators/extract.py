@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions import media, text as T, urls
 from feedloom.operators import dom
-from feedloom.operators.dom import IS_ELEMENT, NON_BLANK, TAG, attr, has_attr
-from feedloom.operators.page_rules import HEIGHT, IMG, SRC, WIDTH
+from feedloom.operators.dom import is_element, non_blank, node_tag, attr, has_attr
+from feedloom.operators.page_rules import img_height, is_img, img_src, img_width
 from feedloom.operators.skew import first_per_key
 
 # Words that mark an image as page chrome; full mode knows fewer of them.
@@ -18,7 +18,6 @@ CHROME_WORDS_FULL = (
 CHROME_WORDS = CHROME_WORDS_FULL + ("reactions", "blank", "spacer")
 SCORED_TAGS = ("p", "pre", "td", "blockquote")
 MIN_PARAGRAPH_CHARS = 25
-PAGE = Window.partitionBy("page_id").orderBy("pre")
 
 
 # ---- body choice ---------------------------------------------------------------------
@@ -31,25 +30,25 @@ def main_block(nodes: DataFrame) -> DataFrame:
     gets the full score and its grandparent half, and link-heavy blocks are discounted. Pages
     without a scoring paragraph fall back to their body, then to their first element.
     """
-    n = nodes.withColumn("_in_link", dom.inside(TAG == "a")).withColumn(
-        "_chars", F.when(NON_BLANK, F.length(T.trim_ws(F.col("text")))).otherwise(0)
+    n = nodes.withColumn("_in_link", dom.inside(node_tag() == "a")).withColumn(
+        "_chars", F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)
     )
     n = dom.fold_up(
         n,
         {
             "_c": F.col("_chars"),
             "_l": F.when(F.col("_in_link"), F.col("_chars")).otherwise(0),
-            "_k": F.when(NON_BLANK, F.regexp_count("text", F.lit("[,，、]"))).otherwise(0),
+            "_k": F.when(non_blank(), F.regexp_count("text", F.lit("[,，、]"))).otherwise(0),
         },
         {"chars": F.sum("_c"), "link_chars": F.sum("_l"), "commas": F.sum("_k")},
-        where=NON_BLANK,
-    ).filter(IS_ELEMENT)
+        where=non_blank(),
+    ).filter(is_element())
     points = F.when(
-        TAG.isin(*SCORED_TAGS) & (F.col("chars") >= MIN_PARAGRAPH_CHARS),
+        node_tag().isin(*SCORED_TAGS) & (F.col("chars") >= MIN_PARAGRAPH_CHARS),
         1 + F.col("commas") + F.least(F.floor(F.col("chars") / 100), F.lit(3)),
     )
     n = n.withColumn("_points", points).withColumn(
-        "_bonus", F.when(TAG.isin("article", "section", "div"), 5).when(TAG.isin("pre", "td", "blockquote"), 3).otherwise(0)
+        "_bonus", F.when(node_tag().isin("article", "section", "div"), 5).when(node_tag().isin("pre", "td", "blockquote"), 3).otherwise(0)
     )
     n = dom.fold_up(
         n, {"_pt": F.col("_points")},
@@ -63,7 +62,7 @@ def main_block(nodes: DataFrame) -> DataFrame:
     score = (raw + F.col("_bonus")) * (1 - F.col("link_chars") / F.greatest("chars", F.lit(1)))
     # Candidates first, then the body, then the root.
     rank = F.struct(
-        F.when(raw > 0, 2).when(TAG == "body", 1).otherwise(0).alias("kind"),
+        F.when(raw > 0, 2).when(node_tag() == "body", 1).otherwise(0).alias("kind"),
         F.when(raw > 0, F.round(score, 6)).otherwise(0.0).alias("score"), (-F.col("pre")).alias("order"),
     )
     best = F.max_by(F.struct("pre", "last", F.col("tag").alias("root_tag")), rank)
@@ -83,9 +82,9 @@ def content_nodes(nodes: DataFrame, root: DataFrame) -> DataFrame:
 def fallback_title(nodes: DataFrame) -> DataFrame:
     """FN-27: the page title before `` | ``, else the first heading."""
     titled = nodes.withColumn(
-        "_t", dom.nearest(TAG == "title", F.col("pre"))
-    ).withColumn("_h", dom.nearest(TAG == "h1", F.col("pre")))
-    rows = titled.filter(dom.IS_TEXT & (F.col("_t").isNotNull() | F.col("_h").isNotNull()))
+        "_t", dom.nearest(node_tag() == "title", F.col("pre"))
+    ).withColumn("_h", dom.nearest(node_tag() == "h1", F.col("pre")))
+    rows = titled.filter(dom.is_text() & (F.col("_t").isNotNull() | F.col("_h").isNotNull()))
     # Text pieces of the first title and of the first heading, in order.
     def gather(kind: str) -> Column:
         pieces = F.array_sort(F.collect_list(F.when(F.col(kind).isNotNull(), F.struct(F.col(kind).alias("el"), F.col("pre").alias("pre"), F.col("text").alias("text")))))
@@ -105,8 +104,8 @@ def fallback_title(nodes: DataFrame) -> DataFrame:
 
 def og_image(nodes: DataFrame, page: DataFrame) -> DataFrame:
     """EXT-18: the declared page image, the social one as a second choice."""
-    kind = F.when((TAG == "meta") & (attr("property") == "og:image"), 0).when(
-        (TAG == "meta") & (attr("name") == "twitter:image"), 1
+    kind = F.when((node_tag() == "meta") & (attr("property") == "og:image"), 0).when(
+        (node_tag() == "meta") & (attr("name") == "twitter:image"), 1
     )
     meta = nodes.withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
     # Only the first tag of each kind counts, even when it is empty.
@@ -128,16 +127,16 @@ def hero_candidates(nodes: DataFrame, page: DataFrame, mode: str = "standard") -
     words = CHROME_WORDS if mode == "standard" else CHROME_WORDS_FULL
     word_array = F.array(*[F.lit(w) for w in words])
     n = (
-        nodes.withColumn("_article", dom.inside(TAG == "article"))
+        nodes.withColumn("_article", dom.inside(node_tag() == "article"))
         .withColumn("_body", dom.inside(attr("itemprop") == "articleBody"))
-        .withColumn("_main", dom.inside(TAG == "main"))
+        .withColumn("_main", dom.inside(node_tag() == "main"))
         .withColumn("_role", dom.inside(attr("role") == "main"))
-        .withColumn("_link", dom.nearest((TAG == "a") & (attr("href") != ""), F.struct(F.col("pre").alias("pre"), attr("href").alias("href"))))
+        .withColumn("_link", dom.nearest((node_tag() == "a") & (attr("href") != ""), F.struct(F.col("pre").alias("pre"), attr("href").alias("href"))))
     )
-    img = n.filter(IMG & has_attr("src")).join(page, "page_id")
-    img = img.withColumn("src", SRC).withColumn("_low", F.lower("src"))
+    img = n.filter(is_img() & has_attr("src")).join(page, "page_id")
+    img = img.withColumn("src", img_src()).withColumn("_low", F.lower("src"))
     img = img.withColumn("_alt", F.lower(attr("alt"))).withColumn("_id", F.lower(attr("id")))
-    w, h = WIDTH, HEIGHT
+    w, h = img_width(), img_height()
     no = lambda c: F.coalesce(c, F.lit(False))
     bad_size = (
         no(w < 120) | no(h < 120) | no((w <= 250) & (h <= 250)) | no((w < h) & (w <= 200))
@@ -169,7 +168,7 @@ def hero_candidates(nodes: DataFrame, page: DataFrame, mode: str = "standard") -
         tokens = F.flatten(F.transform(F.map_values("attrs"), lambda v: F.split(F.lower(v), " ")))
         marked = (attr("aria-hidden") == "true") | F.exists(tokens, lambda t: t.rlike(pattern))
         above = (
-            dom.ancestors(nodes, IMG & has_attr("src"), 2, {"_marked": marked})
+            dom.ancestors(nodes, is_img() & has_attr("src"), 2, {"_marked": marked})
             .groupBy("page_id", "pre").agg(F.bool_or("_marked").alias("_near_chrome"))
         )
         img = img.join(above, ["page_id", "pre"], "left").withColumn(
@@ -275,22 +274,22 @@ def sibling_duplicates(images: DataFrame) -> DataFrame:
 
 
 def image_rows(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(IMG & has_attr("src")).select(
-        "page_id", "pre", "parent", SRC.alias("src"), WIDTH.alias("width"), HEIGHT.alias("height")
+    return nodes.filter(is_img() & has_attr("src")).select(
+        "page_id", "pre", "parent", img_src().alias("src"), img_width().alias("width"), img_height().alias("height")
     )
 
 
 def dedup_content_images(nodes: DataFrame) -> DataFrame:
     """Both deduplications on a node table, rank by rank, without leaving the page's rows."""
-    usable = IMG & (SRC != "") & ~SRC.startswith("data:")
-    d = nodes.withColumn("_src", F.when(usable, SRC))
+    usable = is_img() & (img_src() != "") & ~img_src().startswith("data:")
+    d = nodes.withColumn("_src", F.when(usable, img_src()))
     d = d.withColumn("_k1", media.base_path_key(F.col("_src"))).withColumn("_k2", media.host_file_key(F.col("_src")))
     keep = F.lit(True)
     for k in ("_src", "_k1", "_k2"):
         d = d.withColumn(f"{k}_r", F.row_number().over(Window.partitionBy("page_id", k).orderBy("pre")))
         keep = keep & (F.col(k).isNull() | (F.col(f"{k}_r") == 1))
     d = d.filter(keep).withColumn("_k3", media.image_dedup_key(F.col("_src")))
-    widest = Window.partitionBy("page_id", "parent", "_k3").orderBy(F.coalesce(WIDTH, F.lit(0)).desc(), "pre")
+    widest = Window.partitionBy("page_id", "parent", "_k3").orderBy(F.coalesce(img_width(), F.lit(0)).desc(), "pre")
     d = d.withColumn("_k3_r", F.row_number().over(widest))
     return d.filter(F.col("_k3").isNull() | (F.col("_k3_r") == 1)).select(*nodes.columns)
 
@@ -300,8 +299,8 @@ def dedup_content_images(nodes: DataFrame) -> DataFrame:
 
 def block_texts(nodes: DataFrame) -> DataFrame:
     """Normalized text of every paragraph and heading: (page_id, pre, parent, text)."""
-    block = TAG.isin("p", "h1", "h2", "h3", "h4", "h5", "h6")
-    pieces = nodes.filter(NON_BLANK).select("page_id", "pre", F.col("text"), F.explode("path").alias("_anc"))
+    block = node_tag().isin("p", "h1", "h2", "h3", "h4", "h5", "h6")
+    pieces = nodes.filter(non_blank()).select("page_id", "pre", F.col("text"), F.explode("path").alias("_anc"))
     blocks = nodes.filter(block).select("page_id", F.col("pre").alias("_anc"), F.col("parent"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda p: p["text"]), "")
     return (
@@ -319,16 +318,16 @@ def recover_dropped_images(nodes: DataFrame, content: DataFrame, min_chars: int
     Returns (page_id, pre, src, before_pre).
     """
     texts = block_texts(nodes).filter(F.length("text") >= min_chars)
-    inline = TAG.isin("a", "span", "em", "strong", "b", "i")
+    inline = node_tag().isin("a", "span", "em", "strong", "b", "i")
     # The block an image sits in: its paragraph, or the last inline wrapper below a block.
-    up = dom.ancestors(nodes, IMG & has_attr("src") & (SRC != "") & ~SRC.startswith("data:"), 32,
-                       {"_ok": inline, "_p": TAG == "p", "_pre": F.col("pre"), "_parent": F.col("parent")})
+    up = dom.ancestors(nodes, is_img() & has_attr("src") & (img_src() != "") & ~img_src().startswith("data:"), 32,
+                       {"_ok": inline, "_p": node_tag() == "p", "_pre": F.col("pre"), "_parent": F.col("parent")})
     walk = Window.partitionBy("page_id", "pre").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
     chain = up.withColumn("_open", F.coalesce(F.min(F.col("_ok").cast("int")).over(walk), F.lit(1)) == 1)
     anchor = chain.filter(F.col("_open") & (F.col("_ok") | F.col("_p"))).groupBy("page_id", "pre").agg(
         F.max_by(F.struct("_pre", "_parent"), "level").alias("_a"))
-    src = nodes.filter(IMG & has_attr("src") & (SRC != "") & ~SRC.startswith("data:")).select(
-        "page_id", "pre", "parent", SRC.alias("src"))
+    src = nodes.filter(is_img() & has_attr("src") & (img_src() != "") & ~img_src().startswith("data:")).select(
+        "page_id", "pre", "parent", img_src().alias("src"))
     img = src.join(anchor, ["page_id", "pre"], "left").select(
         "page_id", "pre", "src", F.coalesce("_a._parent", "parent").alias("parent"),
         F.coalesce("_a._pre", "pre").alias("at"))
@@ -341,7 +340,7 @@ def recover_dropped_images(nodes: DataFrame, content: DataFrame, min_chars: int
         .filter(F.col("src").isNotNull() & F.col("_next").isNotNull())
         .select("page_id", "pre", "src", F.col("_next").alias("text"))
     )
-    have = content.filter(IMG).select("page_id", SRC.alias("src")).distinct()
+    have = content.filter(is_img()).select("page_id", img_src().alias("src")).distinct()
     spots = block_texts(content).groupBy("page_id", "text").agg(F.min("pre").alias("before_pre"))
     return (
         wanted.join(have, ["page_id", "src"], "left_anti").join(spots, ["page_id", "text"])
@@ -354,13 +353,13 @@ def recover_dropped_images(nodes: DataFrame, content: DataFrame, min_chars: int
 
 def image_count(nodes: DataFrame) -> DataFrame:
     """AGG-11."""
-    return nodes.groupBy("page_id").agg(F.count_if(IMG).alias("image_count"))
+    return nodes.groupBy("page_id").agg(F.count_if(is_img()).alias("image_count"))
 
 
 def content_images(nodes: DataFrame) -> DataFrame:
     """EXT-38: image addresses in document order, the lazy one where there is no other."""
-    src = F.coalesce(F.nullif(SRC, F.lit("")), F.nullif(attr("data-src"), F.lit("")))
-    rows = nodes.filter(IMG).select("page_id", "pre", src.alias("src")).filter(F.col("src").isNotNull())
+    src = F.coalesce(F.nullif(img_src(), F.lit("")), F.nullif(attr("data-src"), F.lit("")))
+    rows = nodes.filter(is_img()).select("page_id", "pre", src.alias("src")).filter(F.col("src").isNotNull())
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pre", "src"))), lambda x: x["src"])
     return rows.groupBy("page_id").agg(ordered.alias("image_urls"))
 
@@ -369,7 +368,7 @@ def discover_feed_links(nodes: DataFrame, page: DataFrame) -> DataFrame:
     """EXT-35: the first alternate link that declares a feed type."""
     kind = F.lower(attr("type"))
     link = nodes.filter(
-        (TAG == "link") & (attr("rel") == "alternate") & (kind.contains("rss") | kind.contains("atom"))
+        (node_tag() == "link") & (attr("rel") == "alternate") & (kind.contains("rss") | kind.contains("atom"))
         & (attr("href") != "")
     )
     first = link.groupBy("page_id").agg(F.min_by(attr("href"), "pre").alias("_href"))
@@ -383,7 +382,7 @@ def pick_favicon(nodes: DataFrame, page: DataFrame) -> DataFrame:
     rel = attr("rel")
     touch = rel.isin("apple-touch-icon", "apple-touch-icon-precomposed")
     sizes = F.lower(attr("sizes"))
-    links = nodes.filter((TAG == "link") & rel.rlike("(?i)icon") & (attr("href") != "")).join(page, "page_id")
+    links = nodes.filter((node_tag() == "link") & rel.rlike("(?i)icon") & (attr("href") != "")).join(page, "page_id")
     links = links.withColumn("_url", urls.resolve_url(F.col("page_url"), attr("href"), upgrade=False))
     usable = links.filter(media.extension(F.col("_url")) != "svg")
     size = F.coalesce(media.to_int(F.substring_index(sizes, "x", 1)), F.lit(0))

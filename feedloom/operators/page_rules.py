@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.functions import media, text as T, urls
 from feedloom.operators import dom
-from feedloom.operators.dom import IS_ELEMENT, NON_BLANK, TAG, attr, has_attr
+from feedloom.operators.dom import is_element, non_blank, node_tag, attr, has_attr
 
 # Elements, phrases and attribute names the rules act on.
 ALWAYS_REMOVED = (
@@ -34,10 +34,24 @@ PLACEHOLDER_MARKS = ("lazyload", "fallback", "spacer", "blank.gif", "grey-placeh
 BLOCK_CONTAINERS = ("div", "section", "article", "main")
 AVATAR_STYLE = "width:100px; height:100px; border-radius:50%; display:inline; margin:0 8px 0 0"
 
-IMG = TAG == "img"
-SRC = attr("src")
-WIDTH, HEIGHT = media.to_int(attr("width")), media.to_int(attr("height"))
-ROLE = attr("role")
+def is_img() -> Column:
+    return node_tag() == "img"
+
+
+def img_src() -> Column:
+    return attr("src")
+
+
+def img_width() -> Column:
+    return media.to_int(attr("width"))
+
+
+def img_height() -> Column:
+    return media.to_int(attr("height"))
+
+
+def node_role() -> Column:
+    return attr("role")
 
 
 def _class_has(word: str) -> Column:
@@ -45,7 +59,7 @@ def _class_has(word: str) -> Column:
 
 
 def is_csp_meta() -> Column:
-    return (TAG == "meta") & (F.lower(attr("http-equiv")) == "content-security-policy")
+    return (node_tag() == "meta") & (F.lower(attr("http-equiv")) == "content-security-policy")
 
 
 def removed_by_tag(mode: str) -> Column:
@@ -54,18 +68,18 @@ def removed_by_tag(mode: str) -> Column:
         "standard": ALWAYS_REMOVED + STANDARD_ONLY_REMOVED,
         "full": ALWAYS_REMOVED, "feed": FEED_REMOVED, "signal": SIGNAL_REMOVED,
     }[mode]
-    hit = TAG.isin(*tags) | is_csp_meta()
+    hit = node_tag().isin(*tags) | is_csp_meta()
     if mode == "signal":
         return hit
-    hit = hit | (ROLE == "tooltip") | has_attr("data-nosnippet")
+    hit = hit | (node_role() == "tooltip") | has_attr("data-nosnippet")
     hit = hit | attr("class").contains("newsletter") | attr("id").contains("newsletter")
     if mode == "feed":
         return hit
     return (
-        hit | (ROLE == "navigation") | _class_has("comments")
+        hit | (node_role() == "navigation") | _class_has("comments")
         | attr("id").isin("comments", "disqus_thread")
-        | (IMG & (_class_has("hide-when-no-script") if mode == "standard" else F.lit(False)))
-        | (IMG & SRC.contains("placeholder") if mode == "standard" else F.lit(False))
+        | (is_img() & (_class_has("hide-when-no-script") if mode == "standard" else F.lit(False)))
+        | (is_img() & img_src().contains("placeholder") if mode == "standard" else F.lit(False))
     )
 
 
@@ -81,39 +95,39 @@ def remove_tags(nodes: DataFrame, mode: str = "standard") -> DataFrame:
 
 def unwrap_landmarks(nodes: DataFrame, keep_asides: bool = False) -> DataFrame:
     """EXT-03 for header, footer and aside."""
-    marked = nodes.withColumn("_art", dom.inside(TAG == "article"))
-    edge = TAG.isin("header", "footer")
+    marked = nodes.withColumn("_art", dom.inside(node_tag() == "article"))
+    edge = node_tag().isin("header", "footer")
     out = dom.prune(marked, edge & ~F.col("_art"))
     if keep_asides:
         return dom.unwrap(out, edge).drop("_art")
     out = out.withColumn(
-        "_gallery", (TAG == "aside") & dom.contains(TAG == "figcaption") & dom.contains(IMG)
+        "_gallery", (node_tag() == "aside") & dom.contains(node_tag() == "figcaption") & dom.contains(is_img())
     )
     # An aside that is inside a removed aside goes with it, gallery or not.
     out = dom.unwrap(out, edge | F.col("_gallery"))
-    return dom.prune(out, TAG == "aside").drop("_art", "_gallery")
+    return dom.prune(out, node_tag() == "aside").drop("_art", "_gallery")
 
 
 def unwrap_custom(nodes: DataFrame) -> DataFrame:
     """EXT-03: custom elements and figures give way to their content."""
-    return dom.unwrap(nodes, IS_ELEMENT & (TAG.contains("-") | (TAG == "figure")))
+    return dom.unwrap(nodes, is_element() & (node_tag().contains("-") | (node_tag() == "figure")))
 
 
 def strip_non_content_images(nodes: DataFrame, max_dim: int = 30) -> DataFrame:
     """EXT-04."""
-    return dom.prune(nodes, IMG & media.is_non_content_image(SRC, WIDTH, HEIGHT, max_dim))
+    return dom.prune(nodes, is_img() & media.is_non_content_image(img_src(), img_width(), img_height(), max_dim))
 
 
 def strip_banner_images(nodes: DataFrame) -> DataFrame:
     """EXT-21: wide strips such as leaderboards and site logos."""
-    return dom.prune(nodes, IMG & (WIDTH > 200) & (HEIGHT > 0) & (WIDTH / HEIGHT > 4.0))
+    return dom.prune(nodes, is_img() & (img_width() > 200) & (img_height() > 0) & (img_width() / img_height() > 4.0))
 
 
 def constrain_avatars(nodes: DataFrame) -> DataFrame:
     """EXT-05: square author pictures become small inline images."""
-    w, h = F.coalesce(WIDTH, F.lit(0)), F.coalesce(HEIGHT, F.lit(0))
+    w, h = F.coalesce(img_width(), F.lit(0)), F.coalesce(img_height(), F.lit(0))
     square = (F.greatest(w, h) > 0) & (F.least(w, h) / F.greatest(w, h) >= 0.9)
-    hit = IMG & F.lower(attr("alt")).contains("avatar") & square
+    hit = is_img() & F.lower(attr("alt")).contains("avatar") & square
     small = dom.set_attrs(
         {"width": F.lit("100"), "height": F.lit("100"), "style": F.lit(AVATAR_STYLE)}
     )
@@ -124,24 +138,24 @@ def strip_byline_images(nodes: DataFrame) -> DataFrame:
     """EXT-06: author avatars and small square headshots."""
     alt = T.trim_ws(F.lower(attr("alt")))
     avatar = alt.contains("'s avatar") | alt.contains("’s avatar") | F.arrays_overlap(
-        media.text_segments(SRC), F.array(F.lit("avatar"), F.lit("avatars"))
+        media.text_segments(img_src()), F.array(F.lit("avatar"), F.lit("avatars"))
     )
-    small = WIDTH.between(1, 200) & HEIGHT.between(1, 200)
-    square = F.least(WIDTH, HEIGHT) / F.greatest(WIDTH, HEIGHT) >= 0.8
+    small = img_width().between(1, 200) & img_height().between(1, 200)
+    square = F.least(img_width(), img_height()) / F.greatest(img_width(), img_height()) >= 0.8
     headshot = (alt.contains("headshot") | alt.startswith("photo of")) & small & square
-    return dom.prune(nodes, IMG & (avatar | F.coalesce(headshot, F.lit(False))))
+    return dom.prune(nodes, is_img() & (avatar | F.coalesce(headshot, F.lit(False))))
 
 
 def strip_image_styles(nodes: DataFrame) -> DataFrame:
     """EXT-13: attributes that only made sense in the page's own layout."""
     return nodes.withColumn(
-        "attrs", F.when(IMG, dom.drop_attrs(IMAGE_LAYOUT_ATTRS)).otherwise(F.col("attrs"))
+        "attrs", F.when(is_img(), dom.drop_attrs(IMAGE_LAYOUT_ATTRS)).otherwise(F.col("attrs"))
     )
 
 
 def drop_aria_hidden_content(nodes: DataFrame, full: bool = False) -> DataFrame:
     """EXT-09: text hidden for a script to reveal becomes visible; full mode drops the rest."""
-    shown = F.when(TAG.isin(*ARIA_CONTENT_TAGS), dom.drop_attrs(["aria-hidden"])).otherwise(F.col("attrs"))
+    shown = F.when(node_tag().isin(*ARIA_CONTENT_TAGS), dom.drop_attrs(["aria-hidden"])).otherwise(F.col("attrs"))
     out = nodes.withColumn("attrs", shown)
     return dom.prune(out, attr("aria-hidden") == "true") if full else out
 
@@ -162,9 +176,9 @@ def strip_phrases(nodes: DataFrame, interstitials: bool = True, captions: bool =
     single = F.col("n_txt") == 1
     hit = F.lit(False)
     if interstitials:
-        hit = hit | (TAG.isin("span", "p", "div") & single & said.isin(*INTERSTITIALS))
+        hit = hit | (node_tag().isin("span", "p", "div") & single & said.isin(*INTERSTITIALS))
     if captions:
-        hit = hit | ((TAG == "b") & single & said.isin(*CAPTION_TOGGLES))
+        hit = hit | ((node_tag() == "b") & single & said.isin(*CAPTION_TOGGLES))
     return dom.prune(s, hit).drop("n_el", "n_img", "n_txt", "own_text")
 
 
@@ -182,9 +196,9 @@ def strip_badge_clusters(nodes: DataFrame) -> DataFrame:
     """EXT-08: paragraphs made of two or more images, plain or each alone in a link."""
     stats = ["n_el", "n_img", "n_txt", "own_text"]
     first = dom.child_stats(nodes)
-    badge = IMG | ((TAG == "a") & (F.col("n_el") == 1) & (F.col("n_img") == 1) & (F.col("n_txt") == 0))
+    badge = is_img() | ((node_tag() == "a") & (F.col("n_el") == 1) & (F.col("n_img") == 1) & (F.col("n_txt") == 0))
     second = dom.child_stats(first.withColumn("_badge_el", badge).drop(*stats), {"n_badge": F.col("_badge_el")})
-    hit = (TAG == "p") & (F.col("n_txt") == 0) & (F.col("n_badge") >= 2) & (F.col("n_badge") == F.col("n_el"))
+    hit = (node_tag() == "p") & (F.col("n_txt") == 0) & (F.col("n_badge") >= 2) & (F.col("n_badge") == F.col("n_el"))
     return dom.prune(second, hit).drop(*stats, "n_badge", "_badge_el")
 
 
@@ -196,16 +210,16 @@ def strip_thumbnail_cards(nodes: DataFrame, page_path: Column) -> DataFrame:
     """
     href = F.lower(attr("href"))
     elsewhere = (href != "") & (href != "#") & (~href.contains(page_path) | (F.length(page_path) < 2))
-    small = IMG & ((WIDTH <= 240) | (HEIGHT <= 160))
-    d = nodes.withColumn("_small_link", (TAG == "a") & elsewhere & dom.contains(F.coalesce(small, F.lit(False))))
-    d = d.withColumn("_head_link", (TAG == "a") & has_attr("href") & dom.inside(TAG.isin("h2", "h3", "h4", "h5", "h6")))
+    small = is_img() & ((img_width() <= 240) | (img_height() <= 160))
+    d = nodes.withColumn("_small_link", (node_tag() == "a") & elsewhere & dom.contains(F.coalesce(small, F.lit(False))))
+    d = d.withColumn("_head_link", (node_tag() == "a") & has_attr("href") & dom.inside(node_tag().isin("h2", "h3", "h4", "h5", "h6")))
     d = dom.fold_up(
-        d, {"_len": F.when(NON_BLANK, F.length(T.trim_ws(F.col("text")))).otherwise(0)},
-        {"_chars": F.sum("_len")}, where=NON_BLANK,
+        d, {"_len": F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)},
+        {"_chars": F.sum("_len")}, where=non_blank(),
     )
     d = d.withColumn(
         "_card",
-        TAG.isin("div", "li", "article") & (F.col("_chars") < 500)
+        node_tag().isin("div", "li", "article") & (F.col("_chars") < 500)
         & dom.contains(F.col("_small_link")) & dom.contains(F.col("_head_link")),
     )
     d = d.withColumn("_card", F.col("_card") & ~dom.contains(F.col("_card")))
@@ -217,7 +231,7 @@ def strip_promo_links(nodes: DataFrame, page_url: Column) -> DataFrame:
     href = attr("href")
     d = dom.child_stats(nodes.withColumn("_page", page_url))
     only_images = (
-        (TAG == "a") & (href != "") & (href != "#") & (F.col("n_txt") == 0)
+        (node_tag() == "a") & (href != "") & (href != "#") & (F.col("n_txt") == 0)
         & (F.col("n_el") > 0) & (F.col("n_el") == F.col("n_img"))
     )
     d = d.withColumn("_link", F.when(only_images, urls.resolve_url(F.col("_page"), href, upgrade=False)))
@@ -237,10 +251,10 @@ def flatten_image_divs(nodes: DataFrame) -> DataFrame:
 
     A div keeps qualifying when the divs below it are unwrapped, so one pass is the fixpoint.
     """
-    d = dom.child_stats(nodes, {"n_ok": TAG.isin("div", "img", "figcaption")})
-    d = d.withColumn("_has_img", dom.contains(IMG))
+    d = dom.child_stats(nodes, {"n_ok": node_tag().isin("div", "img", "figcaption")})
+    d = d.withColumn("_has_img", dom.contains(is_img()))
     hit = (
-        (TAG == "div") & (F.col("n_txt") == 0) & (F.col("n_el") > 0)
+        (node_tag() == "div") & (F.col("n_txt") == 0) & (F.col("n_el") > 0)
         & (F.col("n_ok") == F.col("n_el")) & F.col("_has_img")
     )
     return dom.unwrap(d, hit).drop("n_el", "n_img", "n_txt", "own_text", "n_ok", "_has_img")
@@ -248,10 +262,10 @@ def flatten_image_divs(nodes: DataFrame) -> DataFrame:
 
 def flatten_single_child_divs(nodes: DataFrame) -> DataFrame:
     """EXT-19: layout divs around exactly one block or image, outside header and footer."""
-    d = dom.child_stats(nodes, {"n_ok": TAG.isin("div", "img", "picture", "figure")})
-    d = d.withColumn("_edge", dom.inside(TAG.isin("header", "footer")))
+    d = dom.child_stats(nodes, {"n_ok": node_tag().isin("div", "img", "picture", "figure")})
+    d = d.withColumn("_edge", dom.inside(node_tag().isin("header", "footer")))
     hit = (
-        (TAG == "div") & (F.col("n_txt") == 0) & (F.col("n_el") == 1) & (F.col("n_ok") == 1)
+        (node_tag() == "div") & (F.col("n_txt") == 0) & (F.col("n_el") == 1) & (F.col("n_ok") == 1)
         & ~F.col("_edge")
     )
     return dom.unwrap(d, hit).drop("n_el", "n_img", "n_txt", "own_text", "n_ok", "_edge")
@@ -263,15 +277,15 @@ def strip_empty(nodes: DataFrame) -> DataFrame:
     An emptied child empties its parent in turn; looking for something to keep anywhere
     below gives the same result without passes.
     """
-    keeper = NON_BLANK | (IS_ELEMENT & ~TAG.isin(*EMPTY_TAGS))
+    keeper = non_blank() | (is_element() & ~node_tag().isin(*EMPTY_TAGS))
     d = nodes.withColumn("_full", dom.contains(keeper))
-    return dom.prune(d, TAG.isin(*EMPTY_TAGS) & ~F.col("_full")).drop("_full")
+    return dom.prune(d, node_tag().isin(*EMPTY_TAGS) & ~F.col("_full")).drop("_full")
 
 
 def wrap_standalone_images(nodes: DataFrame) -> DataFrame:
     """EXT-20: images directly in a block container become blocks of their own."""
-    d = dom.with_parent(nodes, {"_ptag": TAG})
-    wrap = IMG & has_attr("src") & F.col("_ptag").isin(*BLOCK_CONTAINERS)
+    d = dom.with_parent(nodes, {"_ptag": node_tag()})
+    wrap = is_img() & has_attr("src") & F.col("_ptag").isin(*BLOCK_CONTAINERS)
     return d.withColumn("wrap", F.coalesce(wrap, F.lit(False))).drop("_ptag")
 
 
@@ -281,15 +295,15 @@ def wrap_standalone_images(nodes: DataFrame) -> DataFrame:
 def promote_noscript_images(nodes: DataFrame) -> DataFrame:
     """EXT-14: the real address inside ``noscript`` moves to the placeholder next to it, or
     its image takes the place of the ``noscript``."""
-    noscript = TAG == "noscript"
-    usable = IMG & (SRC != "") & ~SRC.startswith("data:")
+    noscript = node_tag() == "noscript"
+    usable = is_img() & (img_src() != "") & ~img_src().startswith("data:")
     d = nodes.withColumn(
         "_real",
-        F.when(noscript, dom.first_within(usable, F.struct(F.col("pre").alias("pre"), SRC.alias("src")))),
+        F.when(noscript, dom.first_within(usable, F.struct(F.col("pre").alias("pre"), img_src().alias("src")))),
     )
     level = Window.partitionBy("page_id", "parent", "_text").orderBy("pre")
-    blank = IMG & ((SRC == "") | SRC.startswith("data:"))
-    d = d.withColumn("_text", dom.IS_TEXT).withColumn("_blank", blank)
+    blank = is_img() & ((img_src() == "") | img_src().startswith("data:"))
+    d = d.withColumn("_text", dom.is_text()).withColumn("_blank", blank)
     d = d.withColumn("_next_blank", F.coalesce(F.lead("_blank").over(level), F.lit(False)))
     d = d.withColumn("_prev_blank", F.coalesce(F.lag("_blank").over(level), F.lit(False)))
     d = d.withColumn("_promoted", F.col("_real").isNotNull() & (F.col("_next_blank") | F.col("_prev_blank")))
@@ -326,7 +340,7 @@ def recover_placeholder_images(nodes: DataFrame) -> DataFrame:
     unusable = lambda c: (c == "") | c.startswith("data:")
     src = F.col("_src")
     # One projection per fallback: each reads the result of the one before it.
-    d = nodes.withColumn("_src", F.when(IMG, SRC))
+    d = nodes.withColumn("_src", F.when(is_img(), img_src()))
     d = d.withColumn("_ph", F.coalesce((src == "") | src.startswith("data:") | src.rlike(marks), F.lit(False)))
     lazy = F.coalesce(*[F.when(~unusable(attr(a)), attr(a)) for a in LAZY_SRC_ATTRS])
     d = d.withColumn("_src", F.when(F.col("_ph"), F.coalesce(lazy, src)).otherwise(src))
@@ -344,7 +358,7 @@ def recover_placeholder_images(nodes: DataFrame) -> DataFrame:
         own = F.nullif(attr(name), F.lit(""))
         d = d.withColumn(f"_{name}", F.when(F.col("_ph"), F.coalesce(own, _twin(name))).otherwise(own))
     # The parent link, when it is a link at all, is the latest one opened before the image.
-    link = dom.nearest(TAG == "a", F.struct(F.col("pre").alias("pre"), attr("href").alias("href")))
+    link = dom.nearest(node_tag() == "a", F.struct(F.col("pre").alias("pre"), attr("href").alias("href")))
     d = d.withColumn("_link", link)
     to_image = (F.col("_link.pre") == F.col("parent")) & media.extension(F.col("_link.href")).isin(
         *media.LAZY_IMAGE_EXTENSIONS
@@ -359,20 +373,20 @@ def recover_placeholder_images(nodes: DataFrame) -> DataFrame:
         "sizes": F.coalesce("_sizes", F.lit("")),
     })
     shown = F.map_filter(given, lambda k, v: (v != "") | ~k.isin("src", "srcset", "sizes"))
-    return d.withColumn("attrs", F.when(IMG, shown).otherwise(F.col("attrs"))).select(*nodes.columns)
+    return d.withColumn("attrs", F.when(is_img(), shown).otherwise(F.col("attrs"))).select(*nodes.columns)
 
 
 def unwrap_picture(nodes: DataFrame) -> DataFrame:
     """EXT-16: ``picture`` gives way to its image; a source fills a missing address."""
     declared = F.when(attr("srcset") != "", attr("srcset")).otherwise(attr("data-srcset"))
     url = F.substring_index(F.trim(F.substring_index(declared, ",", 1)), " ", 1)
-    picture, source = TAG == "picture", TAG == "source"
+    picture, source = node_tag() == "picture", node_tag() == "source"
     d = nodes.withColumn("_url", F.when(source, F.nullif(url, F.lit(""))))
     offered = F.struct(F.col("pre").alias("pre"), F.col("_url").alias("url"))
     d = d.withColumn("_offer", F.when(picture, dom.first_within(F.col("_url").isNotNull(), offered)))
-    d = d.withColumn("_img", F.when(picture, dom.first_within(IMG, F.col("pre"))))
+    d = d.withColumn("_img", F.when(picture, dom.first_within(is_img(), F.col("pre"))))
     d = d.withColumn("_in", dom.nearest(picture, F.struct("_offer", "_img", F.col("pre").alias("pre"))))
-    needs = IMG & (F.col("pre") == F.col("_in._img")) & ((SRC == "") | SRC.startswith("data:"))
+    needs = is_img() & (F.col("pre") == F.col("_in._img")) & ((img_src() == "") | img_src().startswith("data:"))
     becomes = source & F.col("_in._img").isNull() & (F.col("pre") == F.col("_in._offer.pre"))
     needs, becomes = F.coalesce(needs, F.lit(False)), F.coalesce(becomes, F.lit(False))
     offer = F.col("_in._offer.url")
@@ -382,6 +396,6 @@ def unwrap_picture(nodes: DataFrame) -> DataFrame:
         .otherwise(F.col("attrs"))
     )
     d = d.withColumn("_becomes", becomes).withColumn("attrs", attrs)
-    d = d.withColumn("tag", F.when(F.col("_becomes"), "img").otherwise(TAG))
-    d = d.filter(~((TAG == "source") & F.col("_in").isNotNull()))
-    return dom.unwrap(d, TAG == "picture").select(*nodes.columns)
+    d = d.withColumn("tag", F.when(F.col("_becomes"), "img").otherwise(node_tag()))
+    d = d.filter(~((node_tag() == "source") & F.col("_in").isNotNull()))
+    return dom.unwrap(d, node_tag() == "picture").select(*nodes.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.operators import directory as D
+from feedloom.session import materialize
 from feedloom.sources import tables
 
 
@@ -13,8 +14,10 @@ def run_audit(directory: DataFrame, log: DataFrame, signal: DataFrame, today: Co
     due = directory.filter(~D.is_recently_verified(F.col("last_verified"), today)).select(
         F.col("feed_url").alias("url")).distinct()
     checked = log.join(due, "url", "left_semi")
-    first = D.validate_feeds(checked.filter("attempt = 1"))
-    retry = D.validate_feeds(checked.filter("attempt = 2"))
+    # Checked once: every fact below reads the parsed documents.
+    checked = materialize(D.feed_issue(checked))
+    first = D.validated_facts(checked.filter("attempt = 1"))
+    retry = D.validated_facts(checked.filter("attempt = 2"))
     audited = D.audit(directory, first, retry, D.feed_quality(signal), today)
     kept = audited.filter("kept")
     return {

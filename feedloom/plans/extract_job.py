@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom import schema as S
 from feedloom.functions import text as T, urls
 from feedloom.operators import dom, embedded, extract as E, page_rules as R
-from feedloom.operators.dom import TAG, attr
+from feedloom.operators.dom import node_tag, attr
 from feedloom.session import materialize
 from feedloom.sources.html import parse_nodes
 
@@ -25,7 +25,7 @@ def clean_standard(pages: DataFrame) -> DataFrame:
     """Nodes of each page after the standard rules, ready for body choice."""
     n = parse_nodes(embedded.inject_embedded(pages))
     n = embedded.fill_placeholders(n, embedded.apollo_images(pages))
-    n = dom.prune(n, TAG == "script")
+    n = dom.prune(n, node_tag() == "script")
     n = R.promote_noscript_images(n)
     n = R.recover_placeholder_images(n)
     n = R.unwrap_picture(n)
@@ -34,8 +34,8 @@ def clean_standard(pages: DataFrame) -> DataFrame:
     n = R.strip_badge_clusters(n)
     n = dom.prune(
         n,
-        (R.IMG & (R.media.is_non_content_image(R.SRC, R.WIDTH, R.HEIGHT)
-                  | F.coalesce((R.WIDTH > 200) & (R.HEIGHT > 0) & (R.WIDTH / R.HEIGHT > 4.0), F.lit(False))))
+        (R.is_img() & (R.media.is_non_content_image(R.img_src(), R.img_width(), R.img_height())
+                  | F.coalesce((R.img_width() > 200) & (R.img_height() > 0) & (R.img_width() / R.img_height() > 4.0), F.lit(False))))
         | R.removed_by_tag("standard"),
     )
     n = R.constrain_avatars(R.strip_image_styles(n))
@@ -52,7 +52,7 @@ def clean_full(pages: DataFrame) -> DataFrame:
     """Nodes of each page after the full-page rules."""
     n = parse_nodes(embedded.inject_embedded(pages))
     n = embedded.fill_placeholders(n, embedded.apollo_images(pages))
-    n = dom.prune(n, TAG == "script")
+    n = dom.prune(n, node_tag() == "script")
     n = R.promote_noscript_images(n)
     n = R.recover_placeholder_images(n)
     n = R.unwrap_picture(n)
@@ -68,7 +68,7 @@ def clean_full(pages: DataFrame) -> DataFrame:
 
 def body_text(nodes: DataFrame) -> DataFrame:
     """Rendered text of each page without its head."""
-    return dom.render(dom.prune(nodes, TAG.isin("head", "title", "meta", "link", "style")))
+    return dom.render(dom.prune(nodes, node_tag().isin("head", "title", "meta", "link", "style")))
 
 
 def _hero_rows(injected: DataFrame) -> DataFrame:
@@ -158,12 +158,12 @@ def clean_feed_html(items: DataFrame) -> DataFrame:
     """
     n = dom.prune(parse_nodes(items), R.removed_by_tag("feed"))
     n = R.strip_empty(R.strip_interstitials(n))
-    block = TAG.isin(
+    block = node_tag().isin(
         "p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "blockquote", "pre", "hr", "table"
     )
     facts = n.groupBy("page_id").agg(
-        F.bool_or(block).alias("_blocks"), F.count_if(R.IMG).alias("image_count"),
-        F.min_by(attr("src"), F.when(R.IMG & dom.has_attr("src"), F.col("pre"))).alias("_src"),
+        F.bool_or(block).alias("_blocks"), F.count_if(R.is_img()).alias("image_count"),
+        F.min_by(attr("src"), F.when(R.is_img() & dom.has_attr("src"), F.col("pre"))).alias("_src"),
     )
     d = dom.render(n).join(facts, "page_id")
     html = F.when(F.col("_blocks"), F.col("html")).otherwise(T.add_paragraphs(F.col("html")))

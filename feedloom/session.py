@@ -69,3 +69,13 @@ def materialize(df):
         return df.checkpoint()
     finally:
         spark.conf.set(key, before)
+
+
+def spread(scan):
+    """Use all cores for row-heavy work over a small file scan.
+
+    A small input has fewer splits than there are cores. A large one has more, and is left as
+    it is: no shuffle is added. Only for plain scans, whose split count costs no execution.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
