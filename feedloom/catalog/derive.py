@@ -94,14 +94,15 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cached_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter("(doc_id div 7) % 10 NOT IN (7, 8, 9)").select(
-        F.expr("cast(doc_id AS string)").alias("article_id"),
-        F.expr("concat('/store/articles/', doc_id, '/index.html')").alias("html_path"),
-        F.expr("array(concat('shared', doc_id % 50), concat('own', doc_id))").alias("asset_manifest"),
-        F.expr("timestamp'2024-02-02' + make_dt_interval(0, 0, doc_id % 1440)").alias("cached_at"),
-        F.expr("n_chars * 2").alias("total_size_bytes"),
+    """One stored page per readable article."""
+    return article(spark, sf_dir).filter(F.col("fetch_status").isin(*S.READABLE)).select(
+        F.col("id").alias("article_id"),
+        F.expr("concat('/store/articles/', id, '/index.html')").alias("html_path"),
+        F.expr("array(concat('shared', cast(id AS bigint) % 50), concat('own', id))").alias("asset_manifest"),
+        "cached_at",
+        F.expr("cast(cache_size_bytes AS bigint) * 2").alias("total_size_bytes"),
         F.lit(False).alias("is_truncated"),
-        F.expr("CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'standard' END").alias("cache_level_used"),
+        F.expr("CASE WHEN cast(id AS bigint) % 3 = 0 THEN 'full' ELSE 'standard' END").alias("cache_level_used"),
     )
 
 

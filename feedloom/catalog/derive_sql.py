@@ -49,10 +49,10 @@ t_source AS (
   SELECT '{HIDDEN}', 'Saved Pages', 'saved-pages', NULL, NULL, NULL, NULL, NULL, NULL, false, -1
 ),
 t_page AS (
-  SELECT CAST(doc_id AS VARCHAR) AS article_id, 'shared' || doc_id % 50 AS asset_a, 'own' || doc_id AS asset_b,
-    n_chars * 2 AS total_size_bytes,
-    CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'standard' END AS cache_level_used
-  FROM documents WHERE (doc_id // 7) % 10 NOT IN (7, 8, 9)
+  SELECT id AS article_id, 'shared' || CAST(id AS BIGINT) % 50 AS asset_a, 'own' || id AS asset_b,
+    cache_size_bytes * 2 AS total_size_bytes,
+    CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'full' ELSE 'standard' END AS cache_level_used
+  FROM t_article WHERE fetch_status IN ('cached', 'partial')
 ),
 t_content AS (
   SELECT CAST(doc_id AS VARCHAR) AS article_id, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE n_chars END AS content_chars

@@ -28,10 +28,11 @@ def with_image_urls(nodes: DataFrame, page: DataFrame) -> DataFrame:
         F.when((attr(a) != "") & ~attr(a).startswith("data:"), attr(a))
         for a in ("data-src", "data-lazy-src", "data-original")
     ])
-    img = img.withColumn("lazy_url", urls.resolve_url(base, lazy, upgrade=False))
+    img = img.withColumn("_lazy", lazy)
+    img = img.withColumn("lazy_url", urls.resolve_url(base, F.col("_lazy"), upgrade=False))
     for c in ("srcset_url", "src_url", "lazy_url"):
         img = img.withColumn(c, _usable(F.col(c)))
-    return img.drop("_set")
+    return img.drop("_set", "_lazy")
 
 
 def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> DataFrame:
@@ -40,22 +41,17 @@ def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> Da
         "page_id", "pre", F.coalesce("srcset_url", "src_url", "lazy_url").alias("url"), F.lit("image").alias("kind")
     )
     n = nodes.withColumn("_pic", dom.nearest(node_tag() == "picture", F.col("pre")))
-    base = F.col("page_url")
     if level == "standard":
-        more = n.filter((node_tag() == "source") & (F.col("_pic") == F.col("parent")) & (attr("srcset") != "")).join(
-            page.select("page_id", "page_url"), "page_id"
-        ).select(
-            "page_id", "pre",
-            urls.resolve_url(base, media.pick_srcset(attr("srcset")), upgrade=False).alias("url"),
-            F.lit("image").alias("kind"),
-        )
+        more = n.filter((node_tag() == "source") & (F.col("_pic") == F.col("parent")) & (attr("srcset") != ""))
+        ref, kind = media.pick_srcset(attr("srcset")), "image"
     else:
-        more = n.filter((node_tag() == "link") & (attr("rel") == "stylesheet") & (attr("href") != "")).join(
-            page.select("page_id", "page_url"), "page_id"
-        ).select(
-            "page_id", "pre", urls.resolve_url(base, attr("href"), upgrade=False).alias("url"),
-            F.lit("stylesheet").alias("kind"),
-        )
+        more = n.filter((node_tag() == "link") & (attr("rel") == "stylesheet") & (attr("href") != ""))
+        ref, kind = attr("href"), "stylesheet"
+    # The reference gets its own projection: resolving it reads it many times.
+    more = more.withColumn("_ref", ref).join(page.select("page_id", "page_url"), "page_id").select(
+        "page_id", "pre", urls.resolve_url(F.col("page_url"), F.col("_ref"), upgrade=False).alias("url"),
+        F.lit(kind).alias("kind"),
+    )
     return (
         img.unionByName(more).filter(F.col("url").isNotNull())
         .groupBy("page_id", "url").agg(F.min("pre").alias("pre"), F.min_by("kind", "pre").alias("kind"))
