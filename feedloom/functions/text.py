@@ -130,10 +130,9 @@ def _decode_numeric(s: Column) -> Column:
 
 def _decode_named(s: Column) -> Column:
     """Replace the named references that occur; the ampersand's own name is left alone."""
-    table = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (f"&{name};", chr(code))],
-        F.lit("&apos;"), F.lit("'"),
-    )
+    # One literal for the whole table; Spark folds it to a constant map.
+    pairs = "\u0001".join(f"&{name};\u0002{chr(code)}" for name, code in name2codepoint.items())
+    table = F.str_to_map(F.lit(pairs + "\u0001&apos;\u0002'"), F.lit("\u0001"), F.lit("\u0002"))
     refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"(&[A-Za-z][A-Za-z0-9]{1,31};)")))
     refs = F.filter(refs, lambda r: r != "&amp;")
     return F.when(

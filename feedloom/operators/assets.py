@@ -17,6 +17,15 @@ def _usable(u: Column) -> Column:
     return F.when((u != "") & ~u.startswith("data:") & ~media.is_placeholder_image(u), u)
 
 
+def _present(u: Column) -> Column:
+    """The address, with rows that have none left out.
+
+    An exploded filter, because a plain one would be pushed below the projections that build
+    the address and repeat all of their work.
+    """
+    return F.explode(F.filter(F.array(u), lambda x: x.isNotNull()))
+
+
 def with_image_urls(nodes: DataFrame, page: DataFrame) -> DataFrame:
     """Image rows with their candidate addresses: best srcset entry, src, lazy attributes."""
     img = nodes.filter(is_img()).join(page.select("page_id", "page_url"), "page_id")
@@ -38,7 +47,8 @@ def with_image_urls(nodes: DataFrame, page: DataFrame) -> DataFrame:
 def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> DataFrame:
     """EXT-28 and SET-07: what to load for a page, each address once, in page order."""
     img = with_image_urls(nodes, page).select(
-        "page_id", "pre", F.coalesce("srcset_url", "src_url", "lazy_url").alias("url"), F.lit("image").alias("kind")
+        "page_id", "pre", _present(F.coalesce("srcset_url", "src_url", "lazy_url")).alias("url"),
+        F.lit("image").alias("kind"),
     )
     n = nodes.withColumn("_pic", dom.nearest(node_tag() == "picture", F.col("pre")))
     if level == "standard":
@@ -49,11 +59,11 @@ def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> Da
         ref, kind = attr("href"), "stylesheet"
     # The reference gets its own projection: resolving it reads it many times.
     more = more.withColumn("_ref", ref).join(page.select("page_id", "page_url"), "page_id").select(
-        "page_id", "pre", urls.resolve_url(F.col("page_url"), F.col("_ref"), upgrade=False).alias("url"),
+        "page_id", "pre", _present(urls.resolve_url(F.col("page_url"), F.col("_ref"), upgrade=False)).alias("url"),
         F.lit(kind).alias("kind"),
     )
     return (
-        img.unionByName(more).filter(F.col("url").isNotNull())
+        img.unionByName(more)
         .groupBy("page_id", "url").agg(F.min("pre").alias("pre"), F.min_by("kind", "pre").alias("kind"))
     )
 

@@ -39,19 +39,20 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in unit tests, a fresh local folder stands in.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in unit
+    tests, a fresh local folder stands in for the life of the context.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="feedloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-"))
 
 
 def materialize(df):
