@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,17 +18,35 @@ _RUNTIME = {
     # then reuse that layout instead of shuffling again on the longer key.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be long texts: smaller batches bound a Python worker's memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+_SHIPPED = "feedloom-workers.zip"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in _RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it on their path."""
+    sc = spark.sparkContext
+    if any(str(f).endswith(_SHIPPED) for f in sc.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="feedloom-")) / _SHIPPED  # the driver serves it from here
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(path))
+
+
 def build_session(app: str = "feedloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -39,8 +59,8 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for checkpoints and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in unit
-    tests, a fresh local folder stands in for the life of the context.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in unit tests, a
+    folder on the default file system stands in for it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -52,7 +72,11 @@ def shared_dir(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            # Unqualified, so the default file system resolves it: local in tests, shared on a cluster.
+            path = f"/tmp/feedloom-checkpoints/{sc.applicationId}"
+        sc.setCheckpointDir(path)
 
 
 def materialize(df):
