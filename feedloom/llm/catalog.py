@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import bpe, packing
+from feedloom.llm import bpe, compress_quality, packing
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -23,6 +23,12 @@ def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_compression_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return compress_quality.score(docs, compress_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
