@@ -9,6 +9,7 @@ at every place of a long text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,20 +83,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality", per_class: int = 1500, longest: int = 16_384) -> Model:
     """Dictionaries and calibration from a bounded sample of the labelled rows.
 
-    At most ``per_class`` rows of each class, the first by a hash of the id, whose text has at
-    most ``longest`` bytes. Rows of ``held_out`` are left out. Half of the sample makes the
-    dictionaries, the other half the calibration, weighted to the classes' shares among all
-    labelled rows.
+    At most ``per_class`` ids of each class, the first by a hash, are broadcast to the documents;
+    texts of more than ``longest`` bytes fall out, and an id with several rows or labels gives
+    one. Rows of ``held_out`` are left out. Half of the sample makes the dictionaries, the other
+    half the calibration, weighted to the classes' shares among all labelled rows.
     """
     labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(
         F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out("_id"))
     size = {r["_y"]: r["count"] for r in labels.groupBy("_y").count().collect()}  # two rows
+    drawn = [labels.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
+    drawn = drawn[0].union(drawn[1]).dropDuplicates(["_id"])
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .filter((F.octet_length("_text") <= longest) & (F.octet_length("_text") > 0))
-        .join(labels, "_id")
+        .filter(F.octet_length("_text").between(1, longest))
+        .join(F.broadcast(drawn), "_id").dropDuplicates(["_id"]).collect()
     )
-    drawn = [rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(per_class).collect() for y in (0, 1)]
+    rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
+    drawn = [[r for r in rows if r["_y"] == y] for y in (0, 1)]
     texts = [[r["_text"].encode() for r in part] for part in drawn]
     if min(map(len, texts)) < 2:
         share = (size.get(1, 0) + 1) / (sum(size.values()) + 2)
