@@ -42,8 +42,8 @@ def _tokenizer(path: str | None) -> Pieces:
 
     def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, length = [np.zeros(0, np.int32)], []
-        for k in range(0, len(pieces), 20_000):
-            got = [e.ids for e in tokenizer.encode_batch(pieces[k:k + 20_000], add_special_tokens=False)]
+        for k in range(0, len(pieces), 2_000):
+            got = [e.ids for e in tokenizer.encode_batch(pieces[k:k + 2_000], add_special_tokens=False)]
             length += map(len, got)
             ids.append(np.array([i for x in got for i in x], np.int32))
         return np.concatenate(ids), np.array(length, np.int64)
