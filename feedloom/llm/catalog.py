@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import bpe, compress_quality, packing
+from feedloom.llm import bpe, compress_quality, packing, quality_rules
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -18,6 +18,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op2_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
