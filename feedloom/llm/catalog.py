@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedloom.llm import bpe, compress_quality, packing, quality_rules
+from feedloom.llm import bpe, compress_quality, packing, quality_rules, sharding
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -18,6 +18,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_hilbert_shards(spark, sf_dir):
+    rows = sharding.document_rows(table(spark, sf_dir, "documents"))
+    placed = sharding.shard(rows, ["source", "lang", "size"], 24, ["text_crc32", "size", "doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
