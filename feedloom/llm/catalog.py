@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedloom.llm import bpe, compress_quality, line_blocks, packing, quality_rules, sharding
+from feedloom.llm import bpe, compress_quality, line_blocks, packing, quality_rules, sharding, simhash
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -42,6 +42,11 @@ def op6_line_blocks(spark, sf_dir):
     return line_blocks.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op7_simhash_golay(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_compression_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
