@@ -38,19 +38,24 @@ def _tokenizer(path: str | None) -> Pieces:
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
     if "ByteLevel(add_prefix_space=False" not in repr(tokenizer.pre_tokenizer) or public_tokenizers.PATTERN != PATTERN:
         raise ValueError("only byte-level tokenizers that split by the stated pattern are supported")
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    model, letters = tokenizer.model, _byte_letters()
 
     def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, length = [np.zeros(0, np.int32)], []
-        for k in range(0, len(pieces), 2_000):
-            got = [e.ids for e in tokenizer.encode_batch(pieces[k:k + 2_000], add_special_tokens=False)]
-            length += map(len, got)
-            ids.append(np.array([i for x in got for i in x], np.int32))
-        return np.concatenate(ids), np.array(length, np.int64)
+        # A piece is one word to the model, which needs none of the offsets of a whole encoding.
+        got = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+        return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
 
     return Pieces(encode_new)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: bytes that print stand
+    for themselves, the others, in order, for the letters from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
 def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
         tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: id, start, length, ids_crc32, doc_tokens (and ids)."""

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-MOST = 150_000
+MOST = 250_000
 PORTION = 1_000_000  # characters
 
 # The pattern that ``split`` follows, and Unicode's White_Space.
