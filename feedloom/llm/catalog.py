@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedloom.llm import bpe, compress_quality, line_blocks, packing, quality_rules, roles, sharding, simhash
+from feedloom.llm import ann, bpe, compress_quality, line_blocks, packing, quality_rules, roles, sharding, simhash
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -43,6 +43,11 @@ def op4_role_repair(spark, sf_dir):
     return roles.repair(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op5_hilbert_neighbours(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_line_blocks(spark, sf_dir):
     return line_blocks.extract(table(spark, sf_dir, "pages"))
