@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedloom.llm import ann, bpe, compress_quality, line_blocks, packing, quality_rules, roles, sharding, simhash
+from feedloom.llm import ann, bpe, compress_quality, langid, line_blocks, packing, quality_rules, roles, sharding, simhash
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -58,6 +58,11 @@ def op7_simhash_golay(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_language_fusion(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_compression_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
