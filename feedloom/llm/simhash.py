@@ -249,10 +249,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null ids come last. Of rows equal in id and fingerprint one stays.
     """
-    marked = with_fingerprint(docs, text_col)
-    fps = keep(marked.select(id_col, "_fp"))
+    own = "_fp"
+    while own in docs.columns:
+        own += "_"
+    marked = with_fingerprint(docs, text_col, own)
+    fps = keep(marked.select(id_col, F.col(own).alias("_fp")))
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_fp").alias("fp"))
     least = fps.groupBy("_fp").agg(F.min(order).alias("x")).join(classes(fps), "_fp").groupBy("_root").agg(F.min("x").alias("x"))
-    stays = least.select(F.col("x.id").alias("_id"), F.col("x.fp").alias("_of"))
-    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of")), "left_semi")
-    return kept.dropDuplicates([id_col, "_fp"]).drop("_fp")
+    stays = least.select(F.col("x.id").alias("_stays_id"), F.col("x.fp").alias("_stays_fp"))
+    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col("_stays_id")) & (F.col(own) == F.col("_stays_fp")), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own)

@@ -1,0 +1,78 @@
+import re
+from html import unescape
+
+import pytest
+
+from feedloom.llm import langid, line_blocks
+from feedloom.llm.common import table
+
+LONG = "<p>" + "Words of an article that goes on for a while. " * 4 + "</p>"
+TEXT = ("Words of an article that goes on for a while. " * 4).strip()
+
+
+@pytest.mark.parametrize("html,want", [
+    ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>Hi", "Hi"), ("<script>" + "x" * 300, ""), ("<p> \n </p>", ""),
+    (f"<nav><a href=x>Home</a></nav>{LONG}<p>Short.</p>{LONG}<footer>{LONG}</footer>", f"{TEXT}\n\nShort.\n\n{TEXT}"),
+    (f"<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>{LONG}<div id=comments>{LONG}</div>", TEXT),
+    (f"<div class='cookie-notice'>{LONG}</div><article><header><h1>Title</h1></header>{LONG}<p>End.</article>{LONG}", f"Title\n\n{TEXT}\n\nEnd."),
+    (f"<div>{LONG}<form>{LONG}</form><style>p>a{{}}</style><!-- <p>no</p> -->{LONG}</div>", f"{TEXT}\n\n{TEXT}"),
+    ("<p>a<b>b</b>\n\t c&nbsp;d<br>e</p>", "ab c d\n\ne"),
+])
+def test_main_text(html, want):
+    assert line_blocks.main_text(html) == want
+
+
+def test_surge_and_dive():
+    weight = [0, 3, 0, 0, 90, 10, 0, 0, 80, 0, 0, 0, 0, 5]
+    assert [i for i, k in enumerate(line_blocks.stretches(__import__("numpy").array(weight), 3, 60)) if k] == [4, 5, 6, 7, 8]
+
+
+def test_pages_give_their_articles(spark, sf):
+    rows = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
+    got = line_blocks.extract(table(spark, sf, "pages")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        inner = re.search(r"<article>(.*?)(</article>|<footer>)", rows[r.page_id], re.S).group(1)
+        blocks = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner)]
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+ODD = [(1, "http://a.example.de/x", "<html lang=de><p>und der die das</p>"), (None, None, None), (2, "", ""), (2, "", ""),
+       (3, "not a url", "<html lang='xx'>" + "the of and " * 20_000), (4, "http://www.b.example.fr:80/?q", None)]
+
+
+def test_odd_pages(spark, sf):
+    pages = spark.createDataFrame([(*r, "clash", "clash") for r in ODD], "page_id long, url string, html string, text string, lang string")
+    got = line_blocks.extract(pages).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in ODD)
+    assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id in (None, 2, 4))
+    assert line_blocks.extract(pages.limit(0)).count() == 0
+    docs = spark.createDataFrame([("the of and to", "en"), ("und der die das", "de"), ("le la les des", "fr"), (None, "fr"), ("x", None)], "text string, lang string")
+    found = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    assert len(found) == 5 and langid.identify(pages, docs).count() == len(ODD)
+    assert found[1].lang == "de" and found[1].host == "a.example.de" and found[1].declared_lang == "de"
+    assert found[3].lang == "en" and found[3].text_lang == "en" and found[3].host == ""
+    assert found[4].host == "www.b.example.fr" and found[4].text_lang is None and found[4].lang is not None
+    assert all(0 < r.probability <= 1 for r in found.values())
+    assert langid.identify(pages.limit(0), docs).count() == 0
+    assert {r.lang for r in langid.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_languages_of_pages(spark, sf):
+    pages = table(spark, sf, "pages")
+    got = langid.identify(pages, table(spark, sf, "documents")).collect()
+    assert len(got) == pages.count()
+    assert sum(r.lang == r.declared_lang for r in got) / len(got) > 0.98
+    # The text alone, with nothing declared and no address.
+    bare = pages.selectExpr("page_id", "cast(null as string) as url", "regexp_replace(html, 'lang=', 'x=') as html")
+    named = {r.page_id: r.declared_lang for r in got}
+    found = langid.identify(bare, table(spark, sf, "documents")).collect()
+    assert sum(r.lang == named[r.page_id] for r in found) / len(found) > 0.95
+
+
+def test_host_prior_decides_where_the_text_says_nothing(spark):
+    docs = spark.createDataFrame([("the of and to " * 5, "en"), ("und der die das " * 5, "de")], "text string, lang string")
+    rows = [(i, "http://a.example.org/x", "<p>und der die das</p>") for i in range(20)] + [(50, "http://a.example.org/y", "<p></p>")]
+    rows += [(100 + i, "http://b.other.com/x", "<p>the of and to</p>") for i in range(60)] + [(51, "http://b.other.com/y", "")]
+    got = {r.page_id: r.lang for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    assert got[50] == "de" and got[51] == "en"
