@@ -210,7 +210,7 @@ def refresh_outcome(spark, sf):
 @query("win_02_priority_split",
        f"""SELECT id, source_id, rn AS queue_rank, CASE WHEN rn <= 5 THEN 'priority' ELSE 'backfill' END AS phase
            FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {M} DESC, id) AS rn
-                 FROM t_article WHERE fetch_status = 'pending') WHERE rn <= 25""")
+                 FROM t_article WHERE fetch_status = 'pending')""")
 def priority_split(spark, sf):
     pending = D.article(spark, sf).filter("fetch_status = 'pending'")
     return intake.priority_split(pending).select("id", "source_id", big("queue_rank"), "phase")

@@ -39,8 +39,8 @@ ASSET_TYPES = (
 
 
 def to_int(s: Column) -> Column:
-    """Integer attribute value; null for anything else, such as ``50%`` or ``auto``."""
-    return F.when(s.rlike(r"^[+-]?\d{1,9}$"), s.cast("int"))
+    """Integer attribute value of any size; null for anything else, such as ``50%`` or ``auto``."""
+    return F.when(s.rlike(r"^[+-]?\d+$"), F.coalesce(s.try_cast("bigint"), F.lit(2**63 - 1)))
 
 
 def first_image_src(html: Column) -> Column:
@@ -64,10 +64,10 @@ def srcset_candidates(srcset: Column) -> Column:
         last = F.lower(F.element_at(parts, -1))
         width = (
             F.when(F.size(parts) < 2, F.lit(0))
-            .when(last.rlike(r"^\d{1,9}w$"), F.regexp_replace(last, "w$", "").cast("int"))
+            .when(last.rlike(r"^\d+w$"), F.coalesce(F.regexp_replace(last, "w$", "").try_cast("bigint"), F.lit(2**63 - 1)))
             .when(last.rlike(r"^\d+(\.\d+)?x$"),
-                  (F.regexp_replace(last, "x$", "").cast("double") * DENSITY_WIDTH).cast("int"))
-            .otherwise(F.lit(0))
+                  (F.regexp_replace(last, "x$", "").cast("double") * DENSITY_WIDTH).try_cast("bigint"))
+            .otherwise(F.lit(0).cast("bigint"))
         )
         return F.struct(F.element_at(parts, 1).alias("url"), width.alias("width"))
 

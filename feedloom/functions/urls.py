@@ -100,7 +100,7 @@ def upgrade_https(u: Column) -> Column:
 
 def _remove_dot_segments(p: Column) -> Column:
     """RFC 3986 5.2.4 over the segment array of an absolute path."""
-    parts = F.slice(F.split(p, "/"), 2, 10_000)
+    parts = F.slice(F.split(p, "/"), F.lit(2), F.size(F.split(p, "/")))
     last = F.element_at(parts, -1)
     kept = F.aggregate(
         parts,

@@ -51,7 +51,7 @@ def non_blank() -> Column:
 
 
 
-# Interface phrases are short; longer texts need no trimming to be told apart from them.
+# No interface phrase is longer, once trimmed; a longer text is none and need not be kept.
 PHRASE_CHARS = 64
 
 
@@ -165,7 +165,7 @@ def child_stats(nodes: DataFrame, allowed: dict[str, Column] | None = None) -> D
     siblings = Window.partitionBy("page_id", "parent")
     stats = {
         "n_el": F.count_if(is_element()), "n_img": F.count_if(node_tag() == "img"), "n_txt": F.count_if(non_blank()),
-        "own_text": F.max(F.when(non_blank() & (F.length("text") <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
+        "own_text": F.max(F.when(non_blank() & (F.length(T.trim_ws(F.col("text"))) <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
         **{name: F.count_if(is_element() & cond) for name, cond in (allowed or {}).items()},
     }
     d = nodes.withColumn("_up", F.struct("parent", *[c.over(siblings).alias(n) for n, c in stats.items()]))
@@ -187,11 +187,10 @@ def with_parent(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
     return nodes.join(up, ["page_id", "parent"], "left")
 
 
-def ancestors(nodes: DataFrame, which: Column, k: int, values: dict[str, Column]) -> DataFrame:
-    """JOIN-16: for chosen nodes, one row per ancestor within ``k`` levels, nearest first."""
-    chosen = nodes.filter(which).select(
-        "page_id", "pre", F.posexplode(F.slice(F.reverse("path"), 1, k)).alias("level", "_anc")
-    )
+def ancestors(nodes: DataFrame, which: Column, k: int | None, values: dict[str, Column]) -> DataFrame:
+    """JOIN-16: for chosen nodes, one row per ancestor, within ``k`` levels if given, nearest first."""
+    up = F.reverse("path") if k is None else F.slice(F.reverse("path"), 1, k)
+    chosen = nodes.filter(which).select("page_id", "pre", F.posexplode(up).alias("level", "_anc"))
     up = nodes.filter(is_element()).select(
         "page_id", F.col("pre").alias("_anc"), *[c.alias(n) for n, c in values.items()]
     )

@@ -310,23 +310,34 @@ def block_texts(nodes: DataFrame) -> DataFrame:
     )
 
 
+def content_scopes() -> list[Column]:
+    """Elements that hold the content, in order of preference."""
+    return [node_tag() == "article", node_tag() == "main", dom.attr("role") == "main", dom.attr("itemprop") == "articleBody"]
+
+
 def recover_dropped_images(nodes: DataFrame, content: DataFrame, min_chars: int = 20) -> DataFrame:
     """JOIN-17: where to put back images that body choice lost.
 
     For an image whose address the content lacks: the next paragraph or heading of at least
     20 characters beside its block, and the first block of the content with the same text.
-    Returns (page_id, pre, src, before_pre).
+    Images come from the first of ``content_scopes`` that holds any on the page, else from the
+    whole page. Returns (page_id, pre, src, before_pre).
     """
+    scoped = nodes.withColumn("_in", F.array(*[dom.inside(c) for c in content_scopes()]))
+    held = F.when(is_img() & has_attr("src"), (F.array_position("_in", True) - 1).cast("int"))
+    first = F.min(F.when(held >= 0, held)).over(Window.partitionBy("page_id"))
+    nodes = scoped.withColumn("_first", first).withColumn("_scoped", F.coalesce(F.get("_in", F.col("_first")), F.lit(True)))
+    wanted_img = is_img() & has_attr("src") & (img_src() != "") & ~img_src().startswith("data:") & F.col("_scoped")
     texts = block_texts(nodes).filter(F.length("text") >= min_chars)
     inline = node_tag().isin("a", "span", "em", "strong", "b", "i")
     # The block an image sits in: its paragraph, or the last inline wrapper below a block.
-    up = dom.ancestors(nodes, is_img() & has_attr("src") & (img_src() != "") & ~img_src().startswith("data:"), 32,
+    up = dom.ancestors(nodes, wanted_img, None,
                        {"_ok": inline, "_p": node_tag() == "p", "_pre": F.col("pre"), "_parent": F.col("parent")})
     walk = Window.partitionBy("page_id", "pre").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
     chain = up.withColumn("_open", F.coalesce(F.min(F.col("_ok").cast("int")).over(walk), F.lit(1)) == 1)
     anchor = chain.filter(F.col("_open") & (F.col("_ok") | F.col("_p"))).groupBy("page_id", "pre").agg(
         F.max_by(F.struct("_pre", "_parent"), "level").alias("_a"))
-    src = nodes.filter(is_img() & has_attr("src") & (img_src() != "") & ~img_src().startswith("data:")).select(
+    src = nodes.filter(wanted_img).select(
         "page_id", "pre", "parent", img_src().alias("src"))
     img = src.join(anchor, ["page_id", "pre"], "left").select(
         "page_id", "pre", "src", F.coalesce("_a._parent", "parent").alias("parent"),

@@ -184,9 +184,10 @@ def plan_fetch(
 def priority_split(queue: DataFrame, k: int = S.VISIBLE_ARTICLES, order=None) -> DataFrame:
     """WIN-02: the first ``k`` of each source come first, the rest is backfill.
 
-    Rank and label come from the rows themselves: the queue holds at most 25 a source.
+    The whole queue is split. A source may hold any share of it, so ranks are counted over
+    range partitions.
     """
-    ranked = top_k(queue, ["source_id"], order or newest_first(), S.DEFAULT_ARTICLE_LIMIT, "queue_rank")
+    ranked = rank_within(queue, "source_id", order or newest_first(), "queue_rank")
     return ranked.withColumn(
         "phase", F.when(F.col("queue_rank") <= k, "priority").otherwise("backfill")
     )

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from feedloom.functions import text as T
 
-_ATTRS = "_text:string,_title:string,_xmlUrl:string,_description:string"
-_L3 = f"struct<{_ATTRS}>"
-_L2 = f"struct<{_ATTRS},outline:array<{_L3}>>"
-_SCHEMA = f"body struct<outline:array<struct<{_ATTRS},outline:array<{_L2}>>>>"
+_TAG = r"""(?s)<outline\b((?:[^>"']|"[^"]*"|'[^']*')*)>"""
+_OTHER = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 
 
-def _head(o: Column) -> Column:
-    return F.struct(*[o[n].alias(n[1:]) for n in ("_text", "_title", "_xmlUrl", "_description")])
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag's inside; null where there is none."""
+    found = rf"""(?s)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    value = F.concat(F.regexp_extract(tag, found, 1), F.regexp_extract(tag, found, 2))
+    return F.when(tag.rlike(found), T.unescape(value))
 
 
 def read_opml(files: DataFrame) -> DataFrame:
@@ -23,17 +24,14 @@ def read_opml(files: DataFrame) -> DataFrame:
     or ``country``. An outline without an address sets the category of the feeds after it;
     in country mode the country is the category throughout.
     """
-    none = F.array().cast("array<struct<text:string,title:string,xmlUrl:string,description:string>>")
-    doc = F.from_xml(T.fix_bare_ampersands(F.col("xml")), _SCHEMA)
-    d = files.withColumn("_doc", doc)
-
-    def second(o: Column) -> Column:
-        return F.concat(F.array(_head(o)), F.coalesce(F.transform(o["outline"], _head), none))
-
-    def first(o: Column) -> Column:
-        return F.concat(F.array(_head(o)), F.coalesce(F.flatten(F.transform(o["outline"], second)), none))
-
-    d = d.select("file", "category", "country", F.posexplode(F.flatten(F.transform("_doc.body.outline", first))).alias("pos", "o"))
+    xml = T.fix_bare_ampersands(F.col("xml"))
+    # Outlines count in document order, whatever their depth, so their tags tell all. A document
+    # that is not well-formed gives none.
+    sound = F.from_xml(xml, "body struct<_any:string>")["body"].isNotNull()
+    tags = F.regexp_extract_all(F.regexp_replace(xml, _OTHER, ""), F.lit(_TAG), 1)
+    d = files.select("file", "category", "country", F.posexplode(F.when(sound, tags)).alias("pos", "_tag")).select(
+        "file", "category", "country", "pos",
+        F.struct(*[_attribute(F.col("_tag"), n).alias(n) for n in ("text", "title", "xmlUrl", "description")]).alias("o"))
     label = F.coalesce("o.text", "o.title")
     is_feed = F.coalesce(F.col("o.xmlUrl") != "", F.lit(False))
     # A document is one file, so the running category stays within it.

@@ -82,3 +82,14 @@ def test_quality_rules(spark):
     got = {r.feed_url: (r.reason, r.is_acceptable) for r in D.feed_quality(sig, feeds_df).collect()}
     assert got == {"ok": ("ok", True), "thin": ("thin", False), "wall": ("paywalled", False), "rich": ("image_rich", True),
                    "low": ("very_thin", False), "one": ("too_few", True), "blocked": ("blocked", False)}
+
+
+def test_opml_outlines_of_any_depth(spark):
+    deep = '<outline text="Deep" xmlUrl="https://deep.example.com/f"/>'
+    for k in range(6, 0, -1):
+        deep = f"<outline text='L{k} &amp; more'>{deep}</outline>"
+    xml = f"<opml><body>{deep}<!-- <outline text='no' xmlUrl='https://no.example.com'/> --></body></opml>"
+    rows = spark.createDataFrame([("a", xml, "start", None), ("bad", "<opml><body><outline text='x' xmlUrl='https://x'></body>", "s", None)],
+                                 "file string, xml string, category string, country string")
+    got = [(r.feed_url, r.category) for r in opml.read_opml(rows).collect()]
+    assert got == [("https://deep.example.com/f", "L6 & more")]

@@ -61,3 +61,23 @@ def test_excerpt_cuts(spark):
     df = spark.createDataFrame(rows, "page_id string, pos int, text string")
     parts = E.excerpt(df).first().excerpt.split("\n\n")
     assert parts[0] == "x" * 30 and parts[1].endswith("Tail") and parts[2] == "Sentence one."
+
+
+def test_padded_phrases_go_too(spark):
+    from feedloom.operators import page_rules as R
+
+    html = "<body><p>" + " " * 70 + "Loading..." + "\n" * 70 + "</p><p>Text.</p></body>"
+    pages = spark.createDataFrame([("1", html)], "page_id string, html string")
+    left = R.strip_interstitials(parse_nodes(pages)).filter("tag = '#text'").collect()
+    assert [r.text.strip() for r in left if r.text.strip()] == ["Text."]
+
+
+def test_images_outside_the_content_are_not_put_back(spark):
+    from feedloom.operators import extract as E
+
+    deep = "<span>" * 40 + '<img src="/deep.jpg">' + "</span>" * 40
+    html = ("<body><div><p><img src='/side.jpg'></p><p>A paragraph of the sidebar that is long.</p></div>"
+            f"<article><p>{deep}</p><p>A paragraph of the article that is long.</p></article></body>")
+    nodes = parse_nodes(spark.createDataFrame([("1", html)], "page_id string, html string"))
+    content = nodes.filter("tag <> 'img'")
+    assert [r.src for r in E.recover_dropped_images(nodes, content).collect()] == ["/deep.jpg"]
