@@ -66,6 +66,10 @@ FETCH_LOG = """
 """
 
 
+def columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """Bring an older table version to the current schema: missing columns become null."""
     from pyspark.sql.types import _parse_datatype_string

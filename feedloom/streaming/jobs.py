@@ -12,7 +12,7 @@ from feedloom import schema as S
 from feedloom.functions import urls
 from feedloom.operators import intake, library as L, maintenance as M
 from feedloom.sources import feeds
-from feedloom.streaming.tables import BUCKETS, Snapshot, VersionedTable
+from feedloom.streaming.tables import BUCKETS, Snapshot, VersionedTable, stage
 
 REFRESH_EVERY = "15 minutes"
 PROCESS_EVERY = "1 hour"
@@ -21,6 +21,9 @@ SUMMARY = "source_id STRING, article_count BIGINT, unread_count BIGINT, reading_
 LATEST = "source_id STRING, id STRING, rn INT"
 READ_STATE = "article_id STRING, is_read BOOLEAN, is_saved BOOLEAN, deleted BOOLEAN"
 RETRY_STATE = "article_id STRING, retry_count BIGINT"
+PLACE = "id STRING, source_id STRING"
+ADDRESS = "article_url STRING, id STRING, source_id STRING"
+LOG = "article_id STRING, ts TIMESTAMP, seq BIGINT, is_mark BOOLEAN"
 FETCHED = "source_id STRING, last_fetched_at TIMESTAMP"
 
 
@@ -29,35 +32,64 @@ def without_deleted(batch: DataFrame, tombstone: DataFrame, key: str = "source_i
     return batch.join(tombstone.select(key).distinct(), key, "left_anti")
 
 
-def upsert_articles(current: DataFrame, batch: DataFrame) -> DataFrame:
-    cols = current.columns
+def latest_changes(batch: DataFrame) -> DataFrame:
+    """One row an article: of several changes in a batch the latest."""
     order = F.struct("change_at", "change_seq") if "change_at" in batch.columns else F.struct("added_at", "id")
-    return M.upsert(current, batch.select(*cols, order.alias("_v")), "id", F.col("_v"))
+    cols = S.columns(S.ARTICLE)
+    return batch.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("_row")).select("_row.*").select(*cols)
+
+
+def replace_rows(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """Current rows without those that changed or are gone, and the changed ones.
+
+    ``changes`` has a row marked ``_gone`` for an article in the source that it left.
+    """
+    stay = current.join(changes.select("id", "source_id").distinct(), ["id", "source_id"], "left_anti")
+    return stay.select(*current.columns).unionByName(changes.filter(~F.col("_gone")).select(*current.columns))
+
+
+def replace_by_key(key: str):
+    def merge(current: DataFrame, rows: DataFrame) -> DataFrame:
+        """Rows of the batch's keys are replaced; a row marked ``_gone`` only removes."""
+        fresh = rows.filter(~F.col("_gone")) if "_gone" in rows.columns else rows
+        return current.join(rows.select(key).distinct(), key, "left_anti").select(*current.columns).unionByName(fresh.select(*current.columns))
+
+    return merge
 
 
 class LiveLibrary:
-    """STR-01, STR-02 and STR-08: lists that follow changes of the article table."""
+    """STR-01, STR-02 and STR-08: lists that follow changes of the article table.
+
+    Articles lie by source, since lists are by source. A small table keeps the source of each
+    article, so that one that moves leaves its old source, whose lists are refreshed as well.
+    """
 
     def __init__(self, root: str, limit: int = S.DEFAULT_ARTICLE_LIMIT, buckets: int = BUCKETS) -> None:
         self.article = VersionedTable(f"{root}/article", S.ARTICLE, "source_id", buckets)
+        self.place = VersionedTable(f"{root}/place", PLACE, "id", buckets)
         self.summary = VersionedTable(f"{root}/summary", SUMMARY, "source_id", buckets)
         self.latest = VersionedTable(f"{root}/latest", LATEST, "source_id", buckets)
         self.balanced = Snapshot(f"{root}/balanced")
         self.saved = Snapshot(f"{root}/saved")
-        self.limit = limit
+        self.root, self.limit = root, limit
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         """Apply changes, then refresh the touched sources' lists and the small snapshots."""
         spark = batch.sparkSession
-        self.article.update(batch, batch_id, upsert_articles)
-        touched = batch.select("source_id").distinct()
+        newest = latest_changes(batch)
+        places = newest.select("id", "source_id")
+        old = self.place.read(spark, batch_id, self.place.touched(places)).withColumnRenamed("source_id", "_old")
+        left = places.join(old, "id").filter(F.col("source_id") != F.col("_old")).select("id", F.col("_old").alias("source_id"))
+        changes = stage(newest.withColumn("_gone", F.lit(False)).unionByName(
+            left.withColumn("_gone", F.lit(True)), allowMissingColumns=True), f"{self.root}/changes", batch_id)
+        self.article.update(changes, batch_id, replace_rows)
+        self.place.update(changes.filter(~F.col("_gone")).select("id", "source_id"), batch_id, replace_by_key("id"))
+        touched = changes.select("source_id").distinct()
         # This batch's own version is visible from here on.
+        mine = self.article.read(spark, batch_id + 1, self.article.touched(touched)).join(touched, "source_id", "left_semi")
+        self._refresh(self.summary, touched, L.source_summary(mine, self.limit), batch_id)
+        self._refresh(self.latest, touched, L.top_per_source(mine).select("source_id", "id", "rn"), batch_id)
         now = self.article.read(spark, batch_id + 1)
-        mine = now.join(touched, "source_id", "left_semi")
-        summary = L.source_summary(mine, self.limit)
-        latest = L.top_per_source(mine).select("source_id", "id", "rn")
-        self._refresh(self.summary, touched, summary, batch_id)
-        self._refresh(self.latest, touched, latest, batch_id)
         self.balanced.write(L.balanced_latest(now).select("id", "source_id", "turn", "source_newest"), batch_id)
         self.saved.write(L.saved_carousel(now).select("id", "title", "saved_at"), batch_id)
 
@@ -72,96 +104,140 @@ class LiveLibrary:
 
 
 class RefreshStream:
-    """STR-03: feed documents arriving continuously become pending articles, then pruning."""
+    """STR-03: feed documents arriving continuously become pending articles, then pruning.
 
-    def __init__(self, root: str, limit: int = S.DEFAULT_ARTICLE_LIMIT, buckets: int = BUCKETS) -> None:
+    A table keyed by address knows every article of the library. A known address adds nothing,
+    wherever it is; if it is a saved article of the hidden source, that moves to the feed's.
+    After a refresh, ``limit`` prunes pending and readable articles of the touched sources;
+    saved ones among these move to the hidden source. Without a limit nothing is pruned.
+    """
+
+    def __init__(self, root: str, limit: int | None = S.DEFAULT_ARTICLE_LIMIT, buckets: int = BUCKETS, source: DataFrame | None = None) -> None:
         self.article = VersionedTable(f"{root}/article", S.ARTICLE, "source_id", buckets)
-        self.root, self.limit = root, limit
+        self.address = VersionedTable(f"{root}/address", ADDRESS, "article_url", buckets)
+        self.root, self.limit, self.source = root, limit, source
 
-    def _stage(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
-        """Write an intermediate result of this batch, so that its many readers share it."""
-        path = f"{self.root}/{name}/batch={batch_id}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+    def load(self, articles: DataFrame, batch_id: int) -> None:
+        """Take over an existing library, before the first batch."""
+        rows = articles.select(*S.columns(S.ARTICLE)).withColumn("_gone", F.lit(False))
+        self.article.update(rows, batch_id, replace_rows)
+        self.address.update(rows.select("article_url", "id", "source_id"), batch_id, replace_by_key("article_url"))
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch`` has source_id, feed_url, xml and fetched_at.
-
-        Documents are parsed once per batch. Known addresses are looked up in the touched
-        sources; an address belongs to one feed.
-        """
+        """``batch`` has source_id, feed_url, xml and fetched_at. Documents are parsed once."""
+        spark = batch.sparkSession
         _, items = feeds.read_feeds(batch.select("feed_url", "xml"))
         owner = batch.groupBy("feed_url").agg(F.max("source_id").alias("source_id"), F.max("fetched_at").alias("added_at"))
-        found = self._stage(items.join(owner, "feed_url").withColumn(
-            "pos", F.concat_ws("#", "feed_url", F.lpad(F.col("pos").cast("string"), 9, "0"))), "items", batch_id)
-        self.article.update(found, batch_id, lambda current, rows: self._merge(current, rows, batch_id))
-
-    def _merge(self, current: DataFrame, found: DataFrame, batch_id: int) -> DataFrame:
-        added = self._stage(intake.new_items(found, current).select(
+        found = stage(items.join(owner, "feed_url").withColumn(
+            "pos", F.concat_ws("#", "feed_url", F.lpad(F.col("pos").cast("string"), 9, "0"))), f"{self.root}/items", batch_id)
+        touched = found.select("source_id").distinct()
+        hidden = spark.createDataFrame([(S.SAVED_PAGES_ID,)], "source_id string")
+        mine = self.article.read(spark, batch_id, self.article.touched(touched)).join(touched, "source_id", "left_semi").select(*S.columns(S.ARTICLE))
+        urls_of = found.select(F.col("url").alias("article_url")).distinct()
+        known = self.address.read(spark, batch_id, self.address.touched(urls_of)).join(urls_of, "article_url", "left_semi")
+        library = mine.select("source_id", "title", "article_url").unionByName(
+            known.select("article_url").withColumns({"source_id": F.lit(None).cast("string"), "title": F.lit(None).cast("string")}))
+        added = intake.new_items(found, library).select(
             urls.deterministic_id(F.col("url")).alias("id"), "source_id", "title", F.col("url").alias("article_url"),
             "published_at", "added_at", "thumbnail_url", F.lit("pending").alias("fetch_status"),
             F.lit(False).alias("is_read"), F.lit(False).alias("is_saved"),
             F.col("source_name").alias("original_source_name"), F.lit(0).alias("retry_count"),
             F.col("content_html").alias("rss_content_html"),
-        ), "new", batch_id)
-        rows = current.unionByName(added, allowMissingColumns=True)
-        gone = M.prune_pending(rows, self.limit).select("id")
-        return rows.join(gone, "id", "left_anti").select(*current.columns)
+        )
+        detached = self.article.read(spark, batch_id, self.article.touched(hidden))
+        back = intake.reattach_saved(found.filter(~urls.is_non_article_url(F.col("url"))), detached).select(*S.columns(S.ARTICLE))
+        rows = stage(mine.unionByName(back).unionByName(added, allowMissingColumns=True), f"{self.root}/rows", batch_id)
+        changes = stage(self._pruned(rows).unionByName(
+            back.select("id", "article_url").withColumn("source_id", F.lit(S.SAVED_PAGES_ID)).withColumn("_gone", F.lit(True)),
+            allowMissingColumns=True), f"{self.root}/changes", batch_id)
+        self.article.update(changes, batch_id, replace_rows)
+        here = changes.filter(~F.col("_gone")).select("article_url", "id", "source_id", "_gone")
+        away = changes.filter("_gone").join(here.select("id"), "id", "left_anti").select(*here.columns)
+        self.address.update(here.unionByName(away), batch_id, replace_by_key("article_url"))
+
+    def _pruned(self, rows: DataFrame) -> DataFrame:
+        """Rows of the touched sources after pruning: changed ones, and marks of those that left."""
+        kept = rows.withColumn("_gone", F.lit(False))
+        if self.limit is None:
+            return kept
+        source = self.source if self.source is not None else rows.sparkSession.createDataFrame([], S.SOURCE)
+        excess = M.prune_excess(rows, source, self.limit)
+        out = M.prune_pending(rows, self.limit).select("id", "source_id", "article_url").unionByName(
+            excess.select("id", F.col("former_source_id").alias("source_id"), "article_url"))
+        moved = excess.filter(F.col("action") == "detach").select(*S.columns(S.ARTICLE)).withColumn("_gone", F.lit(False))
+        stay = kept.join(out.select("id"), "id", "left_anti").select(*kept.columns)
+        return stay.unionByName(moved).unionByName(out.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+
+
+def since_mark(log: DataFrame) -> DataFrame:
+    """What still counts of marks and events: the last mark of each article, and what follows it.
+
+    However late an item arrives, the last mark and the events after it are what an ordered
+    replay of everything would leave.
+    """
+    moment = F.struct("ts", "seq")
+    mark = log.filter("is_mark").groupBy("article_id").agg(F.max(moment).alias("_mark"))
+    kept = log.join(mark, "article_id", "left").filter(
+        F.col("_mark").isNull() | (moment > F.col("_mark")) | (F.col("is_mark") & (moment == F.col("_mark"))))
+    return kept.select("article_id", "ts", "seq", "is_mark")
+
+
+def _summed(log: DataFrame) -> DataFrame:
+    return since_mark(log).groupBy("article_id").agg(
+        F.bool_or("is_mark").alias("_marked"), F.count_if(~F.col("is_mark")).alias("_n"))
 
 
 class UserActions:
     """STR-04: ordered read, save and delete actions folded into article flags.
 
-    A batch is summed up per article without order (does it mark, how many toggles follow);
-    the sum is then applied to the stored flags. No per-row state function is needed.
+    Marks and toggles are kept from the last mark on, so that late ones find their place; the
+    other actions do not depend on their order. No per-row state function is needed.
     """
 
     def __init__(self, root: str, buckets: int = BUCKETS) -> None:
         self.state = VersionedTable(f"{root}/state", READ_STATE, "article_id", buckets)
+        self.log = VersionedTable(f"{root}/log", LOG, "article_id", buckets)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
-        self.state.update(batch, batch_id, self._merge)
+        spark = batch.sparkSession
+        reads = batch.filter(F.col("action").isin("read", "toggle_read")).select(
+            "article_id", "ts", "seq", (F.col("action") == "read").alias("is_mark"))
+        self.log.update(reads, batch_id, lambda current, new: since_mark(current.unionByName(new)))
+        log = self.log.read(spark, batch_id + 1, self.log.touched(batch))
+        self.state.update(batch, batch_id, lambda current, rows: self._merge(current, rows, log))
 
     @staticmethod
-    def _merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        read = M.read_state(batch, ["article_id"])
+    def _merge(current: DataFrame, batch: DataFrame, log: DataFrame) -> DataFrame:
         other = batch.groupBy("article_id").agg(
             (F.count_if(F.col("action") == "toggle_save") % 2 == 1).alias("_flip"),
             F.bool_or(F.col("action") == "delete").alias("_del"),
         )
-        d = current.join(other.join(read, "article_id", "left"), "article_id", "full")
+        d = current.drop("is_read").join(other, "article_id", "full").join(_summed(log), "article_id", "left")
         no = F.lit(False)
-        marked = F.coalesce("marked", no) | F.coalesce("is_read", no)
         return d.select(
             "article_id",
-            (marked != F.coalesce("odd_toggles", no)).alias("is_read"),
+            (F.coalesce("_marked", no) != (F.coalesce("_n", F.lit(0)) % 2 == 1)).alias("is_read"),
             (F.coalesce("is_saved", no) != F.coalesce("_flip", no)).alias("is_saved"),
             (F.coalesce("deleted", no) | F.coalesce("_del", no)).alias("deleted"),
         )
 
 
 class RetryCounter:
-    """STR-05: failures per article since its last success or manual refetch."""
+    """STR-05: failures per article since its last success or manual refetch, late ones included."""
 
     def __init__(self, root: str, buckets: int = BUCKETS) -> None:
         self.state = VersionedTable(f"{root}/retry", RETRY_STATE, "article_id", buckets)
+        self.log = VersionedTable(f"{root}/log", LOG, "article_id", buckets)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` has article_id, ts, seq and outcome (ok, failed or refetch)."""
-        self.state.update(batch, batch_id, self._merge)
-
-    @staticmethod
-    def _merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        moment = F.struct("ts", "seq")
-        reset = batch.filter(F.col("outcome").isin("ok", "refetch")).groupBy("article_id").agg(F.max(moment).alias("_reset"))
-        failed = (
-            batch.filter(F.col("outcome") == "failed").select("article_id", moment.alias("_at"))
-            .join(reset, "article_id", "left").filter(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset")))
-            .groupBy("article_id").agg(F.count("*").alias("_n"))
-        )
-        d = current.join(reset.join(failed, "article_id", "full"), "article_id", "full")
-        base = F.when(F.col("_reset").isNotNull(), 0).otherwise(F.coalesce("retry_count", F.lit(0)))
-        return d.select("article_id", (base + F.coalesce("_n", F.lit(0))).alias("retry_count"))
+        spark = batch.sparkSession
+        rows = batch.filter(F.col("outcome").isin("ok", "refetch", "failed")).select(
+            "article_id", "ts", "seq", (F.col("outcome") != "failed").alias("is_mark"))
+        self.log.update(rows, batch_id, lambda current, new: since_mark(current.unionByName(new)))
+        log = self.log.read(spark, batch_id + 1, self.log.touched(rows))
+        self.state.update(rows, batch_id, lambda current, new: current.select("article_id").union(new.select("article_id")).distinct().join(
+            _summed(log), "article_id", "left").select("article_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("retry_count")))
 
 
 class StaleSources:

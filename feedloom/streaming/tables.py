@@ -1,13 +1,16 @@
 """Tables that micro-batches update safely.
 
 A table is a parquet folder split by ``bucket`` and ``version``. A batch writes new versions of
-the buckets it touches and leaves the others alone; a bucket's newest version is its content.
-A repeated batch reads the same earlier versions and overwrites its own, so retries and lost
-executors change nothing.
+the buckets it touches and leaves the others alone. A manifest per batch names every bucket's
+current version, so a read opens those files alone, and a bucket that a batch emptied stays
+empty. A repeated batch reads the same earlier manifest and overwrites its own versions, so
+retries and lost executors change nothing. Versions that neither of the last two manifests
+names are removed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,43 +22,107 @@ def bucket_of(key: str | Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+class Folder:
+    """A folder on the session's file system."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._io = spark._jvm.org.apache.commons.io.IOUtils
+        self.root = path
+        self.fs = self._path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def has(self, name: str) -> bool:
+        return self.fs.exists(self._path(f"{self.root}/{name}"))
+
+    def names(self, name: str) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{name}"))] if self.has(name) else []
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def write(self, name: str, text: str) -> None:
+        """A small file, which appears whole or not at all."""
+        draft, final = self._path(f"{self.root}/{name}.draft"), self._path(f"{self.root}/{name}")
+        out = self.fs.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        self.fs.delete(final, False)
+        self.fs.rename(draft, final)
+
+    def text(self, name: str) -> str:
+        found = self.fs.open(self._path(f"{self.root}/{name}"))
+        try:
+            return self._io.toString(found, "UTF-8")
+        finally:
+            found.close()
+
+
 class VersionedTable:
     def __init__(self, path: str, schema: str, key: str, buckets: int = BUCKETS) -> None:
         self.path, self.schema, self.key, self.buckets = path, schema, key, buckets
 
-    def _all(self, spark: SparkSession) -> DataFrame:
-        full = f"{self.schema}, bucket INT, version BIGINT"
-        return spark.read.schema(full).option("recursiveFileLookup", False).parquet(self.path)
+    @staticmethod
+    def _manifests(folder: Folder) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in folder.names("_manifest") if n.endswith(".json"))
+
+    @staticmethod
+    def _manifest(folder: Folder, batch_id: int) -> dict[int, int]:
+        """Current version by bucket: at most one entry a bucket."""
+        return {int(b): v for b, v in json.loads(folder.text(f"_manifest/{batch_id}.json")).items()}
 
-    def _exists(self, spark: SparkSession) -> bool:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+    def _current(self, folder: Folder, before: int | None) -> dict[int, int]:
+        known = [b for b in self._manifests(folder) if before is None or b < before]
+        return self._manifest(folder, known[-1]) if known else {}
 
-    def read(self, spark: SparkSession, before: int | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    def read(self, spark: SparkSession, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
         """Current rows, or those a batch must see: versions below its number."""
-        if not self._exists(spark):
+        folder = Folder(spark, self.path)
+        parts = [f"bucket={b}/version={v}" for b, v in self._current(folder, before).items() if buckets is None or b in buckets]
+        paths = [f"{self.path}/{p}" for p in parts if folder.has(p)]  # an emptied bucket has no files
+        if not paths:
             return spark.createDataFrame([], self.schema)
-        rows = self._all(spark)
-        if before is not None:
-            rows = rows.filter(F.col("version") < before)
-        if buckets is not None:
-            rows = rows.join(buckets, "bucket", "left_semi")
-        # Partition values only: one row per bucket.
-        newest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-        return rows.join(newest, ["bucket", "version"], "left_semi").drop("bucket", "version")
+        return spark.read.schema(self.schema).parquet(*paths)
+
+    def touched(self, keys: DataFrame) -> set[int]:
+        """Buckets of a batch's keys: as many numbers as there are buckets, at most."""
+        return {r[0] for r in keys.select(bucket_of(self.key, self.buckets)).distinct().collect()}
 
     def update(self, batch: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Rewrite the touched buckets as ``merge(current rows, batch rows)``."""
         spark = batch.sparkSession
-        touched = batch.select(bucket_of(self.key, self.buckets).alias("bucket")).distinct()
-        merged = merge(self.read(spark, batch_id, touched), batch)
-        out = merged.withColumn("bucket", bucket_of(self.key, self.buckets)).withColumn("version", F.lit(batch_id).cast("bigint"))
-        # Rebalancing gathers a bucket's rows into few files and still splits an oversized one.
-        (
-            out.hint("rebalance", F.col("bucket")).write.partitionBy("bucket", "version").option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite").parquet(self.path)
-        )
+        touched = self.touched(batch)
+        folder = Folder(spark, self.path)
+        before = self._current(folder, batch_id)
+        for b in touched:  # what an earlier try of this batch may have left
+            folder.remove(f"bucket={b}/version={batch_id}")
+        if touched:
+            merged = merge(self.read(spark, batch_id, touched), batch)
+            out = merged.withColumn("bucket", bucket_of(self.key, self.buckets)).withColumn("version", F.lit(batch_id).cast("bigint"))
+            # Rebalancing gathers a bucket's rows into few files and still splits an oversized one.
+            out.hint("rebalance", F.col("bucket")).write.partitionBy("bucket", "version").mode("append").parquet(self.path)
+        now = before | dict.fromkeys(touched, batch_id)
+        folder.write(f"_manifest/{batch_id}.json", json.dumps(now))
+        self._clean(folder, batch_id, before, now)
+
+    def _clean(self, folder: Folder, batch_id: int, before: dict[int, int], now: dict[int, int]) -> None:
+        """Remove what only older manifests name. The last but one stays, for a repeated batch."""
+        old = [b for b in self._manifests(folder) if b < batch_id][:-1]
+        for b in old:
+            for bucket, version in self._manifest(folder, b).items():
+                if version not in (before.get(bucket), now.get(bucket)):
+                    folder.remove(f"bucket={bucket}/version={version}")
+            folder.remove(f"_manifest/{b}.json")
+
+
+def stage(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write an intermediate result of a batch, so that its many readers share it."""
+    out = f"{path}/batch={batch_id}"
+    df.write.mode("overwrite").parquet(out)
+    folder = Folder(df.sparkSession, path)
+    for name in folder.names(""):
+        if name.startswith("batch=") and int(name.partition("=")[2]) < batch_id - 1:
+            folder.remove(name)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
 class Snapshot:
@@ -66,11 +133,18 @@ class Snapshot:
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        folder = Folder(df.sparkSession, self.path)
+        for b in self._batches(folder)[:-2]:
+            folder.remove(f"batch={b}")
+
+    @staticmethod
+    def _batches(folder: Folder) -> list[int]:
+        done = [n for n in folder.names("") if n.startswith("batch=") and folder.has(f"{n}/_SUCCESS")]
+        return sorted(int(n.partition("=")[2]) for n in done)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.option("basePath", self.path).parquet(self.path)
-        last = rows.agg(F.max("batch").alias("batch"))
-        return rows.join(last, "batch", "left_semi").drop("batch")
+        last = self._batches(Folder(spark, self.path))[-1]
+        return spark.read.parquet(f"{self.path}/batch={last}")
 
 
 def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):

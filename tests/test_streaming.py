@@ -41,3 +41,74 @@ def test_live_library_follows_changes(spark, tmp_path):
     got = {r.source_id: (r.article_count, r.unread_count) for r in job.summary.read(spark).collect()}
     assert got == {"s": (2, 1), "t": (1, 1)}
     assert [r.id for r in job.latest.read(spark).filter("source_id = 's'").orderBy("rn").collect()] == ["2", "1"]
+
+
+def articles(spark, *data):
+    d = spark.createDataFrame([(i, s, f"t{i}", f"https://x.example.com/{i}", datetime(2024, 1, int(i)), st, saved) for i, s, st, saved in data],
+                              "id string, source_id string, title string, article_url string, added_at timestamp, fetch_status string, is_saved boolean")
+    return S.conform(d, S.ARTICLE).fillna({"is_read": False})
+
+
+def test_a_moved_article_leaves_its_source(spark, tmp_path):
+    job = jobs.LiveLibrary(str(tmp_path), buckets=3)
+    job.step(articles(spark, ("1", "s", "cached", False), ("2", "u", "cached", False)), 0)
+    job.step(articles(spark, ("1", "t", "cached", False)), 1)
+    job.step(articles(spark, ("1", "t", "cached", False)), 1)
+    assert {(r.id, r.source_id) for r in job.article.read(spark).collect()} == {("1", "t"), ("2", "u")}
+    assert {r.source_id: r.article_count for r in job.summary.read(spark).collect()} == {"t": 1, "u": 1}
+    assert {(r.source_id, r.id) for r in job.latest.read(spark).collect()} == {("t", "1"), ("u", "2")}
+
+
+def test_an_emptied_bucket_stays_empty_and_old_versions_go(spark, tmp_path):
+    from feedloom.streaming.tables import VersionedTable
+
+    table = VersionedTable(str(tmp_path / "t"), "k string, v int", "k", 1)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    table.update(rows, 0, lambda current, new: current.unionByName(new))
+    table.update(rows.filter("k = 'a'"), 1, lambda current, new: current.limit(0))
+    assert table.read(spark).count() == 0 and table.read(spark, 1).count() == 2
+    for k in range(2, 5):
+        table.update(rows, k, lambda current, new: new)
+    assert sorted(p.name for p in (tmp_path / "t" / "bucket=0").iterdir()) == ["version=3", "version=4"]
+    files = table.read(spark).inputFiles()
+    assert files and all("version=4" in f for f in files)
+
+
+def test_late_actions_and_failures_find_their_place(spark, tmp_path):
+    job = jobs.UserActions(str(tmp_path / "a"), buckets=2)
+    for k, m in enumerate([(1, "read"), (5, "toggle_read"), (3, "read"), (4, "toggle_read"), (2, "toggle_read")]):
+        job.step(actions(spark, ("a", *m)), k)
+    # In order: read 1, toggle 2, read 3, toggle 4, toggle 5.
+    assert [r.is_read for r in job.state.read(spark).collect()] == [True]
+    retry = jobs.RetryCounter(str(tmp_path / "r"), buckets=2)
+    for k, (m, outcome) in enumerate([(5, "ok"), (3, "failed"), (6, "failed"), (7, "failed"), (4, "refetch")]):
+        retry.step(spark.createDataFrame([("a", datetime(2024, 1, 1, 0, m), m, outcome)], "article_id string, ts timestamp, seq bigint, outcome string"), k)
+    assert [r.retry_count for r in retry.state.read(spark).collect()] == [2]
+
+
+def feed(spark, source, *links):
+    items = "".join(f"<item><title>{t}</title><link>{u}</link><pubDate>Mon, {d:02d} Jan 2024 00:00:00 GMT</pubDate></item>" for t, u, d in links)
+    xml = f"<?xml version='1.0'?><rss version='2.0'><channel><title>{source}</title>{items}</channel></rss>"
+    return spark.createDataFrame([(source, f"https://{source}.example.com/feed", xml, datetime(2024, 2, 1))],
+                                 "source_id string, feed_url string, xml string, fetched_at timestamp")
+
+
+def test_an_address_is_known_in_every_source_and_saved_rows_come_back(spark, tmp_path):
+    job = jobs.RefreshStream(str(tmp_path), limit=None, buckets=3)
+    job.load(articles(spark, ("9", S.SAVED_PAGES_ID, "cached", True), ("8", S.SAVED_PAGES_ID, "cached", True)), 0)
+    job.step(feed(spark, "s", ("One", "https://x.example.com/one", 1)), 1)
+    job.step(feed(spark, "t", ("Uno", "https://x.example.com/one", 1), ("Back", "https://x.example.com/9", 2)), 2)
+    job.step(feed(spark, "u", ("Back", "https://x.example.com/9", 2)), 3)
+    got = {(r.article_url[-3:], r.source_id) for r in job.article.read(spark).collect()}
+    assert got == {("one", "s"), ("m/9", "t"), ("m/8", S.SAVED_PAGES_ID)}
+
+
+def test_pruning_after_a_refresh(spark, tmp_path):
+    job = jobs.RefreshStream(str(tmp_path), limit=2, buckets=3)
+    job.load(articles(spark, ("1", "s", "cached", False), ("2", "s", "cached", True), ("3", "s", "cached", False), ("4", "s", "partial", False),
+                      ("5", "other", "cached", False)), 0)
+    job.step(feed(spark, "s", *[(f"N{k}", f"https://x.example.com/n{k}", k) for k in range(1, 5)]), 1)
+    got = {(r.article_url.rsplit("/")[-1], r.source_id) for r in job.article.read(spark).collect()}
+    assert got == {("2", S.SAVED_PAGES_ID), ("3", "s"), ("4", "s"), ("5", "other"), ("n3", "s"), ("n4", "s")}
+    known = {r.article_url.rsplit("/")[-1] for r in job.address.read(spark).collect()}
+    assert known == {"2", "3", "4", "5", "n3", "n4"}
