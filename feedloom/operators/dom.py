@@ -116,44 +116,48 @@ def prune(nodes: DataFrame, cond: Column) -> DataFrame:
 
 
 def unwrap(nodes: DataFrame, cond: Column) -> DataFrame:
-    """Remove the elements that satisfy ``cond`` and keep what they contain."""
+    """Remove the elements that satisfy ``cond`` and keep what they contain.
+
+    Only nodes inside a removed element look for it in their path.
+    """
     hit = F.coalesce(cond, F.lit(False))
-    gone = F.collect_set(F.when(hit, F.col("pre"))).over(Window.partitionBy("page_id"))
-    marked = nodes.withColumn("_hit", hit).withColumn("_gone", gone).filter(~F.col("_hit"))
-    path = F.when(
-        F.size("_gone") > 0,
-        F.filter("path", lambda p: ~F.array_contains(F.col("_gone"), p)),
-    ).otherwise(F.col("path"))
+    marked = nodes.withColumn("_hit", hit).withColumn("_within", inside(F.col("_hit")))
+    gone = F.collect_set(F.when(F.col("_hit"), F.col("pre"))).over(Window.partitionBy("page_id"))
+    marked = marked.withColumn("_gone", gone).filter(~F.col("_hit"))
+    path = F.when(F.col("_within"), F.array_except("path", "_gone")).otherwise(F.col("path"))
     return (
         marked.withColumn("path", path)
         .withColumn("parent", F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(-1)))
-        .drop("_hit", "_gone")
+        .drop("_hit", "_gone", "_within")
     )
 
 
-def fold_up(
-    nodes: DataFrame, inputs: dict[str, Column], aggs: dict[str, Column],
-    levels: int | None = None, where: Column | None = None,
-) -> DataFrame:
-    """Add aggregates over each node's descendants, or over those within ``levels`` below it.
+def subtree_sums(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add sums over each node and all its descendants.
 
-    ``inputs`` are computed per node; ``aggs`` may use them and ``level`` (0 is the node
-    itself). Only nodes that satisfy ``where`` report to their ancestors. Nodes are already
-    hashed by page, so the grouping on (page, node) adds no shuffle.
+    A node is an event where it starts and one where its subtree ends. A running sum over a
+    page's events, read at both, gives the subtree's sum: two narrow rows a node, whatever the
+    depth. Nodes are already hashed by page, so nothing is shuffled.
     """
-    own = nodes.columns
-    up = F.reverse("path") if levels is None else F.slice(F.reverse("path"), 1, levels)
-    if where is not None:
-        up = F.when(where, up).otherwise(F.array().cast("array<int>"))
-    ev = nodes.select("*", *[c.alias(n) for n, c in inputs.items()]).select(
-        "*", F.posexplode(F.concat(F.array("pre"), up)).alias("level", "_key")
-    )
-    me = F.first(F.when(F.col("level") == 0, F.struct(*own)), ignorenulls=True).alias("_me")
-    return (
-        ev.groupBy("page_id", "_key").agg(me, *[c.alias(n) for n, c in aggs.items()])
-        .filter(F.col("_me").isNotNull())
-        .select("_me.*", *aggs)
-    )
+    start = F.struct(F.col("pre").alias("at"), F.lit(0).alias("end"))
+    end = F.struct(F.col("last").alias("at"), F.lit(1).alias("end"))
+    events = nodes.select("page_id", "pre", *[c.alias(n) for n, c in values.items()], F.explode(F.array(start, end)).alias("_e"))
+    order = Window.partitionBy("page_id").orderBy("_e.at", "_e.end").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("_e.end") == 0
+    # At its start a node counts what came before it, at its end what came up to there.
+    run = {n: F.sum(F.when(begins, F.coalesce(F.col(n), F.lit(0))).otherwise(0)).over(order) for n in values}
+    seen = events.select("page_id", "pre", begins.alias("_b"), *[
+        F.when(begins, F.coalesce(F.col(n), F.lit(0)) - r).otherwise(r).alias(n) for n, r in run.items()])
+    sums = seen.groupBy("page_id", "pre").agg(*[F.sum(n).alias(n) for n in values])
+    return nodes.drop(*values).join(sums, ["page_id", "pre"])
+
+
+def near_sums(nodes: DataFrame, value: Column, names: tuple[str, ...]) -> DataFrame:
+    """Add sums of ``value`` over the nodes one level below, two levels below, and so on."""
+    given = nodes.select("page_id", "path", value.alias("_v")).filter(F.col("_v").isNotNull())
+    up = given.select("page_id", "_v", F.posexplode(F.slice(F.reverse("path"), 1, len(names))).alias("_level", "pre"))
+    sums = up.groupBy("page_id", "pre").agg(*[F.sum(F.when(F.col("_level") == k, F.col("_v"))).alias(n) for k, n in enumerate(names)])
+    return nodes.join(sums, ["page_id", "pre"], "left")
 
 
 def child_stats(nodes: DataFrame, allowed: dict[str, Column] | None = None) -> DataFrame:

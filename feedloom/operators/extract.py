@@ -33,16 +33,12 @@ def main_block(nodes: DataFrame) -> DataFrame:
     n = nodes.withColumn("_in_link", dom.inside(node_tag() == "a")).withColumn(
         "_chars", F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)
     )
-    n = dom.fold_up(
-        n,
-        {
-            "_c": F.col("_chars"),
-            "_l": F.when(F.col("_in_link"), F.col("_chars")).otherwise(0),
-            "_k": F.when(non_blank(), F.regexp_count("text", F.lit("[,，、]"))).otherwise(0),
-        },
-        {"chars": F.sum("_c"), "link_chars": F.sum("_l"), "commas": F.sum("_k")},
-        where=non_blank(),
-    ).filter(is_element())
+    # From here on no column of the page's content is needed.
+    n = n.select(
+        "page_id", "pre", "last", "tag", "path", F.col("_chars").alias("chars"),
+        F.when(F.col("_in_link"), F.col("_chars")).otherwise(0).alias("link_chars"),
+        F.when(non_blank(), F.regexp_count("text", F.lit("[,，、]"))).otherwise(0).alias("commas"))
+    n = dom.subtree_sums(n, {c: F.col(c) for c in ("chars", "link_chars", "commas")}).filter(is_element())
     points = F.when(
         node_tag().isin(*SCORED_TAGS) & (F.col("chars") >= MIN_PARAGRAPH_CHARS),
         1 + F.col("commas") + F.least(F.floor(F.col("chars") / 100), F.lit(3)),
@@ -50,14 +46,7 @@ def main_block(nodes: DataFrame) -> DataFrame:
     n = n.withColumn("_points", points).withColumn(
         "_bonus", F.when(node_tag().isin("article", "section", "div"), 5).when(node_tag().isin("pre", "td", "blockquote"), 3).otherwise(0)
     )
-    n = dom.fold_up(
-        n, {"_pt": F.col("_points")},
-        {
-            "_near": F.sum(F.when(F.col("level") == 1, F.col("_pt"))),
-            "_far": F.sum(F.when(F.col("level") == 2, F.col("_pt"))),
-        },
-        levels=2, where=F.col("_points").isNotNull(),
-    )
+    n = dom.near_sums(n, F.col("_points"), ("_near", "_far"))
     raw = F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0)) / 2
     score = (raw + F.col("_bonus")) * (1 - F.col("link_chars") / F.greatest("chars", F.lit(1)))
     # Candidates first, then the body, then the root.

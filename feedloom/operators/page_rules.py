@@ -213,10 +213,7 @@ def strip_thumbnail_cards(nodes: DataFrame, page_path: Column) -> DataFrame:
     small = is_img() & ((img_width() <= 240) | (img_height() <= 160))
     d = nodes.withColumn("_small_link", (node_tag() == "a") & elsewhere & dom.contains(F.coalesce(small, F.lit(False))))
     d = d.withColumn("_head_link", (node_tag() == "a") & has_attr("href") & dom.inside(node_tag().isin("h2", "h3", "h4", "h5", "h6")))
-    d = dom.fold_up(
-        d, {"_len": F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)},
-        {"_chars": F.sum("_len")}, where=non_blank(),
-    )
+    d = dom.subtree_sums(d, {"_chars": F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)})
     d = d.withColumn(
         "_card",
         node_tag().isin("div", "li", "article") & (F.col("_chars") < 500)

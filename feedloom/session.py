@@ -22,6 +22,9 @@ _RUNTIME = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+# Settings of a context, for sessions built here: checkpoints go when nothing refers to them.
+_CONTEXT = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 _SHIPPED = "feedloom-workers.zip"
 
 
@@ -51,7 +54,7 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**_RUNTIME, **conf}.items():
+    for key, value in {**_CONTEXT, **_RUNTIME, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
