@@ -94,7 +94,8 @@ def new_items(items: DataFrame, article: DataFrame) -> DataFrame:
     Non-article addresses are skipped before a title is reserved; both keys are distinct in
     the result.
     """
-    fresh = items.filter(~urls.is_non_article_url(F.col("url")))
+    # Decided on narrow rows; the content joins once, at the end.
+    fresh = items.select("source_id", "pos", "url", "title", "published_at").filter(~urls.is_non_article_url(F.col("url")))
     known_urls = article.select(F.col("article_url").alias("url"))
     known_titles = article.select("source_id", "title").distinct()
     order = [F.col("published_at").isNull(), -F.unix_micros("published_at"), F.col("pos")]
@@ -104,7 +105,7 @@ def new_items(items: DataFrame, article: DataFrame) -> DataFrame:
         known_titles, ["source_id", "title"], "left_anti"
     )
     once = first_per_key(kept, ["url"], [F.col("source_id"), *order], ["source_id", "pos"])
-    return kept.join(once, ["source_id", "pos", "url"], "left_semi")
+    return items.join(once, ["source_id", "pos", "url"], "left_semi")
 
 
 def resolve_redirects(items: DataFrame, redirect: DataFrame, article: DataFrame) -> DataFrame:

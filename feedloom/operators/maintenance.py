@@ -83,15 +83,14 @@ def reset_stuck(article: DataFrame) -> DataFrame:
 
 def reset_missing(article: DataFrame, content: DataFrame) -> DataFrame:
     """UPD-06: readable articles without usable content wait again."""
-    lost = missing_content(article, content).select("id", F.lit(True).alias("_lost"))
-    d = article.join(lost, "id", "left")
-    gone = F.coalesce("_lost", F.lit(False))
-    return (
-        d.withColumn("fetch_status", F.when(gone, "pending").otherwise(F.col("fetch_status")))
-        .withColumn("cached_at", F.when(~gone, F.col("cached_at")))
-        .withColumn("cache_size_bytes", F.when(~gone, F.col("cache_size_bytes")))
-        .drop("_lost")
-    )
+    have = content.select(F.col("article_id").alias("id"), F.col("content_chars").alias("_chars"))
+    d = article.join(have, "id", "left")
+    gone = F.col("fetch_status").isin(*S.READABLE) & (F.coalesce("_chars", F.lit(0)) < S.MIN_CONTENT_CHARS)
+    return d.withColumns({
+        "fetch_status": F.when(gone, "pending").otherwise(F.col("fetch_status")),
+        "cached_at": F.when(~F.coalesce(gone, F.lit(False)), F.col("cached_at")),
+        "cache_size_bytes": F.when(~F.coalesce(gone, F.lit(False)), F.col("cache_size_bytes")),
+    }).drop("_chars")
 
 
 def drop_lost_pages(page: DataFrame, article: DataFrame, content: DataFrame) -> DataFrame:
