@@ -1,7 +1,7 @@
 """Language of web pages from fused evidence.
 
 A page's posterior adds up the logarithms of
-* the likelihood of its words and letter triples under each language's hashed multinomial,
+* the likelihood of its words and word ends under each language's hashed multinomial,
   counted over all documents of known language;
 * the language its markup declares, and the language its address suffix suggests, each as a
   confusion table learned from the pages' text alone;
@@ -20,7 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedloom.llm.common import WORD_BREAK, keep
+from feedloom.llm.common import keep
 from feedloom.llm.quality_rules import let
 
 BUCKETS = 1 << 13
@@ -34,15 +34,15 @@ SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "e
 
 
 def _features(text: Column) -> Column:
-    """Buckets of a text's lower-case words, and of their letter triples with word ends."""
-    words = F.filter(F.split(F.lower(text), WORD_BREAK + r"|[\p{P}\p{S}\p{N}]+"), lambda w: w != "")
+    """Buckets of a text's lower-case words, and of the words' last three letters."""
+    words = F.split(F.lower(text), r"[\x20\x09-\x0D\p{P}\p{S}\p{N}]+")
 
-    def triples(w: Column) -> Column:
-        marked = F.concat(F.lit("^"), w, F.lit("$"))
-        return let(marked, lambda m: F.transform(F.sequence(F.lit(1), F.length(m) - 2), lambda i: F.substring(m, i, F.lit(3))))
+    def hashed(w: Column) -> Column:
+        ends = F.transform(w, lambda x: F.xxhash64(F.lit("$"), F.substring(x, -3, 3)))
+        return F.concat(F.transform(w, lambda x: F.xxhash64(x)), ends)
 
-    grams = let(words, lambda ws: F.concat(ws, F.flatten(F.transform(ws, triples))))
-    return F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
+    grams = let(F.filter(words, lambda x: x != ""), hashed)
+    return F.transform(grams, lambda g: F.pmod(g, F.lit(BUCKETS)).cast("int"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[list[float]]]:
@@ -50,16 +50,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
 
     Counted over all documents with a language. What returns is a row a bucket and language.
     """
-    counts = (
-        docs.filter(F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).alias("_lang"), F.explode_outer(_features(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("_b"))
-        .groupBy("_lang", "_b").count().filter(F.col("_b").isNotNull()).collect()
-    )
+    grams = docs.filter(F.col(lang_col).isNotNull()).select(
+        F.col(lang_col).alias("_lang"), _features(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_grams"))
+    # The outer form, and no filter after it: either would have the features made again.
+    counts = grams.select("_lang", F.explode_outer("_grams").alias("_b")).groupBy("_lang", "_b").count().collect()
+    counts = [r for r in counts if r["_b"] is not None]
     langs = sorted({r["_lang"] for r in counts})
     table = {g: [1] * BUCKETS for g in langs}
     for r in counts:
         table[r["_lang"]][r["_b"]] += r["count"]
-    return langs, [[math.log(c / sum(table[g])) for c in table[g]] for g in langs]
+    totals = {g: sum(table[g]) for g in langs}
+    return langs, [[math.log(c / totals[g]) for c in table[g]] for g in langs]
 
 
 def _constant(values: list[float]) -> Column:
