@@ -27,7 +27,8 @@ BUCKETS = 1 << 13
 STRENGTH = 5.0
 # Words of a text weigh like so many independent ones at most: neighbours depend on each other.
 EVIDENCE = 40.0
-MARKUP = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)|<[^>]*>"
+# Markup, code, and parts that are the site's rather than the page's, where they are closed.
+MARKUP = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<(nav|footer|aside|form)\b.*?</\3\s*>|<!--.*?(-->|\z)|<[^>]*>"
 # Suffixes that suggest a language; others suggest none.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en",
             "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
