@@ -1,7 +1,7 @@
 """Language of web pages from fused evidence.
 
 A page's posterior adds up the logarithms of
-* the likelihood of its words and word ends under each language's hashed multinomial,
+* the likelihood of its words and letter triples under each language's hashed multinomial,
   counted over all documents of known language;
 * the language its markup declares, and the language its address suffix suggests, each as a
   confusion table learned from the pages' text alone;
@@ -28,19 +28,23 @@ STRENGTH = 5.0
 # Words of a text weigh like so many independent ones at most: neighbours depend on each other.
 EVIDENCE = 40.0
 # Markup, code, and parts that are the site's rather than the page's, where they are closed.
-MARKUP = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<(nav|footer|aside|form)\b.*?</\3\s*>|<!--.*?(-->|\z)|<[^>]*>"
+MARKUP = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<(nav|footer|aside|form)\b.*?</\3\s*>|<(div|ins)\b[^>]*\bclass\s*=\s*[\"']?(?:[^\"'>]*\s)?ads?(?=[\s\"'>])[^>]*>.*?</\4\s*>|<!--.*?(-->|\z)|<[^>]*>"
 # Suffixes that suggest a language; others suggest none.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en",
             "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 
 
 def _features(text: Column) -> Column:
-    """Buckets of a text's lower-case words, and of the words' last three letters."""
+    """Buckets of a text's lower-case words, and of their letter triples with word ends."""
     words = F.split(F.lower(text), r"[\x20\x09-\x0D\p{P}\p{S}\p{N}]+")
 
-    def hashed(w: Column) -> Column:
-        ends = F.transform(w, lambda x: F.xxhash64(F.lit("$"), F.substring(x, -3, 3)))
-        return F.concat(F.transform(w, lambda x: F.xxhash64(x)), ends)
+    def triples(w: Column) -> Column:
+        # Letters are taken apart once: a substring would search each from the word's beginning.
+        return let(F.split(F.concat(F.lit("^"), w, F.lit("$")), ""), lambda m: F.transform(
+            F.sequence(F.lit(0), F.size(m) - 3), lambda i: F.xxhash64(F.get(m, i), F.get(m, i + 1), F.get(m, i + 2))))
+
+    def hashed(ws: Column) -> Column:
+        return F.concat(F.transform(ws, lambda x: F.xxhash64(x)), F.flatten(F.transform(ws, triples)))
 
     grams = let(F.filter(words, lambda x: x != ""), hashed)
     return F.transform(grams, lambda g: F.pmod(g, F.lit(BUCKETS)).cast("int"))

@@ -76,3 +76,16 @@ def test_host_prior_decides_where_the_text_says_nothing(spark):
     rows += [(100 + i, "http://b.other.com/x", "<p>the of and to</p>") for i in range(60)] + [(51, "http://b.other.com/y", "")]
     got = {r.page_id: r.lang for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
     assert got[50] == "de" and got[51] == "en"
+
+
+def test_languages_without_blanks(spark):
+    docs = spark.createDataFrame([
+        ("我们今天在北京的大学里学习中文。他们昨天在上海的公司里工作。", "zh"), ("私たちは今日東京の大学で日本語を勉強しています。彼らは昨日大阪の会社で働いていました。", "ja"),
+        ("วันนี้เราเรียนภาษาไทยที่มหาวิทยาลัยในกรุงเทพ เมื่อวานนี้พวกเขาทำงานที่บริษัทในเชียงใหม่", "th"), ("the of and to " * 5, "en")],
+        "text string, lang string")
+    # Other clauses of the same languages, none of them a word, or a word's end, of the documents.
+    pages = {1: ("zh", "明天我们在上海的大学里学习数学"), 2: ("ja", "明日私たちは大阪の大学で数学を勉強していますよ"),
+             3: ("th", "พรุ่งนี้เราทำงานที่มหาวิทยาลัยในเชียงใหม่ครับ"), 4: ("en", "andof theto" * 3)}
+    rows = spark.createDataFrame([(k, None, f"<p>{t}</p>") for k, (_, t) in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text_lang for r in langid.identify(rows, docs).collect()}
+    assert got == {k: lang for k, (lang, _) in pages.items()}
