@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from feedloom.sources.html import _CLOSES_P, _P_SCOPE, _SAME_LEVEL
+
 WINDOW = 3
 SURGE = 60  # characters in a window
 LINKED = 0.5  # share of a line's text in links from which it counts as navigation
@@ -33,28 +36,65 @@ SKIPPED = frozenset(
     "dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title"))
-# Words of class, id and role that mark a part as something other than the article.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|breadcrumbs?|comments?|commentlist|cookies?|consent|contentinfo|"
-    r"disqus|footer|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|reply|replies|"
-    r"respond|search|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|alert)(?:$|[\s_-])", re.I)
-# The same, but not inside an article, where they hold its title.
-HEADING = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead)(?:$|[\s_-])", re.I)
+# Words of class, id and role that mark a part as something other than the article, where a whole
+# token of the list is made of them and of words for place and shape: cookie-notice, left-sidebar,
+# not has-sidebar or search-page.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies consent contentinfo footer menu modal nav "
+    "navbar navigation newsletter notice popup promo promoted related search share sharing sidebar social sponsor sponsored "
+    "subscribe toolbar widget complementary alert".split())
+# What readers add; it is the main text only of a page with nothing else.
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+# Only outside an article; inside, they hold its title.
+HEADINGS = frozenset("banner header masthead".split())
+SHAPES = frozenset(
+    "area bar bottom box button buttons container form inner item items left link links list main post posts primary right secondary "
+    "section site slot top wrap wrapper".split())
+CLOSES_P = _CLOSES_P | {"center", "dialog", "hgroup", "summary"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</\s*([a-zA-Z][^\s/>]*)[^>]*>"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+@lru_cache(4096)
+def _part(marks: str, article: bool) -> str:
+    """What the words say an element is: a "part", "talk", or nothing."""
+    for token in marks.lower().split():
+        words = {w for w in re.split(r"[_-]+", token) if w}
+        for kind, named in (("talk", TALK), ("part", PARTS if article else PARTS | HEADINGS)):
+            if words & named and words <= named | TALK | PARTS | SHAPES:
+                return kind
+    return ""
+
+
 def lines_of(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Text lines, their length outside links, and whether they lie in an article or main tag."""
+    """Text lines, their length outside links, and whether they lie in an article or main tag.
+
+    A word of class, id or role does not hide an element that holds the article or main tag, or
+    most of the page's unlinked text.
+    """
+    *found, parts, total = _read(html, None)
+    if parts:
+        shown = {k for k, (kind, size, holds) in enumerate(parts)
+                 if holds or (2 * size > total if kind == "part" else total - size < SURGE)}
+        *found, _, _ = _read(html, shown)
+    return tuple(found)
+
+
+def _read(html: str, shown: set[int] | None):
+    """``lines_of`` with the parts numbered in ``shown`` (None: all) not hidden; and of each part
+    its kind, its unlinked letters, and whether it holds an article or main tag; and all letters."""
     lines, unlinked, inside = [], [], []
     text, plain = [], []
-    # Open elements as (tag, whether it hides its content, whether it is the article).
-    stack: list[tuple[str, bool, bool]] = []
-    hidden = article = linked = 0
+    # Open elements as (tag, whether it hides its content, whether it is the article, whether it
+    # is a link, its number among the parts).
+    stack: list[tuple[str, bool, bool, bool, int | None]] = []
+    parts: list[list] = []
+    hidden = article = linked = articles = letters = 0
 
     def close_line() -> None:
         line = _SPACE.sub(" ", unescape("".join(text))).strip()
@@ -66,17 +106,34 @@ def lines_of(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         plain.clear()
 
     def add(data: str) -> None:
+        nonlocal letters
         if data and not hidden:
             text.append(data)
             if not linked:
                 plain.append(data)
+                letters += len(data.strip())
 
-    def pop() -> None:
+    def pop(i: int = -1) -> None:
         nonlocal hidden, article, linked
-        tag, hides, holds = stack.pop()
+        tag, hides, holds, links, part = stack.pop(i)
         hidden -= hides
         article -= holds
-        linked -= tag == "a"
+        linked -= links
+        if part is not None:
+            kind, size, before = parts[part]
+            parts[part] = [kind, letters - size, articles > before]
+
+    def close(tags, scope=()) -> None:
+        """The nearest open one of the tags; a link alone, without what was opened in it."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                if stack[i][0] == "a":
+                    return pop(i)
+                while len(stack) > i:
+                    pop()
+                return
+            if stack[i][0] in scope:
+                return
 
     at = 0
     while m := _TOKEN.search(html, at):
@@ -86,24 +143,22 @@ def lines_of(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         if closed:
             if closed in BLOCKS:
                 close_line()
-            if any(tag == closed for tag, *_ in stack):
-                while stack[-1][0] != closed:
-                    pop()
-                pop()
+            close({closed}, _P_SCOPE if closed in ("p", "a") else ())
         elif opened:
             if opened in BLOCKS:
                 close_line()
+            if opened in CLOSES_P:
+                close({"p"}, _P_SCOPE)
+            if opened in _SAME_LEVEL:
+                close(*_SAME_LEVEL[opened])
+            if opened == "a":
+                close({"a"}, _P_SCOPE)
             if opened in VOID:
                 continue
             attrs = m.group(3)
             marks = " ".join(a or b or c for a, b, c in _MARK.findall(attrs))
             holds = opened in ("article", "main")
-            hides = (
-                opened in SKIPPED and not (opened == "header" and article)
-                or opened not in ("html", "body", "article", "main") and bool(
-                    NOT_ARTICLE.search(marks) or not article and HEADING.search(marks))
-                or bool(_HIDDEN.search(attrs))
-            )
+            hides = opened in SKIPPED and not (opened == "header" and article) or bool(_HIDDEN.search(attrs))
             if opened in RAW:  # up to its own end tag, whatever stands between
                 end = re.compile(rf"</\s*{opened}\b[^>]*>", re.I).search(html, at)
                 if not hides and opened != "title":
@@ -111,13 +166,21 @@ def lines_of(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
                 at = end.end() if end else len(html)
                 continue
             if not attrs.rstrip().endswith("/"):
-                stack.append((opened, hides, holds))
+                kind = "" if hides or holds or opened in ("html", "body") else _part(marks, article > 0)
+                if kind:
+                    parts.append([kind, letters, articles])
+                    hides = shown is not None and len(parts) - 1 not in shown
+                links = opened == "a" and bool(_HREF.search(attrs))
+                stack.append((opened, hides, holds, links, len(parts) - 1 if kind else None))
                 hidden += hides
                 article += holds
-                linked += opened == "a"
+                articles += holds
+                linked += links
     add(html[at:])
     close_line()
-    return lines, np.array(unlinked, np.int64), np.array(inside, bool)
+    while stack:
+        pop()
+    return lines, np.array(unlinked, np.int64), np.array(inside, bool), parts, letters
 
 
 def stretches(weight: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:

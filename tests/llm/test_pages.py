@@ -22,6 +22,20 @@ def test_main_text(html, want):
     assert line_blocks.main_text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    *[(f"<div class='{c}'>{LONG}</div><p>{TEXT}", f"{TEXT}\n\n{TEXT}") for c in ("layout has-sidebar", "no-sidebar", "elementor-widget-container", "search-page")],
+    (f"<div class='layout widget'><article>{LONG}</article><div class='ad'>{LONG}</div></div>", TEXT),
+    (f"<div class='widget'>{LONG}{LONG}</div>{LONG}", f"{TEXT}\n\n{TEXT}\n\n{TEXT}"),
+    (f"{LONG}<div class='comment-list'>{LONG}{LONG}</div>", TEXT),
+    (f"<div><p class='ad'>Buy this.{LONG}<p class=notice>Note.<p>{TEXT}</div>", f"{TEXT}\n\n{TEXT}"),
+    (f"<ul><li class=ad>Buy.<li>{TEXT}</ul>", TEXT),
+    (f"<div><a name=x>{LONG}</div>{LONG}", f"{TEXT}\n\n{TEXT}"),
+    (f"<p><a href=x>One <a href=y>Two</a> {TEXT}", f"One Two {TEXT}"),
+])
+def test_nothing_hides_the_text(html, want):
+    assert line_blocks.main_text(html) == want
+
+
 def test_surge_and_dive():
     weight = [0, 3, 0, 0, 90, 10, 0, 0, 80, 0, 0, 0, 0, 5]
     assert [i for i, k in enumerate(line_blocks.stretches(__import__("numpy").array(weight), 3, 60)) if k] == [4, 5, 6, 7, 8]
