@@ -7,8 +7,9 @@ closes it. What lies in parts that are not the article by their own tags (menus,
 forms, scripts, comments and the like) never becomes a line; short lines inside a stretch are
 kept, so that headings and short paragraphs between long ones survive.
 
-Where a page marks its article by a tag, lines outside weigh nothing and any text inside is a
-surge; on other pages the lengths alone decide. Everything happens in a page's row: map side only.
+Surge and dive run on all lines of every page. An article or main tag is a bonus: a line inside
+weighs a surge more, links and all. What surges outside is left out only where one such element
+outweighs all of it; where it is by far the heavier, tagged parts are teasers. Everything happens in a page's row: map side only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from feedloom.sources.html import _CLOSES_P, _P_SCOPE, _SAME_LEVEL
 
 WINDOW = 3
 SURGE = 60  # characters in a window
+TAGGED = 1.5  # how much more a letter weighs in an article or main tag, against those outside
+TEASER = 3  # text outside outweighs each of several articles so many times: they are teasers
 LINKED = 0.5  # share of a line's text in links from which it counts as navigation
 
 BLOCKS = frozenset(
@@ -40,11 +43,14 @@ RAW = frozenset(("script", "style", "textarea", "title"))
 # token of the list is made of them and of words for place and shape: cookie-notice, left-sidebar,
 # not has-sidebar or search-page.
 PARTS = frozenset(
-    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs cookie cookies consent contentinfo footer menu modal nav "
+    "breadcrumb breadcrumbs contentinfo footer menu modal nav "
     "navbar navigation newsletter notice popup promo promoted related search share sharing sidebar social sponsor sponsored "
     "subscribe toolbar widget complementary alert".split())
-# What readers add; it is the main text only of a page with nothing else.
-TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+# What readers add and what sellers and consent tools do; it is the main text only of a page with
+# nothing else.
+TALK = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments commentlist consent cookie cookies disqus reply replies "
+    "respond".split())
 # Only outside an article; inside, they hold its title.
 HEADINGS = frozenset("banner header masthead".split())
 SHAPES = frozenset(
@@ -72,7 +78,8 @@ def _part(marks: str, article: bool) -> str:
 
 
 def lines_of(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Text lines, their length outside links, and whether they lie in an article or main tag.
+    """Text lines, their length outside links, and the number of the outermost article or main
+    element they lie in, 0 outside.
 
     A word of class, id or role does not hide an element that holds the article or main tag, or
     most of the page's unlinked text.
@@ -80,7 +87,7 @@ def lines_of(html: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     *found, parts, total = _read(html, None)
     if parts:
         shown = {k for k, (kind, size, holds) in enumerate(parts)
-                 if holds or (2 * size > total if kind == "part" else total - size < SURGE)}
+                 if holds or size >= SURGE and (2 * size > total if kind == "part" else not found[2].any() and total - size < SURGE)}
         *found, _, _ = _read(html, shown)
     return tuple(found)
 
@@ -94,14 +101,14 @@ def _read(html: str, shown: set[int] | None):
     # is a link, its number among the parts).
     stack: list[tuple[str, bool, bool, bool, int | None]] = []
     parts: list[list] = []
-    hidden = article = linked = articles = letters = 0
+    hidden = article = linked = articles = outermost = letters = 0
 
     def close_line() -> None:
         line = _SPACE.sub(" ", unescape("".join(text))).strip()
         if line:
             lines.append(line)
             unlinked.append(len(_SPACE.sub(" ", unescape("".join(plain))).strip()))
-            inside.append(article > 0)
+            inside.append(outermost if article else 0)
         text.clear()
         plain.clear()
 
@@ -173,6 +180,7 @@ def _read(html: str, shown: set[int] | None):
                 links = opened == "a" and bool(_HREF.search(attrs))
                 stack.append((opened, hides, holds, links, len(parts) - 1 if kind else None))
                 hidden += hides
+                outermost += holds and not article
                 article += holds
                 articles += holds
                 linked += links
@@ -180,7 +188,7 @@ def _read(html: str, shown: set[int] | None):
     close_line()
     while stack:
         pop()
-    return lines, np.array(unlinked, np.int64), np.array(inside, bool), parts, letters
+    return lines, np.array(unlinked, np.int64), np.array(inside, np.int64), parts, letters
 
 
 def stretches(weight: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
@@ -206,13 +214,18 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     if not lines:
         return ""
     length = np.array([len(x) for x in lines])
-    if inside.any():
-        weight, surge = np.where(inside, length, 0), 1
-    else:
-        weight = np.where(unlinked < LINKED * length, 0, unlinked)
-    kept = stretches(weight, window, surge)
+    plain = np.where(unlinked < LINKED * length, 0, unlinked)
+    weight = np.where(inside > 0, length + surge, plain)
+    kept = np.where(inside > 0, stretches(weight, window, surge), stretches(plain, window, surge))
     if not kept.any():  # a page of a few words
         kept = weight > 0
+    tagged = np.bincount(inside, np.where(kept, plain, 0))
+    if len(tagged) > 1 and tagged[0]:
+        outside, tagged = tagged[0], tagged[1:] * TAGGED
+        if tagged.max() >= outside:
+            kept &= inside > 0
+        elif (tagged > 0).sum() > 1 and tagged.max() * TEASER <= outside * TAGGED:
+            kept &= inside == 0
     return "\n\n".join(x for x, k, w in zip(lines, kept, weight) if k and w > 0)
 
 

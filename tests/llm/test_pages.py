@@ -36,6 +36,18 @@ def test_nothing_hides_the_text(html, want):
     assert line_blocks.main_text(html) == want
 
 
+def test_article_tags_are_a_bonus(spark, sf):
+    cards = "".join(f"<article><h2><a href=/{i}>Card {i}</a></h2><p>A few words of a teaser that leads elsewhere.</article>" for i in range(6))
+    for page in (f"<div>{LONG}{LONG}{LONG}</div>{cards}", f"{cards}<div>{LONG}<p>Short.</p>{LONG}{LONG}</div>"):
+        got = line_blocks.main_text(page)
+        assert got.count(TEXT) == 3 and "Card" not in got
+    assert line_blocks.main_text(f"<article>{LONG}</article><div>{LONG}{LONG}</div>").count(TEXT) == 3
+    # Without the tags, most pages of the table give the same.
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    same = [line_blocks.main_text(h) == line_blocks.main_text(re.sub(r"</?(?:article|main)\b[^>]*>", "", h)) for h in pages]
+    assert sum(same) / len(same) > 0.9
+
+
 def test_surge_and_dive():
     weight = [0, 3, 0, 0, 90, 10, 0, 0, 80, 0, 0, 0, 0, 5]
     assert [i for i, k in enumerate(line_blocks.stretches(__import__("numpy").array(weight), 3, 60)) if k] == [4, 5, 6, 7, 8]
