@@ -27,8 +27,10 @@ BUCKETS = 1 << 13
 STRENGTH = 5.0
 # Words of a text weigh like so many independent ones at most: neighbours depend on each other.
 EVIDENCE = 40.0
-# Markup, code, and parts that are the site's rather than the page's, where they are closed.
-MARKUP = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<(nav|footer|aside|form)\b.*?</\3\s*>|<(div|ins)\b[^>]*\bclass\s*=\s*[\"']?(?:[^\"'>]*\s)?ads?(?=[\s\"'>])[^>]*>.*?</\4\s*>|<!--.*?(-->|\z)|<[^>]*>"
+# Markup and code.
+MARKUP = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<!--.*?(-->|\z)|<[^>]*>"
+# The same with controls, and parts that are the site's rather than the page's, where they are closed.
+SITE = r"(?is)<(script|style|noscript|template)\b.*?(</\1\s*>|\z)|<(nav|footer|aside|select|option|button|textarea|label)\b.*?</\3\s*>|<(div|ins)\b[^>]*\bclass\s*=\s*[\"']?(?:[^\"'>]*\s)?ads?(?=[\s\"'>])[^>]*>.*?</\4\s*>|<!--.*?(-->|\z)|<[^>]*>"
 # Suffixes that suggest a language; others suggest none.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en",
             "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
@@ -93,7 +95,11 @@ def _text_logs(text: Column, weights: list[list[float]]) -> Column:
 
 
 def text_of(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html.cast("string"), F.lit("")), MARKUP, " ")
+    """Text without controls and the site's parts; with them, where no letter is left."""
+    def own(h: Column) -> Column:
+        return let(F.regexp_replace(h, SITE, " "), lambda t: F.when(t.rlike(r"\p{L}"), t).otherwise(F.regexp_replace(h, MARKUP, " ")))
+
+    return let(F.coalesce(html.cast("string"), F.lit("")), own)
 
 
 def evidence(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> dict[str, Column]:

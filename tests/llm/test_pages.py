@@ -115,3 +115,11 @@ def test_languages_without_blanks(spark):
     rows = spark.createDataFrame([(k, None, f"<p>{t}</p>") for k, (_, t) in pages.items()], "page_id long, url string, html string")
     got = {r.page_id: r.text_lang for r in langid.identify(rows, docs).collect()}
     assert got == {k: lang for k, (lang, _) in pages.items()}
+
+
+def test_forms_and_asides_with_the_whole_text_speak(spark):
+    pages = {"form": "<form><select><option>the of</select><label>and</label><p>und der die das</p></form>",
+             "aside": "<body><aside><p>und der die das</p></aside></body>", "nav": "<nav>the of</nav><p>und der</p>", "none": "<nav></nav>"}
+    rows = spark.createDataFrame(list(pages.items()), "k string, html string")
+    got = {r.k: " ".join(r.t.split()) for r in rows.select("k", langid.text_of(rows.html).alias("t")).collect()}
+    assert got == {"form": "und der die das", "aside": "und der die das", "nav": "und der", "none": ""}
