@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedloom.llm import ann, bpe, compress_quality, langid, line_blocks, packing, quality_rules, roles, sharding, simhash
+from feedloom.llm import (
+    ann, bpe, compress_quality, langid, lexical, line_blocks, packing, quality_rules, roles, sharding, simhash, threshold_search, whitening,
+)
 from feedloom.llm.common import table
 from feedloom.session import configure
 
@@ -74,6 +76,21 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_uniform_threshold(spark, sf_dir):
+    return threshold_search.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_spectrum_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_dual_tree(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
@@ -84,5 +101,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of these can be stated in SQL; tests/llm compares them with brute force."""
-    return {}
+    """Of those that SQL can state; tests/llm compares the others with brute force."""
+    return {"op11_uniform_threshold": threshold_search.SQL, "op13_dual_tree": lexical.SQL}
