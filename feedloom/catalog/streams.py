@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedloom import schema as S
 from feedloom.catalog import derive as D
 from feedloom.catalog.registry import big, query, ts
+from feedloom.operators import library as L
 from feedloom.session import shared_dir
 from feedloom.streaming import jobs
-from feedloom.streaming.tables import Snapshot, run
+from feedloom.streaming.tables import run
+from feedloom.streaming.timers import StaleClock
 
 HIDDEN = S.SAVED_PAGES_ID
 R = "fetch_status IN ('cached', 'partial')"
@@ -20,21 +22,20 @@ M = "coalesce(published_at, added_at)"
 PARTS, BUCKETS = 3, 4
 
 
-def replay(spark: SparkSession, df: DataFrame, part, root: str) -> DataFrame:
-    """A stream over files written one after another, so that they arrive in order."""
-    staged = df.withColumn("_part", part)
-    for i in range(PARTS):
-        staged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{root}/input")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/input")
-
-
 def root_dir(spark, name: str) -> str:
     return f"{shared_dir(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, step, root: str) -> None:
-    q = run(stream, step, f"{root}/checkpoint")
-    q.awaitTermination()
+def drain(df: DataFrame, part, step, root: str) -> None:
+    """Give a job the rows in ``PARTS`` micro-batches, part 0 first.
+
+    Every part is written with its own partitions, then the stream runs until its input is used
+    up; it goes on from its checkpoint with the next part.
+    """
+    spark, staged = df.sparkSession, df.withColumn("_part", part)
+    for i in range(PARTS):
+        staged.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{root}/input")
+        run(spark.readStream.schema(df.schema).parquet(f"{root}/input"), step, f"{root}/checkpoint").awaitTermination()
 
 
 def _thirds(c: str):
@@ -50,7 +51,7 @@ def _live(spark, sf) -> jobs.LiveLibrary:
         "source_id", F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, "elsewhere").otherwise(F.col("source_id")))
     changes = early.unionByName(final)
     live = jobs.LiveLibrary(root, buckets=BUCKETS)
-    drain(replay(spark, changes, F.expr("CASE change_at WHEN 1 THEN 0 ELSE cast(1 + pmod(xxhash64(id), 2) AS int) END"), root), live.step, root)
+    drain(changes, F.expr("CASE change_at WHEN 1 THEN 0 ELSE cast(1 + pmod(xxhash64(id), 2) AS int) END"), live.step, root)
     return live
 
 
@@ -70,12 +71,6 @@ def live_list(spark, sf):
 
 
 @query("str_02_live_carousels", f"""
-SELECT 'balanced' AS list, id FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {M} DESC, id) AS turn,
-    max({M}) OVER (PARTITION BY source_id) AS newest FROM t_article WHERE {R} AND source_id <> '{HIDDEN}' AND thumbnail_url IS NOT NULL
-  ORDER BY turn, newest DESC, source_id LIMIT 30)
-UNION ALL SELECT 'saved', id FROM (SELECT id FROM t_article WHERE is_saved AND fetch_status <> 'failed' AND thumbnail_url IS NOT NULL
-  ORDER BY saved_at DESC, added_at DESC, id LIMIT 10)""")
-@query("str_08_snapshots", f"""
 SELECT 'balanced' AS list, id FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY {M} DESC, id) AS turn,
     max({M}) OVER (PARTITION BY source_id) AS newest FROM t_article WHERE {R} AND source_id <> '{HIDDEN}' AND thumbnail_url IS NOT NULL
   ORDER BY turn, newest DESC, source_id LIMIT 30)
@@ -87,6 +82,17 @@ def live_carousels(spark, sf):
         live.saved.read(spark).select(F.lit("saved").alias("list"), "id"))
 
 
+_WIDGETS = " UNION ALL ".join(
+    f"""SELECT '{size}' AS size, id, rn FROM (SELECT id, row_number() OVER (ORDER BY {M} DESC, id) AS rn FROM t_article
+        WHERE {R} AND source_id <> '{HIDDEN}' {'' if size in jobs.ACCESSORIES else 'AND thumbnail_url IS NOT NULL'}) WHERE rn <= {k}"""
+    for size, k in L.DISPLAY_ROWS.items())
+
+
+@query("str_08_snapshots", f"SELECT * FROM ({_WIDGETS})")
+def widget_snapshots(spark, sf):
+    return _live(spark, sf).widgets.read(spark).select("size", "id", big("rn"))
+
+
 @query("str_03_refresh_stream", r"""
 , x AS (SELECT doc_id, source AS source_id, d_url AS url, d_published AS published_at,
     trim(CASE WHEN contains(d_title, '&') THEN replace(d_title, '&amp;', '&') ELSE d_title END) AS title, doc_id // 320 AS chunk FROM t_doc),
@@ -98,7 +104,7 @@ def refresh_stream(spark, sf):
         F.regexp_extract("feed_url", "https://([^.]+)", 1).alias("source_id"), "feed_url", "xml",
         F.expr("timestamp'2024-02-01'").alias("fetched_at"))
     job = jobs.RefreshStream(root, limit=None, buckets=BUCKETS)
-    drain(replay(spark, docs, _thirds("feed_url"), root), job.step, root)
+    drain(docs, _thirds("feed_url"), job.step, root)
     return job.article.read(spark).groupBy("source_id").agg(F.count("*").alias("pending"))
 
 
@@ -109,7 +115,7 @@ def refresh_pruned(spark, sf):
         F.regexp_extract("feed_url", "https://([^.]+)", 1).alias("source_id"), "feed_url", "xml",
         F.expr("timestamp'2024-02-01'").alias("fetched_at"))
     job = jobs.RefreshStream(root, buckets=BUCKETS)
-    drain(replay(spark, docs, _thirds("feed_url"), root), job.step, root)
+    drain(docs, _thirds("feed_url"), job.step, root)
     return job.article.read(spark).select("id", "source_id", "title", "article_url", ts("published_at"))
 
 
@@ -128,7 +134,7 @@ def user_actions(spark, sf):
     root = root_dir(spark, "actions")
     acts = D.user_action(spark, sf).withColumn("action", F.expr("CASE action WHEN 'fetch_failed' THEN 'delete' ELSE action END"))
     job = jobs.UserActions(root, BUCKETS)
-    drain(replay(spark, acts, _thirds("seq"), root), job.step, root)  # any order: many arrive late
+    drain(acts, _thirds("seq"), job.step, root)  # any order: many arrive late
     return job.state.read(spark).select("article_id", "is_read", "is_saved", "deleted")
 
 
@@ -143,7 +149,7 @@ def retry_state(spark, sf):
         "CASE action WHEN 'fetch_failed' THEN 'failed' WHEN 'subscribe' THEN 'refetch' WHEN 'toggle_save' THEN 'ok' END")).filter(
         "outcome IS NOT NULL").select("article_id", "ts", "seq", "outcome")
     job = jobs.RetryCounter(root, BUCKETS)
-    drain(replay(spark, tries, _thirds("seq"), root), job.step, root)
+    drain(tries, _thirds("seq"), job.step, root)
     return job.state.read(spark).select("article_id", big("retry_count"))
 
 
@@ -155,20 +161,33 @@ def stale_sources(spark, sf):
     root = root_dir(spark, "stale")
     done = D.user_action(spark, sf).select(F.expr("concat('src', user_id % 40)").alias("source_id"), "ts")
     job = jobs.StaleSources(root, D.source(spark, sf), "src2", BUCKETS)
-    drain(replay(spark, done, _by_day("ts"), root), job.step, root)
+    drain(done, _by_day("ts"), job.step, root)
     return job.plan.read(spark).select("id", "priority")
 
 
+@query("str_06_stale_timers", f"""
+, l AS (SELECT 'src' || user_id % 40 AS id, max(ts) AS at_ts FROM events GROUP BY 1)
+SELECT coalesce(s.id, l.id) AS id, CASE WHEN coalesce(s.id, l.id) = 'src2' THEN 'now' ELSE 'deferred' END AS priority,
+  strftime(coalesce(greatest(l.at_ts, s.last_fetched_at), l.at_ts, s.last_fetched_at), '%Y-%m-%d %H:%M:%S') AS last_fetched_at
+FROM t_source s FULL JOIN l USING (id) WHERE coalesce(s.id, l.id) <> '{HIDDEN}'""")
+def stale_timers(spark, sf):
+    root = root_dir(spark, "timers")
+    done = D.user_action(spark, sf).select(F.expr("concat('src', user_id % 40)").alias("source_id"), "ts")
+    done.write.parquet(f"{root}/input")
+    job = StaleClock(root, D.source(spark, sf), "src2", buckets=BUCKETS)
+    job.settle(spark.readStream.schema(done.schema).parquet(f"{root}/input"))  # all fetches are long past: every timer fires
+    return job.due(spark).select("id", "priority", ts("last_fetched_at"))
+
+
 @query("str_07_suppress_deleted", f"""
 SELECT source_id, count(*) AS kept FROM t_article WHERE source_id NOT IN (SELECT id FROM t_source WHERE fetch_status = 'failed') GROUP BY 1""")
 def suppress_deleted(spark, sf):
     root = root_dir(spark, "deleted")
     gone = D.source(spark, sf).filter("fetch_status = 'failed'").select(F.col("id").alias("source_id"))
-    out = Snapshot(f"{root}/out")
 
     def step(batch, batch_id):
         kept = jobs.without_deleted(batch, gone)
-        kept.groupBy("source_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out.path}/batch={batch_id}")
+        kept.groupBy("source_id").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    drain(replay(spark, D.article(spark, sf).select("id", "source_id"), _thirds("id"), root), step, root)
-    return spark.read.parquet(out.path).groupBy("source_id").agg(F.sum("n").alias("kept"))
+    drain(D.article(spark, sf).select("id", "source_id"), _thirds("id"), step, root)
+    return spark.read.parquet(f"{root}/out").groupBy("source_id").agg(F.sum("n").alias("kept"))

@@ -1,22 +1,29 @@
-"""Tables that micro-batches update safely.
-
-A table is a parquet folder split by ``bucket`` and ``version``. A batch writes new versions of
-the buckets it touches and leaves the others alone. A manifest per batch names every bucket's
-current version, so a read opens those files alone, and a bucket that a batch emptied stays
-empty. A repeated batch reads the same earlier manifest and overwrites its own versions, so
-retries and lost executors change nothing. Versions that neither of the last two manifests
-names are removed.
+"""Tables that micro-batches update safely, several at once.
+
+A store is a folder of tables. A batch writes new versions of the buckets it touches and leaves
+the others alone; then one manifest names the current version of every bucket of every table.
+Readers go by the last manifest, so a batch's changes to all tables appear together or not at
+all, whatever step a crash comes at.
+
+Each try of a batch claims a name of its own and writes under it, so that tries and writers never
+meet in a file. The manifest of a batch can be put in place once only: of two writers the second
+finds it there, and its work is void. A batch that was committed is not applied again.
+Versions that neither of the last two manifests names are removed.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BUCKETS = 32
 
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
+
 
 def bucket_of(key: str | Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -26,129 +33,211 @@ class Folder:
     """A folder on the session's file system."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = spark._jvm.org.apache.hadoop.fs
         self._io = spark._jvm.org.apache.commons.io.IOUtils
+        self._rename = getattr(self._fs, "Options$Rename")
+        self._array = spark.sparkContext._gateway.new_array
         self.root = path
-        self.fs = self._path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self.fs = self._fs.Path(path).getFileSystem(conf)
+        self._context = self._fs.FileContext.getFileContext(self.fs.makeQualified(self._fs.Path(path)).toUri(), conf)
+
+    def _path(self, name: str):
+        return self.fs.makeQualified(self._fs.Path(f"{self.root}/{name}"))
 
     def has(self, name: str) -> bool:
-        return self.fs.exists(self._path(f"{self.root}/{name}"))
+        return self.fs.exists(self._path(name))
 
     def names(self, name: str) -> list[str]:
-        return [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{name}"))] if self.has(name) else []
+        return [s.getPath().getName() for s in self.fs.listStatus(self._path(name))] if self.has(name) else []
 
     def remove(self, name: str) -> None:
-        self.fs.delete(self._path(f"{self.root}/{name}"), True)
+        self.fs.delete(self._path(name), True)
 
-    def write(self, name: str, text: str) -> None:
-        """A small file, which appears whole or not at all."""
-        draft, final = self._path(f"{self.root}/{name}.draft"), self._path(f"{self.root}/{name}")
+    def create(self, name: str, text: str) -> bool:
+        """A small file that appears whole, unless there is one of that name already."""
+        final = self._path(name)
+        draft = self._path(f"_draft/{uuid.uuid4().hex}")
         out = self.fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(final, False)
-        self.fs.rename(draft, final)
+        self.fs.mkdirs(final.getParent())
+        options = self._array(self._rename, 1)
+        options[0] = self._rename.NONE  # never over an existing file
+        try:
+            self._context.rename(draft, final, options)
+        except Py4JJavaError:
+            self.fs.delete(draft, False)
+            if self.fs.exists(final):
+                return False
+            raise
+        return True
 
     def text(self, name: str) -> str:
-        found = self.fs.open(self._path(f"{self.root}/{name}"))
+        found = self.fs.open(self._path(name))
         try:
             return self._io.toString(found, "UTF-8")
         finally:
             found.close()
 
 
-class VersionedTable:
-    def __init__(self, path: str, schema: str, key: str, buckets: int = BUCKETS) -> None:
-        self.path, self.schema, self.key, self.buckets = path, schema, key, buckets
+class Store:
+    """Tables that are committed together."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def table(self, name: str, schema: str, key: str, buckets: int = BUCKETS) -> VersionedTable:
+        return VersionedTable(f"{self.root}/{name}", schema, key, buckets, self, name)
+
+    def snapshot(self, name: str, schema: str) -> Snapshot:
+        return Snapshot(f"{self.root}/{name}", schema, self, name)
 
     @staticmethod
-    def _manifests(folder: Folder) -> list[int]:
+    def batches(folder: Folder) -> list[int]:
+        """Committed batches that are still on record, in order."""
         return sorted(int(n.removesuffix(".json")) for n in folder.names("_manifest") if n.endswith(".json"))
 
-    @staticmethod
-    def _manifest(folder: Folder, batch_id: int) -> dict[int, int]:
-        """Current version by bucket: at most one entry a bucket."""
-        return {int(b): v for b, v in json.loads(folder.text(f"_manifest/{batch_id}.json")).items()}
+    def state(self, folder: Folder, before: int | None = None) -> dict[str, dict[str, str]]:
+        """Current version by table and bucket: at most one entry a bucket."""
+        known = [b for b in self.batches(folder) if before is None or b < before]
+        return json.loads(folder.text(f"_manifest/{known[-1]}.json")) if known else {}
+
+    def batch(self, spark: SparkSession, batch_id: int) -> Batch:
+        return Batch(self, spark, batch_id)
+
+
+class Batch:
+    """One try of a batch. ``done`` says that the batch was committed before: nothing is to do.
+
+    As a context manager it commits at the end of its block, unless an error leaves it.
+    """
+
+    def __init__(self, store: Store, spark: SparkSession, batch_id: int) -> None:
+        self.store, self.spark, self.id = store, spark, batch_id
+        self.folder = Folder(spark, store.root)
+        self.done = batch_id in store.batches(self.folder)
+        self.before = store.state(self.folder, batch_id)
+        self.now = {t: dict(v) for t, v in self.before.items()}
+        self.version = ""
+        if not self.done:
+            tries = 0
+            while not self.folder.create(f"_claim/{batch_id}.{tries}", ""):
+                tries += 1
+            self.version = f"{batch_id}.{tries}" if tries else str(batch_id)
+
+    def __enter__(self) -> Batch:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        if kind is None and not self.done:
+            self.commit()
+
+    def read(self, table: VersionedTable, buckets: set[int] | None = None) -> DataFrame:
+        """Rows of the table as this batch sees it: its own changes included."""
+        return table.files(self.spark, self.now.get(table.name, {}), buckets)
+
+    def update(self, table: VersionedTable, rows: DataFrame, merge: Merge) -> None:
+        """Rewrite the touched buckets as ``merge(current rows, rows)``: once a table and batch."""
+        touched = table.touched(rows)
+        if not touched:
+            return
+        merged = merge(self.read(table, touched), rows).withColumn("bucket", bucket_of(table.key, table.buckets))
+        # Rebalancing gathers a bucket's rows into few files and still splits an oversized one.
+        out = merged.hint("rebalance", F.col("bucket"))
+        out.write.partitionBy("bucket").parquet(f"{table.path}/version={self.version}")
+        self.now[table.name] = self.now.get(table.name, {}) | {str(b): self.version for b in touched}
+
+    def write(self, snapshot: Snapshot, df: DataFrame) -> None:
+        """Replace a small result as a whole."""
+        df.write.parquet(f"{snapshot.path}/version={self.version}")
+        self.now[snapshot.name] = {"": self.version}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """An intermediate result of this try, stored so that its many readers share it."""
+        out = f"{self.store.root}/_work/{self.version}/{name}"
+        df.write.parquet(out)
+        return self.spark.read.schema(df.schema).parquet(out)
+
+    def commit(self) -> None:
+        """Make all changes visible at once, or raise if another writer was first."""
+        if not self.folder.create(f"_manifest/{self.id}.json", json.dumps(self.now)):
+            raise RuntimeError(f"batch {self.id} was committed by another writer")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Remove what only older manifests name, what tries left, and staged results. The last
+        but one manifest stays, for readers on their way."""
+        kept = [self.now, self.before]
+        for b in [b for b in self.store.batches(self.folder) if b < self.id][:-1]:
+            old = json.loads(self.folder.text(f"_manifest/{b}.json"))
+            for table, versions in old.items():
+                for bucket, version in versions.items():
+                    if all(version != m.get(table, {}).get(bucket) for m in kept):
+                        self._remove(table, version, bucket)
+            self.folder.remove(f"_manifest/{b}.json")
+        named = {v for m in kept for versions in m.values() for v in versions.values()}
+        for claim in self.folder.names("_claim"):
+            batch, _, tries = claim.partition(".")
+            version = claim if tries != "0" else batch
+            if int(batch) < self.id or version == self.version:
+                self.folder.remove(f"_work/{version}")
+            if int(batch) < self.id - 1:
+                if version not in named:
+                    for table in self.now:
+                        self._remove(table, version)
+                self.folder.remove(f"_claim/{claim}")
+
+    def _remove(self, table: str, version: str, bucket: str = "") -> None:
+        place = f"{table}/version={version}" if table else f"version={version}"
+        self.folder.remove(f"{place}/bucket={bucket}" if bucket else place)
+        if bucket and not any(n.startswith("bucket=") for n in self.folder.names(place)):
+            self.folder.remove(place)
 
-    def _current(self, folder: Folder, before: int | None) -> dict[int, int]:
-        known = [b for b in self._manifests(folder) if before is None or b < before]
-        return self._manifest(folder, known[-1]) if known else {}
 
-    def read(self, spark: SparkSession, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-        """Current rows, or those a batch must see: versions below its number."""
+class VersionedTable:
+    """A table of a store, or the only one of its own."""
+
+    def __init__(self, path: str, schema: str, key: str, buckets: int = BUCKETS, store: Store | None = None, name: str = "") -> None:
+        self.path, self.schema, self.key, self.buckets = path, schema, key, buckets
+        self.store, self.name = store or Store(path), name
+
+    def files(self, spark: SparkSession, versions: dict[str, str], buckets: set[int] | None = None) -> DataFrame:
         folder = Folder(spark, self.path)
-        parts = [f"bucket={b}/version={v}" for b, v in self._current(folder, before).items() if buckets is None or b in buckets]
+        parts = [f"version={v}/bucket={b}" for b, v in versions.items() if buckets is None or int(b) in buckets]
         paths = [f"{self.path}/{p}" for p in parts if folder.has(p)]  # an emptied bucket has no files
         if not paths:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(*paths)
 
+    def read(self, spark: SparkSession, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+        """Current rows, or those before a batch."""
+        return self.files(spark, self.store.state(Folder(spark, self.store.root), before).get(self.name, {}), buckets)
+
     def touched(self, keys: DataFrame) -> set[int]:
         """Buckets of a batch's keys: as many numbers as there are buckets, at most."""
         return {r[0] for r in keys.select(bucket_of(self.key, self.buckets)).distinct().collect()}
 
-    def update(self, batch: DataFrame, batch_id: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """Rewrite the touched buckets as ``merge(current rows, batch rows)``."""
-        spark = batch.sparkSession
-        touched = self.touched(batch)
-        folder = Folder(spark, self.path)
-        before = self._current(folder, batch_id)
-        for b in touched:  # what an earlier try of this batch may have left
-            folder.remove(f"bucket={b}/version={batch_id}")
-        if touched:
-            merged = merge(self.read(spark, batch_id, touched), batch)
-            out = merged.withColumn("bucket", bucket_of(self.key, self.buckets)).withColumn("version", F.lit(batch_id).cast("bigint"))
-            # Rebalancing gathers a bucket's rows into few files and still splits an oversized one.
-            out.hint("rebalance", F.col("bucket")).write.partitionBy("bucket", "version").mode("append").parquet(self.path)
-        now = before | dict.fromkeys(touched, batch_id)
-        folder.write(f"_manifest/{batch_id}.json", json.dumps(now))
-        self._clean(folder, batch_id, before, now)
-
-    def _clean(self, folder: Folder, batch_id: int, before: dict[int, int], now: dict[int, int]) -> None:
-        """Remove what only older manifests name. The last but one stays, for a repeated batch."""
-        old = [b for b in self._manifests(folder) if b < batch_id][:-1]
-        for b in old:
-            for bucket, version in self._manifest(folder, b).items():
-                if version not in (before.get(bucket), now.get(bucket)):
-                    folder.remove(f"bucket={bucket}/version={version}")
-            folder.remove(f"_manifest/{b}.json")
-
-
-def stage(df: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Write an intermediate result of a batch, so that its many readers share it."""
-    out = f"{path}/batch={batch_id}"
-    df.write.mode("overwrite").parquet(out)
-    folder = Folder(df.sparkSession, path)
-    for name in folder.names(""):
-        if name.startswith("batch=") and int(name.partition("=")[2]) < batch_id - 1:
-            folder.remove(name)
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    def update(self, rows: DataFrame, batch_id: int, merge: Merge) -> None:
+        """A batch that changes this table alone."""
+        with self.store.batch(rows.sparkSession, batch_id) as batch:
+            if not batch.done:
+                batch.update(self, rows, merge)
 
 
 class Snapshot:
-    """A small result replaced as a whole by every batch, such as a display list."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """A small result that every batch replaces as a whole, such as a display list."""
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        folder = Folder(df.sparkSession, self.path)
-        for b in self._batches(folder)[:-2]:
-            folder.remove(f"batch={b}")
-
-    @staticmethod
-    def _batches(folder: Folder) -> list[int]:
-        done = [n for n in folder.names("") if n.startswith("batch=") and folder.has(f"{n}/_SUCCESS")]
-        return sorted(int(n.partition("=")[2]) for n in done)
+    def __init__(self, path: str, schema: str, store: Store, name: str) -> None:
+        self.path, self.schema, self.store, self.name = path, schema, store, name
 
     def read(self, spark: SparkSession) -> DataFrame:
-        last = self._batches(Folder(spark, self.path))[-1]
-        return spark.read.parquet(f"{self.path}/batch={last}")
+        version = self.store.state(Folder(spark, self.store.root)).get(self.name, {}).get("")
+        return spark.read.schema(self.schema).parquet(f"{self.path}/version={version}") if version else spark.createDataFrame([], self.schema)
 
 
-def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
+def run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
     """Start a stream of micro-batches: with ``every`` on a clock, else until input is used up."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
