@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
 from collections import defaultdict
@@ -30,14 +31,38 @@ CAPACITY = 2048
 END_ID = 1
 
 
+class Encoder:
+    """Ids as the tokenizer gives them: the texts are cut at its added tokens, which have ids of
+    their own wherever they stand, and what lies between is encoded piece by piece."""
+
+    def __init__(self, pieces: Pieces, added: dict[str, int]) -> None:
+        self.pieces, self.added = pieces, added
+        # At one place the longest added token counts.
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        held = [self.cut is not None and any(t in text for t in self.added) for text in texts]
+        if not any(held):
+            yield from self.pieces.encode(texts)
+            return
+        parts = [self.cut.split(text) if has else [text] for text, has in zip(texts, held)]  # every second one is a token
+        plain = iter(list(self.pieces.encode([p for x in parts for p in x[::2]])))
+        for x in parts:
+            yield np.concatenate([next(plain) if k % 2 == 0 else np.array([self.added[p]], np.int32) for k, p in enumerate(x)])
+
+
 @lru_cache(maxsize=1)
-def _tokenizer(path: str | None) -> Pieces:
+def _tokenizer(path: str | None) -> Encoder:
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
     if "ByteLevel(add_prefix_space=False" not in repr(tokenizer.pre_tokenizer) or public_tokenizers.PATTERN != PATTERN:
         raise ValueError("only byte-level tokenizers that split by the stated pattern are supported")
+    added = tokenizer.get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer is not None for t in added.values()):
+        raise ValueError("only added tokens that stand for themselves alone are supported")
     model, letters = tokenizer.model, _byte_letters()
 
     def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +70,7 @@ def _tokenizer(path: str | None) -> Pieces:
         got = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
         return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
 
-    return Pieces(encode_new)
+    return Encoder(Pieces(encode_new), {t.content: i for i, t in added.items()})
 
 
 def _byte_letters() -> dict[int, int]:

@@ -63,7 +63,8 @@ def test_matrices_give_the_librarys_ids(odd_texts, exact):
 
 def test_tokenizer_pieces_give_whole_encodings(odd_texts):
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
+    odd_texts = [*odd_texts, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n\n  <|endoftext|>'s", "<|endoftext| >",
+                 "<|<|endoftext|>|>", "x" * 50 + "<|endoftext|>" + "y " * 3000]
     for ids, e in zip(packing._tokenizer(None).encode(odd_texts), whole.encode_batch(odd_texts, add_special_tokens=False)):
         assert ids.tolist() == e.ids
 
