@@ -7,12 +7,15 @@ user's first and an assistant's last. Every input turn takes one action:
 * start a turn, before which missing turns are put in empty (``INSERT`` each), or merge into the
   turn before it, of the role it takes (``MERGE``).
 
-The least total cost wins; of equal ones that with the fewest resulting turns, then the one
-whose decisions come first in ``ROLES`` order. The state after a turn is the role of the turn it
-is in, so a run of turns is a small matrix of costs from state to state, and runs compose. A
-conversation is therefore solved in runs of bounded length: their matrices are combined, which
-fixes the state at every border, and each run is then solved between its borders. A conversation
-of any length is spread over many tasks.
+The least total cost wins; of equal ones that with the fewest resulting turns. Of these, the last
+turn's role decides, in ``ROLES`` order, then whether the last turn starts or merges, then the
+role of the turn before it, and so on towards the first turn.
+
+The state after a turn is the role of the turn it is in, so a run of turns is a small matrix of
+costs from state to state, with the order in which ties between states before it are settled, and
+runs compose. A conversation is therefore solved in runs of bounded length: their matrices are
+combined, which fixes the state at every border, and each run is then solved between its borders.
+A conversation of any length is spread over many tasks, and no result depends on the cuts.
 """
 
 from __future__ import annotations
@@ -67,14 +70,24 @@ def _normal(role: str | None) -> str | None:
 
 
 def matrix(roles: list[str | None]) -> np.ndarray:
-    """Least weight of a run from each state before it to each state after it."""
-    total = np.full((STATES, STATES), NEVER)
+    """[0]: least weight of a run from each state before it to each state after it. [1]: for each
+    state after it, the place of each state before it in the order that settles ties.
+
+    Paths to one state are told apart from their ends: by the last decision, else by the places
+    of their first states at the turn before.
+    """
+    total, place = np.full((STATES, STATES), NEVER), np.zeros((STATES, STATES), np.int64)
     np.fill_diagonal(total, 0)
+    start = np.arange(STATES)[:, None]
     for role in roles:
-        step = np.full((STATES, STATES), NEVER)
-        step[:, :3] = _STEPS[role].min(axis=0)
-        total = np.minimum((total[:, :, None] + step[None]).min(axis=1), NEVER)
-    return total
+        weight = (total[:, None, :, None] + _STEPS[role][None]).reshape(STATES, 2 * STATES, 3)
+        last = weight.argmin(axis=1)  # the first of equal decisions: start before merge, then the state before
+        cost = np.minimum(weight.min(axis=1), NEVER)
+        order = np.where(cost < NEVER, last * STATES + place[start, last % STATES], NEVER)
+        total, place = np.full((STATES, STATES), NEVER), np.zeros((STATES, STATES), np.int64)
+        total[:, :3] = cost
+        place[:, :3] = order.argsort(axis=0, kind="stable").argsort(axis=0)
+    return np.stack([total, place])
 
 
 def solve(roles: list[str | None], first: int, last: int | None) -> list[tuple[bool, int]]:
@@ -101,14 +114,17 @@ _ENDING = np.array([len(_CLOSING[s]) * (INSERT * COST + TURN) for s in range(STA
 
 
 def borders(matrices: list[np.ndarray]) -> list[int]:
-    """The states between and after runs, on a path of least weight from START to the end."""
+    """The states between and after runs, on a path of least weight from START to the end; ties
+    are settled as in a run."""
     best = [np.full(STATES, NEVER)]
     best[0][START] = 0
-    for m in matrices:
-        best.append(np.minimum((best[-1][:, None] + m).min(axis=0), NEVER))
+    for cost, _ in matrices:
+        best.append(np.minimum((best[-1][:, None] + cost).min(axis=0), NEVER))
     states = [int(np.argmin(best[-1] + _ENDING))]
     for k in range(len(matrices) - 1, 0, -1):
-        states.append(int(np.argmin(best[k] + matrices[k][:, states[-1]])))
+        (cost, place), after = matrices[k], states[-1]
+        weight = best[k] + cost[:, after]
+        states.append(int(np.where(weight == weight.min(), place[:, after], STATES).argmin()))
     return states[::-1]
 
 
@@ -118,36 +134,39 @@ _OUT = ("conv string, part bigint, run bigint, pos bigint, turn bigint, role str
         "inserted array<string>, closing array<string>, rendered string")
 
 
-def _runs(batches) -> Iterator:
-    """Sorted rows (conv, turn, role, text, part) to runs. Conversations at the edges of a
-    partition, or of several runs, may go on elsewhere: their runs are not whole."""
-    import pandas as pd
-
-    def row(conv, part, run, whole, turns):
-        cells = [] if whole else matrix([_normal(t["role"]) for t in turns]).ravel().tolist()
-        return conv, part, run, whole, cells, turns
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["conv", "part", "run", "whole", "cells", "turns"])
-
-    conv, part, run, turns, chars, edge, out, size = None, None, 0, [], 0, True, [], 0
-    for pdf in batches:
-        for c, turn, role, text, p in zip(pdf["conv"], pdf["turn"], pdf["role"], pdf["text"], pdf["part"]):
-            if turns and (c != conv or len(turns) >= RUN or chars >= RUN_CHARS):
-                over = c != conv
-                out.append(row(conv, part, run, over and not edge and run == 0, turns))
-                run, edge = (0, False) if over else (run + 1, edge)
-                size, turns, chars = size + chars, [], 0
-                if len(out) >= 500 or size >= RUN_CHARS:
-                    yield frame(out)
-                    out, size = [], 0
-            conv, part = c, p
-            turns.append({"turn": None if pd.isna(turn) else int(turn), "role": role, "text": text})
-            chars += len(text or "") + 32
-    if turns:
-        out.append(row(conv, part, run, False, turns))
-    if out:
-        yield frame(out)
+def _runs(most: int):
+    """Sorted rows (conv, turn, role, text, part) to runs of up to ``most`` turns. Conversations
+    at the edges of a partition, or of several runs, may go on elsewhere: their runs are not whole."""
+    def runs(batches) -> Iterator:
+        import pandas as pd
+
+        def row(conv, part, run, whole, turns):
+            cells = [] if whole else matrix([_normal(t["role"]) for t in turns]).ravel().tolist()
+            return conv, part, run, whole, cells, turns
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["conv", "part", "run", "whole", "cells", "turns"])
+
+        conv, part, run, turns, chars, edge, out, size = None, None, 0, [], 0, True, [], 0
+        for pdf in batches:
+            for c, turn, role, text, p in zip(pdf["conv"], pdf["turn"], pdf["role"], pdf["text"], pdf["part"]):
+                if turns and (c != conv or len(turns) >= most or chars >= RUN_CHARS):
+                    over = c != conv
+                    out.append(row(conv, part, run, over and not edge and run == 0, turns))
+                    run, edge = (0, False) if over else (run + 1, edge)
+                    size, turns, chars = size + chars, [], 0
+                    if len(out) >= 500 or size >= RUN_CHARS:
+                        yield frame(out)
+                        out, size = [], 0
+                conv, part = c, p
+                turns.append({"turn": None if pd.isna(turn) else int(turn), "role": role, "text": text})
+                chars += len(text or "") + 32
+        if turns:
+            out.append(row(conv, part, run, False, turns))
+        if out:
+            yield frame(out)
+
+    return runs
 
 
 def _rendered(conv, part, run, turns, first: int, last: int | None, begins: bool, ends: bool, template: str) -> Iterator[tuple]:
@@ -190,14 +209,14 @@ def _solved(template: str):
 def _bordered(pdf):
     """One conversation's run matrices to the states around each run."""
     pdf = pdf.sort_values(["part", "run"])
-    last = borders([np.array(c, np.int64).reshape(STATES, STATES) for c in pdf["cells"]])
+    last = borders([np.array(c, np.int64).reshape(2, STATES, STATES) for c in pdf["cells"]])
     n = len(last)
     return pdf[["conv", "part", "run"]].assign(
         first=[START, *last[:-1]], last=last, begins=[k == 0 for k in range(n)], ends=[k == n - 1 for k in range(n)])
 
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-           template: str = "<turn role={role}>\n") -> DataFrame:
+           template: str = "<turn role={role}>\n", run: int = RUN) -> DataFrame:
     """One row for each input turn: conv_id, pos, turn, role, repaired_role, action, inserted
     (empty turns put before it), closing (empty turns put after the last), rendered.
 
@@ -208,14 +227,14 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     repeated rows are turns of their own and merge. Other columns are not read.
 
     Rows are dealt once, by range of (conversation, turn), so that a long conversation lies in
-    many partitions. A run's matrix has sixteen numbers: only these meet in one task.
+    many partitions. A run's matrix has 32 numbers: only these meet in one task.
     """
     named = turns.select(
         F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("conv"), F.col("turn"), F.col("role"), F.xxhash64("text")]
     dealt = named.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id().cast("bigint"))
-    runs = keep(dealt.mapInPandas(_runs, _RUNS))
+    runs = keep(dealt.mapInPandas(_runs(run), _RUNS))
     open_ = runs.filter(~F.col("whole"))
     schema = "conv string, part bigint, run bigint, first int, last int, begins boolean, ends boolean"
     around = open_.select("conv", "part", "run", "cells").groupBy("conv").applyInPandas(_bordered, schema)

@@ -61,10 +61,9 @@ def odd_turns(spark):
 
 
 @pytest.mark.parametrize("run", [2048, 1, 2])
-def test_repairs_cost_least_and_are_legal(spark, odd_turns, monkeypatch, run):
-    monkeypatch.setattr(roles, "RUN", run)
+def test_repairs_cost_least_and_are_legal(spark, odd_turns, run):
     got = defaultdict(list)
-    for r in roles.repair(odd_turns).collect():
+    for r in roles.repair(odd_turns, run=run).collect():
         got[r.conv_id].append(r)
     want = defaultdict(list)
     for r in odd_turns.collect():
@@ -79,20 +78,45 @@ def test_repairs_cost_least_and_are_legal(spark, odd_turns, monkeypatch, run):
     assert roles.repair(odd_turns.limit(0)).count() == 0
 
 
-def test_a_long_conversation_goes_over_many_runs(spark, monkeypatch):
-    """The same repair whether the turns are solved in one run or in many."""
+def pieced(names, cuts):
+    """Decisions when the conversation is solved in runs that end at the cuts."""
+    at = [0, *cuts, len(names)]
+    parts = [names[a:b] for a, b in zip(at, at[1:])]
+    states = [START, *roles.borders([roles.matrix(p) for p in parts])]
+    return [d for p, first, last in zip(parts, states, states[1:]) for d in roles.solve(p, first, last)]
+
+
+def test_no_cut_changes_a_decision():
+    """Costs are small whole numbers, so that most conversations have several cheapest repairs."""
+    rng = random.Random(4)
+    for _ in range(400):
+        names = [rng.choice([*ROLES, None]) for _ in range(rng.randrange(2, 14))]
+        whole = roles.solve(names, START, None)
+        for cut in range(1, len(names)):
+            assert pieced(names, [cut]) == whole, (names, cut)
+        assert pieced(names, list(range(1, len(names)))) == whole
+        some = sorted(rng.sample(range(1, len(names)), rng.randrange(1, len(names))))
+        assert pieced(names, some) == whole
+    assert pieced([None, "assistant", None, None, "assistant", None, "user"], [3]) == roles.solve(
+        [None, "assistant", None, None, "assistant", None, "user"], START, None)
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 23])
+def test_a_long_conversation_goes_over_many_runs(spark, partitions):
+    """The same rows whether the turns are solved in one run or in many, in one task or in many."""
     rng = random.Random(6)
-    rows = [(1, t, rng.choice([*ROLES, None]), f"t{t}") for t in range(400)]
+    rows = [(c, t, rng.choice([*ROLES, None]), f"t{t}") for c in range(3) for t in range((400, 3, 90)[c])]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    one = sorted(map(tuple, roles.repair(df.coalesce(1)).collect()), key=lambda r: r[1])
-    monkeypatch.setattr(roles, "RUN", 7)
-    many = sorted(map(tuple, roles.repair(df).collect()), key=lambda r: r[1])
-    fields = "conv_id pos turn role repaired_role action inserted closing rendered".split()
-    cost = [sum((0 if roles._normal(d["role"]) == d["repaired_role"] else UNKNOWN if roles._normal(d["role"]) is None else RELABEL)
-                + MERGE * ("merge" in d["action"]) + INSERT * (len(d["inserted"]) + len(d["closing"]))
-                for d in (dict(zip(fields, r)) for r in rows)) for rows in (one, many)]
-    assert cost[0] == cost[1] and [r[1] for r in many] == list(range(400))
-    assert legal("".join(r[8] for r in many))
+    want = [x for c in range(3) for x in roles.solve([r for k, _, r, _ in rows if k == c], START, None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        many = sorted(roles.repair(df, run=7).collect(), key=lambda r: (r.conv_id, r.pos))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [("merge" in r.action, ROLES.index(r.repaired_role)) for r in many] == want
+    assert many == sorted(roles.repair(df.coalesce(1)).collect(), key=lambda r: (r.conv_id, r.pos))
+    assert legal("".join(r.rendered for r in many if r.conv_id == 0))
 
 
 def test_legal_conversations_stay_as_they_are(spark, sf):
