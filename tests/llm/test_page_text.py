@@ -1,6 +1,9 @@
+import random
 import re
+import time
 from html import unescape
 
+import numpy as np
 import pytest
 
 from feedloom.llm import langid, line_blocks
@@ -48,6 +51,73 @@ def test_article_tags_are_a_bonus(spark, sf):
     assert sum(same) / len(same) > 0.9
 
 
+def stripped(html, tags=False, words=False):
+    if words:
+        html = re.sub(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|[^\s>]*)""", "", html)
+    if tags:
+        html = re.sub(r"<(/?)(?:article|main|section|nav|header|footer|aside)\b[^>]*>", r"<\1div>", html)
+    return html
+
+
+def test_the_distribution_decides_without_any_hint(spark, sf):
+    """Sections made plain containers, words of class and id gone: lines and their lengths are left."""
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    for hints in ({"tags": True}, {"words": True}, {"tags": True, "words": True}):
+        same = [line_blocks.main_text(h) == line_blocks.main_text(stripped(h, **hints)) for h in pages]
+        assert sum(same) / len(same) > 0.9, hints
+    body = f"<h1>A title that says something</h1>{LONG}<p>Short.</p>{LONG}<p>End.</p>"
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(9)) + "</ul>"
+    notice, foot = "<p>We use things to improve your visit. OK?</p>", "<p>All rights reserved by the makers of this page, 2024.</p>"
+    want = f"A title that says something\n\n{TEXT}\n\nShort.\n\n{TEXT}\n\nEnd."
+    for page in (f"<div>{menu}</div><div>{notice}</div><div>{body}</div><div>{foot}</div>",
+                 f"<table><tr><td><div>{menu}</div><div>{body}</div><div>{notice}</div><div>{foot}</div></table>",
+                 f"<nav>{menu}</nav><div class=x1>{notice}</div><div class=x2>{body}</div><footer>{foot}</footer>"):
+        assert line_blocks.main_text(page) == want
+    parts = "".join(f"<div><p>{TEXT}</p></div><div><p>Between {i}.</p></div>" for i in range(4))
+    assert line_blocks.main_text(f"<div>{menu}</div>{parts}<div><p>{TEXT}</p></div><div>{foot}</div>").count("Between") == 4
+
+
+def test_a_tag_alone_does_not_decide():
+    assert line_blocks.main_text(f"<div>{LONG}{LONG}</div><article><p>Related: a short card.</p></article>") == f"{TEXT}\n\n{TEXT}"
+    assert line_blocks.main_text(f"<article><p>Hi.</p></article><div>{LONG}</div>") == TEXT
+    # Links in an article are navigation all the same.
+    linked = "".join(f"<p><a href=/{i}>Another story of this site, number {i}</a></p>" for i in range(4))
+    assert line_blocks.main_text(f"<article>{LONG}{linked}</article>") == TEXT
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_stretches_by_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        weight = [rng.choice([0, 0, 1, 5, 20, 40, 70]) for _ in range(rng.randrange(0, 25))]
+        window, surge = rng.randrange(1, 5), rng.choice([1, 30, 60])
+        sums = [sum(weight[i:i + window]) for i in range(len(weight))]
+        want = [any(sums[s] >= surge and weight[s] > 0 and all(x > 0 for x in sums[s + 1:i + 1]) for s in range(i + 1)) for i in range(len(weight))]
+        assert line_blocks.stretches(np.array(weight, np.int64), window, surge).tolist() == want
+
+
+ODD_MARKUP = {
+    "open tag": lambda n: "<a " * n, "quotes": lambda n: "<a '" * n, "values": lambda n: '<a ="' * n, "end tag": lambda n: "</a" * n, "bang": lambda n: "<!" * n,
+    "comment": lambda n: "<!--" * n, "mismatch": lambda n: "<i>" * n + "</b>" * n, "parts": lambda n: "<div class=ad>" * n, "links": lambda n: "<a href=x><b>" * n + "</a>" * n,
+    "scope": lambda n: "<p><button>" + "<div>" * n, "items": lambda n: "<ul>" * n + "<li>" * n, "lines": lambda n: "<p>ab" * n, "less": lambda n: "< <" * n,
+    "script": lambda n: "<script>" * n, "entities": lambda n: "&amp" * n, "divs": lambda n: "<div>x" * n + "</div>" * n, "space": lambda n: "<p" + " " * n + "class" + " " * n,
+}
+
+
+@pytest.mark.parametrize("name", ODD_MARKUP)
+def test_time_is_proportional_to_length(name):
+    def seconds(n):
+        html, best = ODD_MARKUP[name](n), []
+        for _ in range(2):
+            start = time.process_time()
+            line_blocks.main_text(html)
+            best.append(time.process_time() - start)
+        return min(best)
+
+    seconds(1000)
+    assert seconds(40_000) < max(0.5, 8 * seconds(10_000))
+
+
 def test_surge_and_dive():
     weight = [0, 3, 0, 0, 90, 10, 0, 0, 80, 0, 0, 0, 0, 5]
     assert [i for i, k in enumerate(line_blocks.stretches(__import__("numpy").array(weight), 3, 60)) if k] == [4, 5, 6, 7, 8]
