@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedloom.llm import (
     ann, bpe, compress_quality, langid, lexical, line_blocks, packing, quality_rules, roles, sharding, simhash, threshold_search, whitening,
 )
-from feedloom.llm.common import table
+from feedloom.llm.common import keep, table
 from feedloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,8 +23,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 @query
 def op1_hilbert_shards(spark, sf_dir):
-    rows = sharding.document_rows(table(spark, sf_dir, "documents"))
-    placed = sharding.shard(rows, ["source", "lang", "size"], 24, ["text_crc32", "size", "doc_id"])
+    rows = keep(sharding.document_rows(table(spark, sf_dir, "documents")))
+    # Equal texts share a cell: of a group's rows only a cut between two shards parts them.
+    rows = sharding.together(rows, ["text_hash", "text_crc32", "size"], ["source", "lang"], ["doc_id"])
+    placed = sharding.shard(rows, ["like_source", "like_lang", "size"], 24, ["text_crc32", "text_hash", "doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "curve")
 

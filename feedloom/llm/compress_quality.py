@@ -37,7 +37,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def _dictionary(texts: list[bytes]):
     import zstandard
 
-    blocks = [t[k:k + BLOCK] for t in texts for k in range(0, len(t), BLOCK)]
+    # In the order of their checksums: a long stretch of like texts would end the library's search.
+    blocks = sorted((t[k:k + BLOCK] for t in texts for k in range(0, len(t), BLOCK)), key=lambda b: (zlib.crc32(b), b))
     try:
         return zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes()
     except zstandard.ZstdError:  # too little text to choose from: all of it serves
@@ -79,13 +80,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w / scale
 
 
+def _sampled(raw: Column, key: Column, longest: int) -> Column:
+    """The blocks of a text, or of a longer one those of the least hashes, in their order."""
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length(raw) / F.lit(BLOCK)).cast("int") - 1), lambda k: F.struct(
+        F.xxhash64(key, k).alias("h"), k.alias("k")))
+    some = F.sort_array(F.transform(F.slice(F.sort_array(blocks), 1, max(1, longest // BLOCK)), lambda b: b["k"]))
+    chosen = F.when(F.octet_length(raw) <= longest, F.transform(blocks, lambda b: b["k"])).otherwise(some)
+    return F.transform(chosen, lambda k: F.substring(raw, k * BLOCK + 1, F.lit(BLOCK)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", per_class: int = 1500, longest: int = 16_384) -> Model:
+        label_col: str = "quality", per_class: int = 1500, longest: int = BLOCK) -> Model:
     """Dictionaries and calibration from a bounded sample of the labelled rows.
 
-    At most ``per_class`` ids of each class, the first by a hash, are broadcast to the documents;
-    texts of more than ``longest`` bytes fall out, and an id with several rows or labels gives
-    one. Rows of ``held_out`` are left out. Half of the sample makes the dictionaries, the other
+    At most ``per_class`` ids of each class, the first by a hash, are broadcast to the documents.
+    A text of more than ``longest`` bytes gives as many of its blocks as make that up, chosen by
+    a hash from its whole length; so the sample is bounded, and no text is too long for it. An id
+    with several rows or labels gives one, the text of the least checksum. Rows of ``held_out``
+    are left out. Half of the sample makes the dictionaries, the other
     half the calibration, weighted to the classes' shares among all labelled rows.
     """
     labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(
@@ -94,13 +106,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = [labels.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     drawn = drawn[0].union(drawn[1]).dropDuplicates(["_id"])
     rows = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .filter(F.octet_length("_text").between(1, longest))
-        .join(F.broadcast(drawn), "_id").dropDuplicates(["_id"]).collect()
+        docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").cast("binary").alias("_raw"))
+        .filter(F.octet_length("_raw") > 0)
+        .join(F.broadcast(drawn), "_id")
+        .select("_id", "_y", F.struct(F.crc32("_raw").alias("sum"), _sampled(F.col("_raw"), F.col("_id"), longest).alias("blocks")).alias("_t"))
+        .groupBy("_id").agg(F.min(F.struct("_t.sum", "_y", "_t.blocks")).alias("_r"))
+        .select("_id", "_r._y", "_r.blocks").collect()
     )
     rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
     drawn = [[r for r in rows if r["_y"] == y] for y in (0, 1)]
-    texts = [[r["_text"].encode() for r in part] for part in drawn]
+    texts = [[b"".join(map(bytes, r["blocks"])) for r in part] for part in drawn]
     if min(map(len, texts)) < 2:
         share = (size.get(1, 0) + 1) / (sum(size.values()) + 2)
         return Model(b"", b"", (0.0, 0.0, float(np.log(share / (1 - share)))))

@@ -6,7 +6,8 @@ its n-grams, of log(p_trusted / p_corpus); it is kept if the score reaches a fix
 
 Everything about a document is computed in its row, so texts are never shuffled: the corpus
 counts are pre-aggregated to one row a bucket in every task, and the weights come back as one
-array of ``BUCKETS`` doubles. The trusted ids are a sample of bounded size and are broadcast.
+array of ``BUCKETS`` doubles. All trusted documents count. Their ids are broadcast where they are
+counted to be at most ``BROADCAST``, else the texts meet them in an ordinary join.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedloom.llm.common import WORD_BREAK
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000  # documents, at most
+BROADCAST = 500_000  # ids
 THRESHOLD = -0.06
 WINDOW = 5
 
@@ -111,16 +112,17 @@ def verdict(text: Column, weight: Column, threshold: float = THRESHOLD) -> Colum
     return let(let(words_of(whole), measures), judged)
 
 
-def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST) -> Column:
     """The constant array of log(p_trusted / p_corpus) by bucket, with one added to each count.
 
     A document counts as trusted whatever the number of rows with its id in ``trusted``; without
     trusted documents all ratios are those of the added ones.
     """
-    trusted = trusted.select(F.col(id_col).alias("_trusted")).distinct()
+    trusted = trusted.select(F.col(id_col).alias("_trusted")).filter(F.col("_trusted").isNotNull()).distinct()
+    few = trusted.limit(most + 1).count() <= most
     counts = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        .join(F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left")
+        .join(F.broadcast(trusted) if few else trusted, F.col("_id") == F.col("_trusted"), "left")
         # The outer form: the plain one would add a filter that makes the n-grams once more.
         .select(F.explode_outer(grams_of(F.col("_text"))).alias("_bucket"), F.col("_trusted").isNotNull().cast("long").alias("_t"))
         .groupBy("_bucket").agg(F.sum("_t").alias("t"), F.count("*").alias("c"))
@@ -133,10 +135,10 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     return F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED, id_col: str = "doc_id") -> DataFrame:
-    """Ids labelled good and not toxic; the first ``most`` by hash."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """All ids labelled good and not toxic."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(id_col).isNotNull())
-    return good.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most)
+    return good.select(id_col).distinct()
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,9 +147,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_c
     Repeated rows and rows with a null id are judged like others.
     """
     weight = weights(docs, trusted_ids(labels, id_col=id_col), id_col, text_col)
-    rows = docs.withColumn("_v", verdict(F.col(text_col), weight, threshold))
-    added = rows.schema["_v"].dataType.names
-    return rows.select(*[c for c in docs.columns if c not in added], *[F.col("_v")[c].alias(c) for c in added])
+    own = "_v"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.withColumn(own, verdict(F.col(text_col), weight, threshold))
+    added = rows.schema[own].dataType.names
+    return rows.select(*[c for c in docs.columns if c not in added], *[F.col(own)[c].alias(c) for c in added])
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 
 from feedloom.llm.common import keep, ranked
 from feedloom.llm.hilbert import hilbert_index
+from feedloom.operators.skew import lookup
 
 BITS = 5
 ACCURACY = 10_000
@@ -90,9 +91,22 @@ def write(table: DataFrame, sharded: DataFrame, key: str, path: str) -> None:
     )
 
 
+def together(rows: DataFrame, group: list[str], dims: list[str], order: list[str]) -> DataFrame:
+    """Adds ``like_<dim>``: each column's value in the least row, by ``order``, of the group.
+
+    Rows of a group so share a cell, and with the group's columns first in the tie order they
+    stand side by side. Null group columns are a value of their own. A hot group is spread.
+    """
+    key = F.xxhash64(*group)  # groups that it mixes up share a cell, no more
+    least = rows.withColumn("_key", key).groupBy("_key").agg(F.min(F.struct(*order, *dims)).alias("_least"))
+    least = least.select("_key", *[F.col("_least")[d].alias(f"like_{d}") for d in dims])
+    return lookup(rows.withColumn("_key", key), least, ["_key"], "inner", order[0]).drop("_key")
+
+
 def document_rows(docs: DataFrame) -> DataFrame:
-    """What ordering documents needs: id, size (UTF-8 bytes of the text and 8), checksum, metadata."""
+    """What ordering documents needs: id, size (UTF-8 bytes of the text and 8), checksums, metadata."""
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(
         "doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
+        F.xxhash64(raw).alias("text_hash"),
         F.col("source").alias("source"), F.col("lang").alias("lang"))

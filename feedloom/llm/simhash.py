@@ -247,15 +247,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id, all columns kept.
 
-    Null ids come last. Of rows equal in id and fingerprint one stays.
+    Null ids come last. Of rows equal in id and fingerprint one stays. Everything is decided on
+    narrow rows. Where ids tell all rows apart, as they mostly do, the texts are read twice and
+    dealt once, for the rows that stay; else a row needs its fingerprint to be found again.
     """
-    own = "_fp"
-    while own in docs.columns:
-        own += "_"
+    own, kept_id, kept_fp = "_fp", "_stays_id", "_stays_fp"
+    while {own, kept_id, kept_fp} & set(docs.columns):
+        own, kept_id, kept_fp = own + "_", kept_id + "_", kept_fp + "_"
     marked = with_fingerprint(docs, text_col, own)
     fps = keep(marked.select(id_col, F.col(own).alias("_fp")))
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("_fp").alias("fp"))
     least = fps.groupBy("_fp").agg(F.min(order).alias("x")).join(classes(fps), "_fp").groupBy("_root").agg(F.min("x").alias("x"))
-    stays = least.select(F.col("x.id").alias("_stays_id"), F.col("x.fp").alias("_stays_fp"))
-    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col("_stays_id")) & (F.col(own) == F.col("_stays_fp")), "left_semi")
+    stays = least.select(F.col("x.id").alias(kept_id), F.col("x.fp").alias(kept_fp))
+    repeated = fps.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if repeated.isEmpty():
+        return docs.join(stays.select(kept_id), F.col(id_col) == F.col(kept_id), "left_semi")
+    kept = marked.join(stays, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)), "left_semi")
     return kept.dropDuplicates([id_col, own]).drop(own)

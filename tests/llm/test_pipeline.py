@@ -8,7 +8,7 @@ from feedloom.llm.common import table
 def test_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {n for n in range(1, 11)} == {int(x[2:].split("_")[0]) for x in names if x.startswith("op")}
+    assert {n for n in range(1, 14)} == {int(x[2:].split("_")[0]) for x in names if x.startswith("op")}
 
 
 def test_stages(spark, sf):
@@ -34,3 +34,35 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(rows.columns) and rows.count() > 0
+
+
+def test_stored_stages_go(spark, sf, monkeypatch):
+    from feedloom.streaming.tables import Folder
+
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "Folder", lambda spark, path: made.append(path) or Folder(spark, path))
+    corpus_pipeline.run(spark, sf).count()
+    assert Folder(spark, made[0]).names("") == [str(len(corpus_pipeline.STAGES) - 1)]
+
+
+def test_odd_rows_in_every_stage(spark, sf, odd_docs, no_docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
+    labels = [(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (1, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd_docs = odd_docs.withColumn("_v", odd_docs.lang).withColumn("_stays_id", odd_docs.lang)
+    rows = odd_docs.collect()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd_docs, str(tmp_path))
+        assert got.dtypes == odd_docs.dtypes, name
+        assert all(r in rows for r in got.collect()), name
+        assert stage(spark, odd_docs.limit(0), str(tmp_path)).count() == 0, name
+    kept = corpus_pipeline.deduplicate(spark, odd_docs, str(tmp_path)).collect()
+    from feedloom.llm.simhash import near_duplicates
+
+    assert len(kept) == len({r.component_id for r in near_duplicates(odd_docs).collect()})
+    # Ids that tell rows apart take the other way, to the same rows.
+    told = odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    some = {r.doc_id for r in corpus_pipeline.deduplicate(spark, told, str(tmp_path)).collect()}
+    assert some == {r.component_id for r in near_duplicates(told).collect()}
+    assert corpus_pipeline.pack(spark, odd_docs, str(tmp_path)).filter("start = 0").count() == len(rows)
+    assert corpus_pipeline.pack(spark, no_docs, str(tmp_path)).count() == 0

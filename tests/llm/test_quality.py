@@ -58,6 +58,18 @@ def test_score_is_the_mean_log_ratio(spark, sf):
             assert judged[i].kept == (not judged[i].base_failed and score >= quality_rules.THRESHOLD)
 
 
+def test_all_trusted_documents_count_either_way(spark, sf, odd_docs):
+    """The counts are the same whether ids are few enough to be broadcast or not."""
+    docs, trusted = table(spark, sf, "documents"), quality_rules.trusted_ids(table(spark, sf, "labels"))
+    assert trusted.count() == table(spark, sf, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct().count()
+    rows = docs.withColumn("_v", F.lit("clash"))
+    one, other = (rows.select("doc_id", quality_rules.verdict(F.col("text"), quality_rules.weights(docs, trusted, most=n))["llr"].alias("x")).collect()
+                  for n in (quality_rules.BROADCAST, 3))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+    judged = quality_rules.judge(rows, table(spark, sf, "labels"))
+    assert {r["_v"] for r in judged.select("_v").collect()} == {"clash"}
+
+
 def test_native_and_without_text_shuffle(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     plan = quality_rules.judge(docs, labels)._jdf.queryExecution().executedPlan().toString()
@@ -74,6 +86,38 @@ def test_compression_score_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_no_text_is_too_long_to_teach(spark):
+    """Only long texts: their blocks come from the whole length, in a bounded sample."""
+    good, bad = "some quite ordinary words about gardens and rivers ", "BUY n0w!!! cl1ck h3re $$$ "
+    rows = [(i, "".join(f"{x}{(j * 7 + i) % 97} " for j in range(1500)), y) for i in range(40) for y, x in ((i % 2, (bad, good)[i % 2]),)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    assert min(len(r[1]) for r in rows) > 2 * 16_384
+    got = compress_quality.score(docs, compress_quality.fit(docs, labels)).collect()
+    assert min(r.score for r in got if r.doc_id % 2) > max(r.score for r in got if r.doc_id % 2 == 0)
+    one = docs.limit(1).select(compress_quality._sampled(F.col("text").cast("binary"), F.col("doc_id"), 16_384).alias("b"), "text").first()
+    blocks = [one.text.encode()[k:k + 8192] for k in range(0, len(one.text), 8192)]
+    places = [blocks.index(bytes(b)) for b in one.b]
+    assert len(places) == 2 and places == sorted(places)
+
+
+def test_scores_by_recomputation(spark, sf):
+    """Every score anew from the model's dictionaries, with the library alone."""
+    import zstandard
+
+    docs = table(spark, sf, "documents")
+    model = compress_quality.fit(docs, table(spark, sf, "labels"))
+    coders = []
+    for raw in (model.good, model.bad):
+        held = zstandard.ZstdCompressionDict(raw)
+        coders.append(zstandard.ZstdCompressor(level=compress_quality.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in compress_quality.score(docs, model).collect():
+        t = texts[r.doc_id]
+        a, b = (sum(len(c.compress(t[k:k + 8192])) for k in range(0, len(t), 8192)) for c in coders)
+        x = (b - a) / (len(t) + 16) * model.weights[0] + math.log((a + 16) / (len(t) + 16)) * model.weights[1] + model.weights[2]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x)))), abs=1e-9)
+
+
 def test_compression_of_odd_rows(spark, odd_docs, no_docs):
     ids = [(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (1, None, None), (3, 1, 1), (9999, 0, 0)]
     labels = spark.createDataFrame(ids, "doc_id long, quality int, toxic int")

@@ -46,3 +46,25 @@ def test_written_shards_hold_the_table(spark, tmp_path):
     sharding.write(rows, placed, "doc_id", f"{tmp_path}/shards")
     back = spark.read.parquet(f"{tmp_path}/shards")
     assert {(r.doc_id, r.shard, r.slot) for r in back.collect()} == {(r.doc_id, r.shard, r.slot) for r in placed.collect()}
+
+
+def test_equal_texts_are_parted_by_cuts_alone(spark):
+    rows = [(i, f"text {i % 40}" if i % 3 else "hot", f"s{i % 7}", ("en", "de", None)[i % 3]) for i in range(600)] + [(None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    like = sharding.together(sharding.document_rows(docs), ["text_hash", "text_crc32", "size"], ["source", "lang"], ["doc_id"])
+    assert like.count() == len(rows)
+    placed = sharding.shard(like, ["like_source", "like_lang", "size"], 24, ["text_crc32", "text_hash", "doc_id"]).collect()
+    groups = defaultdict(list)
+    for r in placed:
+        groups[r.text_crc32].append(r.shard)
+    # Groups lie in runs of neighbouring shards, and there are 23 cuts.
+    assert all(set(x) == set(range(min(x), max(x) + 1)) for x in groups.values())
+    assert sum(max(x) - min(x) for x in groups.values()) <= 23
+    # Cells anew: each group's are those of its least row.
+    least = {}
+    for i, t, s, lang in sorted((r for r in rows if r[0] is not None), reverse=True):
+        least[zlib.crc32(t.encode())] = (s, lang)
+    assert all((r.like_source, r.like_lang) == least[r.text_crc32] for r in placed if r.doc_id is not None)
+    cells = np.array([[c.asDict()[d] for d in "abc"] for c in spark.createDataFrame(placed).select(
+        *[x.alias(d) for x, d in zip(sharding.quantised(like, ["like_source", "like_lang", "size"]), "abc")], "curve").collect()])
+    assert hilbert_index(cells, sharding.BITS).tolist() == [r.curve for r in placed]
