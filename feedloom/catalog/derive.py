@@ -212,6 +212,40 @@ def feed_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def atom_xml(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """Atom documents made of all documents, one per source and run of 320 ids, an entry a line.
+
+    Entries differ in the order of their links, dates and contents. With ``broken``, the end tag
+    of every entry whose id ends in 49 or 99 is misspelt.
+    """
+    from feedloom.functions.text import escape_html
+
+    d = documents(spark, sf_dir).withColumn("_t", _title()).withColumn("_u", _url()).withColumn("_p", F.coalesce(_published(), F.expr("timestamp'2024-02-01'")))
+    stamp = lambda x: f"date_format({x}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    first, later = stamp("_p"), stamp("_p + interval 1 day")
+    link = F.expr("""CASE doc_id % 3
+        WHEN 0 THEN concat('<link rel="enclosure" href="/e"/><link href="', _u, '"/>')
+        WHEN 1 THEN concat('<link rel="alternate" href="', _u, '/old"/><link rel="alternate" href="', _u, '"/>')
+        ELSE concat('<link rel="alternate" href=""/><guid>', _u, '</guid>') END""")
+    date = F.expr(f"""CASE doc_id % 4
+        WHEN 0 THEN concat('<updated>', {later}, '</updated><published>', {first}, '</published>')
+        WHEN 1 THEN concat('<published>', {first}, '</published><updated>', {later}, '</updated>')
+        WHEN 2 THEN concat('<dc:date>', {later}, '</dc:date><published>', {first}, '</published>')
+        ELSE concat('<updated/><published>', {first}, '</published>') END""")
+    body = F.concat(F.lit("<![CDATA["), _xml_text("text"), F.lit("]]>"))
+    content = F.when(F.expr("doc_id % 2 = 0"), F.concat(
+        F.lit("<description>in short</description><content:encoded>"), body, F.lit("</content:encoded><content>more</content>"))).otherwise(
+        F.concat(F.lit("<content>"), body, F.lit("</content><description>in short</description>")))
+    end = F.when(F.expr("doc_id % 50 = 49") & F.lit(broken), "</entri>").otherwise("</entry>")
+    entry = F.concat(F.lit("\n<entry><title>"), escape_html(_xml_text("_t")), F.lit("</title>"), link, date, content, end)
+    grouped = d.select("source", F.expr(f"doc_id div {CHUNK}").alias("chunk"), F.struct("doc_id", entry.alias("xml")).alias("it")).groupBy("source", "chunk").agg(
+        F.array_sort(F.collect_list("it")).alias("items"))
+    return grouped.select(
+        F.expr("concat('https://', source, '.example.com/atom/', chunk, '.xml')").alias("feed_url"),
+        F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:dc="d" xmlns:content="c"><title>Feed</title><link href="/"/>'),
+                 F.array_join(F.transform("items", lambda i: i["xml"]), ""), F.lit("</feed>")).alias("xml"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages")).withColumnRenamed("url", "page_url")
 

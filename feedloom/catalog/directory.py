@@ -27,7 +27,8 @@ def looks_like_feed(spark, sf):
 
 @query("flt_09_feed_issue", """
 SELECT url, attempt, issue, CASE issue WHEN 'unreachable' THEN 'HTTP ' || status
-  WHEN 'redirectsToHTTP' THEN 'http://' || regexp_extract(url, '://(.*)$', 1) END AS detail FROM t_fetch""")
+  WHEN 'redirectsToHTTP' THEN 'http://' || regexp_extract(url, '://(.*)$', 1)
+  WHEN 'malformedXML' THEN 'line 1: mismatched tag' END AS detail FROM t_fetch""")
 def feed_issue(spark, sf):
     return X.feed_issue(D.feed_fetch(spark, sf)).select(
         "url", big("attempt"), F.col("issue.kind").alias("issue"), F.col("issue.detail").alias("detail"))

@@ -36,6 +36,30 @@ def read_feeds(spark, sf):
                         big(F.length("content_html"), "content_chars"))
 
 
+@query("src_01_read_atom", _ITEMS + """
+SELECT replace(feed_url, '/feed/', '/atom/') AS feed_url, pos, url,
+  strftime(coalesce(published_at, TIMESTAMP '2024-02-01') + CASE WHEN doc_id % 4 IN (0, 2) THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END,
+    '%Y-%m-%d %H:%M:%S') AS published_at,
+  CASE WHEN length(body) > 100 THEN length(body) END AS content_chars FROM x""")
+def read_atom(spark, sf):
+    _, items = feeds.read_feeds(D.atom_xml(spark, sf))
+    return items.select("feed_url", big("pos"), "url", ts("published_at"), big(F.length("content_html"), "content_chars"))
+
+
+@query("flt_09_malformed_lines", f"""
+, y AS (
+  SELECT doc_id, 'https://' || source || '.example.com/atom/' || doc_id // 320 || '.xml' AS feed_url,
+    sum(1 + length({_CLEAN.format(c='text')}) - length(replace({_CLEAN.format(c='text')}, chr(10), '')))
+      OVER (PARTITION BY source, doc_id // 320 ORDER BY doc_id) AS breaks
+  FROM t_doc)
+SELECT feed_url, CASE WHEN count(*) FILTER (WHERE doc_id % 50 = 49) > 0
+  THEN 'line ' || CAST(1 + min(breaks) FILTER (WHERE doc_id % 50 = 49) AS BIGINT) || ': mismatched tag' END AS detail
+FROM y GROUP BY feed_url""")
+def malformed_lines(spark, sf):
+    parsed = feeds.parse_feeds(D.atom_xml(spark, sf, broken=True))
+    return parsed.select("feed_url", F.when(~feeds.well_formed(), feeds.malformed_detail()).alias("detail"))
+
+
 @query("src_01_feed_headers", """
 SELECT DISTINCT 'https://' || source || '.example.com/feed/' || doc_id // 320 || '.xml' AS feed_url,
   'Feed ' || source || ' & more' AS title, 'https://www.' || source || '.example.com/' AS site_url FROM documents""")

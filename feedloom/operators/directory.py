@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from feedloom import schema as S
 from feedloom.functions import names, text as T, urls
 from feedloom.operators.skew import first_per_key, lookup, top_k
-from feedloom.sources.feeds import parse_feeds, read_feed_check_items, site_url
+from feedloom.sources.feeds import malformed_detail, parse_feeds, read_feed_check_items, site_url
 
 # Topic order on the browse page, probe paths, and names that say nothing.
 CATEGORY_ORDER = (
@@ -46,12 +46,13 @@ def feed_issue(log: DataFrame) -> DataFrame:
         F.when(~status_ok, "unreachable")
         .when(urls.scheme(F.col("final_url")) == "http", "redirectsToHTTP")
         .when(~T.looks_like_feed(F.col("body")), "notAFeed")
-        .when(F.col("doc._corrupt_record").isNotNull(), "malformedXML")
+        .when(F.col("doc.error").isNotNull(), "malformedXML")
     )
     d = d.withColumn("_kind", kind)
     detail = (
         F.when(F.col("_kind") == "unreachable", F.concat(F.lit("HTTP "), F.coalesce(F.col("status"), F.lit(0)).cast("string")))
         .when(F.col("_kind") == "redirectsToHTTP", F.col("final_url"))
+        .when(F.col("_kind") == "malformedXML", malformed_detail())
     )
     return d.withColumn(
         "issue", F.when(F.col("_kind").isNotNull(), F.struct(F.col("_kind").alias("kind"), detail.alias("detail")))

@@ -1,65 +1,69 @@
-"""SRC-01 to SRC-03: feed documents to headers and items, parsed by Spark's XML functions."""
+"""SRC-01 to SRC-03: feed documents to headers and items, from their elements in document order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedloom.functions import media, text as T, urls
+from feedloom.sources.xml_events import feed_document
 
 MIN_CONTENT = 100
 CHECKED_ITEMS = 10
 
-_MEDIA = "array<struct<_url:string,_type:string>>"
-_LINK = "array<struct<_rel:string,_href:string,_VALUE:string>>"
-_COMMON = (
-    "title:array<string>,pubDate:array<string>,published:array<string>,updated:array<string>,"
-    "`dc:date`:array<string>,`content:encoded`:array<string>,content:array<string>,"
-    f"description:array<string>,`media:thumbnail`:{_MEDIA},`media:content`:{_MEDIA},"
-    f"`media:group`:struct<`media:thumbnail`:{_MEDIA},`media:content`:{_MEDIA}>,"
-    f"enclosure:{_MEDIA},source:array<string>,guid:array<string>"
-)
-_ITEM = f"struct<{_COMMON},link:array<string>>"
-_ENTRY = f"struct<{_COMMON},link:{_LINK}>"
-_SCHEMA = (
-    f"channel struct<title:array<string>,link:array<string>,item:array<{_ITEM}>>, "
-    f"title array<string>, link {_LINK}, entry array<{_ENTRY}>, item array<{_ITEM}>, _corrupt_record string"
-)
+_DATES = ("pubdate", "published", "updated", "dc:date")
 
 
 def parse_feeds(raw: DataFrame) -> DataFrame:
-    """Adds ``doc``, the parsed document, and ``is_atom``. ``raw`` has feed_url and xml.
+    """Adds ``doc``, the document's events in order, and ``is_atom``. ``raw`` has feed_url and xml.
 
-    Documents that are not well formed leave ``doc._corrupt_record`` set.
+    Documents that are not well formed have ``doc.error``: the line and message of the first error.
     """
-    doc = F.from_xml("xml", _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return raw.withColumn("doc", doc).withColumn("is_atom", F.col("xml").rlike(r"(?i)<feed[\s>]"))
+    return raw.withColumn("doc", feed_document(F.col("xml"))).withColumn("is_atom", F.coalesce("doc.is_atom", F.lit(False)))
 
 
-def _first(c: Column) -> Column:
-    """First non-empty text of a repeated element."""
-    trimmed = F.transform(c, lambda x: T.trim_ws(x))
-    return F.coalesce(F.get(F.filter(trimmed, lambda x: x != ""), F.lit(0)), F.lit(""))
+def well_formed() -> Column:
+    return F.col("doc").isNotNull() & F.col("doc.error").isNull()
 
 
-def _last(c: Column, keep_empty: bool = True) -> Column:
-    trimmed = F.transform(c, lambda x: T.trim_ws(F.coalesce(x, F.lit(""))))
-    picked = trimmed if keep_empty else F.filter(trimmed, lambda x: x != "")
-    return F.coalesce(F.try_element_at(picked, F.lit(-1)), F.lit(""))
+def malformed_detail() -> Column:
+    """Where and why a document is not well formed."""
+    return F.concat(F.lit("line "), F.col("doc.error.line").cast("string"), F.lit(": "), F.col("doc.error.message"))
 
 
-def _alternate(links: Column) -> Column:
-    return F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+def _texts(events: Column, *tags: str) -> Column:
+    return F.transform(F.filter(events, lambda e: e["tag"].isin(*tags)), lambda e: e["text"])
+
+
+def _is_alternate(e: Column) -> Column:
+    return (e["tag"] == "link") & (F.coalesce(e["rel"], F.lit("alternate")) == "alternate")
+
+
+def _fold(events: Column, *rules) -> Column:
+    """A text that the events change one after another, empty at first: each rule, given the
+    event and the text so far, says whether it applies and what the text becomes."""
+    def step(text: Column, e: Column) -> Column:
+        out = text
+        for rule in reversed(rules):
+            applies, value = rule(e, text)
+            out = F.when(F.coalesce(applies, F.lit(False)), F.coalesce(value, F.lit(""))).otherwise(out)
+        return out
+
+    return F.aggregate(events, F.lit(""), step)
+
+
+def _first_of(*tags: str):
+    return lambda e, text: (e["tag"].isin(*tags) & (text == ""), e["text"])
 
 
 def feed_headers(parsed: DataFrame) -> DataFrame:
-    """Header of every valid feed: decoded title, else the host, and the site address."""
-    title = F.coalesce(F.get(F.col("doc.channel.title"), F.lit(0)), F.get(F.col("doc.title"), F.lit(0)))
-    rss_site = F.get(F.filter(F.transform(F.col("doc.channel.link"), lambda x: T.trim_ws(x)), lambda x: x != ""), F.lit(0))
-    atom_site = F.get(_alternate(F.col("doc.link")), F.lit(0))["_href"]
-    items = F.coalesce(F.size("doc.channel.item"), F.size("doc.entry"), F.size("doc.item"), F.lit(0))
-    valid = F.col("doc._corrupt_record").isNull() & (title.isNotNull() | (items > 0))
+    """Header of every valid feed: decoded title, else the host, and the site address. Both are
+    the first that stand before the first item."""
+    title = F.get(_texts(F.col("doc.head"), "title"), F.lit(0))
+    rss_site = F.get(F.filter(_texts(F.col("doc.head"), "link"), lambda x: x != ""), F.lit(0))
+    atom_site = F.get(F.filter("doc.head", _is_alternate), F.lit(0))["href"]
+    valid = well_formed() & (title.isNotNull() | (F.size("doc.items") > 0))
     site = F.when(F.col("is_atom"), atom_site).otherwise(rss_site)
-    d = parsed.filter(F.coalesce(valid, F.lit(False))).withColumn("_site", site).withColumn("_title", T.trim_ws(title))
+    d = parsed.filter(F.coalesce(valid, F.lit(False))).withColumn("_site", site).withColumn("_title", title)
     return d.select(
         "feed_url",
         F.coalesce(T.decode_entities(F.col("_title")), urls.host(F.col("feed_url")), F.lit("Untitled")).alias("title"),
@@ -68,50 +72,26 @@ def feed_headers(parsed: DataFrame) -> DataFrame:
 
 
 def raw_items(parsed: DataFrame) -> DataFrame:
-    """One row per item in document order, with each field chosen by its own precedence.
+    """One row per item in document order, each field as the item's elements leave it, in order.
 
-    The parser keeps the order of repeated elements, not the order across different ones.
-    Where that order decides, the item's source text is consulted.
+    The last title and the last address count, an empty one too; a guid fills in while the
+    address is empty. Of dates and sources the first with text counts, of full contents the
+    last, else the first content or description; the last media address, else the first image
+    enclosure.
     """
-    ok = parsed.filter(F.col("doc._corrupt_record").isNull())
-    empty = F.array().cast("array<string>")
-    as_item = lambda link, e: F.struct(
-        link.alias("links"), *[e[n].alias(n) for n in (
-            "title", "pubDate", "published", "updated", "dc:date", "content:encoded", "content",
-            "description", "media:thumbnail", "media:content", "media:group", "enclosure", "source", "guid")]
-    )
-    rss = F.transform(F.coalesce("doc.channel.item", "doc.item"), lambda e: as_item(e["link"], e))
-    atom = F.transform(F.col("doc.entry"), lambda e: as_item(F.transform(_alternate(e["link"]), lambda x: F.coalesce(x["_href"], F.lit(""))), e))
-    d = ok.select("feed_url", "xml", "is_atom", F.when(F.col("is_atom"), atom).otherwise(rss).alias("_items"))
-    # Each item gets its own piece of the source text before the items part ways.
-    with_text = T.let(
-        F.split("xml", r"(?i)<(?:item|entry)[\s>]"),
-        lambda raw: F.transform("_items", lambda e, k: F.struct(e.alias("i"), F.try_element_at(raw, k + 2).alias("seg"))),
-    )
-    d = d.select("feed_url", "is_atom", F.posexplode(with_text).alias("pos", "x"))
-    d = d.select("feed_url", "is_atom", "pos", F.col("x.i").alias("i"), F.col("x.seg").alias("_seg"))
-    d = d.withColumn("_link", _last(F.col("i.links")))
-    # A guid fills in only while the link is empty; an empty link after it wins.
-    last_link = F.length("_seg") - F.locate("knil<", F.reverse("_seg"))
-    guid_late = F.coalesce(F.size("i.links") > 0, F.lit(False)) & (F.locate("<guid", F.col("_seg")) < last_link)
-    link = F.when((F.col("_link") != "") | F.col("is_atom") | guid_late, F.col("_link")).otherwise(_first(F.col("i.guid")))
-    pub, upd = _first(F.col("i.published")), _first(F.col("i.updated"))
-    upd_first = (F.locate("<updated", F.col("_seg")) < F.locate("<published", F.col("_seg"))) & (upd != "")
-    date = F.coalesce(*[F.nullif(x, F.lit("")) for x in (
-        _first(F.col("i.pubDate")), F.when(upd_first, upd), pub, upd, _first(F.col("i.`dc:date`")))], F.lit(""))
-    encoded = _last(F.col("i.`content:encoded`"), keep_empty=False)
-    content = F.coalesce(F.nullif(encoded, F.lit("")), F.nullif(_first(F.col("i.content")), F.lit("")), _first(F.col("i.description")))
-    pics = F.concat(*[
-        F.coalesce(F.transform(F.col(f"i.{c}"), lambda m: F.coalesce(m["_url"], F.lit(""))), empty)
-        for c in ("`media:thumbnail`", "`media:group`.`media:thumbnail`", "`media:group`.`media:content`", "`media:content`")
-    ])
-    enclosure = F.get(F.filter(F.col("i.enclosure"), lambda e: e["_type"].startswith("image/")), F.lit(0))["_url"]
-    thumb = F.coalesce(F.nullif(_last(pics, keep_empty=False), F.lit("")), enclosure, F.lit(""))
+    d = parsed.filter(well_formed()).select("feed_url", "is_atom", F.posexplode("doc.items").alias("pos", "ev"))
+    ev, atom = F.col("ev"), F.col("is_atom")
+    address = F.when(atom, _fold(
+        ev, lambda e, u: (_is_alternate(e), e["href"]), lambda e, u: ((e["tag"] == "guid") & (u == ""), e["text"])
+    )).otherwise(_fold(ev, lambda e, u: (e["tag"] == "link", e["text"]), lambda e, u: ((e["tag"] == "guid") & (u == ""), e["text"])))
+    content = _fold(ev, lambda e, c: ((e["tag"] == "content:encoded") & (e["text"] != ""), e["text"]), _first_of("content", "description"))
+    thumb = _fold(
+        ev, lambda e, u: (e["tag"].isin("media:thumbnail", "media:content") & (e["url"] != ""), e["url"]),
+        lambda e, u: ((e["tag"] == "enclosure") & (u == "") & e["type"].startswith("image/") & e["url"].isNotNull(), e["url"]))
     return d.select(
-        "feed_url", "pos", "is_atom", _last(F.col("i.title")).alias("raw_title"), link.alias("raw_url"),
-        date.alias("raw_date"), thumb.alias("raw_thumbnail"), content.alias("raw_content"),
-        _first(F.col("i.source")).alias("raw_source"), F.col("i.links").alias("links"),
-        F.col("i.guid").alias("guids"),
+        "feed_url", "pos", "is_atom", _fold(ev, lambda e, t: (e["tag"] == "title", e["text"])).alias("raw_title"), address.alias("raw_url"),
+        _fold(ev, _first_of(*_DATES)).alias("raw_date"), thumb.alias("raw_thumbnail"), content.alias("raw_content"),
+        _fold(ev, _first_of("source")).alias("raw_source"), "ev",
     )
 
 
@@ -140,14 +120,18 @@ def read_feeds(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_feed_check_items(parsed: DataFrame) -> DataFrame:
     """SRC-03: per feed, the newest date and the addresses of its first ten items.
 
-    Only web addresses count; a guid stands in where no link is one.
+    Only web addresses count; a guid stands in where no link is one. The last publication date
+    that can be read counts, else the first of the other dates.
     """
-    i = raw_items(parsed).filter(F.col("pos") < CHECKED_ITEMS)
-    web = lambda c: F.try_element_at(F.filter(F.transform(c, lambda x: T.trim_ws(x)), lambda x: x.startswith("http")), F.lit(-1))
-    i = i.withColumn("_link", web(F.col("links")))
-    guid = F.get(F.filter(F.transform("guids", lambda x: T.trim_ws(x)), lambda x: x.startswith("http")), F.lit(0))
-    i = i.withColumn("url", F.coalesce("_link", F.when(~F.col("is_atom"), guid)))
-    i = i.withColumn("item_date", T.parse_feed_date(F.col("raw_date"), without_seconds=True))
+    i = parsed.filter(well_formed()).select("feed_url", "is_atom", F.posexplode("doc.items").alias("pos", "ev")).filter(F.col("pos") < CHECKED_ITEMS)
+    ev = F.col("ev")
+    link = F.when(F.col("is_atom"), _fold(ev, lambda e, u: (_is_alternate(e) & e["href"].startswith("http"), T.trim_ws(e["href"])))).otherwise(
+        _fold(ev, lambda e, u: ((e["tag"] == "link") & e["text"].startswith("http"), e["text"])))
+    guid = _fold(ev, lambda e, u: ((e["tag"] == "guid") & (u == "") & e["text"].startswith("http"), e["text"]))
+    dates = lambda *tags: F.array_compact(F.transform(_texts(ev, *tags), lambda x: T.parse_feed_date(x, without_seconds=True)))
+    i = i.select(
+        "feed_url", "pos", F.coalesce(F.nullif(link, F.lit("")), F.nullif(guid, F.lit(""))).alias("url"),
+        F.coalesce(F.try_element_at(dates("pubdate"), F.lit(-1)), F.get(dates("published", "updated", "dc:date", "date"), F.lit(0))).alias("item_date"))
     got = i.groupBy("feed_url").agg(
         F.max("item_date").alias("newest_item_date"),
         F.transform(
@@ -166,12 +150,10 @@ def newest_item(items: DataFrame) -> DataFrame:
 
 def site_url(parsed: DataFrame) -> DataFrame:
     """EXT-37: home page a feed names: first web link of the channel, or first alternate link."""
-    links = F.concat(
-        F.coalesce(F.col("doc.channel.link"), F.array().cast("array<string>")),
-        F.coalesce(F.flatten(F.transform("doc.channel.item", lambda e: F.coalesce(e["link"], F.array().cast("array<string>")))), F.array().cast("array<string>")),
-    )
-    rss = F.get(F.filter(F.transform(links, lambda x: T.trim_ws(x)), lambda x: x.startswith("http")), F.lit(0))
-    atom = F.get(F.filter(_alternate(F.col("doc.link")), lambda x: F.coalesce(x["_href"] != "", F.lit(False))), F.lit(0))["_href"]
+    own = F.concat("doc.head", "doc.tail")
+    links = F.concat(_texts(F.filter(own, lambda e: e["around"] == "channel"), "link"), _texts(F.flatten("doc.items"), "link"))
+    rss = F.get(F.filter(links, lambda x: x.startswith("http")), F.lit(0))
+    atom = F.get(F.filter(own, lambda e: _is_alternate(e) & (e["around"] == "feed") & F.coalesce(e["href"] != "", F.lit(False))), F.lit(0))["href"]
     return parsed.select("feed_url", F.when(F.col("is_atom"), T.trim_ws(atom)).otherwise(rss).alias("site_url"))
 
 

@@ -93,3 +93,39 @@ def test_opml_outlines_of_any_depth(spark):
                                  "file string, xml string, category string, country string")
     got = [(r.feed_url, r.category) for r in opml.read_opml(rows).collect()]
     assert got == [("https://deep.example.com/f", "L6 & more")]
+
+
+def one_item(spark, body, feed="rss"):
+    xml = f"<rss xmlns:m='m'><channel><title>T</title><item>{body}</item></channel></rss>" if feed == "rss" else f"<feed><title>T</title><entry>{body}</entry></feed>"
+    return feeds.raw_items(feeds.parse_feeds(spark.createDataFrame([("https://f.example.com/x", xml)], "feed_url string, xml string"))).first()
+
+
+def test_order_across_elements(spark):
+    r = one_item(spark, "<dc:date>2024-01-05T00:00:00Z</dc:date><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><guid>g</guid><link></link>"
+                        "<description>d</description><content>c</content><source> </source><source>S</source>")
+    assert (r.raw_date, r.raw_url, r.raw_content, r.raw_source) == ("2024-01-05T00:00:00Z", "", "d", "S")
+    r = one_item(spark, "<link/><guid> </guid><guid>g2</guid><guid>g3</guid><content:encoded>one</content:encoded><description>d</description>"
+                        "<content:encoded>two</content:encoded><content:encoded> </content:encoded><TITLE>a</TITLE><title>b<i>x</i>c</title>")
+    assert (r.raw_url, r.raw_content, r.raw_title) == ("g2", "two", "c")
+    r = one_item(spark, "<updated/><published>p</published><updated>u</updated><link rel='self' href='s'/><link href='a'/><link rel='alternate'/><guid>g</guid>", "atom")
+    assert (r.is_atom, r.raw_date, r.raw_url) == (True, "p", "g")
+    r = one_item(spark, "<enclosure type='audio/mp3' url='x'/><enclosure type='image/png' url='i'/><media:group><media:content url='m'/></media:group>"
+                        "<enclosure type='image/png' url='j'/><media:thumbnail url=''/>")
+    assert r.raw_thumbnail == "m"
+
+
+def test_headers_stand_before_the_first_item(spark):
+    xml = ("<rss><channel><image><title>Logo</title><link> </link></image><title>Feed</title><link>/home</link>"
+           "<item><title>I</title></item><link>https://late.example.com</link></channel></rss>")
+    parsed = feeds.parse_feeds(spark.createDataFrame([("https://f.example.com/x", xml), ("https://g.example.com/y", None)], "feed_url string, xml string"))
+    assert [(r.title, r.site_url) for r in feeds.feed_headers(parsed).collect()] == [("Logo", "https://f.example.com/home")]
+    assert {r.feed_url[8]: r.site_url for r in feeds.site_url(parsed).collect()} == {"f": "https://late.example.com", "g": None}
+
+
+def test_errors_have_a_line_and_a_message(spark):
+    cases = {"<rss>\n<channel>\n</rss>": (3, "mismatched tag"), "<a>&nbsp;</a>": (1, "undefined entity"), "": (1, "no element found"), "<a>\n\n<b x=1/></a>": (3, "not well-formed (invalid token)"),
+             "<a/>\n<b/>": (2, "junk after document element"), "\n<?xml version='1.0'?><a/>": (2, "XML or text declaration not at start of entity"),
+             "<a><b></a>": (1, "mismatched tag"), "<a>" * 3: (1, "no element found"), "<?xml version='1.0' encoding='ISO-8859-1'?><a>\u00e9</a>": None}
+    rows = spark.createDataFrame([(str(i), x) for i, x in enumerate(cases)], "feed_url string, xml string")
+    got = {r.feed_url: r.error and (r.error.line, r.error.message) for r in feeds.parse_feeds(rows).select("feed_url", "doc.error").collect()}
+    assert got == {str(i): e for i, e in enumerate(cases.values())}
