@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom import schema as S
 from feedloom.catalog import derive as D
 from feedloom.catalog.registry import big, query, ts
 from feedloom.operators import intake, library as L
+from feedloom.operators.search_index import SearchIndex, searched
+from feedloom.session import shared_dir
 
 HIDDEN = S.SAVED_PAGES_ID
 NOW = "TIMESTAMP '2024-03-01 12:30:00'"
@@ -57,6 +61,34 @@ def saved_search(spark, sf):
         "id", "title", "attribution")
 
 
+_SEARCHES = ("The", "ation ", "xq", "né", "e th")
+
+
+def _indexed(spark, rows):
+    index = SearchIndex(f"{shared_dir(spark)}/feedloom/search-{uuid.uuid4().hex}", 8)
+    index.update(rows, 0)
+    out = None
+    for q in _SEARCHES:
+        part = index.search(spark, q).select(F.lit(q).alias("q"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("flt_13_indexed_search", " UNION ALL ".join(
+    f"SELECT '{q}' AS q, id FROM t_article WHERE fetch_status <> 'failed' AND contains(lower(title), '{q.lower()}')" for q in _SEARCHES))
+def indexed_search(spark, sf):
+    return _indexed(spark, D.article(spark, sf).select("id", F.when(F.col("fetch_status") != "failed", searched(F.col("title"))).alias("text")))
+
+
+@query("flt_14_indexed_saved_search", " UNION ALL ".join(
+    f"""SELECT '{q}' AS q, a.id FROM t_article a LEFT JOIN t_source s ON s.id = a.source_id WHERE a.is_saved AND (contains(lower(a.title), '{q.lower()}')
+        OR contains(lower(coalesce(nullif(a.original_source_name, ''), s.title)), '{q.lower()}'))""" for q in _SEARCHES))
+def indexed_saved_search(spark, sf):
+    named = L.attach_names(D.article(spark, sf), D.source(spark, sf))
+    name = F.coalesce(F.nullif("original_source_name", F.lit("")), "source_title")
+    return _indexed(spark, named.select("id", F.when(F.col("is_saved"), searched(F.col("title"), name)).alias("text")))
+
+
 @query("flt_18_due_sources",
        f"""SELECT 'automatic' AS mode, 'resume' AS run, id FROM t_source WHERE id <> '{HIDDEN}'
              AND (last_fetched_at IS NULL OR last_fetched_at < {NOW} - INTERVAL 1 HOUR)
@@ -254,11 +286,8 @@ def top_per_source(spark, sf):
              {_ts(NOW + ' + to_seconds(CAST(slot * 10 AS INTEGER))', 'slot_at')}
            FROM shown, range(0, 180) r(slot)""".replace("WITH shown AS", ", shown AS", 1))
 def carousel_slots(spark, sf):
-    from pyspark.sql import Window
     shown = L.articles_with_source(D.article(spark, sf), D.source(spark, sf), L.DISPLAY_ROWS["small"])
-    # At most five rows remain, so one ranking task is enough.
-    ranked = shown.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*L.newest_first())))
-    return L.carousel_slots(ranked, now()).select("id", big("slot"), big("slot_position"), ts("slot_at"))
+    return L.carousel_slots(L.ranked_list(shown), now()).select("id", big("slot"), big("slot_position"), ts("slot_at"))
 
 
 @query("win_18_renumber_sources",

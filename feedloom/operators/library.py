@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom import schema as S
 from feedloom.functions import urls
-from feedloom.operators.skew import first_per_key, lookup, top_k
+from feedloom.operators.skew import first_per_key, lookup, rank_within, top_k
 
 # Rows shown per display size, and the slide show of one refresh window.
 DISPLAY_ROWS = {
@@ -268,19 +268,25 @@ def balanced_latest(article: DataFrame, n: int = CAROUSEL_SIZE) -> DataFrame:
     )
 
 
+def ranked_list(shown: DataFrame, rank: str = "rn") -> DataFrame:
+    """A list of any length with its ranks, newest first, without one task for all rows."""
+    return rank_within(shown.withColumn("_all", F.lit(1)), "_all", newest_first(), rank).drop("_all")
+
+
 def carousel_slots(shown: DataFrame, start: Column, rank: str = "rn") -> DataFrame:
     """WIN-17: the rotated list for every ten-second slot of one refresh window.
 
-    ``shown`` is a display list of a few rows with a 1-based rank.
+    ``shown`` is a display list with a 1-based rank. Positions are cyclic: they need the list's
+    length, one number, and nothing of other rows.
     """
     slots = WINDOW_MINUTES * 60 // SLOT_SECONDS
-    whole = Window.partitionBy(F.lit(1))
+    length = shown.agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
     return (
-        shown.withColumn("_n", F.count("*").over(whole))
+        shown.withColumn("_one", F.lit(1)).join(length, "_one")  # with one row: as a keyed join, not a product
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         .withColumn("slot_position", F.pmod(F.col(rank) - 1 - F.col("slot"), F.col("_n")).cast("int"))
         .withColumn("slot_at", start + F.make_dt_interval(secs=F.col("slot") * SLOT_SECONDS))
-        .drop("_n")
+        .drop("_n", "_one")
     )
 
 
