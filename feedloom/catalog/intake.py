@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom import schema as S
@@ -9,6 +11,8 @@ from feedloom.catalog import derive as D
 from feedloom.catalog.registry import big, query, ts
 from feedloom.functions import urls
 from feedloom.operators import intake as I
+from feedloom.operators.library_store import LibraryIndex
+from feedloom.session import shared_dir
 
 HIDDEN = S.SAVED_PAGES_ID
 M = "coalesce(published_at, added_at)"
@@ -57,6 +61,13 @@ def match_existing(spark, sf):
         "source_id", "pos", "existing_id", "matched_by")
 
 
+@query("join_01_bucketed_match",
+       WINDOW + "SELECT source_id, pos, existing_id, matched_by FROM w_match")
+def bucketed_match(spark, sf):
+    index = LibraryIndex(spark, f"{shared_dir(spark)}/feedloom/index-{uuid.uuid4().hex}", 16).build(D.article(spark, sf))
+    return index.match(window(spark, sf)).select("source_id", "pos", "existing_id", "matched_by")
+
+
 @query("join_02_reattach_saved",
        WINDOW + f"""SELECT a.id, min(w.source_id) AS source_id FROM t_article a JOIN w_window w ON w.url = a.article_url
           WHERE a.source_id = '{HIDDEN}' AND a.is_saved GROUP BY a.id""")

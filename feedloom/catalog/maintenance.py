@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom import schema as S
@@ -9,6 +11,8 @@ from feedloom.catalog import derive as D
 from feedloom.catalog.library import NOW, now
 from feedloom.catalog.registry import big, query, ts
 from feedloom.operators import maintenance as X
+from feedloom.operators.library_store import LibraryStore
+from feedloom.session import shared_dir
 
 HIDDEN = S.SAVED_PAGES_ID
 M = "coalesce(published_at, added_at)"
@@ -145,6 +149,30 @@ def delete_source(spark, sf):
         "id", "source_id", "original_source_name")
 
 
+@query("upd_08_stored_delete", f"""
+, k AS (
+  SELECT a.id, a.article_url, CASE WHEN s.id IS NOT NULL THEN '{HIDDEN}' ELSE a.source_id END AS source_id
+  FROM t_article a LEFT JOIN t_source s ON s.id = a.source_id AND s.id IN {_GONE} WHERE s.id IS NULL OR a.is_saved)
+SELECT 'article' AS tbl, id, source_id FROM k
+UNION ALL SELECT 'address', id, source_id FROM k
+UNION ALL SELECT 'cached_page', article_id, NULL FROM t_page WHERE article_id IN (SELECT id FROM k)
+UNION ALL SELECT 'source', id, NULL FROM t_source WHERE id NOT IN {_GONE}""")
+def stored_delete(spark, sf):
+    source, article, page = parts(spark, sf)
+    library = LibraryStore(f"{shared_dir(spark)}/feedloom/library-{uuid.uuid4().hex}", 4)
+    owned = S.conform(page, S.CACHED_PAGE).join(article.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    library.load(S.conform(source, S.SOURCE), S.conform(article, S.ARTICLE), owned, 0)
+    library.delete_sources(_gone(spark, sf), 1)
+    now = library.read(spark)
+    no = F.lit(None).cast("string").alias("source_id")
+    return (
+        now["article"].select(F.lit("article").alias("tbl"), "id", "source_id")
+        .unionByName(now["address"].select(F.lit("address").alias("tbl"), "id", "source_id"))
+        .unionByName(now["cached_page"].select(F.lit("cached_page").alias("tbl"), F.col("article_id").alias("id"), no))
+        .unionByName(now["source"].select(F.lit("source").alias("tbl"), "id", no))
+    )
+
+
 @query("upd_18_delete_article", """
 , gone AS (SELECT DISTINCT article_id FROM t_action WHERE action = 'fetch_failed')
 SELECT 'article' AS tbl, id FROM t_article WHERE id NOT IN (SELECT article_id FROM gone)
