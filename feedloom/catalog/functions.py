@@ -81,13 +81,60 @@ def slugify(spark, sf):
     return d.select("doc_id", T.slugify(F.col("t"), True).alias("ascii_slug"), T.slugify(F.col("t")).alias("slug"))
 
 
-@query("fn_09_simplify_name")
+def _in(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _run_sql(labels: str) -> str:
+    """The first run of adjacent words that joins to a label, as [start, words]; null without."""
+    ends = f"list_filter(range(1, least(len(clean) - i + 1, reach) + 1), lambda n: array_to_string(clean[i:i + n - 1], '') IN ({labels}))"
+    return f"""list_filter(list_transform(range(1, len(clean) + 1), lambda i: CASE WHEN len({ends}) > 0 THEN [i, ({ends})[1]] END), lambda r: r IS NOT NULL)[1]"""
+
+
+_BARE = r"list_transform(w, lambda x: regexp_replace(x, '^\p{P}+|\p{P}+$', '', 'g'))"
+_SPACED = "d_name"
+for _mark in names.SPACED_SEPARATORS:
+    _SPACED = f"replace({_SPACED}, '{_mark}', ' {_mark} ')"
+
+
+@query("fn_09_simplify_name", f"""
+, a AS (
+  SELECT id, name || ' | ' || tag2 AS d_name, regexp_replace(lower(regexp_extract(feed_url, '://([^/]+)', 1)), 'www[.]|feeds[.]', '', 'g') AS label FROM t_dir),
+b AS (SELECT id, d_name, split_part(label, '.', 1) AS d, trim(regexp_replace({_SPACED}, ' {{2,}}', ' ', 'g')) AS n FROM a),
+c AS (SELECT *, replace(d, '-', '') AS dh, list_filter(string_split(n, ' '), lambda x: x <> '') AS w FROM b),
+e AS (SELECT *, {_BARE} AS bare, coalesce(list_position(list_transform(w, lambda x: x IN {_in(names.SEPARATORS)}), true), 0) - 1 AS sep FROM c),
+f AS (SELECT *, list_transform(bare, lambda x: lower(x)) AS clean, length(d) + len(list_filter(bare, lambda x: x = '')) AS reach,
+    CASE WHEN sep > 0 THEN list_filter(bare[1:sep], lambda x: x <> '') ELSE [] END AS bef,
+    CASE WHEN sep > 0 THEN list_filter(bare[sep + 2:], lambda x: x <> '') ELSE [] END AS aft FROM e),
+g AS (SELECT *, array_to_string(bef, ' ') AS bj, array_to_string(aft, ' ') AS aj, lower(array_to_string(bef, '')) AS bc, lower(array_to_string(aft, '')) AS ac,
+    list_position(list_transform(clean, lambda x: x IN (d, dh)), true) AS hit,
+    CASE WHEN len(w) > 5 AND d <> '' THEN {_run_sql('d, dh')} END AS run,
+    list_filter(list_transform(list_filter(w, lambda x: x NOT IN {_in(names.SEPARATORS)}), lambda x: regexp_replace(x, '^\\p{{P}}+|\\p{{P}}+$', '', 'g')), lambda x: x <> '') AS rl
+  FROM f)
+SELECT id, d_name AS name, CASE WHEN n = '' THEN n
+  WHEN sep > 0 AND len(aft) > 0 AND lower(bj) IN {_in(names.GENERIC_TERMS)} THEN aj
+  WHEN sep > 0 AND len(bef) > 0 AND lower(aj) IN {_in(names.GENERIC_TERMS)} THEN bj
+  WHEN sep > 0 AND d <> '' AND ac IN (d, dh) THEN aj WHEN sep > 0 AND d <> '' AND bc IN (d, dh) THEN bj
+  WHEN len(w) <= 5 OR d = '' THEN n WHEN hit > 0 THEN bare[hit]
+  WHEN run IS NOT NULL THEN array_to_string(bare[run[1]:run[1] + run[2] - 1], ' ')
+  WHEN sep > 0 AND len(bef) BETWEEN 1 AND 4 THEN bj ELSE array_to_string(rl[1:3], ' ') END AS simple_name
+FROM g""")
 def simplify_name(spark, sf):
     d = D.directory_feed(spark, sf).withColumn("name", F.concat_ws(" | ", "name", F.element_at("tags", 2)))
     return names.with_simple_name(d, "name", "feed_url").select("id", "name", "simple_name")
 
 
-@query("fn_10_shorten_title")
+@query("fn_10_shorten_title", f"""
+, a AS (SELECT doc_id, d_title AS t, split_part(lower(regexp_extract(d_url, '://([^/]+)', 1)), '.', 1) AS d, trim(d_title) AS raw FROM t_doc),
+b AS (SELECT *, list_filter(string_split(raw, ' '), lambda x: x <> '') AS w FROM a),
+c AS (SELECT *, {_BARE} AS bare FROM b),
+e AS (SELECT *, list_transform(bare, lambda x: lower(x)) AS clean, length(d) + len(list_filter(bare, lambda x: x = '')) AS reach FROM c),
+f AS (SELECT *, list_position(clean, d) AS hit, CASE WHEN len(w) > 5 AND d <> '' THEN {_run_sql('d')} END AS run,
+    list_filter(list_transform(list_filter(w, lambda x: x NOT IN {_in(names.TITLE_SEPARATORS)}), lambda x: regexp_replace(x, '^[–—|>:·•]+|[–—|>:·•]+$', '', 'g')), lambda x: x <> '') AS rl
+  FROM e)
+SELECT doc_id, t, CASE WHEN len(w) <= 5 THEN raw WHEN d <> '' AND hit > 0 THEN bare[hit]
+  WHEN run IS NOT NULL THEN array_to_string(bare[run[1]:run[1] + run[2] - 1], ' ') ELSE array_to_string(rl[1:3], ' ') END AS short_title
+FROM f""")
 def shorten_title(spark, sf):
     d = D.documents(spark, sf).withColumn("t", D._title()).withColumn("u", D._url())
     return names.with_short_title(d, "t", "u").select("doc_id", "t", "short_title")
@@ -211,7 +258,11 @@ def add_paragraphs(spark, sf):
     return d.select("doc_id", F.when(lines, F.col("p")).alias("html"))
 
 
-@query("fn_22_sentence_paragraphs")
+@query("fn_22_sentence_paragraphs", r"""
+, s AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents),
+p AS (SELECT doc_id, t, list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)) AS l FROM s),
+g AS (SELECT doc_id, t, l, list_filter(list_transform(range(1, len(l) + 1, 3), lambda i: array_to_string(l[i:i + 2], ' ')), lambda x: x <> '') AS q FROM p)
+SELECT doc_id, CASE WHEN len(l) > 1 THEN array_to_string(list_transform(q, lambda x: '<p>' || x || '</p>'), chr(10)) ELSE '<p>' || t || '</p>' END AS html FROM g""")
 def sentence_paragraphs(spark, sf):
     one_line = F.regexp_replace("text", r"\s+", " ")
     return D.documents(spark, sf).select("doc_id", T.add_paragraphs(one_line).alias("html"))
