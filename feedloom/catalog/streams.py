@@ -108,14 +108,33 @@ def refresh_stream(spark, sf):
     return job.article.read(spark).groupBy("source_id").agg(F.count("*").alias("pending"))
 
 
-@query("str_03_refresh_pruned")
+def _by_chunk(c: str):
+    return F.expr(f"cast(regexp_extract({c}, '/feed/([0-9]+)', 1) AS int) % {PARTS}")
+
+
+_KEPT = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(published_at, TIMESTAMP '2024-02-01') DESC, id) AS rn FROM ({rows})) WHERE rn <= 25"
+_FRESH = "SELECT * FROM k WHERE part = {part}"
+_UNKNOWN = _FRESH + " AND NOT EXISTS (SELECT 1 FROM {known} l WHERE l.source_id = k.source_id AND l.title = k.title)"
+
+
+@query("str_03_refresh_pruned", rf"""
+, x AS (SELECT doc_id, source AS source_id, d_url AS article_url, d_published AS published_at, sha256(d_url) AS h, (doc_id // 320) % {PARTS} AS part,
+    'https://' || source || '.example.com/feed/' || doc_id // 320 || '.xml' AS feed_url,
+    trim(CASE WHEN contains(d_title, '&') THEN replace(d_title, '&amp;', '&') ELSE d_title END) AS title FROM t_doc),
+k AS (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id,
+    source_id, title, article_url, published_at, part FROM (
+  SELECT *, row_number() OVER (PARTITION BY part, source_id, title ORDER BY published_at DESC NULLS LAST, feed_url, doc_id) AS rt FROM x) WHERE rt = 1),
+p0 AS ({_KEPT.format(rows=_FRESH.format(part=0))}),
+p1 AS ({_KEPT.format(rows='SELECT * FROM p0 UNION ALL ' + _UNKNOWN.format(part=1, known='p0'))}),
+p2 AS ({_KEPT.format(rows='SELECT * FROM p1 UNION ALL ' + _UNKNOWN.format(part=2, known='p1'))})
+SELECT id, source_id, title, article_url, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM p2""")
 def refresh_pruned(spark, sf):
     root = root_dir(spark, "refresh")
     docs = D.feed_xml(spark, sf).select(
         F.regexp_extract("feed_url", "https://([^.]+)", 1).alias("source_id"), "feed_url", "xml",
         F.expr("timestamp'2024-02-01'").alias("fetched_at"))
     job = jobs.RefreshStream(root, buckets=BUCKETS)
-    drain(docs, _thirds("feed_url"), job.step, root)
+    drain(docs, _by_chunk("feed_url"), job.step, root)
     return job.article.read(spark).select("id", "source_id", "title", "article_url", ts("published_at"))
 
 
