@@ -19,6 +19,7 @@ from bisect import insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -63,12 +64,21 @@ def _tokenizer(path: str | None) -> Encoder:
     added = tokenizer.get_added_tokens_decoder()
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer is not None for t in added.values()):
         raise ValueError("only added tokens that stand for themselves alone are supported")
-    model, letters = tokenizer.model, _byte_letters()
+    letters = _byte_letters()
+    tokenize, letter = tokenizer.model.tokenize, np.array([letters[b] for b in range(256)], "<u4")
 
     def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # A piece is one word to the model, which needs none of the offsets of a whole encoding.
-        got = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
-        return np.array([i for x in got for i in x], np.int32), np.array([len(x) for x in got], np.int64)
+        # All bytes to letters at once. A piece is one word to the model, which needs none of the
+        # offsets of a whole encoding.
+        raw = [p.encode() for p in pieces]
+        text = letter[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        ids, length, a = [], [], 0
+        for b in accumulate(map(len, raw)):
+            got = tokenize(text[a:b])
+            length.append(len(got))
+            ids += [t.id for t in got]
+            a = b
+        return np.array(ids, np.int32), np.array(length, np.int64)
 
     return Encoder(Pieces(encode_new), {t.content: i for i, t in added.items()})
 
