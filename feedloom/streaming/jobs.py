@@ -40,9 +40,13 @@ def without_deleted(batch: DataFrame, tombstone: DataFrame, key: str = "source_i
     return batch.join(tombstone.select(key).distinct(), key, "left_anti")
 
 
+def _when(batch: DataFrame):
+    return F.struct("change_at", "change_seq") if "change_at" in batch.columns else F.struct("added_at", "id")
+
+
 def latest_changes(batch: DataFrame) -> DataFrame:
     """One row an article: of several changes in a batch the latest."""
-    order = F.struct("change_at", "change_seq") if "change_at" in batch.columns else F.struct("added_at", "id")
+    order = _when(batch)
     cols = S.columns(S.ARTICLE)
     return batch.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("_row")).select("_row.*").select(*cols)
 
@@ -115,11 +119,10 @@ class LiveLibrary:
         with self.store.batch(rows.sparkSession, batch_id) as batch:
             if batch.done:
                 return
-            newest = batch.stage(latest_changes(rows), "newest")
-            places = newest.select("id", "source_id")
+            places = batch.stage(rows.groupBy("id").agg(F.max_by("source_id", _when(rows)).alias("source_id")), "places")
             old = batch.read(self.place, self.place.touched(places)).withColumnRenamed("source_id", "_old")
             left = places.join(old, "id").filter(F.col("source_id") != F.col("_old")).select("id", F.col("_old").alias("source_id"))
-            changes = batch.stage(newest.withColumn("_gone", F.lit(False)).unionByName(
+            changes = batch.stage(latest_changes(rows).withColumn("_gone", F.lit(False)).unionByName(
                 left.withColumn("_gone", F.lit(True)), allowMissingColumns=True), "changes")
             batch.update(self.article, changes, replace_rows)
             batch.update(self.place, changes.filter(~F.col("_gone")).select("id", "source_id"), replace_by_key("id"))
