@@ -65,7 +65,7 @@ def _tokenizer(path: str | None) -> Encoder:
     if any(t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer is not None for t in added.values()):
         raise ValueError("only added tokens that stand for themselves alone are supported")
     letters = _byte_letters()
-    tokenize, letter = tokenizer.model.tokenize, np.array([letters[b] for b in range(256)], "<u4")
+    tokenize, letter = tokenizer.model.tokenize, np.array([letters.get(b, b) for b in range(256)], "<u4")
 
     def encode_new(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # All bytes to letters at once. A piece is one word to the model, which needs none of the
