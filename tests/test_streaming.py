@@ -140,7 +140,7 @@ def test_lists_equal_recomputation_after_any_changes(spark, tmp_path, monkeypatc
     job = jobs.LiveLibrary(str(tmp_path), buckets=2)
     for kind in job.lists.kinds:
         object.__setattr__(kind, "spare", 1)
-    for k in range(5):
+    for k in range(3):
         job.step(random_changes(spark, rng, known, 40), k)
         now = job.article.read(spark).cache()
         assert {r.id for r in now.collect()} == set(known)
