@@ -28,14 +28,16 @@ def main_block(nodes: DataFrame) -> DataFrame:
 
     The published readability idea: a paragraph scores by its length and commas, its parent
     gets the full score and its grandparent half, and link-heavy blocks are discounted. Pages
-    without a scoring paragraph fall back to their body, then to their first element.
+    without a scoring paragraph fall back to the first of ``content_scopes`` that holds text
+    (of several the one with most), then to their body, then to their first element.
     """
     n = nodes.withColumn("_in_link", dom.inside(node_tag() == "a")).withColumn(
         "_chars", F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)
     )
+    scope = F.coalesce(*[F.when(c, F.lit(-k)) for k, c in enumerate(content_scopes())])
     # From here on no column of the page's content is needed.
     n = n.select(
-        "page_id", "pre", "last", "tag", "path", F.col("_chars").alias("chars"),
+        "page_id", "pre", "last", "tag", "path", scope.alias("scope"), F.col("_chars").alias("chars"),
         F.when(F.col("_in_link"), F.col("_chars")).otherwise(0).alias("link_chars"),
         F.when(non_blank(), F.regexp_count("text", F.lit("[,，、]"))).otherwise(0).alias("commas"))
     n = dom.subtree_sums(n, {c: F.col(c) for c in ("chars", "link_chars", "commas")}).filter(is_element())
@@ -49,10 +51,12 @@ def main_block(nodes: DataFrame) -> DataFrame:
     n = dom.near_sums(n, F.col("_points"), ("_near", "_far"))
     raw = F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0)) / 2
     score = (raw + F.col("_bonus")) * (1 - F.col("link_chars") / F.greatest("chars", F.lit(1)))
-    # Candidates first, then the body, then the root.
+    declared = F.col("scope").isNotNull() & (F.col("chars") > 0)
+    # Candidates first, then what the page declares its content, then the body, then the root.
     rank = F.struct(
-        F.when(raw > 0, 2).when(node_tag() == "body", 1).otherwise(0).alias("kind"),
-        F.when(raw > 0, F.round(score, 6)).otherwise(0.0).alias("score"), (-F.col("pre")).alias("order"),
+        F.when(raw > 0, 3).when(declared, 2).when(node_tag() == "body", 1).otherwise(0).alias("kind"),
+        F.when(raw > 0, F.round(score, 6)).when(declared, F.col("scope")).otherwise(0.0).alias("score"),
+        F.when((raw <= 0) & declared, F.col("chars")).otherwise(0).alias("held"), (-F.col("pre")).alias("order"),
     )
     best = F.max_by(F.struct("pre", "last", F.col("tag").alias("root_tag")), rank)
     return n.groupBy("page_id").agg(best.alias("_b")).select(

@@ -81,3 +81,20 @@ def test_images_outside_the_content_are_not_put_back(spark):
     nodes = parse_nodes(spark.createDataFrame([("1", html)], "page_id string, html string"))
     content = nodes.filter("tag <> 'img'")
     assert [r.src for r in E.recover_dropped_images(nodes, content).collect()] == ["/deep.jpg"]
+
+
+def test_short_articles_are_found_by_their_element(spark):
+    """No paragraph is long enough to score: what the page declares as its content is the body."""
+    frame = '<body><div class="ad">{ad}</div>{body}<footer>&copy; the site and its partners</footer></body>'
+    bodies = [
+        "<article><h1>Short</h1><p>Short words.</article>", '<div role="main">Short words.</div>',
+        "<article></article><main><p>Short words.</p></main>",
+        "<article><p>One.</p></article><article><p>One, two, three.</p></article>", "<section>Short words.</section>",
+    ]
+    nodes = parse_nodes(pages(spark, *[frame.format(ad="An advert, not the story.", body=b) for b in bodies]))
+    roots = {r.page_id: r for r in E.main_block(nodes).collect()}
+    assert [roots[str(i)].root_tag for i in range(5)] == ["article", "div", "main", "article", "body"]
+    second = [r.pre for r in nodes.filter("page_id = '3' AND tag = 'article'").orderBy("pre").collect()][1]
+    assert roots["3"].root_pre == second
+    words = {r.page_id: r.word_count for r in J.page_signals(pages(spark, frame.format(ad="An advert", body=bodies[0]))).collect()}
+    assert words == {"0": 3}
