@@ -20,6 +20,7 @@ _RUNTIME = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows may be long texts: smaller batches bound a Python worker's memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Keyed state with timers needs this store; jobs without keyed state are not concerned.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -129,3 +129,19 @@ def test_errors_have_a_line_and_a_message(spark):
     rows = spark.createDataFrame([(str(i), x) for i, x in enumerate(cases)], "feed_url string, xml string")
     got = {r.feed_url: r.error and (r.error.line, r.error.message) for r in feeds.parse_feeds(rows).select("feed_url", "doc.error").collect()}
     assert got == {str(i): e for i, e in enumerate(cases.values())}
+
+
+def test_events_leave_a_worker_in_pieces(spark):
+    """One batch of many large documents is not held as a whole; nulls and order stay."""
+    import pyarrow as pa
+    from feedloom.sources import xml_events as X
+
+    size = X.PIECE_CHARS // 2
+    texts = [None if k % 5 == 4 else f"<rss><channel><title>{k}</title><item><title>{'x' * size}</title></item></channel></rss>" for k in range(12)]
+    pieces = list(X.event_arrays(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert max(len(p) for p in pieces) <= 3 and sum(len(p) for p in pieces) == len(texts)
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [r and r["head"][0]["text"] for r in rows] == [None if t is None else str(k) for k, t in enumerate(texts)]
+    raw = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "feed_url string, xml string").coalesce(1)
+    assert {r.feed_url: r.n for r in feeds.parse_feeds(raw).selectExpr("feed_url", "size(doc.items) n").collect()} == {
+        str(k): None if t is None else 1 for k, t in enumerate(texts)}
