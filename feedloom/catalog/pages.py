@@ -15,6 +15,7 @@ from feedloom.functions import text as T, urls
 from feedloom.operators import dom, embedded, extract as E, page_rules as R
 from feedloom.operators.dom import node_tag, attr
 from feedloom.plans import extract_job as J
+from feedloom.session import materialize
 from feedloom.sources.html import parse_nodes
 
 
@@ -285,7 +286,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, CASE page_id % 3 WHEN 0 THEN '/h' ||
   page_id % 3 <> 1 AS scoped FROM pages""")
 def pick_hero(spark, sf):
     pages = illustrated(spark, sf, _HERO)
-    nodes, page = parse_nodes(pages), J._page(pages)
+    nodes, page = materialize(parse_nodes(pages)), J._page(pages)
     hero = E.pick_hero(E.hero_candidates(nodes, page), page, E.og_image(nodes, page))
     return hero.select("page_id", "hero_image_url", "scoped")
 
@@ -295,7 +296,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, CASE page_id % 3 WHEN 0 THEN '/h' ||
   CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'https://' || regexp_extract(url, '://([^/?#]*)', 1) || '/og' || page_id || '.jpg' ELSE '/mark.jpg' END AS injected FROM pages""")
 def inject_hero(spark, sf):
     pages = illustrated(spark, sf, _HERO)
-    nodes, page = parse_nodes(pages), J._page(pages)
+    nodes, page = materialize(parse_nodes(pages)), J._page(pages)
     hero = E.pick_hero(E.hero_candidates(nodes, page), page, E.og_image(nodes, page))
     # The content keeps only the images that have a declared size.
     content = dom.render(nodes.filter((node_tag() != "img") | dom.has_attr("width")).filter(node_tag() != "meta"))
@@ -344,7 +345,7 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, '/lost' || page_id || '.jpg' AS src
 def recover_dropped_images(spark, sf):
     pages = illustrated(spark, sf, [
         '<p><a><img src="/lost{p}.jpg"></a></p><p>short</p><p>A paragraph that number {p} can be found by.</p><p><img src="/kept.jpg"></p>'])
-    nodes = parse_nodes(pages)
+    nodes = materialize(parse_nodes(pages))  # read several times
     # The content lost the image-only paragraph but kept everything else.
     content = nodes.filter(~((node_tag() == "img") & attr("src").startswith("/lost")))
     return E.recover_dropped_images(nodes, content).select("page_id", "src")

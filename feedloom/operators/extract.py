@@ -338,9 +338,9 @@ def recover_dropped_images(nodes: DataFrame, content: DataFrame, min_chars: int
     beside = img.select("page_id", "parent", "at", "pre", "src", F.lit(None).cast("string").alias("text")).unionByName(
         texts.select("page_id", "parent", F.col("pre").alias("at"), F.lit(None).cast("int").alias("pre"),
                      F.lit(None).cast("string").alias("src"), "text"))
-    ahead = Window.partitionBy("page_id", "parent").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("page_id", "parent").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
     wanted = (
-        beside.withColumn("_next", F.first("text", ignorenulls=True).over(ahead))
+        beside.withColumn("_next", F.last("text", ignorenulls=True).over(ahead))
         .filter(F.col("src").isNotNull() & F.col("_next").isNotNull())
         .select("page_id", "pre", "src", F.col("_next").alias("text"))
     )

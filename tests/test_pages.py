@@ -98,3 +98,12 @@ def test_short_articles_are_found_by_their_element(spark):
     assert roots["3"].root_pre == second
     words = {r.page_id: r.word_count for r in J.page_signals(pages(spark, frame.format(ad="An advert", body=bodies[0]))).collect()}
     assert words == {"0": 3}
+
+
+def test_pages_are_parsed_once_for_all_readers(spark, sf):
+    """The parser is no part of a plan that reads its nodes several times."""
+    from feedloom.catalog import load_all
+
+    for name in ("join_17_recover_dropped_images", "ext_27_inject_hero"):
+        plan = load_all()[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan, name
