@@ -13,7 +13,7 @@ from feedloom.catalog.registry import big, query, ts
 from feedloom.operators import library as L
 from feedloom.session import shared_dir
 from feedloom.streaming import jobs
-from feedloom.streaming.tables import run
+from feedloom.streaming.tables import STORED, run
 from feedloom.streaming.timers import StaleClock
 
 HIDDEN = S.SAVED_PAGES_ID
@@ -34,7 +34,7 @@ def drain(df: DataFrame, part, step, root: str) -> None:
     """
     spark, staged = df.sparkSession, df.withColumn("_part", part)
     for i in range(PARTS):
-        staged.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{root}/input")
+        staged.filter(F.col("_part") == i).drop("_part").write.option("compression", STORED).mode("append").parquet(f"{root}/input")
         run(spark.readStream.schema(df.schema).parquet(f"{root}/input"), step, f"{root}/checkpoint").awaitTermination()
 
 

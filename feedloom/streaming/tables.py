@@ -21,6 +21,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BUCKETS = 32
+STORED = "zstd"  # tables hold whole texts, which a batch rewrites with their buckets
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -145,7 +146,7 @@ class Batch:
         merged = merge(self.read(table, touched), rows).withColumn("bucket", bucket_of(table.key, table.buckets))
         # Rebalancing gathers a bucket's rows into few files and still splits an oversized one.
         out = merged.hint("rebalance", F.col("bucket"))
-        out.write.partitionBy("bucket").parquet(f"{table.path}/version={self.version}")
+        out.write.option("compression", STORED).partitionBy("bucket").parquet(f"{table.path}/version={self.version}")
         self.now[table.name] = self.now.get(table.name, {}) | {str(b): self.version for b in touched}
 
     def write(self, snapshot: Snapshot, df: DataFrame) -> None:
@@ -156,7 +157,7 @@ class Batch:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """An intermediate result of this try, stored so that its many readers share it."""
         out = f"{self.store.root}/_work/{self.version}/{name}"
-        df.write.parquet(out)
+        df.write.option("compression", STORED).parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
     def commit(self) -> None:

@@ -85,3 +85,20 @@ def test_a_lookup_does_not_move_the_library(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") == 2
     assert all("parquet" not in "\n".join(part.split("\n")[1:4]) for part in plan.split("Exchange hashpartitioning")[1:])
     index.drop()
+
+
+def test_tables_and_staged_rows_are_stored_densely(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from feedloom.streaming.tables import Store
+
+    store = Store(str(tmp_path / "dense"))
+    table = store.table("t", "id STRING, text STRING", "id", 2)
+    rows = spark.createDataFrame([(str(k), f"text {k} " * 50) for k in range(20)], "id string, text string")
+    with store.batch(spark, 0) as batch:
+        assert batch.stage(rows, "rows").count() == 20
+        staged = list((tmp_path / "dense" / "_work").rglob("*.parquet"))
+        batch.update(table, rows, lambda current, new: current.unionByName(new))
+        files = staged + list((tmp_path / "dense").rglob("bucket=*/*.parquet"))
+        kinds = {pq.ParquetFile(f).metadata.row_group(0).column(1).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups}
+    assert staged and kinds == {"ZSTD"}
+    assert sorted(r.id for r in table.read(spark).collect()) == sorted(str(k) for k in range(20))
