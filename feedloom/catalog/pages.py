@@ -169,7 +169,7 @@ rule("ext_22_strip_promo_links",
      ['<a id="x1" href="/promo/{p}"><img id="x2" src="a"></a><a id="x3" href="/zoom.jpg"><img id="x4" src="b"></a><a id="x5" href="#"><img id="x6" src="c"></a>',
       '<a id="x1" href="https://shop.example.com/"><img id="x2" src="a"></a><a id="x3" href="/q">t<img id="x4" src="b"></a><a id="x5" href="/"><img id="x6" src="c"></a>'],
      ["x3 x4 x5 x6", "x3 x4 x5 x6"],
-     lambda n, p: R.strip_promo_links(n.join(J._page(p), "page_id"), F.col("page_url")).drop("page_url"))
+     lambda n, p: R.strip_promo_links(J._with_link_base(n, p), F.col("page_url")).drop("page_url"))
 
 
 # ---- page facts

@@ -2,7 +2,8 @@
 
 A node's subtree is the interval ``pre..last``, and intervals nest. So "inside an X" is a
 running maximum of X's ``last``, and "contains an X" is a look ahead to the next X. Both are
-window expressions on one order, which Spark evaluates with a single sort per page.
+window expressions on one order, which Spark evaluates with a single sort per page. No step
+joins nodes with themselves: that would work out all rules before it twice.
 """
 
 from __future__ import annotations
@@ -25,11 +26,6 @@ def up_to_node() -> WindowSpec:
     return page_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def after_node() -> WindowSpec:
-    return page_order().rowsBetween(1, Window.unboundedFollowing)
-
-
-
 NODE_COLUMNS = ["page_id", "pre", "last", "parent", "path", "tag", "attrs", "text"]
 
 # Columns are made on demand: they belong to the session that is active when they are used.
@@ -81,9 +77,21 @@ def inside(cond: Column) -> Column:
     return F.coalesce(F.max(F.when(cond, F.col("last"))).over(before_node()) >= F.col("pre"), F.lit(False))
 
 
-def contains(cond: Column) -> Column:
-    """True for nodes with a descendant that satisfies ``cond``."""
-    return F.coalesce(F.min(F.when(cond, F.col("pre"))).over(after_node()) <= F.col("last"), F.lit(False))
+def look_ahead(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add the first value that is not null among the nodes after each one.
+
+    ``lead`` goes on from where it found the last value, so a page is read once, whatever its
+    length. A frame up to the end of the page would be read anew for every node.
+    """
+    ahead = "lead(`_given_{}`) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pre)"
+    d = nodes.withColumns({f"_given_{n}": v for n, v in values.items()})
+    return d.withColumns({n: F.expr(ahead.format(n)) for n in values}).drop(*[f"_given_{n}" for n in values])
+
+
+def with_contains(nodes: DataFrame, conds: dict[str, Column]) -> DataFrame:
+    """Add whether a node has a descendant that satisfies each condition."""
+    d = look_ahead(nodes, {n: F.when(c, F.col("pre")) for n, c in conds.items()})
+    return d.withColumns({n: F.coalesce(F.col(n) <= F.col("last"), F.lit(False)) for n in conds})
 
 
 def nearest(cond: Column, value: Column) -> Column:
@@ -97,12 +105,10 @@ def nearest(cond: Column, value: Column) -> Column:
     return F.when(latest["last"] >= F.col("pre"), latest["v"])
 
 
-def first_within(cond: Column, value: Column) -> Column:
-    """``value`` of the first descendant that satisfies ``cond``."""
-    ahead = F.first(
-        F.when(cond, F.struct(F.col("pre").alias("pre"), value.alias("v"))), ignorenulls=True
-    ).over(after_node())
-    return F.when(ahead["pre"] <= F.col("last"), ahead["v"])
+def with_first_within(nodes: DataFrame, firsts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Add by name the value of the first descendant that satisfies a condition."""
+    d = look_ahead(nodes, {n: F.when(c, F.struct(F.col("pre").alias("pre"), v.alias("v"))) for n, (c, v) in firsts.items()})
+    return d.withColumns({n: F.when(F.col(f"{n}.pre") <= F.col("last"), F.col(f"{n}.v")) for n in firsts})
 
 
 def prune(nodes: DataFrame, cond: Column) -> DataFrame:
@@ -132,46 +138,65 @@ def unwrap(nodes: DataFrame, cond: Column) -> DataFrame:
     )
 
 
-def subtree_sums(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Add sums over each node and all its descendants.
+def subtree_sums(nodes: DataFrame, values: dict[str, Column], where: Column | None = None) -> DataFrame:
+    """Add sums over each node and all its descendants; null for nodes outside ``where``.
 
-    A node is an event where it starts and one where its subtree ends. A running sum over a
-    page's events, read at both, gives the subtree's sum: two narrow rows a node, whatever the
-    depth. Nodes are already hashed by page, so nothing is shuffled.
+    A node is an event where it starts and one, without its content, where its subtree ends. A
+    running sum over a page's events, read at both, gives the subtree's sum, whatever the depth.
+    Sorted by node, the end comes right after the start. Nodes are already hashed by page, so
+    nothing is shuffled.
     """
-    start = F.struct(F.col("pre").alias("at"), F.lit(0).alias("end"))
-    end = F.struct(F.col("last").alias("at"), F.lit(1).alias("end"))
-    events = nodes.select("page_id", "pre", *[c.alias(n) for n, c in values.items()], F.explode(F.array(start, end)).alias("_e"))
+    begin = F.struct(F.col("pre").alias("at"), F.lit(0).alias("end"))
+    close = F.struct(F.col("last").alias("at"), F.lit(1).alias("end"))
+    both = F.array(begin, close)
+    kept = [c for c in nodes.columns if c not in ("page_id", "pre", *values)]
+    events = nodes.withColumns({n: F.coalesce(c, F.lit(0)) for n, c in values.items()}).withColumn(
+        "_e", F.explode(both if where is None else F.when(where, both).otherwise(F.array(begin))))
+    starts = F.col("_e.end") == 0
+    events = events.select("page_id", "pre", "_e", *[F.when(starts, F.col(n)).otherwise(0).alias(n) for n in values],
+                           *[F.when(starts, F.col(c)).alias(c) for c in kept])
     order = Window.partitionBy("page_id").orderBy("_e.at", "_e.end").rowsBetween(Window.unboundedPreceding, 0)
-    begins = F.col("_e.end") == 0
-    # At its start a node counts what came before it, at its end what came up to there.
-    run = {n: F.sum(F.when(begins, F.coalesce(F.col(n), F.lit(0))).otherwise(0)).over(order) for n in values}
-    seen = events.select("page_id", "pre", begins.alias("_b"), *[
-        F.when(begins, F.coalesce(F.col(n), F.lit(0)) - r).otherwise(r).alias(n) for n, r in run.items()])
-    sums = seen.groupBy("page_id", "pre").agg(*[F.sum(n).alias(n) for n in values])
-    return nodes.drop(*values).join(sums, ["page_id", "pre"])
+    events = events.withColumns({f"_run_{n}": F.sum(n).over(order) for n in values})
+    ends = F.lead(F.struct("pre", *[f"_run_{n}" for n in values])).over(Window.partitionBy("page_id").orderBy("pre", "_e.end"))
+    events = events.withColumn("_end", ends).filter(starts)
+    # What came up to the end, less what came before the start.
+    return events.select("page_id", "pre", *kept, *[
+        F.when(F.col("_end.pre") == F.col("pre"), F.col(f"_end._run_{n}") - F.col(f"_run_{n}") + F.col(n)).alias(n) for n in values])
 
 
 def near_sums(nodes: DataFrame, value: Column, names: tuple[str, ...]) -> DataFrame:
-    """Add sums of ``value`` over the nodes one level below, two levels below, and so on."""
-    given = nodes.select("page_id", "path", value.alias("_v")).filter(F.col("_v").isNotNull())
-    up = given.select("page_id", "_v", F.posexplode(F.slice(F.reverse("path"), 1, len(names))).alias("_level", "pre"))
-    sums = up.groupBy("page_id", "pre").agg(*[F.sum(F.when(F.col("_level") == k, F.col("_v"))).alias(n) for k, n in enumerate(names)])
-    return nodes.join(sums, ["page_id", "pre"], "left")
+    """Add sums of ``value`` over the nodes one level below, two levels below, and so on.
+
+    A node with a value stands beside itself once for each level, under the number of its
+    ancestor there.
+    """
+    at = lambda pre, level: F.struct(pre.alias("pre"), level.alias("level"))
+    itself = F.array(at(F.col("pre"), F.lit(-1)))
+    above = F.transform(F.slice(F.reverse("path"), 1, len(names)), at)
+    rows = nodes.withColumn("_v", value)
+    rows = rows.withColumn("_at", F.explode(F.when(F.col("_v").isNotNull(), F.concat(itself, above)).otherwise(itself)))
+    group = Window.partitionBy("page_id", "_at.pre")
+    sums = {n: F.sum(F.when(F.col("_at.level") == k, F.col("_v"))).over(group) for k, n in enumerate(names)}
+    return rows.withColumns(sums).filter(F.col("_at.level") == -1).drop("_v", "_at")
+
+
+# Statistics of children that a rule may ask for, besides its own counts.
+COUNTS = ("n_el", "n_img", "n_txt")
 
 
-def child_stats(nodes: DataFrame, allowed: dict[str, Column] | None = None) -> DataFrame:
-    """Per element: child elements, child images, non-blank child texts and the greatest short one.
+def child_stats(nodes: DataFrame, names: tuple[str, ...] = COUNTS, allowed: dict[str, Column] | None = None) -> DataFrame:
+    """Per element: child elements ``n_el``, child images ``n_img``, non-blank child texts
+    ``n_txt`` and the greatest short one ``own_text``, as far as they are asked for.
 
     ``allowed`` adds counts of child elements that satisfy further conditions. The counts are
     taken among siblings; the first child, which is the next row of the page, hands them up.
     """
     siblings = Window.partitionBy("page_id", "parent")
-    stats = {
-        "n_el": F.count_if(is_element()), "n_img": F.count_if(node_tag() == "img"), "n_txt": F.count_if(non_blank()),
-        "own_text": F.max(F.when(non_blank() & (F.length(T.trim_ws(F.col("text"))) <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
-        **{name: F.count_if(is_element() & cond) for name, cond in (allowed or {}).items()},
+    known = {
+        "n_el": lambda: F.count_if(is_element()), "n_img": lambda: F.count_if(node_tag() == "img"), "n_txt": lambda: F.count_if(non_blank()),
+        "own_text": lambda: F.max(F.when(non_blank() & (F.length(T.trim_ws(F.col("text"))) <= PHRASE_CHARS), T.trim_ws(F.col("text")))),
     }
+    stats = {n: known[n]() for n in names} | {n: F.count_if(is_element() & cond) for n, cond in (allowed or {}).items()}
     d = nodes.withColumn("_up", F.struct("parent", *[c.over(siblings).alias(n) for n, c in stats.items()]))
     d = d.withColumn("_down", F.lead("_up").over(page_order()))
     mine = F.col("_down.parent") == F.col("pre")

@@ -114,17 +114,19 @@ def apollo_images(pages: DataFrame) -> DataFrame:
 
 
 def fill_placeholders(nodes: DataFrame, image: DataFrame) -> DataFrame:
-    """EXT-24: the n-th empty aspect-ratio box becomes the n-th image."""
+    """EXT-24: the n-th empty aspect-ratio box becomes the n-th image.
+
+    A page's images come as one list, so that its nodes stay in page order for the join.
+    """
     long_text = dom.is_text() & (F.length(T.trim_ws(F.col("text"))) >= 10)
-    empty = (
-        is_element() & attr("style").rlike(r"padding-top\s*:\s*[\d.]+%")
-        & ~dom.contains(is_element()) & ~dom.contains(long_text)
-    )
+    empty = is_element() & attr("style").rlike(r"padding-top\s*:\s*[\d.]+%") & ~F.col("_filled")
     w = Window.partitionBy("page_id").orderBy("pre")
-    d = nodes.withColumn("_box", empty)
+    d = dom.with_contains(nodes, {"_filled": is_element() | long_text}).withColumn("_box", empty).drop("_filled")
     d = d.withColumn("n", F.when(F.col("_box"), F.sum(F.col("_box").cast("int")).over(w)).otherwise(0))
-    d = d.join(image.withColumn("page_id", F.col("page_id").cast("string")), ["page_id", "n"], "left")
-    hit = F.col("url").isNotNull() & F.col("_box")
+    lists = image.groupBy(F.col("page_id").cast("string").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("n", "url"))).alias("_images"))
+    nth = F.get(F.filter("_images", lambda i: i["n"] == F.col("n")), F.lit(0))["url"]
+    d = d.join(lists, "page_id", "left").withColumn("url", F.when(F.col("_box"), nth)).drop("_images")
+    hit = F.col("url").isNotNull()
     d = d.withColumn("_hit", hit).withColumn("_in_hit", dom.inside(F.col("_hit"))).filter(~F.col("_in_hit"))
     return (
         d.withColumn("tag", F.when(F.col("_hit"), "img").otherwise(node_tag()))

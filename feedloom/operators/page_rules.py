@@ -100,9 +100,8 @@ def unwrap_landmarks(nodes: DataFrame, keep_asides: bool = False) -> DataFrame:
     out = dom.prune(marked, edge & ~F.col("_art"))
     if keep_asides:
         return dom.unwrap(out, edge).drop("_art")
-    out = out.withColumn(
-        "_gallery", (node_tag() == "aside") & dom.contains(node_tag() == "figcaption") & dom.contains(is_img())
-    )
+    out = dom.with_contains(out, {"_captions": node_tag() == "figcaption", "_images": is_img()})
+    out = out.withColumn("_gallery", (node_tag() == "aside") & F.col("_captions") & F.col("_images")).drop("_captions", "_images")
     # An aside that is inside a removed aside goes with it, gallery or not.
     out = dom.unwrap(out, edge | F.col("_gallery"))
     return dom.prune(out, node_tag() == "aside").drop("_art", "_gallery")
@@ -171,7 +170,7 @@ def strip_sticky(nodes: DataFrame) -> DataFrame:
 
 def strip_phrases(nodes: DataFrame, interstitials: bool = True, captions: bool = True) -> DataFrame:
     """EXT-10 and EXT-17: elements whose only own text is a known interface phrase."""
-    s = dom.child_stats(nodes)
+    s = dom.child_stats(nodes, ("n_txt", "own_text"))
     said = F.lower(F.coalesce("own_text", F.lit("")))
     single = F.col("n_txt") == 1
     hit = F.lit(False)
@@ -179,7 +178,7 @@ def strip_phrases(nodes: DataFrame, interstitials: bool = True, captions: bool =
         hit = hit | (node_tag().isin("span", "p", "div") & single & said.isin(*INTERSTITIALS))
     if captions:
         hit = hit | ((node_tag() == "b") & single & said.isin(*CAPTION_TOGGLES))
-    return dom.prune(s, hit).drop("n_el", "n_img", "n_txt", "own_text")
+    return dom.prune(s, hit).drop("n_txt", "own_text")
 
 
 def strip_interstitials(nodes: DataFrame) -> DataFrame:
@@ -194,12 +193,11 @@ def strip_caption_toggles(nodes: DataFrame) -> DataFrame:
 
 def strip_badge_clusters(nodes: DataFrame) -> DataFrame:
     """EXT-08: paragraphs made of two or more images, plain or each alone in a link."""
-    stats = ["n_el", "n_img", "n_txt", "own_text"]
     first = dom.child_stats(nodes)
     badge = is_img() | ((node_tag() == "a") & (F.col("n_el") == 1) & (F.col("n_img") == 1) & (F.col("n_txt") == 0))
-    second = dom.child_stats(first.withColumn("_badge_el", badge).drop(*stats), {"n_badge": F.col("_badge_el")})
+    second = dom.child_stats(first.withColumn("_badge_el", badge).drop("n_img"), (), {"n_badge": F.col("_badge_el")})
     hit = (node_tag() == "p") & (F.col("n_txt") == 0) & (F.col("n_badge") >= 2) & (F.col("n_badge") == F.col("n_el"))
-    return dom.prune(second, hit).drop(*stats, "n_badge", "_badge_el")
+    return dom.prune(second, hit).drop("n_el", "n_txt", "n_badge", "_badge_el")
 
 
 def strip_thumbnail_cards(nodes: DataFrame, page_path: Column) -> DataFrame:
@@ -211,22 +209,22 @@ def strip_thumbnail_cards(nodes: DataFrame, page_path: Column) -> DataFrame:
     href = F.lower(attr("href"))
     elsewhere = (href != "") & (href != "#") & (~href.contains(page_path) | (F.length(page_path) < 2))
     small = is_img() & ((img_width() <= 240) | (img_height() <= 160))
-    d = nodes.withColumn("_small_link", (node_tag() == "a") & elsewhere & dom.contains(F.coalesce(small, F.lit(False))))
+    d = dom.with_contains(nodes, {"_small": F.coalesce(small, F.lit(False))})
+    d = d.withColumn("_small_link", (node_tag() == "a") & elsewhere & F.col("_small"))
     d = d.withColumn("_head_link", (node_tag() == "a") & has_attr("href") & dom.inside(node_tag().isin("h2", "h3", "h4", "h5", "h6")))
-    d = dom.subtree_sums(d, {"_chars": F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)})
-    d = d.withColumn(
-        "_card",
-        node_tag().isin("div", "li", "article") & (F.col("_chars") < 500)
-        & dom.contains(F.col("_small_link")) & dom.contains(F.col("_head_link")),
-    )
-    d = d.withColumn("_card", F.col("_card") & ~dom.contains(F.col("_card")))
-    return dom.prune(d, F.col("_card")).drop("_small_link", "_head_link", "_chars", "_card")
+    d = dom.with_contains(d, {"_small": F.col("_small_link"), "_head": F.col("_head_link")})
+    d = d.withColumn("_linked", node_tag().isin("div", "li", "article") & F.col("_small") & F.col("_head")).drop(
+        "_small", "_head", "_small_link", "_head_link")
+    d = dom.subtree_sums(d, {"_chars": F.when(non_blank(), F.length(T.trim_ws(F.col("text")))).otherwise(0)}, F.col("_linked"))
+    d = d.withColumn("_card", F.col("_linked") & (F.col("_chars") < 500))
+    d = dom.with_contains(d, {"_inner": F.col("_card")})
+    return dom.prune(d, F.col("_card") & ~F.col("_inner")).drop("_linked", "_chars", "_card", "_inner")
 
 
 def strip_promo_links(nodes: DataFrame, page_url: Column) -> DataFrame:
     """EXT-22: links that hold only images and lead to another page."""
     href = attr("href")
-    d = dom.child_stats(nodes.withColumn("_page", page_url))
+    d = dom.child_stats(nodes).withColumn("_page", page_url)
     only_images = (
         (node_tag() == "a") & (href != "") & (href != "#") & (F.col("n_txt") == 0)
         & (F.col("n_el") > 0) & (F.col("n_el") == F.col("n_img"))
@@ -239,7 +237,7 @@ def strip_promo_links(nodes: DataFrame, page_url: Column) -> DataFrame:
     )
     hit = F.col("_link").isNotNull() & ~media.extension(F.col("_link")).isin(*media.IMAGE_EXTENSIONS) & ~same
     return dom.prune(d, hit).drop(
-        "n_el", "n_img", "n_txt", "own_text", "_page", "_link", "_here", "_there"
+        "n_el", "n_img", "n_txt", "_page", "_link", "_here", "_there"
     )
 
 
@@ -248,24 +246,24 @@ def flatten_image_divs(nodes: DataFrame) -> DataFrame:
 
     A div keeps qualifying when the divs below it are unwrapped, so one pass is the fixpoint.
     """
-    d = dom.child_stats(nodes, {"n_ok": node_tag().isin("div", "img", "figcaption")})
-    d = d.withColumn("_has_img", dom.contains(is_img()))
+    d = dom.child_stats(nodes, ("n_el", "n_txt"), {"n_ok": node_tag().isin("div", "img", "figcaption")})
+    d = dom.with_contains(d, {"_has_img": is_img()})
     hit = (
         (node_tag() == "div") & (F.col("n_txt") == 0) & (F.col("n_el") > 0)
         & (F.col("n_ok") == F.col("n_el")) & F.col("_has_img")
     )
-    return dom.unwrap(d, hit).drop("n_el", "n_img", "n_txt", "own_text", "n_ok", "_has_img")
+    return dom.unwrap(d, hit).drop("n_el", "n_txt", "n_ok", "_has_img")
 
 
 def flatten_single_child_divs(nodes: DataFrame) -> DataFrame:
     """EXT-19: layout divs around exactly one block or image, outside header and footer."""
-    d = dom.child_stats(nodes, {"n_ok": node_tag().isin("div", "img", "picture", "figure")})
+    d = dom.child_stats(nodes, ("n_el", "n_txt"), {"n_ok": node_tag().isin("div", "img", "picture", "figure")})
     d = d.withColumn("_edge", dom.inside(node_tag().isin("header", "footer")))
     hit = (
         (node_tag() == "div") & (F.col("n_txt") == 0) & (F.col("n_el") == 1) & (F.col("n_ok") == 1)
         & ~F.col("_edge")
     )
-    return dom.unwrap(d, hit).drop("n_el", "n_img", "n_txt", "own_text", "n_ok", "_edge")
+    return dom.unwrap(d, hit).drop("n_el", "n_txt", "n_ok", "_edge")
 
 
 def strip_empty(nodes: DataFrame) -> DataFrame:
@@ -275,7 +273,7 @@ def strip_empty(nodes: DataFrame) -> DataFrame:
     below gives the same result without passes.
     """
     keeper = non_blank() | (is_element() & ~node_tag().isin(*EMPTY_TAGS))
-    d = nodes.withColumn("_full", dom.contains(keeper))
+    d = dom.with_contains(nodes, {"_full": keeper})
     return dom.prune(d, node_tag().isin(*EMPTY_TAGS) & ~F.col("_full")).drop("_full")
 
 
@@ -294,10 +292,8 @@ def promote_noscript_images(nodes: DataFrame) -> DataFrame:
     its image takes the place of the ``noscript``."""
     noscript = node_tag() == "noscript"
     usable = is_img() & (img_src() != "") & ~img_src().startswith("data:")
-    d = nodes.withColumn(
-        "_real",
-        F.when(noscript, dom.first_within(usable, F.struct(F.col("pre").alias("pre"), img_src().alias("src")))),
-    )
+    d = dom.with_first_within(nodes, {"_real": (usable, F.struct(F.col("pre").alias("pre"), img_src().alias("src")))})
+    d = d.withColumn("_real", F.when(noscript, F.col("_real")))
     level = Window.partitionBy("page_id", "parent", "_text").orderBy("pre")
     blank = is_img() & ((img_src() == "") | img_src().startswith("data:"))
     d = d.withColumn("_text", dom.is_text()).withColumn("_blank", blank)
@@ -380,8 +376,8 @@ def unwrap_picture(nodes: DataFrame) -> DataFrame:
     picture, source = node_tag() == "picture", node_tag() == "source"
     d = nodes.withColumn("_url", F.when(source, F.nullif(url, F.lit(""))))
     offered = F.struct(F.col("pre").alias("pre"), F.col("_url").alias("url"))
-    d = d.withColumn("_offer", F.when(picture, dom.first_within(F.col("_url").isNotNull(), offered)))
-    d = d.withColumn("_img", F.when(picture, dom.first_within(is_img(), F.col("pre"))))
+    d = dom.with_first_within(d, {"_offer": (F.col("_url").isNotNull(), offered), "_img": (is_img(), F.col("pre"))})
+    d = d.withColumn("_offer", F.when(picture, F.col("_offer"))).withColumn("_img", F.when(picture, F.col("_img")))
     d = d.withColumn("_in", dom.nearest(picture, F.struct("_offer", "_img", F.col("pre").alias("pre"))))
     needs = is_img() & (F.col("pre") == F.col("_in._img")) & ((img_src() == "") | img_src().startswith("data:"))
     becomes = source & F.col("_in._img").isNull() & (F.col("pre") == F.col("_in._offer.pre"))

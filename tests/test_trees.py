@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from feedloom.operators import dom
+from feedloom.plans import extract_job
 
 
 def tree(rng, page, n):
@@ -54,3 +55,29 @@ def test_unwrap(spark):
             path = [a for a in r[4] if (r[0], a) not in gone]
             want[r[0], r[1]] = (path, path[-1] if path else -1)
     assert got == want
+
+
+def test_look_ahead(spark):
+    for seed in range(3):
+        rows, df = nodes(spark, seed)
+        d = dom.with_contains(df, {"holds": F.col("tag") == "b"})
+        d = dom.with_first_within(d, {"first": (F.col("tag") == "b", F.col("pre") * 2)})
+        got = {(r.page_id, r.pre): (r.holds, r.first) for r in d.collect()}
+        for p, pre, last, *_ in rows:
+            below = sorted(r[1] for r in rows if r[0] == p and pre < r[1] <= last and r[5] == "b")
+            assert got[p, pre] == (bool(below), below[0] * 2 if below else None)
+
+
+def test_subtree_sums_of_chosen_nodes(spark):
+    rows, df = nodes(spark, 4)
+    got = {(r.page_id, r.pre): r.v for r in dom.subtree_sums(df, {"v": F.col("pre") + 1}, F.col("tag") == "b").collect()}
+    for p, pre, last, _, _, tag, *_ in rows:
+        assert got[p, pre] == (sum(r[1] + 1 for r in rows if r[0] == p and pre <= r[1] <= last) if tag == "b" else None)
+
+
+def test_rules_go_over_the_parsed_pages_once(spark):
+    pages = spark.createDataFrame([("1", "https://a.example.com/x", "<p>text</p>")], "page_id string, page_url string, html string")
+    for clean in (extract_job.clean_standard, extract_job.clean_full):
+        plan = clean(pages)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+        assert "unboundedfollowing" not in plan.replace("unboundedpreceding$(), unboundedfollowing", "")
