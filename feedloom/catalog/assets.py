@@ -11,6 +11,7 @@ from feedloom.functions import media
 from feedloom.operators import assets as A
 from feedloom.operators.dom import attr
 from feedloom.plans.extract_job import _page
+from feedloom.session import materialize
 from feedloom.sources.html import parse_nodes
 
 _MEDIA = [
@@ -29,7 +30,8 @@ SELECT CAST(page_id AS VARCHAR) AS page_id, replace(v.url, '{p}', CAST(page_id A
   (1, 'https://c.example.com/p{p}.webp'), (1, 'https://c.example.com/q{p}.jpg')) v(k, url) WHERE page_id % 2 = v.k""")
 def asset_list(spark, sf):
     pages = illustrated(spark, sf, _MEDIA)
-    return A.asset_list(parse_nodes(pages), _page(pages)).orderBy("page_id", "pre").select("page_id", "url")
+    # Sorting looks at its input twice: once for the bounds of its ranges.
+    return materialize(A.asset_list(parse_nodes(pages), _page(pages)).select("page_id", "pre", "url")).orderBy("page_id", "pre").select("page_id", "url")
 
 
 @query("ext_28_asset_list_full", """

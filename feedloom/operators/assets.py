@@ -26,46 +26,51 @@ def _present(u: Column) -> Column:
     return F.explode(F.filter(F.array(u), lambda x: x.isNotNull()))
 
 
-def with_image_urls(nodes: DataFrame, page: DataFrame) -> DataFrame:
-    """Image rows with their candidate addresses: best srcset entry, src, lazy attributes."""
-    img = nodes.filter(is_img()).join(page.select("page_id", "page_url"), "page_id")
+def _image_urls(img: DataFrame) -> DataFrame:
+    """Candidate addresses of image rows that have their ``page_url``; null for other rows."""
     base = F.col("page_url")
-    img = img.withColumn("_set", media.pick_srcset(attr("srcset")))
+    img = img.withColumn("_set", F.when(is_img(), media.pick_srcset(attr("srcset"))))
     img = img.withColumn("srcset_url", urls.resolve_url(base, F.col("_set"), upgrade=False))
-    img = img.withColumn("src_url", F.when(~img_src().startswith("data:"), urls.resolve_url(base, img_src(), upgrade=False)))
+    img = img.withColumn("src_url", F.when(is_img() & ~img_src().startswith("data:"), urls.resolve_url(base, img_src(), upgrade=False)))
     lazy = F.coalesce(*[
         F.when((attr(a) != "") & ~attr(a).startswith("data:"), attr(a))
         for a in ("data-src", "data-lazy-src", "data-original")
     ])
-    img = img.withColumn("_lazy", lazy)
+    img = img.withColumn("_lazy", F.when(is_img(), lazy))
     img = img.withColumn("lazy_url", urls.resolve_url(base, F.col("_lazy"), upgrade=False))
     for c in ("srcset_url", "src_url", "lazy_url"):
         img = img.withColumn(c, _usable(F.col(c)))
     return img.drop("_set", "_lazy")
 
 
+def with_image_urls(nodes: DataFrame, page: DataFrame) -> DataFrame:
+    """Image rows with their candidate addresses: best srcset entry, src, lazy attributes."""
+    return _image_urls(nodes.filter(is_img()).join(page.select("page_id", "page_url"), "page_id"))
+
+
 def asset_list(nodes: DataFrame, page: DataFrame, level: str = "standard") -> DataFrame:
-    """EXT-28 and SET-07: what to load for a page, each address once, in page order."""
-    img = with_image_urls(nodes, page).select(
-        "page_id", "pre", _present(F.coalesce("srcset_url", "src_url", "lazy_url")).alias("url"),
-        F.lit("image").alias("kind"),
-    )
-    n = nodes.withColumn("_pic", dom.nearest(node_tag() == "picture", F.col("pre")))
+    """EXT-28 and SET-07: what to load for a page, each address once, in page order.
+
+    Images and other references are told apart by row, so that the nodes are worked out once.
+    """
     if level == "standard":
-        more = n.filter((node_tag() == "source") & (F.col("_pic") == F.col("parent")) & (attr("srcset") != ""))
+        n = nodes.filter(node_tag().isin("img", "picture", "source")).withColumn(
+            "_pic", dom.nearest(node_tag() == "picture", F.col("pre")))
+        more = (node_tag() == "source") & (F.col("_pic") == F.col("parent")) & (attr("srcset") != "")
         ref, kind = media.pick_srcset(attr("srcset")), "image"
     else:
-        more = n.filter((node_tag() == "link") & (attr("rel") == "stylesheet") & (attr("href") != ""))
+        n = nodes.filter(node_tag().isin("img", "link"))
+        more = (node_tag() == "link") & (attr("rel") == "stylesheet") & (attr("href") != "")
         ref, kind = attr("href"), "stylesheet"
+    n = n.withColumn("_more", F.coalesce(more, F.lit(False))).filter(is_img() | F.col("_more"))
+    n = _image_urls(n.join(page.select("page_id", "page_url"), "page_id"))
     # The reference gets its own projection: resolving it reads it many times.
-    more = more.withColumn("_ref", ref).join(page.select("page_id", "page_url"), "page_id").select(
-        "page_id", "pre", _present(urls.resolve_url(F.col("page_url"), F.col("_ref"), upgrade=False)).alias("url"),
-        F.lit(kind).alias("kind"),
-    )
-    return (
-        img.unionByName(more)
-        .groupBy("page_id", "url").agg(F.min("pre").alias("pre"), F.min_by("kind", "pre").alias("kind"))
-    )
+    n = n.withColumn("_ref", F.when(F.col("_more"), ref))
+    n = n.withColumn("_ref_url", F.when(F.col("_more"), urls.resolve_url(F.col("page_url"), F.col("_ref"), upgrade=False)))
+    return n.select(
+        "page_id", "pre", _present(F.coalesce("srcset_url", "src_url", "lazy_url", "_ref_url")).alias("url"),
+        F.when(F.col("_more"), kind).otherwise("image").alias("kind"),
+    ).groupBy("page_id", "url").agg(F.min("pre").alias("pre"), F.min_by("kind", "pre").alias("kind"))
 
 
 def asset_budget(asset: DataFrame) -> DataFrame:

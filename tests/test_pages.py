@@ -107,3 +107,17 @@ def test_pages_are_parsed_once_for_all_readers(spark, sf):
     for name in ("join_17_recover_dropped_images", "ext_27_inject_hero"):
         plan = load_all()[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan, name
+
+
+def test_asset_list_goes_over_the_nodes_once(spark):
+    from feedloom.operators import assets as A
+
+    html = ('<p><img src="/a.jpg"></p><picture><source srcset="/b.webp 2x"><img src="/c.jpg"></picture>'
+            '<div><source srcset="/no.webp"></div><link rel="stylesheet" href="/s.css">')
+    nodes, page = parse_nodes(pages(spark, html)), J._page(pages(spark, html))
+    want = {"standard": [("/a.jpg", "image"), ("/b.webp", "image"), ("/c.jpg", "image")],
+            "full": [("/a.jpg", "image"), ("/c.jpg", "image"), ("/s.css", "stylesheet")]}
+    for level, rows in want.items():
+        found = A.asset_list(nodes, page, level)
+        assert [(r.url, r.kind) for r in found.orderBy("pre").collect()] == [("https://site.example.com" + u, k) for u, k in rows]
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
