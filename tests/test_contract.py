@@ -60,3 +60,16 @@ def test_top_k_is_limited_before_the_shuffle(spark, sf):
 def test_scan_reads_only_what_is_needed(spark, sf):
     plan = entry.queries()["agg_01_source_summary"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,source:string,n_chars:bigint>" in plan
+
+
+def test_partitions_stay_small_as_the_input_grows(spark):
+    """A task's sorts hold many times what it reads, so it reads a few megabytes at most."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(0, 2_000_000, 1, 4).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("noise"))
+        assert rows.repartition("id").rdd.getNumPartitions() >= 8  # 64 MB of noise
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
