@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,14 @@ def test_slots_of_a_list_of_any_length(spark):
     assert {r.id: r.slot_position for r in got} == {i: (rn - 1 - 7) % n for i, rn in want.items()}
     plan = slots._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and slots.count() == n * 180
+
+
+def test_runs_of_a_long_text_take_time_by_its_length(spark):
+    short = ["né😀x  y\n日本語", "ab", "", "a.b|c$"]
+    for r in spark.createDataFrame([(t,) for t in short], "t string").select("t", grams(F.col("t")).alias("g")).collect():
+        assert r.g == list(dict.fromkeys(r.t[i:i + 3] for i in range(len(r.t) - 2)))
+    words = F.transform(F.sequence(F.lit(1), F.lit(25_000)), lambda i: F.substring(F.md5(i.cast("string")), 1, 6))
+    long = spark.range(1).select(F.concat_ws(" ", words).alias("t")).localCheckpoint()
+    start = time.perf_counter()
+    assert long.select(F.size(grams(F.col("t")))).first()[0] > 4000
+    assert time.perf_counter() - start < 10  # cut out by place, 80,000 characters took 12 s
