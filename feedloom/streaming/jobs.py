@@ -44,10 +44,9 @@ def _when(batch: DataFrame):
     return F.struct("change_at", "change_seq") if "change_at" in batch.columns else F.struct("added_at", "id")
 
 
-def latest_changes(batch: DataFrame) -> DataFrame:
+def latest_changes(batch: DataFrame, cols: list[str]) -> DataFrame:
     """One row an article: of several changes in a batch the latest."""
     order = _when(batch)
-    cols = S.columns(S.ARTICLE)
     return batch.groupBy("id").agg(F.max_by(F.struct(*cols), order).alias("_row")).select("_row.*").select(*cols)
 
 
@@ -87,7 +86,8 @@ def _illustrated():
 class LiveLibrary:
     """STR-01, STR-02 and STR-08: lists that follow changes of the article table.
 
-    Articles lie by source, since lists are by source. A small table keeps the source of each
+    Articles lie by source, since lists are by source; their bodies lie where they were first
+    stored, for no list looks at them. A small table keeps the source of each
     article, so that one that moves leaves its old source, whose lists are refreshed as well.
     The sources' latest and illustrated articles and each bucket's saved ones are kept by what
     changes (``TopView``). Of these lists every bucket has its own best rows of both carousels
@@ -97,7 +97,7 @@ class LiveLibrary:
 
     def __init__(self, root: str, limit: int = S.DEFAULT_ARTICLE_LIMIT, buckets: int = BUCKETS) -> None:
         self.store, self.limit = Store(root), limit
-        self.article = self.store.table("article", S.ARTICLE, "source_id", buckets)
+        self.article = self.store.text_table("article", S.ARTICLE, "source_id", ["rss_content_html"], buckets)
         self.place = self.store.table("place", PLACE, "id", buckets)
         self.summary = self.store.table("summary", SUMMARY, "source_id", buckets)
         newest = lambda: (S.newest(), F.lit(None).cast("timestamp"))
@@ -119,24 +119,26 @@ class LiveLibrary:
         with self.store.batch(rows.sparkSession, batch_id) as batch:
             if batch.done:
                 return
-            places = batch.stage(rows.groupBy("id").agg(F.max_by("source_id", _when(rows)).alias("source_id")), "places")
-            old = batch.read(self.place, self.place.touched(places)).withColumnRenamed("source_id", "_old")
-            left = places.join(old, "id").filter(F.col("source_id") != F.col("_old")).select("id", F.col("_old").alias("source_id"))
-            changes = batch.stage(latest_changes(rows).withColumn("_gone", F.lit(False)).unionByName(
-                left.withColumn("_gone", F.lit(True)), allowMissingColumns=True), "changes")
+            self.article.gather(batch, batch.read(self.place).count())
+            came = self.article.add(batch, rows)
+            latest = batch.stage(latest_changes(came, S.columns(self.article.schema)), "latest")
+            old = batch.read(self.place, self.place.touched(latest)).withColumnRenamed("source_id", "_old")
+            left = batch.stage(latest.select("id", "source_id").join(old, "id").filter(F.col("source_id") != F.col("_old")).select(
+                "id", F.col("_old").alias("source_id")), "left")
+            changes = latest.withColumn("_gone", F.lit(False)).unionByName(left.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
             batch.update(self.article, changes, replace_rows)
-            batch.update(self.place, changes.filter(~F.col("_gone")).select("id", "source_id"), replace_by_key("id"))
-            touched = changes.select("source_id").distinct()
+            batch.update(self.place, latest.select("id", "source_id"), replace_by_key("id"))
+            touched = batch.stage(changes.select("source_id").distinct(), "sources")
             mine = batch.read(self.article, self.article.touched(touched)).join(touched, "source_id", "left_semi")
             fresh = L.source_summary(mine, self.limit)
             batch.update(self.summary, touched, lambda current, keys: current.join(keys, "source_id", "left_anti").unionByName(
                 fresh.select(*current.columns)))
             self.lists.update(batch, changes)
-            self._carousels(batch, changes)
+            self._carousels(batch, touched)
 
-    def _carousels(self, batch: Batch, changes: DataFrame) -> None:
-        """The best rows of the touched buckets, then the best of all buckets."""
-        homes = changes.select(bucket_of("source_id", self.article.buckets).alias("home")).distinct()
+    def _carousels(self, batch: Batch, touched: DataFrame) -> None:
+        """The best rows of the touched sources' buckets, then the best of all buckets."""
+        homes = touched.select(bucket_of("source_id", self.article.buckets).alias("home")).distinct()
         lists = batch.read(self.lists.table, self.lists.table.touched(homes)).join(homes, "home", "left_semi").withColumn("moment", S.newest())
         shown = self.lists.first(lists, "illustrated")
         turns = shown.join(shown.groupBy("source_id").agg(F.max("moment").alias("source_newest")), "source_id").withColumn("turn", F.col("rn")).drop("rn")

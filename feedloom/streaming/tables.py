@@ -9,6 +9,9 @@ Each try of a batch claims a name of its own and writes under it, so that tries
 meet in a file. The manifest of a batch can be put in place once only: of two writers the second
 finds it there, and its work is void. A batch that was committed is not applied again.
 Versions that neither of the last two manifests names are removed.
+
+Long texts can lie apart from their rows (``TextTable``): they are stored once, and rewriting a
+bucket moves none of them.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BUCKETS = 32
+SEGMENTS = 32  # a table's texts are gathered when they lie in more
+GATHERED = "-1"  # the segment of gathered texts; others bear their batch's number
 STORED = "zstd"  # tables hold whole texts, which a batch rewrites with their buckets
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
@@ -91,6 +96,9 @@ class Store:
     def table(self, name: str, schema: str, key: str, buckets: int = BUCKETS) -> VersionedTable:
         return VersionedTable(f"{self.root}/{name}", schema, key, buckets, self, name)
 
+    def text_table(self, name: str, schema: str, key: str, texts: list[str], buckets: int = BUCKETS) -> TextTable:
+        return TextTable(f"{self.root}/{name}", schema, key, buckets, self, name, texts)
+
     def snapshot(self, name: str, schema: str) -> Snapshot:
         return Snapshot(f"{self.root}/{name}", schema, self, name)
 
@@ -226,6 +234,51 @@ class VersionedTable:
                 batch.update(self, rows, merge)
 
 
+class TextTable(VersionedTable):
+    """A table whose long texts lie apart from the other columns.
+
+    A batch stores its rows once, as they come, in a segment of its own. The table's rows hold
+    the segment and the place there in place of the texts, so buckets are rewritten, sorted and
+    shuffled without them; only ``read`` puts them back. Texts that no row names any more stay
+    until they are more than half, or there are many segments: then the others are gathered.
+    """
+
+    PLACE = ("_segment", "_place")
+
+    def __init__(self, path: str, schema: str, key: str, buckets: int, store: Store, name: str, texts: list[str]) -> None:
+        parts = [p.strip() for p in schema.split(",")]
+        self.columns, self.texts = [p.split()[0] for p in parts], texts
+        place = [f"{c} BIGINT" for c in self.PLACE]
+        super().__init__(path, ", ".join([p for p in parts if p.split()[0] not in texts] + place), key, buckets, store, name)
+        self.segments = store.table(f"{name}_texts", ", ".join([p for p in parts if p.split()[0] in texts] + place), key)
+
+    def add(self, batch: Batch, rows: DataFrame) -> DataFrame:
+        """Store a batch's rows with their texts. Gives them with their place instead."""
+        placed = rows.withColumns({"_segment": F.lit(batch.id).cast("bigint"), "_place": F.monotonically_increasing_id()})
+        out = self._write(batch, placed, str(batch.id))
+        return batch.spark.read.schema(placed.drop(*self.texts).schema).parquet(out)
+
+    def gather(self, batch: Batch, used: int) -> None:
+        """Store texts in use anew, if they lie in too many segments or are less than half of all.
+        ``used`` is the number of the table's rows. Comes before the batch's own changes."""
+        known = batch.now.get(self.segments.name, {})
+        if known and (len(known) > SEGMENTS or batch.read(self.segments).count() > 2 * used):
+            kept = batch.read(self.segments).join(batch.read(self).select(*self.PLACE), list(self.PLACE), "left_semi")
+            batch.now[self.segments.name] = {}
+            self._write(batch, kept, GATHERED)
+
+    def _write(self, batch: Batch, rows: DataFrame, segment: str) -> str:
+        out = f"{self.segments.path}/version={batch.version}/bucket={segment}"
+        rows.write.option("compression", STORED).parquet(out)
+        batch.now[self.segments.name] = batch.now.get(self.segments.name, {}) | {segment: batch.version}
+        return out
+
+    def read(self, spark: SparkSession, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+        state = self.store.state(Folder(spark, self.store.root), before)
+        texts = self.segments.files(spark, state.get(self.segments.name, {}))
+        return self.files(spark, state.get(self.name, {}), buckets).join(texts, list(self.PLACE), "left").select(*self.columns)
+
+
 class Snapshot:
     """A small result that every batch replaces as a whole, such as a display list."""
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedloom.operators.skew import top_k
 from feedloom.streaming.tables import Batch, Store, VersionedTable, bucket_of
@@ -69,20 +69,20 @@ class TopView:
         """The first rows of each list, with the bound where rows were left out."""
         ranked = top_k(entries, ["list", "grp"], [F.col("pos")], max(kind.k + kind.spare for kind in self.kinds) + 1)
         most = self._of(lambda kind: F.lit(kind.k + kind.spare))
-        last = ranked.filter(F.col("rn") == most).select("list", "grp", F.col("pos").alias("_last"))
-        more = ranked.filter(F.col("rn") == most + 1).select("list", "grp").join(last, ["list", "grp"])
-        return ranked.filter(F.col("rn") <= most).join(more, ["list", "grp"], "left").withColumn(
-            "bound", F.coalesce("_last", "bound")).select(*self.columns)
+        whole = Window.partitionBy("list", "grp")
+        last, more = F.max(F.when(F.col("rn") == most, F.col("pos"))).over(whole), F.max(F.col("rn")).over(whole) > most
+        return ranked.withColumn("bound", F.when(more, last).otherwise(F.col("bound"))).filter(F.col("rn") <= most).select(*self.columns)
 
     def update(self, batch: Batch, changes: DataFrame) -> DataFrame:
         """Apply changed rows of the base table, which the batch has updated already; those
         marked ``_gone`` left their group. Gives the new lists of the touched groups."""
         gone = self._entries(changes, False).select("list", "grp", "home", "id")
-        touched = gone.select("list", "grp", "home").distinct()
+        touched = batch.stage(gone.select("list", "grp", "home").distinct(), f"{self.table.name}-touched")
         homes = touched.select("home").distinct()
         known = batch.read(self.table, self.table.touched(homes)).join(touched, ["list", "grp", "home"], "left_semi")
         bounds = known.groupBy("list", "grp").agg(F.first("bound").alias("bound"))
-        stay = known.join(gone.select("list", "grp", "id"), ["list", "grp", "id"], "left_anti")
+        hit = gone.join(known.select("list", "grp", "id"), ["list", "grp", "id"], "left_semi")  # no more than the lists hold
+        stay = known.join(hit.select("list", "grp", "id"), ["list", "grp", "id"], "left_anti")
         fresh = self._entries(changes.filter(~F.col("_gone")), True).join(bounds, ["list", "grp"], "left").filter(
             F.col("bound").isNull() | (F.col("pos") <= F.col("bound")))
         lists = batch.stage(self._cut(stay.select(*fresh.columns).unionByName(fresh)), f"{self.table.name}-lists")

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from feedloom import schema as S
 from feedloom.streaming import jobs
 
@@ -114,6 +116,48 @@ def test_pruning_after_a_refresh(spark, tmp_path):
     assert known == {"2", "3", "4", "5", "n3", "n4"}
 
 
+def with_bodies(rows, letters):
+    """Bodies of random letters, which no compression shortens much."""
+    return rows.withColumn("rss_content_html", F.expr(
+        f"left(array_join(transform(sequence(1, {letters} div 64 + 1), k -> sha2(concat(id, '/', is_saved, '/', k), 256)), ''), {letters})"))
+
+
+def test_a_batch_leaves_other_articles_bodies_alone(spark, tmp_path):
+    job, letters = jobs.LiveLibrary(str(tmp_path), buckets=2), 100_000
+    job.step(with_bodies(articles(spark, *[(str(k), "s", "cached", False) for k in range(1, 25)]), letters), 0)
+    first = {p for p in tmp_path.rglob("*.parquet")}
+    job.step(with_bodies(articles(spark, ("1", "s", "cached", True), ("2", "t", "cached", True)), letters), 1)
+    written = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet") if p not in first)
+    assert written < 5 * letters  # of 24 bodies in the same buckets
+    want = {(str(k), "t" if k == 2 else "s", k <= 2) for k in range(1, 25)}
+    now = job.article.read(spark)
+    assert now.columns == S.columns(S.ARTICLE)
+    assert {(r.id, r.source_id, r.is_saved) for r in now.collect()} == want
+    assert now.exceptAll(with_bodies(now, letters)).count() == 0
+
+
+def test_replaced_bodies_go(spark, tmp_path, monkeypatch):
+    from feedloom.streaming import tables
+
+    monkeypatch.setattr(tables, "SEGMENTS", 4)
+    job = jobs.LiveLibrary(str(tmp_path), buckets=1)
+    seen = []
+    for k in range(7):  # an article is replaced each time; later ones come in small batches of their own
+        rows = articles(spark, ("1", "st"[k % 2], "cached", k % 2 == 1), ("2", "s", "cached", False)) if k < 4 else articles(
+            spark, (str(k), "s", "cached", False))
+        job.step(with_bodies(rows, 100), k)
+        held = job.article.segments.read(spark)
+        seen.append((held.count(), held.select("_segment").distinct().count()))
+        now = job.article.read(spark)
+        assert now.exceptAll(with_bodies(now, 100)).count() == 0 and now.count() == max(2, k - 1)
+    assert all(stored <= 2 * max(2, k - 1) + 2 for k, (stored, _) in enumerate(seen)), seen
+    known = job.store.state(tables.Folder(spark, str(tmp_path)))["article_texts"]
+    assert tables.GATHERED in known and len(known) <= 6
+    named = [job.store.state(tables.Folder(spark, str(tmp_path)), b)["article_texts"] for b in (6, 7)]
+    kept = {(f"version={v}", f"bucket={s}") for state in named for s, v in state.items()}
+    assert {(p.parent.name, p.name) for p in (tmp_path / "article_texts").glob("version=*/bucket=*")} == kept
+
+
 def random_changes(spark, rng, known, n):
     """Inserts, changes of any column that lists look at, and moves."""
     data = []
