@@ -38,7 +38,10 @@ def _published():
 
 
 def article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
+    return article_of(documents(spark, sf_dir))
+
+
+def article_of(d: DataFrame) -> DataFrame:
     readable = "(doc_id div 7) % 10 NOT IN (7, 8, 9)"
     saved = "doc_id % 11 = 0"
     return d.select(

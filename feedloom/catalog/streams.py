@@ -11,7 +11,7 @@ from feedloom import schema as S
 from feedloom.catalog import derive as D
 from feedloom.catalog.registry import big, query, ts
 from feedloom.operators import library as L
-from feedloom.session import shared_dir
+from feedloom.session import shared_dir, spread
 from feedloom.streaming import jobs
 from feedloom.streaming.tables import STORED, run
 from feedloom.streaming.timers import StaleClock
@@ -32,15 +32,22 @@ def drain(df: DataFrame, part, step, root: str) -> None:
     Every part is written with its own partitions, then the stream runs until its input is used
     up; it goes on from its checkpoint with the next part.
     """
-    staged = df.withColumn("_part", part)
-    drain_parts([staged.filter(F.col("_part") == i).drop("_part") for i in range(PARTS)], step, root)
+    spark, staged = df.sparkSession, df.withColumn("_part", part)
+    for i in range(PARTS):
+        staged.filter(F.col("_part") == i).drop("_part").write.option("compression", STORED).mode("append").parquet(f"{root}/input")
+        run(spark.readStream.schema(df.schema).parquet(f"{root}/input"), step, f"{root}/checkpoint").awaitTermination()
 
 
-def drain_parts(parts: list[DataFrame], step, root: str) -> None:
-    """Give a job each part as a micro-batch, in order."""
-    for part in parts:
-        part.write.option("compression", STORED).mode("append").parquet(f"{root}/input")
-        run(part.sparkSession.readStream.schema(part.schema).parquet(f"{root}/input"), step, f"{root}/checkpoint").awaitTermination()
+def replay(spark, sf, name: str, parts: list, step, root: str) -> None:
+    """Give a job a given table once for each of ``parts``, which make the changes of its rows.
+
+    The table's files are streamed as they are: wide rows need not be stored again before the
+    job stores them. Each part has a stream and a checkpoint of its own.
+    """
+    schema = D.table(spark, sf, name).schema
+    for i, part in enumerate(parts):
+        stream = spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")  # a pattern: a table may be a single file
+        run(stream, lambda rows, batch_id, i=i, part=part: step(part(spread(rows)), 1000 * i + batch_id), f"{root}/checkpoint-{i}").awaitTermination()
 
 
 def _thirds(c: str):
@@ -49,14 +56,19 @@ def _thirds(c: str):
 
 def _live(spark, sf) -> jobs.LiveLibrary:
     root = root_dir(spark, "live")
-    # Each article arrives unread first and in its final state later.
-    final = D.article(spark, sf).withColumn("change_at", F.lit(2)).withColumn("change_seq", F.lit(0))
-    # A fifth arrives in another source, which it leaves later and which ends up empty.
-    early = final.withColumn("is_read", F.lit(False)).withColumn("reading_minutes", F.lit(0)).withColumn("change_at", F.lit(1)).withColumn(
-        "source_id", F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, "elsewhere").otherwise(F.col("source_id")))
-    live = jobs.LiveLibrary(root, buckets=BUCKETS)
     half = F.pmod(F.xxhash64("id"), F.lit(2))
-    drain_parts([early, final.filter(half == 0), final.filter(half == 1)], live.step, root)
+
+    def final(rows):
+        return D.article_of(rows).withColumn("change_at", F.lit(2)).withColumn("change_seq", F.lit(0))
+
+    def early(rows):
+        """Each article arrives unread first and in its final state later. A fifth arrives in
+        another source, which it leaves later and which ends up empty."""
+        return final(rows).withColumn("is_read", F.lit(False)).withColumn("reading_minutes", F.lit(0)).withColumn("change_at", F.lit(1)).withColumn(
+            "source_id", F.when(F.pmod(F.xxhash64("id"), F.lit(5)) == 0, "elsewhere").otherwise(F.col("source_id")))
+
+    live = jobs.LiveLibrary(root, buckets=BUCKETS)
+    replay(spark, sf, "documents", [early, lambda rows: final(rows).filter(half == 0), lambda rows: final(rows).filter(half == 1)], live.step, root)
     return live
 
 

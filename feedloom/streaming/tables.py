@@ -23,6 +23,8 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from feedloom import schema as S
+
 BUCKETS = 32
 SEGMENTS = 32  # a table's texts are gathered when they lie in more
 GATHERED = "-1"  # the segment of gathered texts; others bear their batch's number
@@ -216,7 +218,7 @@ class VersionedTable:
         parts = [f"version={v}/bucket={b}" for b, v in versions.items() if buckets is None or int(b) in buckets]
         paths = [f"{self.path}/{p}" for p in parts if folder.has(p)]  # an emptied bucket has no files
         if not paths:
-            return spark.createDataFrame([], self.schema)
+            return S.conform(spark.range(0).limit(0), self.schema)  # the planner sees that it is empty
         return spark.read.schema(self.schema).parquet(*paths)
 
     def read(self, spark: SparkSession, before: int | None = None, buckets: set[int] | None = None) -> DataFrame:

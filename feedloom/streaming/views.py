@@ -65,6 +65,12 @@ class TopView:
         return rows.withColumn("home", bucket_of(self.base.key, self.base.buckets)).withColumn(
             "_e", F.explode(F.array_compact(entries))).select("_e.*", "home", "id", *self.payload)
 
+    def _touched(self, changes: DataFrame) -> DataFrame:
+        """The lists that changes touch. Their groups come down to few rows before they are laid out by kind."""
+        groups = changes.select(bucket_of(self.base.key, self.base.buckets).alias("home"), F.array(*[kind.group() for kind in self.kinds]).alias("_g")).distinct()
+        lists = F.array(*[F.struct(F.lit(kind.name).alias("list"), F.col("_g")[i].alias("grp")) for i, kind in enumerate(self.kinds)])
+        return groups.withColumn("_e", F.explode(lists)).select("_e.*", "home").distinct()
+
     def _cut(self, entries: DataFrame) -> DataFrame:
         """The first rows of each list, with the bound where rows were left out."""
         ranked = top_k(entries, ["list", "grp"], [F.col("pos")], max(kind.k + kind.spare for kind in self.kinds) + 1)
@@ -76,12 +82,11 @@ class TopView:
     def update(self, batch: Batch, changes: DataFrame) -> DataFrame:
         """Apply changed rows of the base table, which the batch has updated already; those
         marked ``_gone`` left their group. Gives the new lists of the touched groups."""
-        gone = self._entries(changes, False).select("list", "grp", "home", "id")
-        touched = batch.stage(gone.select("list", "grp", "home").distinct(), f"{self.table.name}-touched")
+        touched = batch.stage(self._touched(changes), f"{self.table.name}-touched")
         homes = touched.select("home").distinct()
         known = batch.read(self.table, self.table.touched(homes)).join(touched, ["list", "grp", "home"], "left_semi")
         bounds = known.groupBy("list", "grp").agg(F.first("bound").alias("bound"))
-        hit = gone.join(known.select("list", "grp", "id"), ["list", "grp", "id"], "left_semi")  # no more than the lists hold
+        hit = self._entries(changes.join(known.select("id").distinct(), "id", "left_semi"), False)  # rows that lists hold
         stay = known.join(hit.select("list", "grp", "id"), ["list", "grp", "id"], "left_anti")
         fresh = self._entries(changes.filter(~F.col("_gone")), True).join(bounds, ["list", "grp"], "left").filter(
             F.col("bound").isNull() | (F.col("pos") <= F.col("bound")))
