@@ -209,11 +209,37 @@ def child_stats(nodes: DataFrame, names: tuple[str, ...] = COUNTS, allowed: dict
 
 
 def with_parent(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """JOIN-16 for one level: values of the parent element."""
-    up = nodes.filter(is_element()).select(
-        "page_id", F.col("pre").alias("parent"), *[c.alias(n) for n, c in values.items()]
-    )
-    return nodes.join(up, ["page_id", "parent"], "left")
+    """JOIN-16 for one level: values of the parent element.
+
+    A left join without one: an element stands among its children, too, without its content, and
+    all read its values from there. A node has a row for each element that bears its parent's number.
+    """
+    itself, above = F.struct(F.col("parent").alias("pre"), F.lit(False).alias("up")), F.struct("pre", F.lit(True).alias("up"))
+    rows = nodes.withColumn("_values", F.struct(*[c.alias(n) for n, c in values.items()]))
+    rows = rows.withColumn("_at", F.explode(F.when(is_element(), F.array(itself, above)).otherwise(F.array(itself))))
+    up = F.col("_at.up")
+    rows = rows.select("page_id", "_at", F.when(up, F.col("_values")).alias("_values"),
+                       *[F.when(~up, F.col(c)).alias(c) for c in nodes.columns if c != "page_id"])
+    found = F.collect_list("_values").over(Window.partitionBy("page_id", "_at.pre"))
+    rows = rows.withColumn("_found", F.when(F.col("page_id").isNotNull(), found)).filter(~up)
+    rows = rows.withColumn("_values", F.explode_outer("_found"))
+    return rows.select(*nodes.columns, *[F.col(f"_values.{n}").alias(n) for n in values])
+
+
+def insert(nodes: DataFrame, extra: DataFrame) -> DataFrame:
+    """Nodes with further rows of the same columns, for pages that have nodes.
+
+    They come as one list a page and are dealt out at its first node: a union would hash all
+    nodes anew. ``extra`` must be small for each page.
+    """
+    own = [c for c in nodes.columns if c != "page_id"]
+    lists = extra.groupBy("page_id").agg(F.collect_list(F.struct(*own)).alias("_extra"))
+    rows = nodes.withColumn("_first", F.row_number().over(page_order()) == 1).join(lists, "page_id", "left")
+    rows = rows.withColumn("_extra", F.when(F.col("_first"), F.col("_extra")))
+    more = F.when(F.col("_extra").isNotNull(), F.sequence(F.lit(-1), F.size("_extra") - 1))
+    rows = rows.withColumn("_i", F.explode(F.coalesce(more, F.array(F.lit(-1)))))
+    new = F.get("_extra", F.col("_i"))
+    return rows.select("page_id", *[F.when(F.col("_i") < 0, F.col(c)).otherwise(new[c]).alias(c) for c in own])
 
 
 def ancestors(nodes: DataFrame, which: Column, k: int | None, values: dict[str, Column]) -> DataFrame:

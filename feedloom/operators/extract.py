@@ -207,11 +207,11 @@ def _present(html: Column, src: Column, absolute: Column) -> Column:
 def inject_hero(hero: DataFrame, content: DataFrame) -> DataFrame:
     """EXT-27: the final hero and the attributes of an image to put on top, if any.
 
-    ``content`` has ``page_id`` and ``html``. An image counts as present in its raw, absolute
-    or escaped form. When the scoped choice is present already, an earlier image in main that
-    was dropped takes its place.
+    ``content`` has ``page_id`` and ``html``; its further columns are handed on. An image counts
+    as present in its raw, absolute or escaped form. When the scoped choice is present already,
+    an earlier image in main that was dropped takes its place.
     """
-    d = hero.join(content.select("page_id", "html"), "page_id")
+    d = hero.join(content, "page_id")
     for name in ("first", "main"):
         d = d.withColumn(f"_{name}_abs", urls.resolve_url(F.col("page_url"), F.col(f"{name}_src"), upgrade=False))
         d = d.withColumn(f"_{name}_in", _present(F.col("html"), F.col(f"{name}_src"), F.col(f"_{name}_abs")))
@@ -229,7 +229,7 @@ def inject_hero(hero: DataFrame, content: DataFrame) -> DataFrame:
     return d.select(
         "page_id",
         F.when(F.col("_use_main"), F.col("main_src")).otherwise(F.coalesce("first_src", "og_image")).alias("hero_image_url"),
-        tag.alias("hero_attrs"),
+        tag.alias("hero_attrs"), *[c for c in content.columns if c not in ("page_id", "html")],
     )
 
 
@@ -335,10 +335,17 @@ def recover_dropped_images(nodes: DataFrame, content: DataFrame, min_chars: int
     img = src.join(anchor, ["page_id", "pre"], "left").select(
         "page_id", "pre", "src", F.coalesce("_a._parent", "parent").alias("parent"),
         F.coalesce("_a._pre", "pre").alias("at"))
-    beside = img.select("page_id", "parent", "at", "pre", "src", F.lit(None).cast("string").alias("text")).unionByName(
-        texts.select("page_id", "parent", F.col("pre").alias("at"), F.lit(None).cast("int").alias("pre"),
-                     F.lit(None).cast("string").alias("src"), "text"))
-    ahead = Window.partitionBy("page_id", "parent").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # The images of a parent come as one list at its first text; a union would hash the texts anew.
+    # Where there is no text, there is none beside an image.
+    beside = texts.withColumn("_first", F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("pre")) == 1).join(
+        img.groupBy("page_id", "parent").agg(F.collect_list(F.struct("at", "pre", "src")).alias("_images")), ["page_id", "parent"])
+    none = [F.lit(None).cast("int").alias("pre"), F.lit(None).cast("string").alias("src")]
+    itself = F.array(F.struct(F.col("pre").alias("at"), *none, "text"))
+    images = F.transform("_images", lambda i: F.struct(i["at"].alias("at"), i["pre"].alias("pre"), i["src"].alias("src"), F.lit(None).cast("string").alias("text")))
+    beside = beside.select("page_id", "parent", F.inline(F.when(F.col("_first"), F.concat(itself, images)).otherwise(itself)))
+    # An image's own block is none that follows it.
+    ahead = Window.partitionBy("page_id", "parent").orderBy(F.col("at").desc(), F.col("src").isNull()).rowsBetween(
+        Window.unboundedPreceding, -1)
     wanted = (
         beside.withColumn("_next", F.last("text", ignorenulls=True).over(ahead))
         .filter(F.col("src").isNotNull() & F.col("_next").isNotNull())

@@ -1,8 +1,9 @@
 """EXT-34: pages to article extracts.
 
-One parse emits node rows hashed by page. The cleaning rules are windows over that layout and
-add no shuffle. The cleaned nodes are written once, reliably; body choice, hero and final
-rendering all start from that copy instead of repeating the rules.
+Pages are dealt out once, as they are. One parse emits node rows, stored in buckets of pages. The
+cleaning rules are windows over that layout and add no shuffle. The cleaned nodes are written once,
+reliably, in the same layout; body choice, hero and final rendering all start from that copy
+instead of repeating the rules.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from feedloom import schema as S
 from feedloom.functions import text as T, urls
 from feedloom.operators import dom, embedded, extract as E, page_rules as R
 from feedloom.operators.dom import node_tag, attr
+from feedloom.operators.page_store import PageStore
 from feedloom.session import materialize
 from feedloom.sources.html import parse_nodes
 
@@ -26,9 +28,13 @@ def _with_link_base(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return nodes.join(_page(pages), "page_id").withColumn("page_url", F.when(node_tag() == "a", F.col("page_url")))
 
 
-def clean_standard(pages: DataFrame) -> DataFrame:
-    """Nodes of each page after the standard rules, ready for body choice."""
-    n = parse_nodes(embedded.inject_embedded(pages))
+def clean_standard(pages: DataFrame, store: PageStore | None = None) -> DataFrame:
+    """Nodes of each page after the standard rules, ready for body choice.
+
+    In a store the parsed nodes lie as ``parsed``.
+    """
+    given = embedded.inject_embedded(pages)
+    n = store.keep("parsed", parse_nodes(given, buckets=store.buckets)) if store else parse_nodes(given)
     n = embedded.fill_placeholders(n, embedded.apollo_images(pages))
     n = dom.prune(n, node_tag() == "script")
     n = R.promote_noscript_images(n)
@@ -96,42 +102,44 @@ def extract_standard(pages: DataFrame) -> DataFrame:
     ``ok`` is false, and the content null, where fewer than 50 characters of text remain.
     """
     page = _page(pages)
-    nodes = materialize(R.wrap_standalone_images(materialize(clean_standard(pages))))
-    base = nodes.select(*dom.NODE_COLUMNS)
-    root = E.main_block(base)
-    content = materialize(E.content_nodes(nodes, root).select(*dom.NODE_COLUMNS, "wrap"))
-    # One row per page each, read several times below.
-    first = materialize(dom.render(content).withColumn("word_count", T.word_count(F.col("plain"))))
-    hero = materialize(E.inject_hero(
-        E.pick_hero(E.hero_candidates(base, page), page, E.og_image(base, page)), first
-    ))
-    spots = E.recover_dropped_images(base, content.select(*dom.NODE_COLUMNS)).join(
-        hero.select("page_id", "hero_image_url"), "page_id"
-    ).filter(F.col("hero_image_url").isNull() | (F.col("src") != F.col("hero_image_url")))
-    lost = spots.join(base.select("page_id", "pre", "attrs"), ["page_id", "pre"]).select(
-        "page_id", (F.col("before_pre") - 1).alias("pre"), (F.col("before_pre") - 1).alias("last"),
-        F.lit(-1).alias("parent"), F.array().cast("array<int>").alias("path"), F.lit("img").alias("tag"),
-        "attrs", F.lit(None).cast("string").alias("text"), F.lit(True).alias("wrap"),
-    )
-    final = content.unionByName(_hero_rows(hero)).unionByName(lost)
-    final = R.strip_empty(R.strip_byline_images(E.dedup_content_images(final)))
-    done = dom.render(final).select("page_id", F.col("html").alias("content_html"))
-    counts = E.image_count(final)
-    out = (
-        page.join(first.select("page_id", "plain", "word_count"), "page_id", "left")
-        .join(done, "page_id", "left").join(counts, "page_id", "left")
-        .join(hero.select("page_id", "hero_image_url"), "page_id", "left")
-        .join(E.fallback_title(base), "page_id", "left")
-    )
-    ok = F.coalesce(_gate(F.col("plain")), F.lit(False))
-    return materialize(out.select(
-        "page_id", "page_url", F.coalesce("title", F.lit("")).alias("title"),
-        F.when(ok, F.col("content_html")).alias("content_html"),
-        F.coalesce(F.when(ok, F.col("image_count")), F.lit(0)).alias("image_count"),
-        F.when(ok, F.col("hero_image_url")).alias("hero_image_url"),
-        F.coalesce("word_count", F.lit(0)).alias("word_count"),
-        F.coalesce(F.length("plain"), F.lit(0)).alias("text_chars"), ok.alias("ok"),
-    ))
+    with PageStore(pages) as store:
+        nodes = store.keep("cleaned", R.wrap_standalone_images(clean_standard(pages, store)))
+        store.drop("parsed")
+        base = nodes.select(*dom.NODE_COLUMNS)
+        root = store.keep("root", E.main_block(base))
+        content = E.content_nodes(nodes, root).select(*dom.NODE_COLUMNS, "wrap")
+        first = dom.render(content).select(
+            "page_id", "html", T.word_count(F.col("plain")).alias("word_count"), F.length("plain").alias("text_chars"))
+        hero = store.keep("hero", E.inject_hero(
+            E.pick_hero(E.hero_candidates(base, page), page, E.og_image(base, page)), first
+        ))
+        spots = E.recover_dropped_images(base, content.select(*dom.NODE_COLUMNS)).join(
+            hero.select("page_id", "hero_image_url"), "page_id"
+        ).filter(F.col("hero_image_url").isNull() | (F.col("src") != F.col("hero_image_url")))
+        lost = spots.join(base.select("page_id", "pre", "attrs"), ["page_id", "pre"]).select(
+            "page_id", (F.col("before_pre") - 1).alias("pre"), (F.col("before_pre") - 1).alias("last"),
+            F.lit(-1).alias("parent"), F.array().cast("array<int>").alias("path"), F.lit("img").alias("tag"),
+            "attrs", F.lit(None).cast("string").alias("text"), F.lit(True).alias("wrap"),
+        )
+        final = dom.insert(content, _hero_rows(hero).unionByName(lost))
+        final = store.keep("final", R.strip_empty(R.strip_byline_images(E.dedup_content_images(final))))
+        title = store.keep("title", E.fallback_title(base))
+        store.drop("cleaned")
+        done = dom.render(final).select("page_id", F.col("html").alias("content_html"))
+        out = (
+            page.join(hero.select("page_id", "hero_image_url", "word_count", "text_chars"), "page_id", "left")
+            .join(done, "page_id", "left").join(E.image_count(final), "page_id", "left")
+            .join(title, "page_id", "left")
+        )
+        ok = F.coalesce(F.col("text_chars") >= S.MIN_CONTENT_CHARS, F.lit(False))
+        return store.result(out.select(
+            "page_id", "page_url", F.coalesce("title", F.lit("")).alias("title"),
+            F.when(ok, F.col("content_html")).alias("content_html"),
+            F.coalesce(F.when(ok, F.col("image_count")), F.lit(0)).alias("image_count"),
+            F.when(ok, F.col("hero_image_url")).alias("hero_image_url"),
+            F.coalesce("word_count", F.lit(0)).alias("word_count"),
+            F.coalesce("text_chars", F.lit(0)).alias("text_chars"), ok.alias("ok"),
+        ))
 
 
 def extract_full(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -88,6 +90,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(path)
 
 
+@contextmanager
+def with_settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Runtime settings for the plans that are made meanwhile."""
+    before = {key: spark.conf.get(key) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def materialize(df):
     """Cut the lineage with a reliable checkpoint, which survives lost executors.
 
@@ -96,13 +111,8 @@ def materialize(df):
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
+    with with_settings(spark, {"spark.sql.constraintPropagation.enabled": "false"}):
         return df.checkpoint()
-    finally:
-        spark.conf.set(key, before)
 
 
 def spread(scan):

@@ -122,7 +122,13 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
-def parse_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Node rows of every page, hashed once by page so that later steps need no shuffle."""
+def parse_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html", buckets: int | None = None) -> DataFrame:
+    """Node rows of every page, hashed once by page so that later steps need no shuffle.
+
+    With ``buckets`` the pages are dealt out by page before they are parsed: they are smaller than
+    their nodes. Spark does not know of that layout, so the nodes are for a table of these buckets.
+    """
     raw = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(html).alias("html"))
+    if buckets:
+        return raw.repartition(buckets, "page_id").mapInArrow(_batches, NODE_SCHEMA)
     return raw.mapInArrow(_batches, NODE_SCHEMA).repartition("page_id")

@@ -1,7 +1,13 @@
+import gc
+import random
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from feedloom.operators import dom, extract as E
+from feedloom.operators.page_store import LEAST_BYTES, PageStore, bucket_count
 from feedloom.plans import extract_job as J
+from feedloom.session import shared_dir, with_settings
 from feedloom.sources.html import parse_nodes
 
 BODY = " ".join(f"Sentence number {i}, with some more words in it." for i in range(40))
@@ -121,3 +127,74 @@ def test_asset_list_goes_over_the_nodes_once(spark):
         found = A.asset_list(nodes, page, level)
         assert [(r.url, r.kind) for r in found.orderBy("pre").collect()] == [("https://site.example.com" + u, k) for u, k in rows]
         assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def _bytes_below(*paths):
+    return sum(f.stat().st_size for p in paths for f in Path(p).rglob("*") if f.is_file())
+
+
+def test_extraction_stores_few_bytes_a_page(spark, tmp_path):
+    """What shuffles and stored steps leave on disk is bounded by the pages, compressed."""
+    rng, words = random.Random(7), [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("ndo", "stil", "rev", "qua", "xim")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + ", and so on."
+    rows = [(i, f"https://e.example.com/{i}", f"<html><head><title>T {i}</title></head><body><div class='ad'>{text(9)}</div><article><h1>H {i}</h1>"
+             + "".join(f"<p>{text(60)} <a href='/{i}'>{text(2)}</a></p>" for _ in range(12)) + f"<img src='/i{i}.jpg' width='600' height='400'></article></body></html>")
+            for i in range(400)]
+    given = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(rows, "page_id long, page_url string, html string").write.parquet(given)
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    places = [str(d) for d in disks] + [shared_dir(spark).removeprefix("file:")]
+    gc.collect()
+    before = _bytes_below(*places)
+    out = J.extract_standard(spark.read.parquet(given))
+    assert out.count() == 400 and out.filter("ok AND image_count = 1").count() == 400
+    assert _bytes_below(*places) - before < 4 * _bytes_below(given)
+
+
+def test_stored_pages_keep_their_layout(spark):
+    """Rules over a stored table neither shuffle nor sort it; joins deal out nothing."""
+    html = "<body><div><p>One.</p><p>Two, three.</p></div></body>"
+    given = pages(spark, *[html] * 9)
+    with PageStore(given) as store:
+        nodes = store.keep("nodes", parse_nodes(given, buckets=store.buckets))
+        assert nodes.count() == 9 * 6
+        some = nodes.filter("tag = 'p'")
+        with with_settings(spark, {**store._settings, "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            plan = dom.insert(dom.prune(nodes, F.col("tag") == "b"), some)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        assert not [line for line in plan.splitlines() if "Sort [" in line and "pre#" in line]
+        root = Path(store.root.removeprefix("file:"))
+        assert (root / "nodes").exists()
+        left = store.result(nodes.groupBy("page_id").count())
+    assert not (root / "nodes").exists() and left.count() == 9
+
+
+def test_parents_and_further_nodes_are_those_of_joins(spark):
+    """Also for pages that come twice, where every match gives a row."""
+    twice = pages(spark, "<div><p>a<b>b</b></p></div>", "<ul><li>x</ul>")
+    nodes = parse_nodes(twice.unionByName(twice))
+    up = nodes.filter("tag <> '#text'").select("page_id", F.col("pre").alias("parent"), F.col("tag").alias("up"))
+    columns = ["page_id", "pre", "tag", "up"]
+    rows = lambda d: sorted(map(str, d.select(columns).collect()))
+    assert rows(dom.with_parent(nodes, {"up": F.col("tag")})) == rows(nodes.join(up, ["page_id", "parent"], "left"))
+    extra = nodes.filter("page_id = '0' AND tag = 'b'").withColumn("pre", F.lit(-1))
+    key = lambda d: sorted(map(str, d.select("page_id", "pre", "parent", "path", "tag", "attrs", "text").collect()))
+    assert key(dom.insert(nodes, extra)) == key(nodes.unionByName(extra))
+
+
+def test_an_images_own_paragraph_does_not_follow_it(spark):
+    html = ("<body><article><p>A long paragraph that holds <img src='/in.jpg'> a picture.</p>"
+            "<p>The paragraph after it is long, too.</p></article></body>")
+    nodes = parse_nodes(pages(spark, html))
+    found = E.recover_dropped_images(nodes, nodes.filter("tag <> 'img'")).collect()
+    second = [r.pre for r in nodes.filter("tag = 'p'").orderBy("pre").collect()][1]
+    assert [(r.src, r.before_pre) for r in found] == [("/in.jpg", second)]
+
+
+def test_buckets_grow_with_the_input(spark):
+    small, cores = spark.range(9), spark.sparkContext.defaultParallelism
+    assert bucket_count(small) == cores
+    large = spark.range(1 << 20)  # 8 MB
+    assert bucket_count(large) >= 5
+    with with_settings(spark, {"spark.sql.shuffle.partitions": "1000"}):
+        assert bucket_count(small) == cores and bucket_count(large) == (8 << 20) // LEAST_BYTES
